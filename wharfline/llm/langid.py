@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import arrow_map, bounded_sample, texts
 
 MAX_GRAM = 5
-CACHE = 200_000  # words that a Python worker remembers
+CACHE = 300_000  # words that a Python worker remembers
 
 _runs = re.compile(r"[^\W\d_]+").findall
 
@@ -43,46 +44,56 @@ class Backoff:
         """rows: (0 for a word or the n-gram's n, the string, language, count)."""
         self.langs = langs
         at = {lang: i for i, lang in enumerate(langs)}
-        self.tables: list[dict[str, np.ndarray]] = []
+        self.tables: list[dict[str, int]] = []
+        scores: list[np.ndarray] = []
         for n in range(MAX_GRAM + 1):
-            found: dict[str, np.ndarray] = {}
-            for kind, gram, lang, count in rows:
-                if kind == n:
-                    found.setdefault(gram, np.zeros(len(langs)))[at[lang]] += count
-            total = sum(found.values(), np.zeros(len(langs))) + 1
-            for gram, counts in found.items():
-                p = (counts + smooth) / (total + smooth * len(found))
-                found[gram] = np.log(p / p.sum())
-            self.tables.append(found)
+            mine = [r for r in rows if r[0] == n]
+            table: dict[str, int] = {}
+            for _, gram, _, _ in mine:
+                table.setdefault(gram, len(table))
+            counts = np.zeros((len(table), len(langs)))
+            np.add.at(counts, ([table[r[1]] for r in mine], [at[r[2]] for r in mine]), [r[3] for r in mine])
+            p = (counts + smooth) / (counts.sum(axis=0) + 1 + smooth * len(table))
+            first = sum(map(len, scores))
+            scores.append(np.log(p / p.sum(axis=1, keepdims=True)))
+            self.tables.append({gram: first + i for gram, i in table.items()})
+        self.rows = np.concatenate([*scores, np.zeros((1, len(langs)))])  # the last: nothing known
         self.forget()
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.langs)))
 
-    def word_row(self, word: str) -> np.ndarray:
-        if (row := self.tables[0].get(word)) is not None:
-            return row
-        for n in range(MAX_GRAM, 0, -1):
-            known = [row for g in grams_of(word, n) if (row := self.tables[n].get(g)) is not None]
-            if known:
-                return sum(known[1:], known[0]) / len(known)
-        return np.zeros(len(self.langs))
+    def evidence(self, word: str) -> list[int]:
+        """Rows whose mean scores the word: its own, or those of its longest known n-grams."""
+        if (own := self.tables[0].get(word)) is not None:
+            return [own]
+        padded = f"<{word}>"
+        for n in range(min(MAX_GRAM, len(padded)), 0, -1):
+            table = self.tables[n]
+            if known := [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]:
+                return known
+        return [len(self.rows) - 1]
+
+    def learn(self, words: list[str]) -> None:
+        found = [self.evidence(w) for w in words]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        rows = np.add.reduceat(self.rows[list(chain.from_iterable(found))], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+        while len(self.seen) + len(words) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[len(self.seen) : len(self.seen) + len(words)] = rows
+        self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words)), strict=True))
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and its posterior probability; ('und', 0) without letters or without a model."""
         counts = Counter(words_of(text))
         if not counts or not self.langs:
             return "und", 0.0
-        seen = self.seen
-        for word in [w for w in counts if w not in seen]:
-            if len(seen) == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[len(seen)] = self.word_row(word)
-            seen[word] = len(seen)
-        at = np.fromiter(map(seen.__getitem__, counts), dtype=np.int64, count=len(counts))
+        if new := [w for w in counts if w not in self.seen]:
+            self.learn(new)
+        at = np.fromiter(map(self.seen.__getitem__, counts), dtype=np.int64, count=len(counts))
         total = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) @ self.scores[at]
-        if len(seen) > CACHE:
+        if len(self.seen) > CACHE:
             self.forget()
         p = np.exp(total - total.max())
         best = int(np.argmax(p))

@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, bounded_sample, texts
+from .shared import arrow_map, bounded_sample, csr_take, texts
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 15  # features_of's hash takes 15 bits
 GRAMS = (3, 4)
-CACHE = 150_000  # tokens that a Python worker remembers
+CACHE = 200_000  # tokens that a Python worker remembers
 REPEAT = "<repeat>"  # the word bigram (w, w), whichever w
 
 
@@ -32,14 +32,26 @@ def tokens_of(text: str) -> Counter:
     return counts
 
 
-def features_of(token: str) -> list[int]:
-    """Hash buckets of the token and of the character n-grams of its first and last 12 characters with their borders."""
-    out = [crc32(b"w" + token.encode("utf-8", "replace")) % BUCKETS]
-    if token == REPEAT:
-        return out
-    padded = f"<{token}>" if len(token) <= 24 else f"<{token[:12]} {token[-12:]}>"
-    raw = padded.encode("utf-8", "replace")
-    return out + [crc32(raw[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(raw) - n + 1)]
+def features_of(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of each token and of its character n-grams with its borders, token by token, and how many each has."""
+    raw = [b"<%b>" % t.encode("utf-8", "replace") for t in tokens]
+    lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    starts = np.cumsum(lengths) - lengths
+    codes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint32)
+    buckets = [np.fromiter(map(crc32, raw), dtype=np.uint32, count=len(raw)) % BUCKETS]
+    owners = [np.arange(len(raw))]
+    plain = lengths * (np.fromiter((t != REPEAT for t in tokens), dtype=bool, count=len(raw)))
+    for n in GRAMS:
+        many = np.maximum(plain - n + 1, 0)
+        at = csr_take(starts, many)
+        h = np.full(len(at), n, dtype=np.uint32)
+        for i in range(n):
+            h = h * np.uint32(0x01000193) + codes[at + i]
+        buckets.append((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - 15))
+        owners.append(np.repeat(np.arange(len(raw)), many))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(buckets)[order].astype(np.int32), np.bincount(owner, minlength=len(raw))
 
 
 class Embeddings:
@@ -56,8 +68,9 @@ class Embeddings:
         self.seen: dict[str, int] = {}
         self.sums = np.zeros((1024, self.vectors.shape[1] + 1), np.float32)
 
-    def fit(self, examples: list[tuple[int, np.ndarray, np.ndarray]], *, epochs: int = 6, batch: int = 32, rate: float = 4.0, seed: int = 1) -> None:
-        """examples: (class, buckets, their weights, which add up to 1)."""
+    def fit(self, examples: list[tuple[int, np.ndarray, np.ndarray]], *, seen: int = 24_000, batch: int = 32, rate: float = 4.0, seed: int = 1) -> None:
+        """examples: (class, buckets, their weights, which add up to 1); ``seen``: how many are read in all."""
+        epochs = max(1, round(seen / max(1, len(examples))))  # a small sample is read more often
         rng = np.random.default_rng(seed)
         if examples:
             share = (np.bincount([c for c, _, _ in examples], minlength=2) + 1) / (len(examples) + 2)
@@ -81,23 +94,26 @@ class Embeddings:
                 self.bias -= step / len(part) * p.sum(0) * 0.1
                 np.add.at(self.vectors, at, -step * weight * np.repeat(back, [len(x[1]) for x in part], axis=0))
 
+    def learn(self, tokens: list[str]) -> None:
+        found, many = features_of(tokens)
+        first, end = len(self.seen), len(self.seen) + len(tokens)
+        while end > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        self.sums[first:end, :-1] = np.add.reduceat(self.vectors[found], np.cumsum(many) - many, axis=0)
+        self.sums[first:end, -1] = many
+        self.seen.update(zip(tokens, range(first, end), strict=True))
+
     def score(self, text: str) -> float:
         """The probability of class 1; from the bias alone for a text without tokens."""
         counts = tokens_of(text)
         mean = np.zeros(self.vectors.shape[1], np.float32)
         if counts:
-            seen = self.seen
-            for token in [t for t in counts if t not in seen]:
-                if len(seen) == len(self.sums):
-                    self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-                found = features_of(token)
-                self.sums[len(seen), :-1] = self.vectors[found].sum(0)
-                self.sums[len(seen), -1] = len(found)
-                seen[token] = len(seen)
-            at = np.fromiter(map(seen.__getitem__, counts), dtype=np.int64, count=len(counts))
+            if new := [t for t in counts if t not in self.seen]:
+                self.learn(new)
+            at = np.fromiter(map(self.seen.__getitem__, counts), dtype=np.int64, count=len(counts))
             total = np.fromiter(counts.values(), dtype=np.float32, count=len(counts)) @ self.sums[at]
             mean = total[:-1] / total[-1]
-            if len(seen) > CACHE:
+            if len(self.seen) > CACHE:
                 self.forget()
         return float(_softmax((mean @ self.layer + self.bias)[None])[0, 1])
 
@@ -111,13 +127,12 @@ def _examples(batches: Iterator) -> Iterator[dict]:
     for batch in batches:
         at, weights = [], []
         for text in texts(batch):
-            total: Counter = Counter()
-            for token, n in tokens_of(text).items():
-                for f in features_of(token):
-                    total[f] += n
-            at.append(np.fromiter(total.keys(), dtype="<i4", count=len(total)).tobytes())
-            w = np.fromiter(total.values(), dtype="<f4", count=len(total))
-            weights.append((w / max(1, w.sum())).astype("<f4").tobytes())
+            counts = tokens_of(text)
+            found, many = features_of(list(counts)) if counts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            w = np.bincount(found, np.repeat(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), many), BUCKETS)
+            used = np.flatnonzero(w)
+            at.append(used.astype("<i4").tobytes())
+            weights.append((w[used] / max(1, w.sum())).astype("<f4").tobytes())
         yield {"label": batch.column(batch.schema.get_field_index("label")), "at": at, "weights": weights}
 
 
