@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import langid, mtree, quality, simhash, suffix, urls, warc
 from .shared import crc_bucket
 
 
@@ -30,9 +30,44 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+# The contract's rules, fixed values.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "rule string, decision string")
+    return urls.judge(pages.select("page_id", "url"), rules, urls.link_edges(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = "embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) <> double('infinity'))"
+    vectors = _table(spark, sf_dir, "embeddings").filter(finite).select("vec_id", F.expr("transform(embedding, x -> floor(256 * double(x)))").alias("vector"))
+    return mtree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", F.octet_length("block").cast("long").alias("content_length"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.find_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
+    "op4_simhash": op4_simhash,
+    "op7_top_k": op7_top_k,
+    "op8_warc": op8_warc,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {}
