@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mtree, quality, simhash, suffix, urls, warc
+from . import decontam, langid, lmscore, mtree, packing, quality, simhash, suffix, urls, warc
 from .shared import crc_bucket
 
 
@@ -45,6 +45,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     finite = "embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) <> double('infinity'))"
     vectors = _table(spark, sf_dir, "embeddings").filter(finite).select("vec_id", F.expr("transform(embedding, x -> floor(256 * double(x)))").alias("vector"))
@@ -60,14 +74,22 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.find_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the turns of conversations; background and scored texts: all documents."""
+    return lmscore.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_decontamination": op5_decontamination,
+    "op6_packing": op6_packing,
     "op7_top_k": op7_top_k,
     "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE: dict[str, str] = {}
