@@ -1,0 +1 @@
+"""Time-and-motion analytics of event-driven operations, as functions on Spark DataFrames."""
