@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _c(x: Column | str) -> Column:
@@ -27,7 +28,7 @@ def is_blank(value: Column | str) -> Column:
     return _c(value).isNull() | (F.trim(_c(value)) == "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two strings (gestalt pattern matching), which no built-in gives; 4 decimals."""
     return pd.Series([round(SequenceMatcher(None, x, y).ratio(), 4) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)])
