@@ -4,10 +4,10 @@ A byte goes if a string of ``length`` bytes covers it that also starts in a docu
 of that length have the same minimiser (the smallest hash of their ``gram``-byte substrings), so:
 
 1. each text sends its distinct minimisers to hash buckets, which tell those that several texts share;
-2. each text is cut into the runs of string starts that have one shared minimiser; equal snippets count once, with their
-   smallest document;
-3. the snippets of a minimiser meet in one task, which sorts their suffixes and finds, from the previous and the next
-   smaller document in suffix order, each suffix's longest factor of an earlier document;
+2. each text is cut into the runs of string starts that have one shared minimiser;
+3. the snippets of a minimiser meet in one task, where equal ones count once, with their smallest document; it sorts their
+   suffixes and finds, from the previous and the next smaller document in suffix order, each suffix's longest factor of an
+   earlier document;
 4. the starts found go back to their documents.
 """
 
@@ -170,7 +170,7 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     Null texts count as empty; texts under ``length`` bytes keep all. Rows of equal id and text get equal results and don't
     remove each other, nor do rows of equal id. A row with a null id keeps all and removes nothing. Empty tables give an
     empty table. A text that a smaller id has, too, goes whole without entering the search. Minimisers with more than
-    ``crowd`` different snippets are searched string by string with grouped minima instead of in one task.
+    ``crowd`` snippets are searched string by string with grouped minima instead of in one task.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
@@ -185,17 +185,12 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     found = materialise(found, "shared-minimisers")
     firsts = keys.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tk").alias("tk"))
     firsts = firsts.join(found, "tk", "left").select("doc_id", F.col("tk").alias("first_tk"), F.coalesce("codes", F.lit(b"")).alias("codes"))
-    hashed = arrow_map(rows, _with_key, "doc_id long, tk long, text binary")
-    paired = hashed.join(firsts, (hashed["doc_id"] == firsts["doc_id"]) & (hashed["tk"] == firsts["first_tk"]), "left").select(hashed["doc_id"], "tk", "text", F.col("codes"))
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            for doc, tk, own, codes in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                copy = codes is None and doc is not None and len(own) >= length
-                yield {"doc_id": [doc], "tk": [tk], "n_bytes": [len(own)], "copy": [copy], "packed": [pack(b"" if copy else own)], "codes": [codes if codes and len(own) >= length else None]}
-
-    sifted = materialise(arrow_map(paired, _batched(sift), "doc_id long, tk long, n_bytes long, copy boolean, packed binary, codes binary"), "sifted-texts")
+    hashed = arrow_map(rows, _with_key, "doc_id long, tk long, n_bytes long, packed binary")
+    paired = hashed.join(firsts, (hashed["doc_id"] == firsts["doc_id"]) & (hashed["tk"] == firsts["first_tk"]), "left").select(hashed["doc_id"], "tk", "n_bytes", "packed", "codes")
+    copy = F.col("codes").isNull() & F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length)
+    nothing = F.lit(zstandard.ZstdCompressor(level=1).compress(b""))
+    useful = F.when((F.length("codes") > 0) & (F.col("n_bytes") >= length), F.col("codes"))
+    sifted = materialise(paired.select("doc_id", "tk", "n_bytes", copy.alias("copy"), F.when(copy, nothing).otherwise(F.col("packed")).alias("packed"), useful.alias("codes")), "sifted-texts")
 
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -216,28 +211,23 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
                 cut = [own[s : s + n + length - 1] for s, n in zip(first.tolist(), count.tolist(), strict=True)]
                 yield {"doc_id": [doc] * len(cut), "tk": [tk] * len(cut), "start": first, "low": low[first].view(np.int64), "snippet": cut}
 
-    pieces = materialise(arrow_map(sifted.filter("codes is not null").select("doc_id", "tk", "packed", "codes"), _batched(snippets), "doc_id long, tk long, start long, low long, snippet binary").withColumn("sid", F.xxhash64("low", "snippet")), "snippets")
-    distinct = materialise(pieces.groupBy("sid", "low", "snippet").agg(F.min("doc_id").alias("first")), "distinct-snippets")
-    many = distinct.groupBy("low").count()
-    several = distinct.join(many.filter((F.col("count") > 1) & (F.col("count") <= crowd)).select("low"), "low")
-    crowded = distinct.join(many.filter(F.col("count") > crowd).select("low"), "low")
+    pieces = materialise(arrow_map(sifted.filter("codes is not null").select("doc_id", "tk", "packed", "codes"), _batched(snippets), "doc_id long, tk long, start long, low long, snippet binary"), "snippets")
+    crowded = pieces.groupBy("low").count().filter(F.col("count") > crowd).select("low")
+    ranges = None
+    if not crowded.isEmpty():
+        many = pieces.join(crowded, "low", "left_semi").select("doc_id", "tk", "start", "snippet", F.explode(F.sequence(F.lit(0), F.length("snippet") - length)).alias("s"))
+        strings = many.select("doc_id", "tk", (F.col("start") + F.col("s")).alias("start"), F.substring(F.col("snippet"), F.col("s") + 1, F.lit(length)).alias("string"))
+        least = strings.groupBy("string").agg(F.min("doc_id").alias("least"))
+        ranges = strings.join(least, "string").filter("least < doc_id").select("doc_id", "tk", "start", F.lit(1).cast("long").alias("n"))
+        pieces = pieces.join(crowded, "low", "left_anti")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for low, sids, firsts, own in _groups(batches, 100_000):
-            yield from _factors(low, sids, firsts, own, length)
+        for group in _groups(batches, 100_000):
+            yield from _repeated(*group, length)
 
-    in_order = several.select("low", "sid", "first", "snippet").repartition("low").sortWithinPartitions("low")
-    runs = arrow_map(in_order, search, "sid long, s long, n long")
-    if not crowded.isEmpty():
-        starts = F.explode(F.sequence(F.lit(0), F.length("snippet") - length)).alias("s")
-        strings = crowded.select("sid", "first", "snippet", starts).select("sid", "first", "s", F.substring(F.col("snippet"), F.col("s") + 1, F.lit(length)).alias("string"))
-        least = strings.groupBy("string").agg(F.min("first").alias("least"))
-        runs = runs.union(strings.join(least, "string").filter("least < first").select("sid", F.col("s").cast("long").alias("s"), F.lit(1).cast("long").alias("n")))
-    by_sid = distinct.select("sid", "first", (F.length("snippet") - (length - 1)).cast("long").alias("n_all"))
-    placed = pieces.select("sid", "doc_id", "tk", "start").join(by_sid, "sid")
-    whole = placed.filter("doc_id > first").select("doc_id", "tk", "start", F.col("n_all").alias("n"))
-    partly = placed.filter("doc_id = first").join(runs, "sid").select("doc_id", "tk", (F.col("start") + F.col("s")).alias("start"), "n")
-    ranges = whole.union(partly).groupBy("doc_id", "tk").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
+    in_order = pieces.select("low", "doc_id", "tk", "start", "snippet").repartition("low").sortWithinPartitions("low")
+    found = arrow_map(in_order, search, "doc_id long, tk long, start long, n long")
+    ranges = (found if ranges is None else found.union(ranges)).groupBy("doc_id", "tk").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     full = sifted.drop("codes").join(ranges, ["doc_id", "tk"], "left").select("doc_id", "n_bytes", "copy", "packed", "starts", "counts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -258,9 +248,10 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         own = b.column(1).to_pylist()
-        yield {"doc_id": b.column(0), "tk": np.fromiter(map(_text_key, own), dtype=np.uint64, count=len(own)).view(np.int64), "text": b.column(1)}
+        yield {"doc_id": b.column(0), "tk": np.fromiter(map(_text_key, own), dtype=np.uint64, count=len(own)).view(np.int64), "n_bytes": np.fromiter(map(len, own), dtype=np.int64, count=len(own)), "packed": list(map(pack, own))}
 
 
 def _batched(rows, most: int = 16 << 20):  # noqa: ANN001, ANN202
@@ -284,8 +275,8 @@ def _batched(rows, most: int = 16 << 20):  # noqa: ANN001, ANN202
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
-    """Whole groups of equal ``low``, several at a time while they have under ``most`` snippets."""
-    held: list[list] = [[], [], [], []]
+    """Whole groups of equal ``low`` (the first column), several at a time while they have under ``most`` rows."""
+    held: list[list] = [[], [], [], [], []]
     for b in batches:
         columns = [c.to_pylist() for c in b.columns]
         for h, c in zip(held, columns, strict=True):
@@ -301,6 +292,34 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
         yield tuple(held)
 
 
+def _repeated(low: list[int], docs: list[int], tks: list[int], starts: list[int], own: list[bytes], length: int) -> Iterator[dict]:
+    """Ranges (doc_id, tk, start, n) of string starts that an earlier document has; rows in order of ``low``, its groups whole."""
+    number: dict[bytes, int] = {}
+    at = np.fromiter((number.setdefault(x, len(number)) for x in own), dtype=np.int64, count=len(own))  # equal snippets have equal minimisers
+    doc, tk, start = np.array(docs, np.int64), np.array(tks, np.int64), np.array(starts, np.int64)
+    first = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(first, at, doc)
+    sizes = np.fromiter(map(len, number), dtype=np.int64, count=len(number)) - (length - 1)
+    later = doc > first[at]
+    yield {"doc_id": doc[later], "tk": tk[later], "start": start[later], "n": sizes[at[later]]}
+    lows = np.zeros(len(number), np.int64)
+    lows[at] = np.array(low, np.int64)  # the snippets are numbered in order of low
+    edges = np.flatnonzero(np.concatenate([[True], lows[1:] != lows[:-1]]))
+    several = np.repeat(np.diff(np.append(edges, len(lows))) > 1, np.diff(np.append(edges, len(lows))))
+    snippets = list(number)
+    some = np.flatnonzero(several)
+    if not len(some):
+        return
+    mine = np.flatnonzero(~later & several[at])
+    mine = mine[np.argsort(at[mine], kind="stable")]
+    many = np.bincount(at[mine], minlength=len(number))
+    begin = np.cumsum(many) - many
+    for found in _factors(lows[some].tolist(), some.tolist(), first[some].tolist(), [snippets[i] for i in some], length):
+        rows = mine[csr_take(begin[found["sid"]], many[found["sid"]])]
+        repeat = np.repeat(np.arange(len(found["sid"])), many[found["sid"]])
+        yield {"doc_id": doc[rows], "tk": tk[rows], "start": start[rows] + found["s"][repeat], "n": found["n"][repeat]}
+
+
 def _factors(low: list[int], sids: list[int], firsts: list[int], own: list[bytes], length: int, at_once: int = 1 << 18) -> Iterator[dict]:
     """Runs (s, n) of string starts in each snippet that an earlier document has; ``low`` is in order."""
     sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) - (length - 1)
