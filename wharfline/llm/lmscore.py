@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, materialise
+from .shared import arrow_map, materialise, slices
 
 UNKNOWN, BEGIN, END = 0, 1, 2
 FREQUENT = 512  # the first ids: two of them make a frequent bigram
@@ -91,10 +91,10 @@ def _cut(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int
     """Order by owner, the owners, and where each one's rows are in that order."""
     order = np.argsort(owner, kind="stable")
     used, starts = np.unique(owner[order], return_index=True)
-    return order, used, list(zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True))
+    return order, used, slices(starts, len(order))
 
 
-def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 1 << 14, mu: float = 100.0, bucket_bytes: int = 24 << 20) -> DataFrame:
+def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 1 << 14, mu: float = 100.0, bucket_bytes: int = 24 << 20, frequent_ids: int = FREQUENT) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) for each row of ``background``; losses per token, in nats.
 
     Tokens are the white-space words in lower case and the end of the text. Both corpora are counted whole, the scored texts
@@ -111,28 +111,28 @@ def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text
     width = len(known.counts)
 
     def is_frequent(codes: np.ndarray) -> np.ndarray:
-        return (codes // width < FREQUENT) & (codes % width < FREQUENT)
+        return (codes // width < frequent_ids) & (codes % width < frequent_ids)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        dense = np.zeros((FREQUENT * FREQUENT, 2), np.int64)
+        dense = np.zeros((frequent_ids * frequent_ids, 2), np.int64)
         for b in batches:
             for side, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = words.value.ids(own or "")
                 first, second = ids[:-1], ids[1:]
-                both = (first < FREQUENT) & (second < FREQUENT)
-                np.add.at(dense[:, side], first[both] * FREQUENT + second[both], 1)
+                both = (first < frequent_ids) & (second < frequent_ids)
+                np.add.at(dense[:, side], first[both] * frequent_ids + second[both], 1)
         at = np.flatnonzero(dense.any(axis=1))
         yield {"code": at, "t": dense[at, 0], "b": dense[at, 1]}
 
     texts = _both(target, documents, "text").withColumn("part", F.spark_partition_id())
-    counted = arrow_map(texts.select("side", "text"), frequent, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).collect()  # at most FREQUENT^2 rows
-    table = np.zeros((FREQUENT * FREQUENT, 2))
+    counted = arrow_map(texts.select("side", "text"), frequent, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).collect()  # at most frequent_ids squared rows
+    table = np.zeros((frequent_ids * frequent_ids, 2))
     for r in counted:
         table[r.code] = r.t, r.b
-    square = np.arange(FREQUENT * FREQUENT)
-    inside = (square // FREQUENT < width) & (square % FREQUENT < width)
-    odds = np.zeros((FREQUENT * FREQUENT, 2))
-    odds[inside] = known.log_odds((square // FREQUENT * width + square % FREQUENT)[inside], table[inside], mu)
+    square = np.arange(frequent_ids * frequent_ids)
+    inside = (square // frequent_ids < width) & (square % frequent_ids < width)
+    odds = np.zeros((frequent_ids * frequent_ids, 2))
+    odds[inside] = known.log_odds((square // frequent_ids * width + square % frequent_ids)[inside], table[inside], mu)
     near = spark.sparkContext.broadcast(odds)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -149,7 +149,7 @@ def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text
                     c, n = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
                     often = is_frequent(c)
                     if side:
-                        sums = n[often] @ near.value[c[often] // width * FREQUENT + c[often] % width]
+                        sums = n[often] @ near.value[c[often] // width * frequent_ids + c[often] % width]
                         for name, value in zip(own, (doc, base + row, len(ids) - 1, float(sums[0]), float(sums[1])), strict=True):
                             own[name].append(value)
                     c, n = c[~often], n[~often]

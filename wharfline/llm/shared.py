@@ -81,6 +81,11 @@ def csr_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - lengths - starts, lengths)
 
 
+def slices(starts: np.ndarray, total: int) -> list[tuple[int, int]]:
+    """(start, end) of consecutive slices that reach to ``total``; none for no starts."""
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), total], strict=False))
+
+
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stars that connect what the links a[i]-b[i] connect: (node, smallest node of its component), without the centres."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)

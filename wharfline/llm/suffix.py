@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, csr_take, materialise
+from .shared import arrow_map, csr_take, materialise, slices
 
 _BASE = 0x100000001B3
 RUN = 4096  # string starts in a snippet at most
@@ -119,7 +119,7 @@ def shared_minimisers(docs: DataFrame, total_bytes: int, length: int, gram: int,
             bucket = (h % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             used, starts = np.unique(bucket[order], return_index=True)
-            cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True))
+            cuts = slices(starts, len(order))
             h, k = (h >> np.uint64(32)).astype(np.uint32)[order], k[order]
             yield {"bucket": used, "hashes": [h[s:e].tobytes() for s, e in cuts], "tks": [k[s:e].tobytes() for s, e in cuts]}
 
@@ -139,14 +139,16 @@ def shared_minimisers(docs: DataFrame, total_bytes: int, length: int, gram: int,
         for bucket, (h, k) in blobs(batches, (np.uint32, np.uint64)):
             order = np.argsort(h)
             h, k = h[order], k[order]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            starts = np.flatnonzero(np.concatenate([[len(h) > 0], h[1:] != h[:-1]]))
+            if not len(starts):
+                continue
             several = np.minimum.reduceat(k, starts) != np.maximum.reduceat(k, starts)
             keep = np.repeat(several, np.diff(np.append(starts, len(h))))
             h, k = h[keep], k[keep]
             to = (k % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             used, starts = np.unique(to[order], return_index=True)
-            cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True))
+            cuts = slices(starts, len(order))
             codes, k = (np.uint64(bucket) << np.uint64(32) | h.astype(np.uint64))[order], k[order]
             yield {"bucket": used, "codes": [codes[s:e].tobytes() for s, e in cuts], "tks": [k[s:e].tobytes() for s, e in cuts]}
 
@@ -154,8 +156,8 @@ def shared_minimisers(docs: DataFrame, total_bytes: int, length: int, gram: int,
         for _, (codes, k) in blobs(batches, (np.uint64, np.uint64)):
             order = np.lexsort((codes, k))
             codes, k = codes[order], k[order]
-            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            cuts = zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True)
+            starts = np.flatnonzero(np.concatenate([[True] * (len(k) > 0), k[1:] != k[:-1]]))
+            cuts = slices(starts, len(k))
             yield {"tk": k[starts].view(np.int64), "codes": [np.unique(codes[s:e]).tobytes() for s, e in cuts]}
 
     parts = max(2, min(buckets, 2000))

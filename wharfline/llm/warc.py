@@ -72,7 +72,7 @@ def derive(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("_cut", cut).withColumns({"_head": F.when(F.col("_cut") > 0, F.expr("left(block, _cut - 1)")).otherwise(""), "_body": F.when(F.col("_cut") > 0, F.expr("substring(block, _cut + 4)")).otherwise(F.col("block"))})
     rows = rows.withColumn("_text", plain_text(F.col("_body")))
     lines = F.transform(F.filter(F.slice(F.split("_head", "\r\n"), 2, 1 << 20), lambda x: x.contains(":")), lambda x: F.concat(F.lit("http-"), F.lower(F.substring_index(x, ":", 1)), F.lit(":"), F.regexp_replace(x, "^[^:]*:", "")))
-    title = F.trim(F.regexp_replace(F.regexp_extract("_body", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
+    title = F.regexp_replace(plain_text(F.regexp_extract("_body", r"(?is)<title[^>]*>(.*?)</title", 1)), r"\s+", " ")
     fields = F.concat(
         F.array(F.concat(F.lit("http-status: "), F.regexp_extract("_head", r"^HTTP/\S+ (\d+)", 1))),
         lines,
