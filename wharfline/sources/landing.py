@@ -51,7 +51,8 @@ def missing_columns(cells: DataFrame, aliases: DataFrame, required: Mapping[str,
     spark = cells.sparkSession
     need = spark.createDataFrame([(t, c) for t, cs in required.items() for c in cs], "sheet string, column string")
     sheets = cells.select("file", "sheet").distinct().join(need, "sheet")
-    have = cells.filter(F.col("row_number") <= HEADER_ROWS).withColumn("token", header_token("value")).join(aliases, (F.col("token") == aliases["token"]) & (F.col("sheet") == aliases["target"])).select("file", "sheet", "column")
+    known = aliases.select("token", F.col("target").alias("sheet"), "column")
+    have = cells.filter(F.col("row_number") <= HEADER_ROWS).withColumn("token", header_token("value")).join(known, ["token", "sheet"]).select("file", "sheet", "column")
     return sheets.join(have, ["file", "sheet", "column"], "left_anti").groupBy("file", "sheet").agg(F.array_sort(F.collect_set("column")).alias("missing"))
 
 
