@@ -2,6 +2,8 @@
 
 Impacts are divided by the item's score against itself, so that 1 means that a passage holds all of the item's terms. What
 scores at least ``theta`` is verified: the item's question and its answer (the last sentence) must both overlap the passage.
+
+Documents, and then passages, whose best possible score is below ``theta`` are left out before the search.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, texts
+from .shared import arrow_map, csr_take, texts
 
 K1, B = 1.2, 0.75
-BLOCK = 32  # items in a block
+BLOCK = 8  # items in a block
 
 words_of = re.compile(r"\w+").findall
 _sentences = re.compile(r"(?<=[.!?])\s+|\n+").split
@@ -65,10 +67,17 @@ class Index:
         for t, (ids, impacts) in self.postings.items():
             np.maximum.at(self.block_max[self.number[t]], np.array(ids) // BLOCK, impacts)
 
+        sizes = [len(ids) for ids, _ in self.postings.values()]
+        self.many = np.array(sizes, np.int64)
+        self.starts = np.cumsum(self.many) - self.many
+        self.flat_ids = np.array([i for ids, _ in self.postings.values() for i in ids], np.int64)
+        self.flat_impacts = np.array([x for _, impacts in self.postings.values() for x in impacts])
+
     def bound(self, terms: set[str]) -> float:
-        """No item scores more with these terms: the largest sum of block maxima."""
-        rows = [self.number[t] for t in terms]
-        return float(self.block_max[rows].sum(axis=0).max(initial=0)) if rows else 0.0
+        """The best score of an item with all these terms; no passage with some of them scores more."""
+        rows = np.fromiter(map(self.number.__getitem__, terms), dtype=np.int64, count=len(terms))
+        at = csr_take(self.starts[rows], self.many[rows])
+        return float(np.bincount(self.flat_ids[at], self.flat_impacts[at]).max(initial=0)) if len(at) else 0.0
 
     def retrieve(self, terms: set[str], theta: float) -> list[tuple[int, float]]:
         """(item, score) of all items that score at least theta, by block-max WAND."""
