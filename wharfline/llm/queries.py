@@ -92,4 +92,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE: dict[str, str] = {}
+def _plain_text_sql(html: str) -> str:
+    """warc.plain_text in DuckDB's SQL."""
+    t = rf"regexp_replace({html}, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g')"
+    t = rf"regexp_replace({t}, '(?i)</?(?:{warc._BREAKS})\b[^>]*>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
+    for name, char in {**warc._NAMED, "&amp;": "&"}.items():
+        t = f"replace({t}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    t = rf"regexp_replace({t}, '[ \t\r\f]+', ' ', 'g')"
+    return rf"regexp_replace(regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+def _uuid_sql(text: str) -> str:
+    h = f"md5({text})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+_LF, _CRLF = "chr(10)", "chr(13) || chr(10)"
+_RULES = ", ".join(f"('{r}', '{d}')" for r, d in URL_RULES)
+_URL = "lower(regexp_extract({0}, '://([^/?#]*)', 1))"
+
+ORACLE: dict[str, str] = {
+    "op2_url_filter": f"""
+        with recursive rules as (select *, regexp_extract(rule, '^([^/]*)', 1) as h, regexp_extract(rule, '^[^/]*(.*)$', 1) as p from (values {_RULES}) as t(rule, decision)),
+        places as (select page_id, url, html, coalesce({_URL.format('url')}, '') as host, case when instr(url, '://') > 0 then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path from pages),
+        links as (select {_URL.format('url')} || regexp_extract(url, '://[^/?#]*([^#]*)', 1) as a, unnest(regexp_extract_all(html, '(?is)<link[^>]*rel="?canonical"?[^>]*href="([^"]*)"', 1)) as u from pages), edges as (select a, {_URL.format('u')} || regexp_extract(u, '://[^/?#]*([^#]*)', 1) as b from links),
+        sides as (select a, b from edges union select b, a from edges), reach(n, m) as (select a, a from sides union select r.n, b.b from reach r join sides b on b.a = r.m), comps as (select n as node, min(m) as component from reach group by n),
+        fits as (select page_id, max_by(rule, length(rule)) as rule, max_by(decision, length(rule)) as decision from places join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
+        nodes as (select p.page_id, c.component, f.decision from places p join comps c on c.node = p.host || regexp_extract(p.url, '://[^/?#]*([^#]*)', 1) left join fits f using (page_id)),
+        spread as (select component, case when bool_or(decision = 'allow') then 'allow' when bool_or(decision = 'block') then 'block' end as decision from nodes group by component)
+        select p.page_id, host, path, rule, coalesce(f.decision, s.decision, 'allow') as verdict from places p left join fits f using (page_id) left join nodes n using (page_id) left join spread s using (component)""",
+    "op7_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as vector from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+        p as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.vector, c.vector) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and len(q.vector) = len(c.vector) where q.vec_id % 50 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
+    "op8_warc": f"""
+        with b as (select page_id, coalesce(url, '') as uri, coalesce(html, '') as body from pages), h as (select *, 'sha256:' || sha256(body) as pd, 'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(body) || {_CRLF} || {_CRLF} || body as block from b),
+        r as (select *, {_uuid_sql(f"'response' || {_LF} || uri || {_LF} || pd")} as rid, {_plain_text_sql('body')} as txt, regexp_replace({_plain_text_sql("regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\s+', ' ', 'g') as title from h),
+        m as (select *, 'http-status: 200' || {_CRLF} || 'http-content-type: text/html; charset=utf-8' || {_CRLF} || 'http-content-length: ' || strlen(body) || {_CRLF} || 'source-payload-digest: ' || pd || {_CRLF} || 'source-block-digest: sha256:' || sha256(block) || {_CRLF} || 'title: ' || title || {_CRLF} || 'payload-length: ' || strlen(body) || {_CRLF} || 'text-length: ' || strlen(txt) || {_CRLF} as meta from r),
+        d as (select page_id, 'metadata' as record_type, rid, uri, 'application/warc-fields' as content_type, meta as block from m union all select page_id, 'conversion', rid, uri, 'text/plain', txt from m)
+        select page_id, record_type, {_uuid_sql(f"record_type || {_LF} || rid")} as record_id, rid as refers_to, uri as target_uri, '1970-01-01T00:00:00Z' as date, content_type, 'sha256:' || sha256(block) as block_digest, cast(strlen(block) as bigint) as content_length from d""",
+}
