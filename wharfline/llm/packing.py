@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, csr_take, materialise
+from .shared import arrow_map, csr_take, ints, materialise
 
 QUEUES = 256  # sources with queues of their own; the rest share one
 CYCLE = 1024  # windows in a cycle at most
-WORDS = 500_000  # words that a Python worker remembers
+WORDS = 700_000  # words that a Python worker remembers
 
-_letters = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 _odd_space = re.compile("[\x1c-\x1f]").search
+_beyond_latin = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
+_mark_after_letter = re.compile(r"[.,;:](?<=[a-zà-öø-ÿ].)(?=[ \n])").sub
 
 
 class WordEncoder:
@@ -42,52 +43,65 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.lengths = np.zeros(1 << 16, np.int64)
         self.starts = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Remember the ids of runs of lower-case letters: encoded together, told apart by their word ends."""
-        for i in range(0, len(parts), 256):
-            some = parts[i : i + 256]
-            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        at, end = len(self.words), self.used + len(ids)
+        while at + len(words) > len(self.lengths):
+            self.lengths, self.starts = np.concatenate([self.lengths, self.lengths]), np.concatenate([self.starts, self.starts])
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.ids[self.used : end] = ids
+        self.lengths[at : at + len(words)] = lengths
+        self.starts[at : at + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.used = end
+        self.words.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Runs of letters are encoded together and told apart by their word ends, others one by one."""
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                self.parts.update(zip(some, (ids[s:e] for s, e in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)), strict=True))
+                self._add(some, ids, np.diff(cuts, prepend=0))
             else:
-                self.parts.update((p, self.tokenizer.encode(p, add_special_tokens=False).ids) for p in some)
-
-    def _learn(self, words: list[str]) -> None:
-        split = [_letters(w) for w in words]
-        pieces = {m[1].lower() for m in split if m} - self.parts.keys() if len(self.parts) < 1000 else {p for m in split if m and (p := m[1].lower()) not in self.parts}
-        self._encode_parts(sorted(pieces))
-        for p in {m[2] for m in split if m and m[2]} | {w for w, m in zip(words, split, strict=True) if not m}:
-            if p not in self.parts:
-                self.parts[p] = self.tokenizer.encode(p, add_special_tokens=False).ids
-        for word, m in zip(words, split, strict=True):
-            ids = self.parts[word] if not m else self.parts[m[1].lower()] + self.parts[m[2]] if m[2] else self.parts[m[1].lower()]
-            at, end = len(self.words), self.used + len(ids)
-            if at == len(self.lengths):
-                self.lengths, self.starts = np.concatenate([self.lengths, self.lengths]), np.concatenate([self.starts, self.starts])
-            while end > len(self.ids):
-                self.ids = np.concatenate([self.ids, self.ids])
-            self.ids[self.used : end] = ids
-            self.lengths[at], self.starts[at], self.used = len(ids), self.used, end
-            self.words[word] = at
-
-    def encode(self, text: str) -> np.ndarray:
-        if _odd_space(text):  # white space for Python only
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
-        if new := {w for w in words if w not in self.words}:
-            if len(self.words) > WORDS:
-                self.forget()
-                new = set(words)
+                other += some
+        if other:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self._add(other, np.array([i for f in found for i in f], np.uint32), np.array(list(map(len, found)), np.int64))
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Words at white space. Plain Latin text is put in lower case, as the tokenizer would, and a mark after a letter stands alone, as it would be split there."""
+        if not _beyond_latin(text):
+            text = _mark_after_letter(_apart, text.lower())
+        return text.split()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.words) > WORDS:
+            self.forget()
+        split = [None if _odd_space(t) else self._split(t) for t in texts]  # None: white space for Python only
+        new = {w for words in split if words for w in words if w not in self.words}
+        if new:
             self._learn(sorted(new))
-        at = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.ids[csr_take(self.starts[at], self.lengths[at])]
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                continue
+            at = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+            out.append(self.ids[csr_take(self.starts[at], self.lengths[at])])
+        return out
+
+
+def _apart(mark: re.Match) -> str:
+    return " " + mark[0]
 
 
 _encoders: dict[str, WordEncoder] = {}  # one for each Python worker
@@ -209,31 +223,35 @@ class Placer:
             at += n
         self.tail_ends = _tail_windows(at, length)
 
-    def pieces(self, queue: int, first: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def pieces(self, queue: int, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For documents at first..first + n of a queue: (document, offset in it, length, sequence, offset in the sequence)."""
         end = first + n
         for before, given, p, i in self.by_queue.get(queue, ()):
-            a, b = max(first, before) - before, min(end, before + given) - before
-            if a >= b:
+            a, b = np.maximum(first, before) - before, np.minimum(end, before + given) - before
+            mine = np.flatnonzero(a < b)
+            if not len(mine):
                 continue
             cycle, share, column = len(p.granted) - 1, int(p.share[i]), p.granted[:, i]
-            at = lambda x: x // share * cycle + int(np.searchsorted(column, x % share, "right")) - 1  # noqa: B023, E731
-            w = np.arange(at(a), at(b - 1) + 1)
+            window = lambda x: x // share * cycle + np.searchsorted(column, x % share, "right") - 1  # noqa: B023, E731
+            low = window(a[mine])
+            many = window(b[mine] - 1) - low + 1
+            row, w = np.repeat(mine, many), csr_take(low, many)
             opens = w // cycle * share + column[w % cycle]
             closes = (w + 1) // cycle * share + column[(w + 1) % cycle]
-            s, e = np.maximum(opens, a), np.minimum(closes, b)
+            s, e = np.maximum(opens, a[row]), np.minimum(closes, b[row])
             keep = s < e
-            w, opens, s, e = w[keep], opens[keep], s[keep], e[keep]
-            yield s + before - first, e - s, w + p.first_window, p.offsets[w % cycle, i] + s - opens
+            row, w, opens, s, e = row[keep], w[keep], opens[keep], s[keep], e[keep]
+            yield row, s + before - first[row], e - s, w + p.first_window, p.offsets[w % cycle, i] + s - opens
         if queue in self.tail:
             before, at = self.tail[queue]
-            a, b = max(first, before), end
-            if a < b:
-                a, b = a - before + at, b - before + at
-                i, j = np.searchsorted(self.tail_ends, [a, b - 1], "right")
-                ends = self.tail_ends[i : j + 1]
-                opens = np.concatenate([[self.tail_ends[i - 1] if i else 0], ends[:-1]])
-                s, e = np.maximum(opens, a), np.minimum(ends, b)
-                yield s - at + before - first, e - s, self.windows + np.arange(i, j + 1), s - opens
+            a, b = np.maximum(first, before) - before + at, end - before + at
+            mine = np.flatnonzero(a < b)
+            low = np.searchsorted(self.tail_ends, a[mine], "right")
+            many = np.searchsorted(self.tail_ends, b[mine] - 1, "right") - low + 1
+            row, w = np.repeat(mine, many), csr_take(low, many)
+            opens = np.where(w > 0, self.tail_ends[w - 1], 0)
+            s, e = np.maximum(opens, a[row]), np.minimum(self.tail_ends[w], b[row])
+            yield row, s - at + before - first[row], e - s, self.windows + w, s - opens
 
 
 def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", length: int = 2048, end: int = 1, targets: dict[str, float] | None = None, keep_ids: bool = False) -> DataFrame:
@@ -253,10 +271,10 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
         encoder, before, part = _encoder(tokenizer), [0] * QUEUES, 0
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
-            for i in range(0, b.num_rows, 500):
+            for i in range(0, b.num_rows, 200):
                 queue, so_far, n, ids = [], [], [], []
-                for own, s in zip(columns[1][i : i + 500], columns[2][i : i + 500], strict=True):
-                    found = np.append(encoder.encode(own or ""), np.uint32(end))
+                for found, s in zip(encoder.encode([own or "" for own in columns[1][i : i + 200]]), columns[2][i : i + 200], strict=True):
+                    found = np.append(found, np.uint32(end))
                     q = number.get(s, 0)
                     queue.append(q)
                     so_far.append(before[q])
@@ -264,7 +282,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
                     n.append(len(found))
                     ids.append(found.astype("<u2" if found.max() < 1 << 16 else "<u4").tobytes())
                 part = columns[3][i]
-                yield {"part": [part] * len(n), "doc_id": columns[0][i : i + 500], "source": columns[2][i : i + 500], "queue": queue, "before": so_far, "n": n, "ids": ids}
+                yield {"part": [part] * len(n), "doc_id": columns[0][i : i + 200], "source": columns[2][i : i + 200], "queue": queue, "before": so_far, "n": n, "ids": ids}
 
     kind = docs.schema[key].dataType.simpleString()
     tokens = materialise(arrow_map(rows.withColumn("part", F.spark_partition_id()), tokenise, f"part int, doc_id {kind}, source string, queue int, before long, n long, ids binary"), "tokens")
@@ -278,20 +296,16 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     bases = sums.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        names = ("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
-        out: dict[str, list] = {name: [] for name in names}
         for b in batches:
-            for doc, s, queue, first, n, ids in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-                for starts, lengths, windows, offsets in placer.value.pieces(queue, first, n):
-                    cut = [wide[4 * a : 4 * (a + m)] for a, m in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                    for name, values in zip(names, ([doc] * len(cut), [s] * len(cut), starts.tolist(), lengths.tolist(), map(zlib.crc32, cut), [n] * len(cut), windows.tolist(), offsets.tolist(), cut), strict=False):
-                        out[name].extend(values)
-                if len(out["doc_id"]) > 20_000:
-                    yield out
-                    out = {name: [] for name in names}
-        if out["doc_id"]:
-            yield out
-
-    placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
+            queues, first, n = ints(b, "queue"), ints(b, "first"), ints(b, "n")
+            ids = [np.frombuffer(x, "<u2" if len(x) == 2 * m else "<u4").astype("<u4").tobytes() for x, m in zip(b.column(5).to_pylist(), n.tolist(), strict=True)]
+            for q in np.unique(queues).tolist():
+                own = np.flatnonzero(queues == q)
+                for row, start, size, window, offset in placer.value.pieces(q, first[own], n[own]):
+                    row = own[row]
+                    cut = [ids[r][4 * s : 4 * (s + m)] for r, s, m in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
+                    out = {"doc_id": b.column(0).take(pa.array(row)), "source": b.column(1).take(pa.array(row)), "start": start, "length": size, "ids_crc32": np.fromiter(map(zlib.crc32, cut), np.int64, len(cut)), "doc_tokens": n[row], "sequence_id": window, "offset": offset}
+                    yield out | {"ids": cut} if keep_ids else out
+
+    placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "source", F.col("queue").cast("long").alias("queue"), (F.col("base") + F.col("before")).alias("first"), "n", "ids")
     return arrow_map(placed, place, f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{', ids binary' * keep_ids}")
