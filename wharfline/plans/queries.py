@@ -122,10 +122,11 @@ _Q = lambda q: f"quantile_cont(hours, {q})"
         case when count(hours) > 0 then coalesce(stddev_samp(hours), 0) end as sd, min(hours) as lo, max(hours) as hi, {_Q(0.25)} as p25, {_Q(0.75)} as p75, {_Q(0.9)} as p90, {_Q(0.95)} as p95,
         arg_min(call_id, struct_pack(h := hours, c := call_id)) filter (hours is not null) as fastest, arg_max(call_id, struct_pack(h := hours, c := -call_id)) filter (hours is not null) as slowest from lead_rows group by metric)
     select metric, n, n_missing, round(mean, 4) as mean, round(median, 4) as median, round(sd, 4) as sd, round(lo, 4) as "min", round(hi, 4) as "max", round(p25, 4) as p25, round(p75, 4) as p75, round(p90, 4) as p90, round(p95, 4) as p95,
-        round(case when abs(mean) >= 0.001 then sd / mean end, 4) as cv, round(case when median > 0 then p90 / median end, 4) as tail_ratio, mean > 1.2 * median as right_skew, n < 5 as small_sample, fastest, slowest from s""",
+        round(case when abs(mean) >= 0.001 then sd / mean end, 4) as cv, round(case when median > 0 then p90 / median end, 4) as tail_ratio, coalesce(mean > 1.2 * median, false) as right_skew, n < 5 as small_sample, cast(fastest as varchar) as fastest, cast(slowest as varchar) as slowest from s""",
 )
 def leadtime_stats(spark: SparkSession, d: str) -> DataFrame:
-    return stats.duration_stats(_lead_times(spark, d), ["metric"], "hours", "call_id")
+    got = stats.duration_stats(_lead_times(spark, d), ["metric"], "hours", "call_id")
+    return got.withColumns({"right_skew": F.coalesce("right_skew", F.lit(False)), "fastest": F.col("fastest").cast("string"), "slowest": F.col("slowest").cast("string")})
 
 
 @query(
