@@ -128,7 +128,7 @@ ORACLE: dict[str, str] = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
     "op8_warc": f"""
         with b as (select page_id, coalesce(url, '') as uri, coalesce(html, '') as body from pages), h as (select *, 'sha256:' || sha256(body) as pd, 'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(body) || {_CRLF} || {_CRLF} || body as block from b),
-        r as (select *, {_uuid_sql(f"'response' || {_LF} || uri || {_LF} || pd")} as rid, {_plain_text_sql('body')} as txt, regexp_replace({_plain_text_sql("regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\s+', ' ', 'g') as title from h),
+        r as (select *, {_uuid_sql(f"'response' || {_LF} || uri || {_LF} || pd")} as rid, {_plain_text_sql('body')} as txt, regexp_replace({_plain_text_sql("regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)")}, '\\s+', ' ', 'g') as title from h),
         m as (select *, 'http-status: 200' || {_CRLF} || 'http-content-type: text/html; charset=utf-8' || {_CRLF} || 'http-content-length: ' || strlen(body) || {_CRLF} || 'source-payload-digest: ' || pd || {_CRLF} || 'source-block-digest: sha256:' || sha256(block) || {_CRLF} || 'title: ' || title || {_CRLF} || 'payload-length: ' || strlen(body) || {_CRLF} || 'text-length: ' || strlen(txt) || {_CRLF} as meta from r),
         d as (select page_id, 'metadata' as record_type, rid, uri, 'application/warc-fields' as content_type, meta as block from m union all select page_id, 'conversion', rid, uri, 'text/plain', txt from m)
         select page_id, record_type, {_uuid_sql(f"record_type || {_LF} || rid")} as record_id, rid as refers_to, uri as target_uri, '1970-01-01T00:00:00Z' as date, content_type, 'sha256:' || sha256(block) as block_digest, cast(strlen(block) as bigint) as content_length from d""",
