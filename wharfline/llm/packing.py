@@ -22,7 +22,7 @@ from .shared import arrow_map, csr_take, ints, materialise
 
 QUEUES = 256  # sources with queues of their own; the rest share one
 CYCLE = 1024  # windows in a cycle at most
-WORDS = 700_000  # words that a Python worker remembers
+WORDS = 1_000_000  # words that a Python worker remembers
 
 _odd_space = re.compile("[\x1c-\x1f]").search
 _beyond_latin = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
@@ -42,39 +42,40 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = _Numbers()
         self.lengths = np.zeros(1 << 16, np.int64)
         self.starts = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        at, end = len(self.words), self.used + len(ids)
-        while at + len(words) > len(self.lengths):
-            self.lengths, self.starts = np.concatenate([self.lengths, self.lengths]), np.concatenate([self.starts, self.starts])
+    def _store(self, at: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        end = self.used + len(ids)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         self.ids[self.used : end] = ids
-        self.lengths[at : at + len(words)] = lengths
-        self.starts[at : at + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at] = lengths
+        self.starts[at] = self.used + np.cumsum(lengths) - lengths
         self.used = end
-        self.words.update(zip(words, range(at, at + len(words)), strict=True))
 
-    def _learn(self, words: list[str]) -> None:
-        """Runs of letters are encoded together and told apart by their word ends, others one by one."""
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
+    def _learn(self) -> None:
+        """Encode the words that got numbers since the last time: runs of letters together, told apart by their word ends, others one by one."""
+        words, self.words.new = self.words.new, []
+        first = len(self.words) - len(words)
+        while len(self.words) > len(self.lengths):
+            self.lengths, self.starts = np.concatenate([self.lengths, self.lengths]), np.concatenate([self.starts, self.starts])
+        plain = [(first + i, w) for i, w in enumerate(words) if w.isalpha()]
+        other = [(first + i, w) for i, w in enumerate(words) if not w.isalpha()]
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(" ".join([w for _, w in some]), add_special_tokens=False).ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
-                self._add(some, ids, np.diff(cuts, prepend=0))
+                self._store([n for n, _ in some], ids, np.diff(cuts, prepend=0))
             else:
                 other += some
         if other:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            self._add(other, np.array([i for f in found for i in f], np.uint32), np.array(list(map(len, found)), np.int64))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False)]
+            self._store([n for n, _ in other], np.array([i for f in found for i in f], np.uint32), np.array(list(map(len, found)), np.int64))
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -86,18 +87,31 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > WORDS:
             self.forget()
-        split = [None if _odd_space(t) else self._split(t) for t in texts]  # None: white space for Python only
-        new = {w for words in split if words for w in words if w not in self.words}
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        number = self.words.__getitem__
+        found: list[np.ndarray | None] = []
+        for text in texts:
+            if _odd_space(text):  # white space for Python only
+                found.append(None)
                 continue
-            at = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
-            out.append(self.ids[csr_take(self.starts[at], self.lengths[at])])
-        return out
+            words = self._split(text)
+            found.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
+        if self.words.new:
+            self._learn()
+        whole = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return [whole(text) if at is None else self.ids[csr_take(self.starts[at], self.lengths[at])] for text, at in zip(texts, found, strict=True)]
+
+
+class _Numbers(dict):
+    """Numbers words as they are looked up; ``new``: those not yet encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
 
 def _apart(mark: re.Match) -> str:
