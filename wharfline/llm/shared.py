@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -24,6 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_collected: list[list[str]] = []  # of the scopes that are open
+
+
+@contextlib.contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """Adds to ``paths`` the tables that materialise() writes meanwhile."""
+    _collected.append(paths)
+    try:
+        yield
+    finally:
+        _collected.pop()
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that materialise() wrote, when all that reads them has run, and empty the list."""
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors.
 
@@ -31,6 +52,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _collected:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     del df
     gc.collect()

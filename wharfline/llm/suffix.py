@@ -14,7 +14,7 @@ of that length have the same minimiser (the smallest hash of their ``gram``-byte
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -166,8 +166,10 @@ def shared_minimisers(docs: DataFrame, total_bytes: int, length: int, gram: int,
     return arrow_map(told, gather, "tk long, codes binary"), buckets
 
 
-def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, bucket_bytes: int = 8 << 20, crowd: int = 50_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): one row for each row of ``docs``; kept: what remains, as bytes.
+def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, bucket_bytes: int = 8 << 20, crowd: int = 50_000, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept[, carried]): one row for each row of ``docs``; kept: what remains, as bytes.
+
+    carry: columns of ``docs`` that come back as the struct ``carried``, without a join.
 
     Null texts count as empty; texts under ``length`` bytes keep all. Rows of equal id and text get equal results and don't
     remove each other, nor do rows of equal id. A row with a null id keeps all and removes nothing. Empty tables give an
@@ -187,12 +189,15 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     found = materialise(found, "shared-minimisers")
     firsts = keys.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tk").alias("tk"))
     firsts = firsts.join(found, "tk", "left").select("doc_id", F.col("tk").alias("first_tk"), F.coalesce("codes", F.lit(b"")).alias("codes"))
-    hashed = arrow_map(rows, _with_key, "doc_id long, tk long, n_bytes long, packed binary")
-    paired = hashed.join(firsts, (hashed["doc_id"] == firsts["doc_id"]) & (hashed["tk"] == firsts["first_tk"]), "left").select(hashed["doc_id"], "tk", "n_bytes", "packed", "codes")
+    inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry) or "none: int"
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), carried.alias("carried"))
+    hashed = arrow_map(whole, _with_key, f"doc_id long, tk long, n_bytes long, packed binary, carried struct<{inner}>")
+    paired = hashed.join(firsts, (hashed["doc_id"] == firsts["doc_id"]) & (hashed["tk"] == firsts["first_tk"]), "left").select(hashed["doc_id"], "tk", "n_bytes", "packed", "carried", "codes")
     copy = F.col("codes").isNull() & F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length)
     nothing = F.lit(zstandard.ZstdCompressor(level=1).compress(b""))
     useful = F.when((F.length("codes") > 0) & (F.col("n_bytes") >= length), F.col("codes"))
-    sifted = materialise(paired.select("doc_id", "tk", "n_bytes", copy.alias("copy"), F.when(copy, nothing).otherwise(F.col("packed")).alias("packed"), useful.alias("codes")), "sifted-texts")
+    sifted = materialise(paired.select("doc_id", "tk", "n_bytes", copy.alias("copy"), F.when(copy, nothing).otherwise(F.col("packed")).alias("packed"), "carried", useful.alias("codes")), "sifted-texts")
 
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -230,12 +235,12 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     in_order = pieces.select("low", "doc_id", "tk", "start", "snippet").repartition("low").sortWithinPartitions("low")
     found = arrow_map(in_order, search, "doc_id long, tk long, start long, n long")
     ranges = (found if ranges is None else found.union(ranges)).groupBy("doc_id", "tk").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
-    full = sifted.drop("codes").join(ranges, ["doc_id", "tk"], "left").select("doc_id", "n_bytes", "copy", "packed", "starts", "counts")
+    full = sifted.drop("codes").join(ranges, ["doc_id", "tk"], "left").select("doc_id", "n_bytes", "copy", "packed", "starts", "counts", "carried")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for doc, size, copy, packed, starts, counts in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for doc, size, copy, packed, starts, counts, other in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 own, gone, spans = unpack(packed), size if copy else 0, int(copy)
                 if starts:
                     depth = np.zeros(size + 1, np.int64)
@@ -244,16 +249,17 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
                     cover = np.cumsum(depth)[:size] > 0
                     gone, spans = int(cover.sum()), len(_runs(cover)[0])
                     own = np.frombuffer(own, np.uint8)[~cover].tobytes()
-                yield {"doc_id": [doc], "n_bytes": [size], "n_removed": [gone], "n_spans": [spans], "kept_sha256": [hashlib.sha256(own).hexdigest()], "kept": [own]}
+                yield {"doc_id": [doc], "n_bytes": [size], "n_removed": [gone], "n_spans": [spans], "kept_sha256": [hashlib.sha256(own).hexdigest()], "kept": [own], "carried": [other]}
 
-    return arrow_map(full, _batched(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = arrow_map(full, _batched(remove), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carried struct<{inner}>")
+    return out if carry else out.drop("carried")
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         own = b.column(1).to_pylist()
-        yield {"doc_id": b.column(0), "tk": np.fromiter(map(_text_key, own), dtype=np.uint64, count=len(own)).view(np.int64), "n_bytes": np.fromiter(map(len, own), dtype=np.int64, count=len(own)), "packed": list(map(pack, own))}
+        yield {"doc_id": b.column(0), "tk": np.fromiter(map(_text_key, own), dtype=np.uint64, count=len(own)).view(np.int64), "n_bytes": np.fromiter(map(len, own), dtype=np.int64, count=len(own)), "packed": list(map(pack, own)), "carried": b.column(2)}
 
 
 def _batched(rows, most: int = 16 << 20):  # noqa: ANN001, ANN202
