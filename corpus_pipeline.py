@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wharfline.llm import decontam, langid, packing, simhash, suffix
 from wharfline.llm.queries import tokenizer_path
-from wharfline.llm.shared import materialise
+from wharfline.llm.shared import collecting, drop, materialise
 
 MIN_SCORE = 0.5  # of the predicted language
 
@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; repeated rows of it count once. Rows without an id stay."""
     first = materialise(simhash.near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").count(), "first-documents")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
+    kept = docs.join(first.select("doc_id").hint("merge"), "doc_id", "left_semi")  # ids grow with the corpus: never broadcast
     if not first.filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.filter("doc_id is null").select(*kept.columns)).select(*docs.columns)
@@ -32,12 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that an earlier document has go, parts of characters with them; documents left empty by that go, too."""
-    found = suffix.find_repeats(docs).filter("n_removed < n_bytes or n_bytes = 0")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    found = suffix.find_repeats(docs.filter("doc_id is not null"), carry=others).filter("n_removed < n_bytes or n_bytes = 0")
     whole = F.expr("make_valid_utf8(string(kept))")
-    kept = found.select("doc_id", F.when(F.col("n_removed") > 0, F.regexp_replace(whole, "\ufffd", "")).otherwise(whole).alias("text"))
-    rest = docs.drop("text", "n_chars")
-    joined = rest.filter("doc_id is not null").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select(*docs.columns).union(docs.filter("doc_id is null"))
+    kept = found.withColumn("text", F.when(F.col("n_removed") > 0, F.regexp_replace(whole, "\ufffd", "")).otherwise(whole))
+    kept = kept.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), *[F.col(f"carried.`{c}`") for c in others])
+    return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("language", language), ("near duplicates", near_duplicates), ("repeats", repeats), ("leaks", leaks), ("packing", pack)]
+_written: list[str] = []  # intermediate tables of the stage before
+
+
+def _clearing(stage, last: bool = False):  # noqa: ANN001, ANN202
+    """The stage, which first deletes the intermediate tables of the one before: its result has been written by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _written)
+        with collecting([] if last else _written):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [("language", _clearing(language)), ("near duplicates", _clearing(near_duplicates)), ("repeats", _clearing(repeats)), ("leaks", _clearing(leaks)), ("packing", _clearing(pack, last=True))]
 
 #: SQL can't express the learned model, the tokenizer and the searches; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
