@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm import decontam, langid, packing, simhash, suffix
+from wharfline.llm import decontam, jaccard, langid, packing, suffix
 from wharfline.llm.queries import tokenizer_path
 from wharfline.llm.shared import collecting, drop, materialise
 
@@ -22,12 +22,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; repeated rows of it count once. Rows without an id stay."""
-    first = materialise(simhash.near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").count(), "first-documents")
-    kept = docs.join(first.select("doc_id").hint("merge"), "doc_id", "left_semi")  # ids grow with the corpus: never broadcast
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays; repeats of it count once.
+
+    Of different texts under that id the one with the smallest hash stays. Rows without an id stay.
+    """
+    found = jaccard.classes(docs).filter("doc_id is not null").groupBy("component", "doc_id", "row").count()
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row", "count")).alias("first"))
+    first = materialise(first.select(F.col("first.row").alias("_row"), "first.count"), "first-documents")
+    marked = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    kept = marked.join(first.select("_row").hint("merge"), "_row", "left_semi")  # rows grow with the corpus: never broadcast
     if not first.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id is null").select(*kept.columns)).select(*docs.columns)
+        kept = kept.dropDuplicates(["_row"])
+    return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

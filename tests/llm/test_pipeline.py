@@ -78,3 +78,42 @@ def test_empty_documents(spark, folder, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_by_general_rule(spark):
+    """Copies at a five-word similarity of 0.8 to 0.9 go, less alike ones and rows without an id stay."""
+    import random
+
+    rng = random.Random(5)
+    texts = []
+    for n in (60, 100, 150, 240):
+        base = [f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for changed in (1, 2, 3, 5):
+            texts.append(" ".join("other" if (i + 3) % (n // changed) == n // changed // 2 else w for i, w in enumerate(base)))
+        texts += [" ".join(base[: round(n * 0.85)]), " ".join(base[n // 3 :])]
+    texts += ["one two", "ONE\ttwo", "one three", "", None, " "]
+    rng.shuffle(texts)
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    rows += [rows[0], rows[3], (None, texts[1], "s"), (rows[2][0], texts[5], "s")]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(t) for _, t, _ in rows]
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b])]
+    middle = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs if sets[a] != sets[b]]
+    assert sum(0.8 <= s < 0.9 for s in middle) >= 8
+    groups = components(range(len(rows)), pairs)
+    first = {}
+    for at, (i, _, _) in enumerate(rows):
+        if i is not None:
+            first[groups[at]] = min(first.get(groups[at], i), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(first.values())
+    assert [r.text for r in got if r.doc_id is None] == [texts[1]]
+    where = {(i, t): groups[at] for at, (i, t, _) in enumerate(rows)}
+    assert sorted(where[r.doc_id, r.text] for r in got if r.doc_id is not None) == sorted(first)
