@@ -117,3 +117,12 @@ def test_near_copies_by_general_rule(spark):
     assert [r.text for r in got if r.doc_id is None] == [texts[1]]
     where = {(i, t): groups[at] for at, (i, t, _) in enumerate(rows)}
     assert sorted(where[r.doc_id, r.text] for r in got if r.doc_id is not None) == sorted(first)
+
+
+def test_leaks_by_row(spark, folder):
+    """A leaked text goes under a null id, too, and takes no other text of its id with it."""
+    path, rows, item = folder
+    leaked = "before " + item + " after"
+    docs = spark.createDataFrame([(None, leaked), (1, rows[0][1]), (1, leaked), (None, rows[1][1]), (2, None)], "doc_id long, text string")
+    got = corpus_pipeline.leaks(spark, docs, path).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, rows[0][1]), (0, rows[1][1]), (2, "")])
