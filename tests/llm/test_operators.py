@@ -306,15 +306,16 @@ def test_previous_factors():
 
 
 def test_lm_scores(spark, documents):
+    """Against dictionaries, by each route of a bigram; keys of text, long texts, repeated rows and rows without a key."""
     rows, df = documents
-    talk = ["the water was there", "which water", None, ""]
+    talk = ["the water was there", "which water", None, "", "THE Water was\tthere"]
     target = spark.createDataFrame([(t,) for t in talk], "text string")
-    words = collections.Counter()
-    for t in [r[1] for r in rows] + talk:
-        words.update((t or "").lower().split())
-    size = 60
-    kept = {w: i + 3 for i, (w, _) in enumerate(sorted(words.items(), key=lambda x: (-x[1], x[0]))[: size - 3])}
-    ids = lambda t: [1, *(kept.get(w, 0) for w in (t or "").lower().split()), 2]
+    df = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id"))).withColumns({"n": F.lit("clash"), "id": F.lit("clash"), "side": F.lit(9)})
+    more = [("long", "rare%d words " * 3000 % tuple(range(3000))), ("d3", rows[3][1]), (None, rows[4][1])]
+    df = df.unionByName(spark.createDataFrame(more, "doc_id string, text string"), allowMissingColumns=True)
+    texts = [*(r[1] for r in rows), *(t for _, t in more)]
+    ids = lambda t: ["<s>", *(t or "").lower().split(), "</s>"]
+    types = len({w for t in texts + talk for w in ids(t)}) - 1
 
     def model(texts):
         one, two = collections.Counter(), collections.Counter()
@@ -322,18 +323,28 @@ def test_lm_scores(spark, documents):
             x = ids(t)
             one.update(x)
             two.update(zip(x, x[1:], strict=False))
-        total = sum(n for w, n in one.items() if w != 1)
+        total = sum(n for w, n in one.items() if w != "<s>")
 
         def loss(x):
-            return -sum(math.log((two[a, b] + 100 * (one[b] + 1) / (total + len(kept) + 3)) / (one[a] + 100)) for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
+            return -sum(math.log((two[a, b] + 100 * (one[b] + 1) / (total + types)) / (one[a] + 100)) for a, b in zip(x, x[1:], strict=False)) / (len(x) - 1)
 
         return loss
 
-    near, far = model(talk), model([r[1] for r in rows])
-    for frequent in (512, 4):
-        got = {r.doc_id: r for r in lmscore.score(df, target, size=size, bucket_bytes=300, frequent_ids=frequent).collect()}
-        assert len(got) == len(rows)
-        for i, t, *_ in rows:
-            assert got[i].n_tokens == len(ids(t)) - 1
-            assert abs(got[i].loss_target - near(ids(t))) < 2e-6 and abs(got[i].loss_background - far(ids(t))) < 2e-6
+    near, far = model(talk), model(texts)
+    want = sorted((str(k), len(ids(t)) - 1, near(ids(t)), far(ids(t))) for k, t in [*((f"d{r[0]}", r[1]) for r in rows), *more])
+    for listed, sample in ((1 << 18, 4000), (20, 4000), (0, 2)):
+        got = sorted((str(r.doc_id), r.n_tokens, r.loss_target, r.loss_background, r.score) for r in lmscore.score(df, target, listed=listed, sample=sample, bucket_bytes=300).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert all(abs(g[2] - w[2]) < 2e-6 and abs(g[3] - w[3]) < 2e-6 and abs(g[4] - g[2] + g[3]) < 1e-9 for g, w in zip(got, want, strict=True))
     assert lmscore.score(df.limit(0), target).count() == 0
+    empty = lmscore.score(df.limit(5), target.limit(0)).collect()
+    assert len(empty) == 5
+
+
+def test_lm_counts_see_every_word(spark):
+    """Rare words keep counts of their own: a text that occurs twice is likelier under the background than one that occurs once."""
+    words = [f"word{i}" for i in range(20_000)]
+    texts = [" ".join(words[i : i + 20]) for i in range(0, 20_000, 20)]
+    df = spark.createDataFrame([*enumerate(texts), (5000, texts[0])], "doc_id long, text string")
+    got = {r.doc_id: r.loss_background for r in lmscore.score(df, df.limit(0), listed=100).collect()}
+    assert got[0] == got[5000] < min(v for i, v in got.items() if i not in (0, 5000))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import drop, materialise, path_of
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = materialise(low.select("a", F.col("m").alias("b")).union(moved).distinct(), "edges")
+        before, now = now, materialise(low.select("a", F.col("m").alias("b")).union(moved).distinct(), "edges")
+        drop(now.sparkSession, [path_of(before)])
         if (new := _mark(now)) == mark:
             break
         mark = new

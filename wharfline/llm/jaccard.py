@@ -92,7 +92,7 @@ def _common(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
                 used, many = np.unique(found, return_counts=True)
                 yield {"token": used.view(np.int64), "many": many}
 
-    some = bounded_sample(docs, "row", sample).select("text")
+    some = bounded_sample(docs, sample).select("text")
     counted = arrow_map(some, rows, "token long, many long").groupBy("token").agg(F.sum("many").alias("many")).filter("many > 2")
     table = counted.orderBy(F.desc("many"), "token").limit(COMMON).toArrow()
     token, many = (table.column(c).to_numpy().astype(np.int64) for c in ("token", "many"))

@@ -124,7 +124,7 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str
     so its size has a bound. Rows with a null label or text are left out; without any row the model knows no language.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).filter("label is not null and text is not null")
-    counted = arrow_map(bounded_sample(rows, "key", max_docs).select("text", "label"), _count, "kind int, gram string, label string, cnt long")
+    counted = arrow_map(bounded_sample(rows, max_docs).select("text", "label"), _count, "kind int, gram string, label string, cnt long")
     kept = counted.groupBy("kind", "gram", "label").agg(F.sum("cnt").alias("cnt"))
     top = Window.partitionBy("kind", "label").orderBy(F.desc("cnt"), "gram")
     found = kept.withColumn("at", F.row_number().over(top)).filter(F.col("at") <= max_entries).drop("at").collect()

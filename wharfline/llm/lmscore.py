@@ -1,225 +1,334 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of a target and of a background corpus, share vocabulary, order and smoothing. A document's score is
-its per-token loss under the target model less that under the background model: low means like the target.
+Two bigram models, of a target and of a background corpus, share vocabulary, order and smoothing: the vocabulary is every
+word of both corpora and the end of a text. A document's score is its per-token loss under the target model less that under
+the background model: low means like the target.
 
-Bigrams are counted where they meet: each text sends its distinct bigrams to hash buckets, which see all counts of a bigram
-and return sums by document. Bigrams of two frequent words, which would crowd a bucket, are counted beforehand in a table
-of bounded size and scored where the text is.
+Words and bigrams are told apart by 64-bit hashes and counted where they meet. Each text sends its distinct bigrams to hash
+buckets, which return sums by document. Three routes give the same sums and only differ in where a count is known:
+
+* bigrams of two very common words are counted beforehand in a table of bounded size and scored where the text is;
+* bigrams whose second word is in a list of the most frequent words, which carries their counts, meet by bigram;
+* bigrams of any other second word meet by that word, so that its own count is known there as well.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, materialise, slices
+from .shared import arrow_map, bounded_sample, drop, materialise, path_of, slices
+
+BEGIN, END = 0, 1
+COMMON = 510  # words whose bigrams are counted beforehand
+LISTED = 1 << 18  # most frequent words whose counts are broadcast
+ROWS, CHARS = 2000, 4 << 20  # documents and characters of a chunk
+TARGET = 0xFFFF  # row number of all that comes from the target
 
-UNKNOWN, BEGIN, END = 0, 1, 2
-FREQUENT = 512  # the first ids: two of them make a frequent bigram
-BLOCK = 1 << 12  # rows whose sums travel together
 
+class Words:
+    """Numbers of words as they come, begin and end first: their hashes, places among the common ones and in the list."""
 
-class Vocabulary:
-    """Words by number, most frequent first, after unknown, begin and end; unigram counts in both corpora."""
+    def __init__(self, common: dict[str, int], listed: np.ndarray | None = None) -> None:
+        self.common, self.listed = common, listed
+        self.forget()
 
-    def __init__(self, rows: list[tuple[str, int, int]], totals: tuple[int, int], texts: tuple[int, int]) -> None:
-        """rows: (word, count in target, count in background), in order; totals: words; texts: documents of each."""
-        self.number = {w: i + 3 for i, (w, _, _) in enumerate(rows)}
-        known = np.array([r[1:] for r in rows], np.int64).reshape(len(rows), 2)
-        special = np.array([np.array(totals) - known.sum(axis=0), texts, texts])
-        self.counts = np.concatenate([special, known]).astype(np.float64)
+    def forget(self) -> None:
+        self.number = _Numbers()
+        self.hashes, self.near = np.zeros(2, np.uint64), np.arange(2)
+        self.at = np.full(2, -1)
 
-    def ids(self, text: str) -> np.ndarray:
+    def read(self, text: str) -> np.ndarray:
+        """The numbers of a text's words, between begin and end."""
         words = text.lower().split()
         out = np.empty(len(words) + 2, np.int64)
         out[0], out[-1] = BEGIN, END
-        get = self.number.get
-        out[1:-1] = np.fromiter((get(w, UNKNOWN) for w in words), dtype=np.int64, count=len(words))
+        out[1:-1] = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
         return out
 
-    def log_odds(self, codes: np.ndarray, counts: np.ndarray, mu: float) -> np.ndarray:
-        """Log probability of each bigram under target and background: counts smoothed towards the unigram model with weight mu."""
-        size = len(self.counts)
-        first, second = codes // size, codes % size
-        predicted = self.counts.copy()
-        predicted[BEGIN] = 0
-        unigram = (predicted + 1) / (predicted.sum(axis=0) + size)
-        return np.log((counts + mu * unigram[second]) / (self.counts[first] + mu))
-
-
-def vocabulary(target: DataFrame, background: DataFrame, *, size: int = 1 << 14, text: str = "text") -> Vocabulary:
-    """The ``size`` most frequent white-space words, in lower case, of both corpora together; counts over all texts."""
+    def learn(self) -> None:
+        """Look up the words that got numbers since the last time."""
+        new, self.number.new = self.number.new, []
+        if not new:
+            return
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.near = np.concatenate([self.near, np.fromiter((self.common.get(w, -1) for w in new), np.int64, len(new))])
+        if self.listed is not None:
+            at = np.searchsorted(self.listed, hashes)
+            at[at == len(self.listed)] = 0
+            found = self.listed[at] == hashes if len(self.listed) else np.zeros(len(new), bool)
+            self.at = np.concatenate([self.at, np.where(found, at, -1)])
+
+
+class _Numbers(dict):
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self) + 2
+        return n
+
+
+class Model:
+    """What is known of both corpora: totals, the counts of listed words, and those of bigrams of common words."""
+
+    def __init__(self, words: tuple[int, int], texts: tuple[int, int], types: int, listed: np.ndarray, counts: np.ndarray, common: dict[str, int], pairs: np.ndarray, mu: float) -> None:
+        self.mu, self.texts = mu, np.array(texts, np.float64)
+        self.predicted = np.array(words, np.float64) + self.texts + types + 1  # add-one over all words and the end
+        order = np.argsort(listed)
+        self.listed, self.counts = listed[order], counts[order].astype(np.float64)
+        self.common = common
+        width = COMMON + 2
+        place = dict(zip(self.listed.tolist(), range(len(listed)), strict=True))
+        unigram = np.zeros((width, 2))
+        unigram[END] = self.texts
+        for word, number in common.items():
+            if (at := place.get(xxhash.xxh3_64_intdigest(word))) is not None:
+                unigram[number] = self.counts[at]
+        self.pairs = np.log(pairs + mu * self.unigram(unigram)[np.arange(width * width) % width])
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 1) / self.predicted
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(first row, columns) of runs of at most ``ROWS`` rows and about ``CHARS`` characters; the third column is the text."""
+    row, held, size = 0, None, 0
+    for b in batches:
+        for values in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if held is not None and (len(held[0]) == ROWS or size + len(values[2] or "") > CHARS):
+                yield row, held
+                row, held = row + len(held[0]), None
+            if held is None:
+                held, size = [[] for _ in values], 0
+            for h, v in zip(held, values, strict=True):
+                h.append(v)
+            size += len(values[2] or "")
+    if held:
+        yield row, held
+
+
+def _corpora(target: DataFrame, background: DataFrame) -> DataFrame:
+    """(side, id, text, part); side 0: target, 1: background."""
+    kind = background.schema["id"].dataType
+    both = target.select(F.lit(0).alias("side"), F.lit(None).cast(kind).alias("id"), "text").unionByName(background.select(F.lit(1).alias("side"), "id", "text"))
+    return both.withColumn("part", F.spark_partition_id())
+
+
+def _common_words(target: DataFrame, background: DataFrame, sample: int) -> dict[str, int]:
+    """Words that are frequent in a sample of both corpora, numbered after begin and end. They only choose the route of a bigram."""
+    some = bounded_sample(target.select("text"), sample).union(bounded_sample(background.select("text"), sample))
+    words = some.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''").groupBy("word").count()
+    return {r.word: i + 2 for i, r in enumerate(words.orderBy(F.desc("count"), "word").limit(COMMON).collect())}
+
+
+def model_of(target: DataFrame, background: DataFrame, *, mu: float = 100.0, sample: int = 4000, listed: int = LISTED) -> Model:
+    """Counts over all texts of both corpora (id, text)."""
+    common = _common_words(target, background, sample)
+    width = COMMON + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        words, pairs, texts = Words(common), np.zeros((width * width, 2), np.int64), np.zeros(2, np.int64)
+        many = np.zeros((1 << 16, 2), np.int64)
 
         def flush() -> dict:
-            words = list(counts[0].keys() | counts[1].keys())
-            out = {"word": words, "t": [counts[0][w] for w in words], "b": [counts[1][w] for w in words], "texts_t": [0] * len(words), "texts_b": [0] * len(words)}
-            counts[0].clear()
-            counts[1].clear()
-            return out
-
-        for b in batches:
-            sides = b.column(0).to_pylist()
-            for side, own in zip(sides, b.column(1).to_pylist(), strict=True):
-                counts[side].update((own or "").lower().split())
-                if len(counts[0]) + len(counts[1]) > 400_000:
-                    yield flush()
-            yield {"word": [None], "t": [0], "b": [0], "texts_t": [sides.count(0)], "texts_b": [sides.count(1)]}
+            n = len(words.hashes)
+            used = np.flatnonzero(many[:n].any(axis=1))
+            return {"kind": np.zeros(len(used), np.int32), "code": words.hashes[used].view(np.int64), "t": many[used, 0], "b": many[used, 1]}
+
+        for _, (sides, _, own, _) in _chunks(batches):
+            read = [words.read(t or "") for t in own]
+            words.learn()
+            while len(words.hashes) > len(many):
+                many = np.concatenate([many, np.zeros_like(many)])
+            for side in (0, 1):
+                mine = [r for r, s in zip(read, sides, strict=True) if s == side]
+                if not mine:
+                    continue
+                texts[side] += len(mine)
+                ids = np.concatenate(mine)
+                n = np.bincount(ids, minlength=len(words.hashes))
+                n[:2] = 0
+                many[: len(n), side] += n
+                near = words.near[ids]
+                at = np.flatnonzero((near[:-1] >= 0) & (near[1:] >= 0) & (ids[1:] != BEGIN))
+                pairs[:, side] += np.bincount(near[at] * width + near[at + 1], minlength=width * width)
+            if len(words.hashes) > 400_000:
+                yield flush()
+                words.forget()
+                many[:] = 0
         yield flush()
-
-    counted = arrow_map(_both(target, background, text).select("side", "text"), count, "word string, t long, b long, texts_t long, texts_b long")
-    sums = materialise(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("t", "b", "texts_t", "texts_b")]), "word-counts")
-    whole = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "b", "texts_t", "texts_b")]).first()
-    top = sums.filter("word is not null").orderBy(F.desc(F.col("t") + F.col("b")), "word").limit(size - 3).collect()  # at most size rows
-    return Vocabulary([(r.word, r.t, r.b) for r in top], (whole.t, whole.b), (whole.texts_t, whole.texts_b))
-
-
-def _both(target: DataFrame, background: DataFrame, text: str) -> DataFrame:
-    """side 0: target, 1: background."""
-    return target.select(F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"), F.col(text).alias("text")).unionByName(background.select(F.lit(1).alias("side"), F.col("id"), F.col(text).alias("text")))
-
-
-def _cut(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Order by owner, the owners, and where each one's rows are in that order."""
-    order = np.argsort(owner, kind="stable")
-    used, starts = np.unique(owner[order], return_index=True)
-    return order, used, slices(starts, len(order))
-
-
-def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 1 << 14, mu: float = 100.0, bucket_bytes: int = 24 << 20, frequent_ids: int = FREQUENT) -> DataFrame:
+        at = np.flatnonzero(pairs.any(axis=1))
+        yield {"kind": np.ones(len(at), np.int32), "code": at, "t": pairs[at, 0], "b": pairs[at, 1]}
+        yield {"kind": [2], "code": [0], "t": texts[:1], "b": texts[1:]}
+
+    counted = arrow_map(_corpora(target, background), count, "kind int, code long, t long, b long")
+    sums = materialise(counted.groupBy("kind", "code").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "counts")
+    level = F.floor(F.log2(F.col("t") + F.col("b")) * 8).cast("int")
+    by_kind = sums.groupBy("kind", F.when(F.col("kind") == 0, level).alias("level")).agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b")).collect()  # a few hundred levels
+    levels = sorted(((r.level, r.n) for r in by_kind if r.kind == 0), reverse=True)
+    reached = np.cumsum([n for _, n in levels])
+    least = next((lv for (lv, _), n in zip(reversed(levels), reversed(reached.tolist()), strict=True) if n <= listed), 1 << 20)
+    always = [xxhash.xxh3_64_intdigest(w) for w in common]
+    always = [x - (1 << 64) if x >> 63 else x for x in always]
+    chosen = sums.filter((F.col("kind") == 0) & ((level >= least) | F.col("code").isin(always))).select("code", "t", "b").toArrow()  # at most ``listed`` + COMMON rows
+    table = sums.filter("kind = 1").select("code", "t", "b").toArrow()  # at most (COMMON + 2) squared rows
+    columns = lambda x: np.stack([x.column(c).to_numpy() for c in ("t", "b")], axis=1)
+    pairs = np.zeros((width * width, 2))
+    pairs[table.column("code").to_numpy()] = columns(table)
+    total = lambda kind: tuple(sum(getattr(r, side) for r in by_kind if r.kind == kind) for side in ("t", "b"))
+    drop(background.sparkSession, [path_of(sums)])
+    return Model(total(0), total(2), sum(n for _, n in levels), chosen.column("code").to_numpy().view(np.uint64), columns(chosen), common, pairs, mu)
+
+
+def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", mu: float = 100.0, bucket_bytes: int = 16 << 20, sample: int = 4000, listed: int = LISTED) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) for each row of ``background``; losses per token, in nats.
 
     Tokens are the white-space words in lower case and the end of the text. Both corpora are counted whole, the scored texts
-    included. Null and empty texts have one token, the end. Repeated rows count, and are scored, again. With an empty target
-    its model is uniform; an empty background gives an empty table.
+    included. ``sample`` and ``listed`` bound what is broadcast and change no result. Null and empty texts have one token,
+    the end. Texts are read whole, however long. Repeated rows, and rows of equal or null key, count, and are scored, each
+    by itself; the key keeps its type. Other columns are not read. With an empty target its model is uniform; an empty
+    background gives an empty table.
     """
     spark = background.sparkSession
-    documents = background.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    documents = background.select(F.col(key).alias("id"), F.col(text).alias("text"))
     target = target.select(F.col(text).alias("text"))
-    known = vocabulary(target, documents, size=size)
-    total = float(known.counts[[UNKNOWN, *range(3, len(known.counts))]].sum())
-    buckets = max(1, round(total * 6 / bucket_bytes))
-    words = spark.sparkContext.broadcast(known)
-    width = len(known.counts)
-
-    def is_frequent(codes: np.ndarray) -> np.ndarray:
-        return (codes // width < frequent_ids) & (codes % width < frequent_ids)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        dense = np.zeros((frequent_ids * frequent_ids, 2), np.int64)
-        for b in batches:
-            for side, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = words.value.ids(own or "")
-                first, second = ids[:-1], ids[1:]
-                both = (first < frequent_ids) & (second < frequent_ids)
-                np.add.at(dense[:, side], first[both] * frequent_ids + second[both], 1)
-        at = np.flatnonzero(dense.any(axis=1))
-        yield {"code": at, "t": dense[at, 0], "b": dense[at, 1]}
-
-    texts = _both(target, documents, "text").withColumn("part", F.spark_partition_id())
-    counted = arrow_map(texts.select("side", "text"), frequent, "code long, t long, b long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).collect()  # at most frequent_ids squared rows
-    table = np.zeros((frequent_ids * frequent_ids, 2))
-    for r in counted:
-        table[r.code] = r.t, r.b
-    square = np.arange(frequent_ids * frequent_ids)
-    inside = (square // frequent_ids < width) & (square % frequent_ids < width)
-    odds = np.zeros((frequent_ids * frequent_ids, 2))
-    odds[inside] = known.log_odds((square // frequent_ids * width + square % frequent_ids)[inside], table[inside], mu)
-    near = spark.sparkContext.broadcast(odds)
+    known = model_of(target, documents, mu=mu, sample=sample, listed=listed)
+    buckets = max(1, round(float(known.predicted.sum()) * 8 / bucket_bytes))
+    model = spark.sparkContext.broadcast(known)
+    width = COMMON + 2
+    kind = documents.schema["id"].dataType.simpleString()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """To buckets: codes, rows and counts of rare bigrams; under bucket -1: what is known of each document."""
-        row = 0
-        for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            for i in range(0, b.num_rows, 2000):
-                codes, rows, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                own: dict[str, list] = {"id": [], "row": [], "n": [], "t": [], "b": []}
-                base = columns[3][i] << 36
-                for side, doc, text in zip(columns[0][i : i + 2000], columns[1][i : i + 2000], columns[2][i : i + 2000], strict=True):
-                    ids = words.value.ids(text or "")
-                    c, n = np.unique(ids[:-1] * width + ids[1:], return_counts=True)
-                    often = is_frequent(c)
-                    if side:
-                        sums = n[often] @ near.value[c[often] // width * frequent_ids + c[often] % width]
-                        for name, value in zip(own, (doc, base + row, len(ids) - 1, float(sums[0]), float(sums[1])), strict=True):
-                            own[name].append(value)
-                    c, n = c[~often], n[~often]
-                    codes.append(c)
-                    many.append(n)
-                    rows.append(np.full(len(c), base + row if side else -1))
-                    row += 1
-                c, r, n = np.concatenate(codes), np.concatenate(rows), np.minimum(np.concatenate(many), (1 << 32) - 1)
-                order, used, cuts = _cut((c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets)
-                c, n = c[order].astype("<u4"), n[order].astype("<u4")
-                r = np.where(r[order] < 0, (1 << 32) - 1, r[order] - base).astype("<u4")
-                k = len(used)
-                yield {"bucket": used, "base": [base] * k, "codes": [c[s:e].tobytes() for s, e in cuts], "rows": [r[s:e].tobytes() for s, e in cuts], "many": [_short(n[s:e]) for s, e in cuts], "id": [None] * k, "n": [None] * k, "t": [None] * k, "b": [None] * k}
-                k = len(own["id"])
-                yield {"bucket": [-1] * k, "base": own["row"], "codes": [None] * k, "rows": [None] * k, "many": [None] * k, "id": own["id"], "n": own["n"], "t": own["t"], "b": own["b"]}
-
-    sent = materialise(arrow_map(texts.select("side", "id", "text", "part"), send, "bucket int, base long, codes binary, rows binary, many binary, id long, n long, t double, b double"), "bigrams")
+        """To buckets: bigrams, second words, rows and counts; under bucket -1: what is known of each document of a chunk."""
+        m = model.value
+        words = Words(m.common, m.listed)
+        context = np.zeros((0, 2))
+        for first, (sides, keys, own, parts) in _chunks(batches):
+            if len(words.hashes) > 1_000_000:
+                words.forget()
+                context = np.zeros((0, 2))
+            read = [words.read(t or "") for t in own]
+            words.learn()
+            if len(context) < len(words.at):
+                at = words.at[len(context) :]
+                new = np.where(at[:, None] >= 0, -np.log(m.counts[at] + mu) if len(m.counts) else 0.0, 0.0)
+                context = np.concatenate([context, new])
+                context[BEGIN] = -np.log(m.texts + mu)
+            sizes = np.fromiter(map(len, read), np.int64, len(read)) - 1
+            ids = np.concatenate(read)
+            heads = np.cumsum(sizes + 1) - (sizes + 1)
+            is_context = np.ones(len(ids), bool)
+            is_context[heads + sizes] = False
+            at = np.flatnonzero(is_context)
+            row = np.repeat(np.arange(len(read)), sizes)
+            sums = np.add.reduceat(context[ids[at]], np.cumsum(sizes) - sizes, axis=0)
+            pair, which = np.unique(ids[at] * len(words.hashes) + ids[at + 1], return_inverse=True)
+            prev, word = pair // len(words.hashes), pair % len(words.hashes)
+            scored = np.flatnonzero(np.array(sides, bool))
+            number = np.full(len(read), TARGET)
+            number[scored] = np.arange(len(scored))
+            entry, many = np.unique(number[row] << 40 | which, return_counts=True)
+            row, which = entry >> 40, entry & ((1 << 40) - 1)
+            near = (words.near[prev] >= 0) & (words.near[word] >= 0)
+            mine = np.flatnonzero(near[which] & (row != TARGET))
+            odds = m.pairs[words.near[prev[which[mine]]] * width + words.near[word[which[mine]]]]
+            sizes, sums = sizes[scored], sums[scored]
+            for i in (0, 1):
+                sums[:, i] += np.bincount(row[mine], many[mine] * odds[:, i], len(scored))
+            is_listed = (words.at[word] >= 0) | (word == END)
+            codes = _pair_hash(words.hashes[prev] + (prev == BEGIN), words.hashes[word])
+            route = np.where(is_listed, codes, words.hashes[word]) % np.uint64(buckets)
+            route = route.astype(np.int64) * 2 + ~is_listed
+            base = parts[0] << 36 | first
+            left = np.flatnonzero(~near[which])
+            left = left[np.argsort(route[which[left]], kind="stable")]
+            row, which, many = row[left].astype("<u2"), which[left], many[left]
+            used, starts = np.unique(route[which], return_index=True)
+            cuts = slices(starts, len(which))
+            places = np.where(word == END, len(m.listed), words.at[word]).astype("<u4")
+            names = [(words.hashes[word[which[s:e]]] if u & 1 else places[which[s:e]]).tobytes() for u, (s, e) in zip(used.tolist(), cuts, strict=True)]
+            none = [None] * len(used)
+            yield {"bucket": used, "base": [base] * len(used), "pairs": [codes[which[s:e]].tobytes() for s, e in cuts], "words": names, "rows": [row[s:e].tobytes() for s, e in cuts], "many": [_short(many[s:e]) for s, e in cuts], "id": none, "n": none, "t": none, "b": none}
+            if len(scored):
+                yield {"bucket": [-1], "base": [base], "pairs": [None], "words": [None], "rows": [None], "many": [None], "id": [[keys[i] for i in scored]], "n": [sizes], "t": [sums[:, 0]], "b": [sums[:, 1]]}
+
+    sent = materialise(arrow_map(_corpora(target, documents), send, f"bucket int, base long, pairs binary, words binary, rows binary, many binary, id array<{kind}>, n array<long>, t array<double>, b array<double>"), "bigrams")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now, held = None, []
         for b in batches:
-            for bucket, base, codes, rows, many in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for bucket, base, pairs, words, rows, many in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if bucket != now and held:
-                    yield from sums(held)
+                    yield from sums(now & 1, held)
                     held = []
                 now = bucket
-                held.append((base, np.frombuffer(codes, "<u4"), np.frombuffer(rows, "<u4"), _long(many)))
+                held.append((base, np.frombuffer(pairs, np.uint64), np.frombuffer(words, np.uint64 if bucket & 1 else "<u4"), np.frombuffer(rows, "<u2"), _long(many)))
         if held:
-            yield from sums(held)
-
-    def sums(held: list) -> Iterator[dict]:
-        codes = np.concatenate([h[1] for h in held])
-        many = np.concatenate([h[3] for h in held])
-        target_row = np.concatenate([h[2] == (1 << 32) - 1 for h in held])
-        distinct, at = np.unique(codes, return_inverse=True)
-        counts = np.stack([np.bincount(at, many * target_row, len(distinct)), np.bincount(at, many * ~target_row, len(distinct))], axis=1)
-        logs = words.value.log_odds(distinct.astype(np.int64), counts, mu)
-        rows = np.concatenate([h[0] + h[2].astype(np.int64) for h in held])[~target_row]
-        value = (many[:, None] * logs[at])[~target_row]
-        used, at = np.unique(rows, return_inverse=True)
-        _, groups, cuts = _cut(used // BLOCK)
-        t, b = (np.bincount(at, value[:, i], len(used)) for i in (0, 1))
-        yield {"block": groups, "rows": [used[s:e].tobytes() for s, e in cuts], "t": [t[s:e].tobytes() for s, e in cuts], "b": [b[s:e].tobytes() for s, e in cuts]}
+            yield from sums(now & 1, held)
+
+    def sums(by_word: int, held: list) -> Iterator[dict]:
+        m = model.value
+        pairs, words, rows, many = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3, 4))
+        message = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+        target_row = rows == TARGET
+        sides = np.stack([many * target_row, many * ~target_row])
+        _, at = np.unique(pairs, return_inverse=True)
+        pair_counts = np.stack([np.bincount(at, s) for s in sides], axis=1)
+        if by_word:
+            _, word = np.unique(words, return_inverse=True)
+            counts = np.stack([np.bincount(word, s) for s in sides], axis=1)
+            known, less = counts[word], np.log(counts + mu)[word]
+        else:
+            known, less = np.concatenate([m.counts, m.texts[None]])[words], 0.0
+        value = np.log(pair_counts[at] + mu * m.unigram(known)) - less
+        mine = np.flatnonzero(~target_row)
+        keys, at = np.unique(message[mine] << 16 | rows[mine], return_inverse=True)
+        t, b = (np.bincount(at, many[mine] * value[mine, i], len(keys)) for i in (0, 1))
+        used, starts = np.unique(keys >> 16, return_index=True)
+        cuts = slices(starts, len(keys))
+        rows = (keys & 0xFFFF).astype("<u2")
+        yield {"base": [held[u][0] for u in used], "rows": [rows[s:e].tobytes() for s, e in cuts], "t": [t[s:e].tobytes() for s, e in cuts], "b": [b[s:e].tobytes() for s, e in cuts]}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        now, held = None, []
+        now, t, b = None, np.zeros(ROWS), np.zeros(ROWS)
         for batch in batches:
-            for block, *columns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if block != now and held:
-                    yield add(held)
-                    held = []
-                now = block
-                held.append([np.frombuffer(c, kind) for c, kind in zip(columns, (np.int64, np.float64, np.float64), strict=True)])
-        if held:
-            yield add(held)
-
-    def add(held: list) -> dict:
-        rows, t, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        used, at = np.unique(rows, return_inverse=True)
-        return {"row": used, "t": np.bincount(at, t, len(used)), "b": np.bincount(at, b, len(used))}
-
-    parts = max(2, min(buckets, 2000))
-    met = arrow_map(sent.filter("bucket >= 0").select("bucket", "base", "codes", "rows", "many").repartition(parts, "bucket").sortWithinPartitions("bucket"), meet, "block long, rows binary, t binary, b binary")
-    rare = arrow_map(met.repartition(parts, "block").sortWithinPartitions("block"), gather, "row long, t double, b double")
-    own = sent.filter("bucket = -1").select(F.col("base").alias("row"), F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), F.col("t").alias("t0"), F.col("b").alias("b0"))
-    loss = lambda side: F.round(-(F.col(f"{side}0") + F.coalesce(side, F.lit(0.0))) / F.col("n_tokens"), 6)
-    scored = own.join(rare, "row", "left").select("doc_id", "n_tokens", loss("t").alias("loss_target"), loss("b").alias("loss_background"))
+            for base, rows, more_t, more_b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if base != now and now is not None:
+                    yield {"base": [now], "rare_t": [t.copy()], "rare_b": [b.copy()]}
+                if base != now:
+                    now, t[:], b[:] = base, 0, 0
+                at = np.frombuffer(rows, "<u2")
+                t[at] += np.frombuffer(more_t)
+                b[at] += np.frombuffer(more_b)
+        if now is not None:
+            yield {"base": [now], "rare_t": [t.copy()], "rare_b": [b.copy()]}
+
+    parts = max(2, min(2 * buckets, 2000))
+    met = arrow_map(sent.filter("bucket >= 0").select("bucket", "base", "pairs", "words", "rows", "many").repartition(parts, "bucket").sortWithinPartitions("bucket"), meet, "base long, rows binary, t binary, b binary")
+    rare = arrow_map(met.repartition(parts, "base").sortWithinPartitions("base"), gather, "base long, rare_t array<double>, rare_b array<double>")
+    own = sent.filter("bucket = -1").select("base", "id", "n", "t", "b")
+    rest = lambda c: F.coalesce(F.slice(c, F.lit(1), F.size("n")), F.array_repeat(F.lit(0.0), F.size("n"))).alias(c)
+    zipped = own.join(rare.hint("merge"), "base", "left").select("id", "n", "t", "b", rest("rare_t"), rest("rare_b")).select(F.inline(F.arrays_zip("id", "n", "t", "b", "rare_t", "rare_b")))
+    loss = lambda side: F.round(-(F.col(side) + F.col(f"rare_{side}")) / F.col("n"), 6)
+    scored = zipped.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), loss("t").alias("loss_target"), loss("b").alias("loss_background"))
     return scored.withColumn("score", F.round(F.col("loss_target") - F.col("loss_background"), 6))
 
 
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ a >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x + b ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(31)
+
+
 def _short(counts: np.ndarray) -> bytes:
     """Counts as bytes if they fit, else as 4 bytes each after an empty first byte."""
     return counts.astype(np.uint8).tobytes() if not len(counts) or counts.max() < 256 else b"\x00" + counts.astype("<u4").tobytes()

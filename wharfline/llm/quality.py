@@ -139,7 +139,7 @@ def _examples(batches: Iterator) -> Iterator[dict]:
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 4000) -> Embeddings:
     """Fit on a bounded sample: about ``max_docs`` labelled rows, chosen by a hash of ``key``. Null labels and keys are left out."""
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
-    chosen = F.broadcast(bounded_sample(rows, "key", max_docs))  # at most about max_docs rows
+    chosen = F.broadcast(bounded_sample(rows, max_docs))  # at most about max_docs rows
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("text", "label")
     got = arrow_map(found, _examples, "label int, at binary, weights binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r["at"])))

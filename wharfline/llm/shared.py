@@ -6,6 +6,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,7 +59,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def path_of(table: DataFrame) -> str:
+    """The folder of a table that materialise() gave."""
+    return _paths[table]
 
 
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -87,12 +98,10 @@ def crc_bucket(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About ``most`` rows, chosen by a hash of ``key``; every row if there are no more than that."""
+def bounded_sample(df: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows, each drawn by itself, whatever its values; every row if there are no more than that."""
     n = df.count()
-    if n <= most:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return df if n <= most else df.filter(F.rand(7) < most / n)
 
 
 def csr_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
