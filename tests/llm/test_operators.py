@@ -181,7 +181,41 @@ def test_packing(spark, documents):
                 at += n
             assert at == 256 or at & (at - 1) == 0
         assert sorted(sequences) == list(range(len(sequences)))
-    assert packing.pack(df.limit(0), path).count() == 0
+    assert packing.pack(df.limit(0), path).count() == packing.pack(df.limit(0), path, targets={"s1": 1.0}).count() == 0
+
+
+def test_packing_of_many_sources(spark):
+    """More sources than queues: each keeps its share, a small one up to a document; nulls, repeated rows, other tokenizers."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = [(i, f"text {i} of It's Ours", f"s{i % 400}" if i % 3 else "hot") for i in range(4000)] + [(None, None, None), (7, "again", "s7"), (7, "again", "s7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"row": F.lit("clash"), "first": F.lit("clash"), "queue": F.lit("clash")})
+    got = packing.pack(df.repartition(3), path, length=64).collect()
+    at, used = collections.defaultdict(int), collections.defaultdict(collections.Counter)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+        used[r.sequence_id][r.source] += r.length
+    lengths = collections.Counter()
+    for i, t, _ in rows:
+        lengths[i] += len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    assert {i: sum(r.length for r in got if r.doc_id == i) for i in {7, None}} == {7: lengths[7], None: 1}
+    assert sum(r.length for r in got) == sum(lengths.values())
+    total, done = collections.Counter(), collections.Counter()
+    for w in used.values():
+        total.update(w)
+    longest = max(lengths.values())
+    full = [w for w in sorted(used) if at[w] == 64]
+    for n, w in enumerate(full, 1):
+        done.update(used[w])
+        for s in total:
+            due = total[s] * n * 64 / sum(total.values())
+            assert abs(done[s] - due) <= (1 if s == "hot" else 3 * longest), (s, n)
+    few = packing.pack(df, path, length=64, targets={"hot": 1.0, "s1": 0.5, "s2": 0.001, "absent": 0.5}).collect()
+    assert sum(r.length for r in few) == sum(lengths.values())
 
 
 def test_windows_keep_the_mixture():
@@ -201,6 +235,7 @@ def test_words_encode_like_whole_texts():
     encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     for x in ["", "a'b don't I'M", "x\x1cy z", "<|endoftext|> hi<|startoftext|>there", "ÀÉß ÿ ǅ İ", "12,000.50 ..., !!a", "é x", "日本語 テキスト", "Σας ΟΔΟΣ nb ls\x85k", "***bold$$$ a.b.c, A.", "a, b,\nc; d: e., f.\t g,", "'T. 'll, x's."]:
         assert encoder.encode([x])[0].tolist() == encoder.tokenizer.encode(x, add_special_tokens=False).ids, x
+    assert packing.goes_by_words(public_tokenizers.path("word_bpe_49k.json")) and not packing.goes_by_words(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_top_k(spark):

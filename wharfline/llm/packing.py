@@ -4,10 +4,15 @@ Each source is a queue of its documents' tokens. Windows are filled by deficit r
 share of every window, whole tokens are granted at once and those left go to the sources whose next token is due first;
 what a source is owed, or owes, is carried to the next window. After a cycle of windows all credits are zero, so the grants
 of a cycle are a small table, and every task can tell, from a document's place in its queue, which windows its tokens fill.
+
+A source that is due less than ``1 / SMALL`` of a window is served by whole documents, in turn with all others of its kind:
+they are one queue, in the order in which each document is due by its own source's share. So there are at most ``SMALL``
+queues, however many sources there are, and every source keeps its share, a small one up to a document.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map, csr_take, ints, materialise
 
-QUEUES = 256  # sources with queues of their own; the rest share one
+SMALL = 256  # a source due less than this fraction of a window is served by whole documents
 CYCLE = 1024  # windows in a cycle at most
 WORDS = 1_000_000  # words that a Python worker remembers
 
@@ -29,8 +34,34 @@ _beyond_latin = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
 _mark_after_letter = re.compile(r"[.,;:](?<=[a-zà-öø-ÿ].)(?=[ \n])").sub
 
 
+# The normalizer and the split of the tokenizers that WordEncoder takes word by word.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def goes_by_words(path: str) -> bool:
+    """Whether the tokenizer drops white space, knows no case and marks word ends, so that words can be encoded by themselves."""
+    with open(path, encoding="utf-8") as f:
+        stated = json.load(f)
+    first = ((stated.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    split = (first.get("pattern") or {}).get("Regex") == SPLIT and first.get("behavior") == "Removed" and first.get("invert") is True
+    return split and (stated.get("normalizer") or {}).get("normalizers") == NORMALIZERS and stated["model"].get("end_of_word_suffix") == "</w>"
+
+
+class WholeEncoder:
+    """Ids of whole texts, of any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class WordEncoder:
-    """Ids of a tokenizer that never joins characters across white space, remembered by word; equal to encoding the whole text."""
+    """Ids of a tokenizer that ``goes_by_words``, remembered by word; equal to encoding the whole text."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -118,12 +149,12 @@ def _apart(mark: re.Match) -> str:
     return " " + mark[0]
 
 
-_encoders: dict[str, WordEncoder] = {}  # one for each Python worker
+_encoders: dict[str, WordEncoder | WholeEncoder] = {}  # one for each Python worker
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str) -> WordEncoder | WholeEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = (WordEncoder if goes_by_words(path) else WholeEncoder)(path)
     return _encoders[path]
 
 
@@ -268,46 +299,80 @@ class Placer:
             yield row, s - at + before - first[row], e - s, self.windows + w, s - opens
 
 
+def queues_of(shares: dict[str, int | float], whole: int | float) -> list[str]:
+    """The sources with queues of their own, largest first: those due ``1 / SMALL`` of a window or more.
+
+    If those left are due less than half of that together, they take the smallest own queue in, so that no queue starves.
+    """
+    own = sorted((s for s, n in shares.items() if n * SMALL >= whole > 0), key=lambda s: (-shares[s], s))
+    rest = whole - sum(shares[s] for s in own)
+    if own and 1e-9 * whole < rest and rest * 2 * SMALL < whole:
+        own.pop()
+    return own
+
+
 def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", source: str = "source", length: int = 2048, end: int = 1, targets: dict[str, float] | None = None, keep_ids: bool = False) -> DataFrame:
     """(doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): the pieces of every document.
 
     targets: share of each source in a window (null and unnamed sources: 0); None: each source's share of all tokens. Full
     windows come first; the tail, under one window for each source, is packed in order and ends in windows whose lengths are
-    powers of two, so that nothing is padded. Null and empty texts are the end id alone. Sources beyond the ``QUEUES`` - 1
-    most frequent ones share a queue. Repeated rows are packed again. An empty table gives an empty table.
+    powers of two, so that nothing is padded. Null and empty texts are the end id alone; texts are tokenised whole, however
+    long. A null source counts as the empty one. Repeated rows, and rows of equal or null key, are packed again. Sources of
+    equal share are ordered by name. Other columns are not read. An empty table gives an empty table, with targets, too.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(source), F.lit("")).alias("source"))
-    named = [r.source for r in rows.groupBy("source").count().orderBy(F.desc("count"), "source").limit(QUEUES - 1).collect()]
-    number = {s: i + 1 for i, s in enumerate(sorted(named))}  # 0: all others
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder, before, part = _encoder(tokenizer), [0] * QUEUES, 0
+        encoder, before, part, at = _encoder(tokenizer), {}, 0, 0
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
             for i in range(0, b.num_rows, 200):
-                queue, so_far, n, ids = [], [], [], []
+                so_far, n, ids = [], [], []
                 for found, s in zip(encoder.encode([own or "" for own in columns[1][i : i + 200]]), columns[2][i : i + 200], strict=True):
                     found = np.append(found, np.uint32(end))
-                    q = number.get(s, 0)
-                    queue.append(q)
-                    so_far.append(before[q])
-                    before[q] += len(found)
+                    so_far.append(before.get(s, 0))
+                    before[s] = so_far[-1] + len(found)
                     n.append(len(found))
                     ids.append(found.astype("<u2" if found.max() < 1 << 16 else "<u4").tobytes())
                 part = columns[3][i]
-                yield {"part": [part] * len(n), "doc_id": columns[0][i : i + 200], "source": columns[2][i : i + 200], "queue": queue, "before": so_far, "n": n, "ids": ids}
+                yield {"part": [part] * len(n), "row": (part << 36) + np.arange(at, at + len(n)), "doc_id": columns[0][i : i + 200], "source": columns[2][i : i + 200], "before": so_far, "n": n, "ids": ids}
+                at += len(n)
 
     kind = docs.schema[key].dataType.simpleString()
-    tokens = materialise(arrow_map(rows.withColumn("part", F.spark_partition_id()), tokenise, f"part int, doc_id {kind}, source string, queue int, before long, n long, ids binary"), "tokens")
-    sums = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    totals = [0] * QUEUES
-    for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        totals[r.queue] = r.n
-    weights = None if targets is None else [0.0, *(float(targets.get(s, 0)) for s in sorted(named)), *[0.0] * (QUEUES - 1 - len(named))]
-    placer = spark.sparkContext.broadcast(Placer(totals, weights, length))
-    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("queue", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    tokens = materialise(arrow_map(rows.withColumn("part", F.spark_partition_id()), tokenise, f"part int, row long, doc_id {kind}, source string, before long, n long, ids binary"), "tokens")
+    sums = materialise(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-counts")
+    totals = sums.groupBy("source").agg(F.sum("n").alias("total"))
+    if targets is None:
+        whole = totals.agg(F.sum("total")).first()[0] or 0
+        shares = {r.source: r.total for r in totals.filter(F.col("total") * SMALL >= whole).collect()}  # at most SMALL rows
+        weight, wanted = F.col("total").cast("double"), F.lit(True)
+    else:
+        whole, shares = sum(targets.values()), targets
+        given = F.create_map(*[x for s, w in targets.items() for x in (F.lit(s), F.lit(float(w)))]) if targets else F.create_map().cast("map<string,double>")
+        weight, wanted = F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0)), F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0)) > 0
+    own = queues_of(shares, whole)
+    number = {s: i + 1 for i, s in enumerate(own)}
+    last = len(own) + 1  # the queue of sources that are not wanted; queue 0: the small ones
+    numbers = F.create_map(*[F.lit(x) for kv in number.items() for x in kv]) if number else F.create_map().cast("map<string,int>")
+    known = totals.select("source", "total", weight.alias("weight"), F.coalesce(F.try_element_at(numbers, F.col("source")), F.when(wanted, 0).otherwise(last)).alias("queue"))
+    queue_totals = [0] * (last + 1)
+    for r in known.groupBy("queue").agg(F.sum("total").alias("n")).collect():  # at most SMALL + 2 rows
+        queue_totals[r.queue] = r.n
+    weights = None
+    if targets is not None:
+        weights = [max(0.0, whole - sum(targets[s] for s in own)), *(float(targets[s]) for s in own), 0.0]
+    placer = spark.sparkContext.broadcast(Placer(queue_totals, weights, length))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    if sums.count() <= 1 << 18:
+        bases = F.broadcast(bases)  # counted: at most 2^18 rows
+    placed = tokens.join(bases, ["source", "part"]).withColumn("queue", F.coalesce(F.try_element_at(numbers, F.col("source")), F.lit(0)))
+    found = placed.filter("queue > 0").select("doc_id", "source", F.col("queue").cast("long").alias("queue"), (F.col("base") + F.col("before")).alias("first"), "n", "ids")
+    if queue_totals[0] or queue_totals[last]:
+        shared = placed.filter("queue = 0").select("row", "source", (F.col("base") + F.col("before")).alias("first"), "n").join(known.filter(F.col("queue").isin(0, last)), "source")
+        turns = materialise(_turns(shared, queue_totals[0] + queue_totals[last]), "turns")
+        found = found.union(tokens.join(turns.hint("merge"), "row").select("doc_id", "source", F.col("queue").cast("long"), "first", "n", "ids"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -321,5 +386,24 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
                     out = {"doc_id": b.column(0).take(pa.array(row)), "source": b.column(1).take(pa.array(row)), "start": start, "length": size, "ids_crc32": np.fromiter(map(zlib.crc32, cut), np.int64, len(cut)), "doc_tokens": n[row], "sequence_id": window, "offset": offset}
                     yield out | {"ids": cut} if keep_ids else out
 
-    placed = tokens.join(bases, ["queue", "part"]).select("doc_id", "source", F.col("queue").cast("long").alias("queue"), (F.col("base") + F.col("before")).alias("first"), "n", "ids")
-    return arrow_map(placed, place, f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{', ids binary' * keep_ids}")
+    return arrow_map(found, place, f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{', ids binary' * keep_ids}")
+
+
+def _turns(rows: DataFrame, tokens: int, *, slot_tokens: int = 1 << 21) -> DataFrame:
+    """(row, queue, first): where each document starts in the queue that its source shares with others.
+
+    rows: (row, source, first, n, total, weight, queue), first being the place in the source's own tokens. A document is due
+    when its source, by its weight (its total, in the queue of unwanted ones), has been given that many tokens; a hash of the
+    source says where within its documents. Times are dealt to slots of about ``slot_tokens``, whose totals are added up.
+    """
+    weight = F.when(F.col("queue") == 0, F.col("weight")).otherwise(F.col("total"))
+    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20)
+    due = rows.select("row", "queue", "n", ((F.col("first") + phase * F.col("n")) / weight).alias("due"), (F.col("total") / weight).alias("span"))
+    longest = due.groupBy("queue").agg(F.max("span").alias("longest"))
+    slots = max(1, tokens // slot_tokens)
+    timed = due.join(F.broadcast(longest), "queue").withColumn("slot", F.floor(F.col("due") / F.col("longest") * slots))  # two rows at most
+    timed = timed.select("row", "queue", "n", "due", "slot")
+    before = Window.partitionBy("queue").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = timed.groupBy("queue", "slot").agg(F.sum("n").alias("n")).select("queue", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("queue", "slot").orderBy("due", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return timed.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["queue", "slot"]).select("row", "queue", (F.col("start") + F.col("inside")).alias("first"))
