@@ -127,32 +127,78 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), rules.limit(0), urls.link_edges(pages.limit(0))).count() == 0
 
 
+def brute_leaks(docs, items, theta=0.6, overlap=0.8):
+    """Every item against every passage: BM25 by its formula, shingles by sets."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    items = [(i, t, words(t)) for i, t in items if i is not None and words(t)]
+    longest, mean = max(len(w) for *_, w in items), sum(len(w) for *_, w in items) / len(items)
+    df = collections.Counter(t for *_, w in items for t in set(w))
+    out = {}
+    for doc, text in docs:
+        every = words(text)
+        for i, t, w in items:
+            group = int(math.log(longest / len(w), 4) + 1e-9)
+            step = longest // 4**group
+            impact = {x: math.log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, n in collections.Counter(w).items()}
+            q, a = decontam.question_and_answer(t)
+            for at in range(0, max(1, len(every) - step), step):
+                passage = every[at : at + 2 * step]
+                score = sum(x for y, x in impact.items() if y in passage) / sum(impact.values())
+                held = [1.0 if not s else len(s & decontam.shingles(passage, len(next(iter(s))))) / len(s) for s in (decontam.shingles(q), decontam.shingles(a))]
+                if score >= theta - 1e-6 and min(held) >= overlap:
+                    out[doc, i] = max(out.get((doc, i), 0.0), score)
+    return out
+
+
 def test_decontamination(spark, documents):
     rows, df = documents
     item = "Which water was there first of all these? The answer is the old stone bridge over there."
-    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one two three"), (5, item)], "item_id long, text string")
-    planted = df.select("doc_id", "text").union(spark.createDataFrame([(900, "before " * 300 + item.upper() + " after" * 300), (901, "Which water was there first of all these? Nobody knows."), (902, "x one two three y"), (903, item)], "doc_id long, text string"))
-    got = {(r.doc_id, r.item_id): r.score for r in decontam.find(planted, items).collect()}
-    assert set(got) == {(900, 1), (900, 5), (902, 4), (903, 1), (903, 5)}
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one two three"), (5, item), (None, item)], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    planted = df.select("doc_id", "text").union(spark.createDataFrame([(900, "before " * 300 + item.upper() + " after" * 30_000), (901, "Which water was there first of all these? Nobody knows."), (902, "x one two three y"), (903, item), (903, item), (None, item)], "doc_id long, text string")).withColumns({"score": F.lit("clash"), "item_id": F.lit("clash")})
+    found = decontam.find(planted, items).collect()
+    got = {(r.doc_id, r.item_id): r.score for r in found}
+    assert set(got) == {(900, 1), (900, 5), (902, 4), (903, 1), (903, 5), (None, 1), (None, 5)} and len(found) == 9
     assert all(math.isclose(s, 1.0, abs_tol=1e-6) for s in got.values())
-    assert {(r.doc_id, r.item_id) for r in decontam.find(planted, items, items_at_once=2).collect()} == set(got)
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.find(planted, items, index_bytes=90).collect()}.keys() == got.keys()
     assert decontam.find(df.limit(0), items).count() == 0 and decontam.find(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(i, f"{say(int(rng.integers(3, 30)))}? {say(int(rng.integers(1, 20)))}." if i % 3 else say(int(rng.integers(1, 9)))) for i in range(60)]
+    docs = []
+    for i in range(80):
+        part = items[i % 60][1].split()
+        for _ in range(i % 7):
+            part[int(rng.integers(len(part)))] = say(1)
+        docs.append((i, f"{say(int(rng.integers(0, 150)))} {' '.join(part)} {say(int(rng.integers(0, 150)))}"))
+    want = brute_leaks(docs, items)
+    assert 30 < len(want)
+    for index_bytes in (4 << 20, 700):
+        got = {(r.doc_id, r.item_id): r.score for r in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), index_bytes=index_bytes).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
 def test_wand_equals_exhaustive():
     rng = np.random.default_rng(3)
     vocabulary = [f"w{i}" for i in range(60)]
     index = decontam.Index([(i, " ".join(rng.choice(vocabulary, rng.integers(3, 15)))) for i in range(90)])
+    skipped = 0
     for _ in range(40):
         terms = set(rng.choice(vocabulary, 20).tolist()) & index.number.keys()
-        for theta in (0.3, 0.6):
+        for theta in (0.3, 0.6, 0.9):
             scores = collections.Counter()
             for t in terms:
                 for i, x in zip(*index.postings[t], strict=True):
                     scores[i] += x
             want = {i for i, s in scores.items() if s >= theta}
             assert {i for i, _ in index.retrieve(terms, theta)} == want
-            assert index.bound(terms) >= max(scores.values()) - 1e-9
+            open_ = set(index.open_blocks(terms, theta).tolist())
+            assert {i // decontam.BLOCK for i in want} <= open_
+            skipped += index.n_blocks - len(open_)
+    assert skipped
 
 
 def test_packing(spark, documents):

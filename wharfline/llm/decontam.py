@@ -3,7 +3,8 @@
 Impacts are divided by the item's score against itself, so that 1 means that a passage holds all of the item's terms. What
 scores at least ``theta`` is verified: the item's question and its answer (the last sentence) must both overlap the passage.
 
-Documents, and then passages, whose best possible score is below ``theta`` are left out before the search.
+Block maxima rule items out: the sum of a passage's terms' largest impacts in a block of items bounds the score of each of
+them. Only blocks that may hold a hit are entered, by cursors that move to the next item whose terms' maxima reach ``theta``.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, csr_take, texts
+from .shared import arrow_map, csr_take, materialise, texts
 
 K1, B = 1.2, 0.75
-BLOCK = 8  # items in a block
+BLOCK = 4  # items in a block
+SPREAD = 4  # items of an index differ in length by less than this factor, so that passages fit them
 
 words_of = re.compile(r"\w+").findall
 _sentences = re.compile(r"(?<=[.!?])\s+|\n+").split
@@ -40,18 +42,21 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Postings (items in order, impacts) by term, and the largest impact of each block of items."""
-
-    def __init__(self, items: list[tuple[object, str]]) -> None:
-        words = [(i, words_of(t.lower())) for i, t in items]
-        self.items = [i for i, w in words if w]
-        own = [Counter(w) for _, w in words if w]
-        parts = [question_and_answer(t) for (_, t), (_, w) in zip(items, words, strict=True) if w]
+    """Postings (items in order, impacts) by term, and the largest impact of each term in each block of items."""
+
+    def __init__(self, items: list[tuple[object, str]], frequency: dict[str, int] | None = None, n_items: int | None = None, mean: float | None = None, step: int | None = None) -> None:
+        """frequency, n_items, mean: in how many items a term is, their number and mean length in the whole benchmark; step: words that no item exceeds (default: of these items)."""
+        words = [(i, words_of(t.lower()), t) for i, t in items]
+        words = [x for x in words if x[1]]
+        self.items = [i for i, _, _ in words]
+        own = [Counter(w) for _, w, _ in words]
+        parts = [question_and_answer(t) for _, _, t in words]
         self.questions, self.answers = [shingles(q) for q, _ in parts], [shingles(a) for _, a in parts]
         sizes = [c.total() for c in own]
-        self.longest, mean = max(sizes, default=0), sum(sizes) / max(1, len(sizes))
-        df = Counter(t for c in own for t in c)
-        idf = {t: math.log1p((len(own) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        self.step = step or max(sizes, default=1)
+        if frequency is None:
+            frequency, n_items, mean = Counter(t for c in own for t in c), len(own), sum(sizes) / max(1, len(sizes))
+        idf = {t: math.log1p((n_items - frequency[t] + 0.5) / (frequency[t] + 0.5)) for c in own for t in c}
         self.postings: dict[str, tuple[list[int], list[float]]] = {}
         for at, c in enumerate(own):
             norm = K1 * (1 - B + B * sizes[at] / mean)
@@ -62,28 +67,38 @@ class Index:
                 ids.append(at)
                 impacts.append(x / total)
         self.number = {t: i for i, t in enumerate(self.postings)}
-        self.blocks = -(-len(own) // BLOCK)
-        self.block_max = np.zeros((len(self.number), self.blocks), np.float32)
-        for t, (ids, impacts) in self.postings.items():
-            np.maximum.at(self.block_max[self.number[t]], np.array(ids) // BLOCK, impacts)
-
-        sizes = [len(ids) for ids, _ in self.postings.values()]
-        self.many = np.array(sizes, np.int64)
+        self.n_blocks = -(-len(own) // BLOCK)
+        blocks, tops, many = [], [], []
+        for ids, impacts in self.postings.values():
+            best: dict[int, float] = {}
+            for i, x in zip(ids, impacts, strict=True):
+                best[i // BLOCK] = max(best.get(i // BLOCK, 0.0), x)
+            blocks += best
+            tops += best.values()
+            many.append(len(best))
+        self.blocks, self.tops, self.many = np.array(blocks, np.int64), np.array(tops), np.array(many, np.int64)
         self.starts = np.cumsum(self.many) - self.many
-        self.flat_ids = np.array([i for ids, _ in self.postings.values() for i in ids], np.int64)
-        self.flat_impacts = np.array([x for _, impacts in self.postings.values() for x in impacts])
 
-    def bound(self, terms: set[str]) -> float:
-        """The best score of an item with all these terms; no passage with some of them scores more."""
+    def open_blocks(self, terms: set[str], theta: float) -> np.ndarray:
+        """Blocks of which some item may score theta: those where the terms' block maxima add up to it."""
         rows = np.fromiter(map(self.number.__getitem__, terms), dtype=np.int64, count=len(terms))
         at = csr_take(self.starts[rows], self.many[rows])
-        return float(np.bincount(self.flat_ids[at], self.flat_impacts[at]).max(initial=0)) if len(at) else 0.0
+        return np.flatnonzero(np.bincount(self.blocks[at], self.tops[at], self.n_blocks) >= theta - 1e-6)
 
     def retrieve(self, terms: set[str], theta: float) -> list[tuple[int, float]]:
-        """(item, score) of all items that score at least theta, by block-max WAND."""
+        """(item, score) of all items that score at least theta, by block-max WAND.
+
+        Cursors stand in the postings of the terms, in order of their items. The pivot is the first item at which the maxima
+        of the lists up to there reach theta: nothing before it can. In a block whose maxima can't reach it no item is scored.
+        """
         out: list[tuple[int, float]] = []
-        cursors = [[self.postings[t][0], self.postings[t][1], 0, max(self.postings[t][1]), self.number[t]] for t in terms]
+        may = self.open_blocks(terms, theta).tolist()
+        if not may:
+            return out
         theta -= 1e-6  # sums in another order differ
+        lists = [self.postings[t] for t in terms]
+        # [items, impacts, position, largest impact]; a cursor enters at the first block that may hold a hit
+        cursors = [[ids, impacts, bisect_left(ids, may[0] * BLOCK), max(impacts)] for ids, impacts in lists]
         while True:
             cursors = sorted((c for c in cursors if c[2] < len(c[0])), key=lambda c: c[0][c[2]])
             upper, pivot = 0.0, -1
@@ -95,42 +110,35 @@ class Index:
             if pivot < 0:
                 return out
             item = cursors[pivot][0][cursors[pivot][2]]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0][cursors[pivot + 1][2]] == item:
-                pivot += 1
-            front, block = cursors[: pivot + 1], item // BLOCK
-            if float(self.block_max[[c[4] for c in front], block].sum()) < theta:
-                to = (block + 1) * BLOCK  # nothing in this block before the next cursor's item can do
-                if pivot + 1 < len(cursors):
-                    to = min(to, cursors[pivot + 1][0][cursors[pivot + 1][2]])
-                for c in front:
-                    c[2] = bisect_left(c[0], max(to, item + 1), c[2])
+            at = bisect_left(may, item // BLOCK)
+            if at == len(may):
+                return out
+            if may[at] != item // BLOCK:  # no item of this block, nor of those up to the next that may, can reach theta
+                for c in cursors:
+                    c[2] = bisect_left(c[0], may[at] * BLOCK, c[2])
             elif cursors[0][0][cursors[0][2]] == item:
+                front = [c for c in cursors if c[0][c[2]] == item]
                 score = sum(c[1][c[2]] for c in front)
                 if score >= theta:
                     out.append((item, score))
                 for c in front:
                     c[2] += 1
             else:
-                for c in front:
+                for c in cursors[: pivot + 1]:
                     c[2] = bisect_left(c[0], item, c[2])
 
-    def contaminated(self, text: str, theta: float, overlap: float) -> dict[int, tuple[float, float, float]]:
+    def contaminated(self, words: list[str], theta: float, overlap: float) -> dict[int, tuple[float, float, float]]:
         """item: (score, question overlap, answer overlap), the best over the text's passages, for verified items.
 
-        Passages are twice as long as the longest item and start at each multiple of its length, so that one holds any copy whole.
+        Passages are 2 * ``step`` words and start at each multiple of ``step``, so that one holds any copy of an item whole.
         """
-        words = words_of(text.lower())
         found: dict[int, tuple[float, float, float]] = {}
-        if self.bound(self.number.keys() & set(words)) < theta - 1e-6:  # bounds all passages
+        if not len(self.open_blocks(self.number.keys() & set(words), theta)):  # bounds all passages
             return found
-        step = max(1, self.longest)
-        for i in range(0, max(1, len(words) - step), step):
-            passage = words[i : i + 2 * step]
-            terms = self.number.keys() & set(passage)
-            if self.bound(terms) < theta - 1e-6:
-                continue
+        for i in range(0, max(1, len(words) - self.step), self.step):
+            passage = words[i : i + 2 * self.step]
             own: set[tuple[str, ...]] | None = None
-            for item, score in self.retrieve(terms, theta):
+            for item, score in self.retrieve(self.number.keys() & set(passage), theta):
                 own = own if own is not None else shingles(passage)
                 q, a = (self._held(s, own, passage) for s in (self.questions[item], self.answers[item]))
                 if q >= overlap and a >= overlap:
@@ -146,30 +154,66 @@ class Index:
         return len(wanted & (own if width == 5 else shingles(passage, width))) / len(wanted)
 
 
-def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", theta: float = 0.6, overlap: float = 0.8, items_at_once: int = 4096) -> DataFrame:
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Each item's distinct terms, and its length under the null term."""
+    for b in batches:
+        term, many = [], []
+        for t in texts(b):
+            if words := words_of(t.lower()):
+                own = set(words)
+                term += [None, *own]
+                many += [len(words), *[0] * len(own)]
+        yield {"term": term, "words": many}
+
+
+def find(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", theta: float = 0.6, overlap: float = 0.8, index_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each document and item that it contains.
 
-    Every passage of the whole text is searched. Null and empty texts and items without words match nothing; repeated rows
-    give repeated results. Items are indexed ``items_at_once`` at a time: each block's index is broadcast and passed over the documents.
+    Every passage of the whole text is searched, however long. Null and empty texts and items without words or id match
+    nothing; items of equal text are each found, as are those of equal id with different texts; repeated rows of either
+    table give repeated results, and equal scores are no case: every item from ``theta`` on counts. Other columns are not
+    read. An empty table of documents or items gives an empty table. Scores take term statistics of all items. Items are
+    indexed by about ``index_bytes`` of text at a time: each index is broadcast and passed over the documents.
     """
     spark = docs.sparkSession
     keyed = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
-    blocks = max(1, -(-keyed.count() // items_at_once))
+    counted = materialise(arrow_map(keyed.select("text"), _terms, "term string, words long").groupBy("term").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest")), "item-terms")
+    whole = counted.filter("term is null").first()
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // index_bytes))
     out = None
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, item_id {items.schema[item_key].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
     for b in range(blocks):
-        some = sorted((r.item_id, r.text) for r in keyed.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())
-        found = arrow_map(rows, _search(spark.sparkContext.broadcast(Index(some)), theta, overlap), schema)
+        some = keyed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        used = arrow_map(some.select("text"), _terms, "term string, words long").select("term").distinct()
+        frequency = {r.term: r.n for r in counted.join(used, "term").select("term", "n").collect()}  # terms of about index_bytes
+        held = sorted((r.item_id, r.text) for r in some.collect())
+        indexes = _by_length(held, frequency, whole.n, whole.words / whole.n, whole.longest) if whole else []
+        found = arrow_map(rows, _search(spark.sparkContext.broadcast(indexes), theta, overlap), schema)
         out = found if out is None else out.union(found)
     return out
 
 
-def _search(index, theta: float, overlap: float):  # noqa: ANN001, ANN202
+def _by_length(items: list[tuple[object, str]], frequency: dict[str, int], n_items: int, mean: float, longest: int) -> list[Index]:
+    """An index for each class of lengths, the longest first; the classes are those of the whole benchmark, whose longest item is given."""
+    classes: dict[int, list[tuple[object, str]]] = defaultdict(list)
+    for i, t in items:
+        if n := len(words_of(t.lower())):
+            classes[int(math.log(longest / n, SPREAD) + 1e-9)].append((i, t))
+    return [Index(classes[c], frequency, n_items, mean, longest // SPREAD**c) for c in sorted(classes)]
+
+
+def _search(indexes, theta: float, overlap: float):  # noqa: ANN001, ANN202
+    names = ("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            out = [(doc, index.value.items[item], *scores) for doc, t in zip(b.column(0).to_pylist(), texts(b), strict=True) for item, scores in sorted(index.value.contaminated(t, theta, overlap).items())]
-            names = ("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+            out = []
+            for doc, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
+                words = words_of(t.lower())
+                for index in indexes.value:
+                    out += [(doc, index.items[item], *scores) for item, scores in sorted(index.contaminated(words, theta, overlap).items())]
             yield {n: [row[i] for row in out] for i, n in enumerate(names)}
 
     return rows
