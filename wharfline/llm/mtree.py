@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map
 
-LEAF, FAN = 256, 16
+LEAF, FAN = 2048, 16
 
 
 class MTree:
@@ -28,10 +28,11 @@ class MTree:
         self.ids, self.points = ids, points
         lengths = (points.astype(np.float64) ** 2).sum(axis=1)
         self.most = float(lengths.max(initial=0))
-        self.lifted = np.concatenate([points, np.sqrt(self.most - lengths)[:, None]], axis=1)
+        self.lifted = np.concatenate([points, np.sqrt(self.most - lengths)[:, None]], axis=1)  # while the tree is built
         self.order: list[np.ndarray] = []
         self.pages: list[tuple] = []  # (routing row, radius, children or entries, their distances to the routing row, is a leaf)
         self.root = self._build(np.arange(len(ids)), 0) if len(ids) else None
+        del self.lifted
 
     def _far(self, rows: np.ndarray, row: int) -> np.ndarray:
         return np.sqrt(((self.lifted[rows] - self.lifted[row]) ** 2).sum(axis=1))
@@ -51,51 +52,86 @@ class MTree:
         self.pages.append((row, float(far.max()), children, at, False))
         return len(self.pages) - 1
 
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ids other than ``own``; ties to the smaller id."""
-        best: list[tuple[int, int]] = []  # a heap of (score, -id)
+    def search(self, queries: np.ndarray, owns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, score, id) of each query's k best, ids other than its own; ties to the smaller id.
+
+        Every query has its own queue of pages, nearest bound first, and its own reach, the distance of its k-th best so far.
+        In a round each query takes its next page; queries that take the same page are computed together.
+        """
+        m = len(queries)
+        scores = np.full((m, k), np.iinfo(np.int64).min)
+        ids = np.full((m, k), np.iinfo(np.int64).max)
         if self.root is None:
-            return best
-        q = np.append(query, 0).astype(np.float64)
-        length = float((q * q).sum()) + self.most
-        reach = np.inf
-        distance = lambda rows: np.sqrt(((self.lifted[rows] - q) ** 2).sum(axis=1))
-        d = float(distance(np.array([self.pages[self.root][0]]))[0])
-        queue = [(max(0.0, d - self.pages[self.root][1]), self.root, d)]
-        while queue:
-            bound, page, d = heapq.heappop(queue)
-            if bound > reach:
-                break
-            _, _, entries, far, leaf = self.pages[page]
-            if leaf:
-                rows = entries[np.abs(far - d) <= reach]
-                scores = self.points[rows] @ query
-                if len(best) == k:
-                    keep = scores >= best[0][0]
-                    rows, scores = rows[keep], scores[keep]
-                for row in np.lexsort((self.ids[rows], -scores)):
-                    item = (int(scores[row]), -int(self.ids[rows[row]]))
-                    if -item[1] == own:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-                    else:
-                        break
-                if len(best) == k:
-                    near = max(0.0, length - 2.0 * best[0][0]) ** 0.5
-                    reach = near + 1e-6 * (1 + near)
-            else:
-                radii = np.array([self.pages[c][1] for c in entries])
-                some = np.abs(far - d) - radii <= reach  # stored distances rule the others out
-                if some.any():
-                    children = entries[some]
-                    at = distance(np.array([self.pages[c][0] for c in children]))
-                    for c, x, r in zip(children.tolist(), at.tolist(), radii[some].tolist(), strict=True):
-                        if x - r <= reach:
-                            heapq.heappush(queue, (max(0.0, x - r), c, x))
-        return [(score, -i) for score, i in sorted(best, reverse=True)]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        asked = queries.astype(np.float64)
+        lengths = (asked * asked).sum(axis=1)
+        reach = np.full(m, np.inf)
+        first = self._distances(asked, lengths, np.arange(m), np.array([self.pages[self.root][0]]))[:, 0].tolist()
+        queues: list[list[tuple[float, int, float]]] = [[(max(0.0, d - self.pages[self.root][1]), self.root, d)] for d in first]
+        active = range(m)
+        while active:
+            taken: dict[int, tuple[list[int], list[float]]] = {}
+            limits, still = reach.tolist(), []
+            for q in active:
+                if queues[q] and queues[q][0][0] <= limits[q]:
+                    _, page, d = heapq.heappop(queues[q])
+                    members, far = taken.setdefault(page, ([], []))
+                    members.append(q)
+                    far.append(d)
+                    still.append(q)
+            for page, (members, far) in taken.items():
+                if self.pages[page][4]:
+                    self._enter_leaf(page, np.array(members), np.array(far), asked, owns, scores, ids, reach, lengths)
+                else:
+                    self._enter_node(page, members, np.array(far), asked, lengths, reach, queues)
+            active = still
+        row, at = np.nonzero(ids < np.iinfo(np.int64).max)
+        return row, scores[row, at], ids[row, at]
+
+    def _distances(self, asked: np.ndarray, lengths: np.ndarray, some: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Distances of queries to vectors: |q|^2 + M^2 - 2 qx, as every lifted vector is M long."""
+        return np.sqrt(np.maximum(0.0, lengths[some][:, None] + self.most - 2.0 * asked[some] @ self.points[rows].astype(np.float64).T))
+
+    def _enter_node(self, page: int, members: list[int], d: np.ndarray, asked: np.ndarray, lengths: np.ndarray, reach: np.ndarray, queues: list) -> None:
+        _, _, entries, far, _ = self.pages[page]
+        radii = np.array([self.pages[c][1] for c in entries])
+        some = np.array(members)
+        may = np.abs(far[None] - d[:, None]) - radii <= reach[some][:, None]  # stored distances rule the others out
+        children = np.flatnonzero(may.any(axis=0))
+        if not len(children):
+            return
+        at = self._distances(asked, lengths, some, np.array([self.pages[c][0] for c in entries[children]]))
+        bound = at - radii[children]
+        for i, j in zip(*np.nonzero(may[:, children] & (bound <= reach[some][:, None])), strict=True):
+            heapq.heappush(queues[members[i]], (max(0.0, bound[i, j]), int(entries[children[j]]), at[i, j]))
+
+    def _enter_leaf(self, page: int, some: np.ndarray, d: np.ndarray, asked: np.ndarray, owns: np.ndarray, scores: np.ndarray, ids: np.ndarray, reach: np.ndarray, lengths: np.ndarray) -> None:
+        _, _, rows, far, _ = self.pages[page]
+        may = np.abs(far[None] - d[:, None]) <= reach[some][:, None]
+        rows, may = rows[may.any(axis=0)], may[:, may.any(axis=0)]
+        if not len(rows):
+            return
+        k = scores.shape[1]
+        found = self._products(asked[some], rows)
+        may &= (found >= scores[some][:, -1:]) & (self.ids[rows][None] != owns[some][:, None])
+        better = np.flatnonzero(may.any(axis=1))
+        if not len(better):
+            return
+        some = some[better]
+        low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        both = np.concatenate([scores[some], np.where(may[better], found[better], low)], axis=1)
+        names = np.concatenate([ids[some], np.where(may[better], self.ids[rows][None], high)], axis=1)
+        best = np.lexsort((names, ~both), axis=1)[:, :k]
+        scores[some], ids[some] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+        full = ids[some, -1] < high
+        near = np.sqrt(np.maximum(0.0, lengths[some[full]] + self.most - 2.0 * scores[some[full], -1]))
+        reach[some[full]] = near + 1e-6 * (1 + near)
+
+    def _products(self, asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact inner products: in doubles where no sum can pass 2^53, else in integers."""
+        if self.most**0.5 * float(np.sqrt((asked * asked).sum(axis=1)).max(initial=0)) < 1 << 52:
+            return (asked @ self.points[rows].astype(np.float64).T).astype(np.int64)
+        return asked.astype(np.int64) @ self.points[rows].T
 
 
 def _blocks(df: DataFrame, rows_each: int, make) -> tuple[DataFrame, int]:  # noqa: ANN001
@@ -118,12 +154,14 @@ def _blocks(df: DataFrame, rows_each: int, make) -> tuple[DataFrame, int]:  # no
     return arrow_map(df.repartition(n).withColumn("block", F.spark_partition_id()), pack, "block int, dim int, data binary"), n
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, tree_rows: int = 16_384, query_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, tree_rows: int = 16_384, query_rows: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k candidates with the highest integer inner product.
 
-    Both tables: (vec_id long, vector array<long>). Every tree meets every block of queries, in a task of its own. Vectors of
-    another length than the query's take no part, nor do rows with a null id, a null vector or a null component. A candidate
-    with the query's id is the query's own row. Repeated query rows give repeated results; fewer than k candidates give all.
+    Both tables: (vec_id long, vector array<long>), whose other columns are not read. Every tree meets every block of queries.
+    Vectors of another length than the query's take no part, nor do rows with a null id, a null vector or a null component.
+    The id names a row: candidates with the query's id are the query's own. Ties go to the smaller id; candidates that are
+    repeated rows are ranked each. Repeated query rows give repeated results; fewer than k candidates give all, an empty
+    table of either kind none. Vectors of any length may come; each length has its own trees.
     """
     whole = "vec_id is not null and vector is not null and forall(vector, x -> x is not null)"
     trees, n_trees = _blocks(vectors.filter(whole).select("vec_id", "vector"), tree_rows, MTree)
@@ -132,18 +170,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, tree_rows: int
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"), "dim", F.col("block").alias("part"), "data")
 
     def search(tree: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int, int]] = []
+        out: list[list[np.ndarray]] = []
         for t in tree.column("data").to_pylist():
             found = pickle.loads(t)
             for part, q in zip(queries.column("part").to_pylist(), queries.column("data").to_pylist(), strict=True):
                 ids, matrix = pickle.loads(q)
-                for at, (own, row) in enumerate(zip(ids.tolist(), matrix.astype(np.int64), strict=True)):
-                    out += [(part, at, own, i, score) for score, i in found.search(row, own, k)]
+                row, score, vec = found.search(matrix, ids, k)
+                out.append([np.full(len(row), part), row, ids[row], vec, score])
         names = ("part", "at", "query_id", "vec_id", "score")
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table({name: pa.array([row[j] for row in out], type=kind) for j, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+        return pa.table({name: pa.array(np.concatenate([np.zeros(0, np.int64), *[o[i] for o in out]]), type=kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
 
     keys = ("tree", "dim", "part")
+    tasks = min(n_trees * n_asked, 1 << 16)
+    trees, asked = trees.repartition(tasks, *keys), asked.repartition(tasks, *keys)  # small rows, long searches: a task for each
     found = trees.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "part int, at int, query_id long, vec_id long, score long")
     best = Window.partitionBy("part", "at", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
