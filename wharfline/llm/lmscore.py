@@ -208,12 +208,12 @@ def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text
     kind = documents.schema["id"].dataType.simpleString()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """To buckets: bigrams, second words, rows and counts; under bucket -1: what is known of each document of a chunk."""
+        """To buckets: bigrams, second words, rows and counts; and with ids, what is known of each document of a chunk."""
         m = model.value
         words = Words(m.common, m.listed)
         context = np.zeros((0, 2))
         for first, (sides, keys, own, parts) in _chunks(batches):
-            if len(words.hashes) > 1_000_000:
+            if len(words.hashes) > 300_000:
                 words.forget()
                 context = np.zeros((0, 2))
             read = [words.read(t or "") for t in own]
@@ -259,14 +259,18 @@ def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text
             none = [None] * len(used)
             yield {"bucket": used, "base": [base] * len(used), "pairs": [codes[which[s:e]].tobytes() for s, e in cuts], "words": names, "rows": [row[s:e].tobytes() for s, e in cuts], "many": [_short(many[s:e]) for s, e in cuts], "id": none, "n": none, "t": none, "b": none}
             if len(scored):
-                yield {"bucket": [-1], "base": [base], "pairs": [None], "words": [None], "rows": [None], "many": [None], "id": [[keys[i] for i in scored]], "n": [sizes], "t": [sums[:, 0]], "b": [sums[:, 1]]}
+                yield {"bucket": [base % (2 * buckets)], "base": [base], "pairs": [None], "words": [None], "rows": [None], "many": [None], "id": [[keys[i] for i in scored]], "n": [sizes], "t": [sums[:, 0]], "b": [sums[:, 1]]}
 
-    sent = materialise(arrow_map(_corpora(target, documents), send, f"bucket int, base long, pairs binary, words binary, rows binary, many binary, id array<{kind}>, n array<long>, t array<double>, b array<double>"), "bigrams")
+    own = f"id array<{kind}>, n array<long>, t array<double>, b array<double>"
+    sent = arrow_map(_corpora(target, documents), send, f"bucket int, base long, pairs binary, words binary, rows binary, many binary, {own}")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now, held = None, []
-        for b in batches:
-            for bucket, base, pairs, words, rows, many in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for batch in batches:
+            for bucket, base, pairs, words, rows, many, *own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own[0] is not None:
+                    yield {"base": [base], "rows": [None], "rare_t": [None], "rare_b": [None]} | {name: [x] for name, x in zip(("id", "n", "t", "b"), own, strict=True)}
+                    continue
                 if bucket != now and held:
                     yield from sums(now & 1, held)
                     held = []
@@ -296,30 +300,36 @@ def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text
         used, starts = np.unique(keys >> 16, return_index=True)
         cuts = slices(starts, len(keys))
         rows = (keys & 0xFFFF).astype("<u2")
-        yield {"base": [held[u][0] for u in used], "rows": [rows[s:e].tobytes() for s, e in cuts], "t": [t[s:e].tobytes() for s, e in cuts], "b": [b[s:e].tobytes() for s, e in cuts]}
+        none = [None] * len(used)
+        yield {"base": [held[u][0] for u in used], "rows": [rows[s:e].tobytes() for s, e in cuts], "rare_t": [t[s:e].tobytes() for s, e in cuts], "rare_b": [b[s:e].tobytes() for s, e in cuts], "id": none, "n": none, "t": none, "b": none}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        now, t, b = None, np.zeros(ROWS), np.zeros(ROWS)
+        now, known, t, b = None, None, np.zeros(ROWS), np.zeros(ROWS)
+
+        def out() -> dict:
+            ids, n, own_t, own_b = known
+            return {"id": ids, "n": n, "t": np.array(own_t) + t[: len(n)], "b": np.array(own_b) + b[: len(n)]}
+
         for batch in batches:
-            for base, rows, more_t, more_b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for base, rows, more_t, more_b, *own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if base != now and now is not None:
-                    yield {"base": [now], "rare_t": [t.copy()], "rare_b": [b.copy()]}
+                    yield out()
                 if base != now:
                     now, t[:], b[:] = base, 0, 0
-                at = np.frombuffer(rows, "<u2")
-                t[at] += np.frombuffer(more_t)
-                b[at] += np.frombuffer(more_b)
+                if rows is None:
+                    known = own
+                else:
+                    at = np.frombuffer(rows, "<u2")
+                    t[at] += np.frombuffer(more_t)
+                    b[at] += np.frombuffer(more_b)
         if now is not None:
-            yield {"base": [now], "rare_t": [t.copy()], "rare_b": [b.copy()]}
+            yield out()
 
     parts = max(2, min(2 * buckets, 2000))
-    met = arrow_map(sent.filter("bucket >= 0").select("bucket", "base", "pairs", "words", "rows", "many").repartition(parts, "bucket").sortWithinPartitions("bucket"), meet, "base long, rows binary, t binary, b binary")
-    rare = arrow_map(met.repartition(parts, "base").sortWithinPartitions("base"), gather, "base long, rare_t array<double>, rare_b array<double>")
-    own = sent.filter("bucket = -1").select("base", "id", "n", "t", "b")
-    rest = lambda c: F.coalesce(F.slice(c, F.lit(1), F.size("n")), F.array_repeat(F.lit(0.0), F.size("n"))).alias(c)
-    zipped = own.join(rare.hint("merge"), "base", "left").select("id", "n", "t", "b", rest("rare_t"), rest("rare_b")).select(F.inline(F.arrays_zip("id", "n", "t", "b", "rare_t", "rare_b")))
-    loss = lambda side: F.round(-(F.col(side) + F.col(f"rare_{side}")) / F.col("n"), 6)
-    scored = zipped.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), loss("t").alias("loss_target"), loss("b").alias("loss_background"))
+    met = arrow_map(sent.repartition(parts, "bucket").sortWithinPartitions("bucket"), meet, f"base long, rows binary, rare_t binary, rare_b binary, {own}")
+    summed = arrow_map(met.repartition(parts, "base").sortWithinPartitions("base"), gather, f"id {kind}, n long, t double, b double")
+    loss = lambda side: F.round(-F.col(side) / F.col("n"), 6)
+    scored = summed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), loss("t").alias("loss_target"), loss("b").alias("loss_background"))
     return scored.withColumn("score", F.round(F.col("loss_target") - F.col("loss_background"), 6))
 
 
