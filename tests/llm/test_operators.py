@@ -76,6 +76,8 @@ def test_simhash(spark, documents):
     assert len(got) == len(rows) + 1
     assert {(r.doc_id, r.fp % (1 << 64), r.component_id) for r in got} == {(i, fps[i], want[i]) for i in fps}
     assert len(set(want.values())) < len(rows) - 20
+    named = df.select(F.concat(F.lit("d"), F.lpad("doc_id", 3, "0")).alias("doc_id"), "text", F.lit("clash").alias("fp")).union(spark.createDataFrame([("z", "long word " * 20_000, "")], "doc_id string, text string, fp string"))
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(named).collect()} == {(f"d{i:03}", f"d{want[i]:03}") for i in fps} | {("z", "z")}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -371,12 +373,26 @@ def test_repeats(spark, documents, crowd):
 
 
 def test_previous_factors():
+    """Value by value: the longest prefix that a suffix shares with one of a smaller document."""
     rng = np.random.default_rng(2)
-    suffixes = rng.integers(97, 99, (200, 6)).astype(np.uint8)
+    suffixes = rng.integers(97, 99, (200, 9)).astype(np.uint8)
     docs = rng.integers(0, 30, 200)
-    got = suffix.previous_factors(suffixes, docs, 6) >= 6
-    want = [any((suffixes[j] == suffixes[i]).all() and docs[j] < docs[i] for j in range(200)) for i in range(200)]
-    assert got.tolist() == want
+    common = lambda a, b: next((i for i in range(9) if a[i] != b[i]), 9)
+    want = [max((common(suffixes[j], suffixes[i]) for j in range(200) if docs[j] < docs[i]), default=0) for i in range(200)]
+    assert suffix.previous_factors(suffixes, docs, 9).tolist() == want
+    assert len(set(want)) > 4
+
+
+def test_repeats_by_ids_of_text(spark):
+    """Ids of text by their order, long texts, whole characters, a clashing column."""
+    passage = "Über die Brücke ging früher täglich ein ältlicher Müller mit Säcken, "
+    plain = [("b", passage + "äöü" * 40), ("a", "x" + passage), ("c", "word " * 30_000 + passage), (None, passage), ("d", None)]
+    df = spark.createDataFrame(plain, "doc_id string, text string").withColumn("number", F.lit("clash"))
+    got = {r.doc_id: r for r in suffix.find_repeats(df, whole_characters=True, carry=["number"]).collect()}
+    want = {i: rest for i, *rest in brute_repeats([({"a": 0, "b": 1, "c": 2, "d": 3}.get(i), t) for i, t in plain])}
+    for name, at in (("a", 0), ("b", 1), ("c", 2), ("d", 3), (None, None)):
+        assert [got[name].n_bytes, got[name].n_removed, got[name].n_spans, got[name].kept_sha256] == want[at]
+    assert got["b"].n_removed > 50 and got["b"].carried.number == "clash" and got["b"].kept.decode()
 
 
 def test_lm_scores(spark, documents):

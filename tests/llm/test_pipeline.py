@@ -1,6 +1,7 @@
 """Each stage of the pipeline against brute force on a small set of documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wharfline.llm import simhash
@@ -126,3 +127,35 @@ def test_leaks_by_row(spark, folder):
     docs = spark.createDataFrame([(None, leaked), (1, rows[0][1]), (1, leaked), (None, rows[1][1]), (2, None)], "doc_id long, text string")
     got = corpus_pipeline.leaks(spark, docs, path).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, rows[0][1]), (0, rows[1][1]), (2, "")])
+
+
+def test_language_without_labels(spark, folder):
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({"lang": F.lit(None).cast("string"), "_lang": F.lit("clash")})
+    got = corpus_pipeline.language(spark, docs, path)
+    assert got.columns == docs.columns and got.count() == docs.count()
+
+
+def test_repeats_keep_own_characters(spark, folder):
+    """Replacement characters of a text's own stay; a character of which a byte goes goes whole; columns of other names come through."""
+    path, *_ = folder
+    passage = "ein längerer Absatz, der in zwei Texten steht und über fünfzig Bytes hat"
+    rows = [(1, "ü" + passage + "ä"), (2, "keep \ufffd here ñ" + passage + "ö also \ufffd"), (3, "\ufffd alone"), (None, passage), (4, None), (2, "x" * 70), (5, "z " * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.length("text").cast("long"), "kept": F.lit("clash"), "carried": F.lit(1), "n_bytes": F.lit(2)})
+    got = corpus_pipeline.repeats(spark, docs, path)
+    assert got.columns == docs.columns
+    texts = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    want = {(1, rows[0][1]), (2, "keep \ufffd here ñ also \ufffd"), (3, rows[2][1]), (None, passage), (4, ""), (2, "x" * 70), (5, rows[6][1])}
+    assert texts == sorted((str(i), t) for i, t in want) and all(r.kept == "clash" and r.n_bytes == 2 for r in got.collect())
+
+
+def test_stages_clear_only_what_the_one_before_wrote(spark, folder, tmp_path):
+    """Runs over two folders in turn don't delete each other's tables."""
+    path, *_ = folder
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(12).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = {p: spark.read.parquet(f"{p}/documents.parquet") for p in (path, str(tmp_path))}
+    for _, stage in corpus_pipeline.STAGES:
+        results = {p: stage(spark, d, p) for p, d in docs.items()}
+        docs = {p: corpus_pipeline.materialise(r, "t") for p, r in results.items()}
+    assert all(d.count() for d in docs.values())

@@ -1,9 +1,15 @@
-"""Near-duplicate classes by exact Jaccard similarity of word shingles: a set-similarity join with prefix filter.
+"""Near-duplicate classes of texts: SimHash links, completed to all pairs of a Jaccard similarity of 0.8 or more.
 
-Each text is the set of its shingles of five words. Sets that are alike by 4/5 share one of their n // 5 + 1 first shingles
-in whatever common order; rare ones come first here, so that few unlike texts meet. Sets that meet are compared, first with
-one of their group, then, where that leaves a group in several components, those of different components. Parities of hashed
-shingles come before the whole sets: no more bits of them can differ than shingles do.
+Each text is the set of its shingles of five words. First the anchors of ``simhash`` link sets whose fingerprints differ in
+few bits: most near copies. Then a set-similarity join with prefix filter finds what they miss. Sets that are alike by 4/5
+share one of their n // 5 + 1 first shingles in whatever common order; here rare shingles come first:
+
+1. each text sends a third of its shingles, chosen by hash, to buckets, which tell it those that others have, and how many;
+2. a text with enough shingles that no other has needs no candidates; others are posted under the first shared ones;
+3. of the sets under one shingle that are in different components, sets are compared in the task where they meet, which
+   returns a spanning forest of its links, never all pairs.
+
+Shingles that are frequent in a sample aren't sent and come last; that and the choice by hash only decide the order.
 """
 
 from __future__ import annotations
@@ -17,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import arrow_map, bounded_sample, ints, materialise, slices, texts
-from .simhash import _lower, _words
+from .shared import arrow_map, bounded_sample, drop, ints, materialise, path_of, slices, texts
+from .simhash import _lower, _words, links, majority
 
 WIDTH = 5
 ALIKE = 4, 5  # similarity: at least this fraction
 ROW_BITS = 25  # of the map of rows whose sets are compared
+SENT = 3  # one shingle in so many is sent
+ROWS, CHARS = 2000, 4 << 20  # texts and characters of a chunk
 COMMON = 1 << 19  # shingles that are known to be common; others count as rare
 
 
@@ -51,31 +59,6 @@ def shingles(text: str, hashes: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def parities(tokens: np.ndarray) -> bytes:
-    """How many shingles fall on each of about as many bits, modulo 2; halves combined by xor give the same for half the bits."""
-    bits = max(64, 1 << len(tokens).bit_length())
-    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
-
-
-def _differing(x: bytes, y: bytes) -> int:
-    """A lower bound of how many shingles are in one set only."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    if len(a) < len(b):
-        a, b = b, a
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The pairs whose parities allow that they are alike: of p + q shingles, at most (p + q)(5 - 4)/(5 + 4) are in one set only."""
-    for b in batches:
-        both = ints(b, "p") + ints(b, "q")
-        far = np.fromiter((_differing(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)), np.int64, b.num_rows)
-        keep = far * (ALIKE[1] + ALIKE[0]) <= both * (ALIKE[1] - ALIKE[0])
-        yield {"a": ints(b, "a")[keep], "b": ints(b, "b")[keep]}
-
-
 def _identity(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes(), 7) - (1 << 63)
 
@@ -100,166 +83,215 @@ def _common(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
     return token.view(np.uint64)[order], many[order]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows that come sorted by the first of ``names``, cut so that its equal values stay together."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        now = [ints(b, c) for c in names]
-        if now[0][0] == now[0][-1] and (not held or held[-1][0][-1] == now[0][0]):
-            held.append(now)
-            continue
-        last = int(np.searchsorted(now[0], now[0][-1], "left"))
-        yield [np.concatenate([*[h[i] for h in held], c[:last]]) for i, c in enumerate(now)]
-        held = [[c[last:] for c in now]]
-    if held:
-        yield [np.concatenate([h[i] for h in held]) for i in range(len(names))]
+def _first(n: np.ndarray | int) -> np.ndarray | int:
+    """How many first shingles of n hold one that any alike set has."""
+    return n * (ALIKE[1] - ALIKE[0]) // ALIKE[1] + 1
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Of postings by shingle: the distinct sets of each shingle that two or more have, shortest first."""
-    for token, node, n in _grouped(batches, ["token", "node", "n"]):
-        order = np.lexsort((node, n, token))
-        token, node, n = token[order], node[order], n[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n = token[new], node[new], n[new]
-        _, starts = np.unique(token, return_index=True)
-        cuts = [(s, e) for s, e in slices(starts, len(token)) if e - s > 1]
-        yield {"nodes": [node[s:e].tobytes() for s, e in cuts], "sizes": [n[s:e].tobytes() for s, e in cuts]}
+def _sent(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(13)) % np.uint64(SENT) == 0
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Pairs of each member of a group with one member of nearly its length."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, rows) of rows that come sorted by the first column."""
+    now, held = None, []
     for b in batches:
-        out: tuple[list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
-        for nodes, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            node, n = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64)
-            i = 0
-            while i < len(n):
-                j = int(np.searchsorted(n, n[i] * ALIKE[1] // ALIKE[0], "right"))
-                centre = node[i:j].min()
-                out[0].append(np.full(j - i, centre))
-                out[1].append(node[i:j])
-                i = j
-        a, c = (np.concatenate(x) for x in out)
-        a, c = a[a != c], c[a != c]
-        yield {"a": np.minimum(a, c), "b": np.maximum(a, c)}
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        nodes, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
-        many = np.fromiter((len(x) // 8 for x in nodes), np.int64, len(nodes))
-        yield {"key": np.repeat(ints(b, "key"), many), "node": np.frombuffer(b"".join(nodes), np.int64), "n": np.frombuffer(b"".join(sizes), np.int64)}
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Pairs of members of a group that are in different components and may be alike by their lengths."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for key, node, n, component in _grouped(batches, ["key", "node", "n", "component"]):
-        order = np.lexsort((n, key))
-        key, node, n, component = key[order], node[order], n[order], component[order]
-        _, starts = np.unique(key, return_index=True)
-        for s, e in slices(starts, len(key)):
-            if (component[s:e] == component[s]).all():
-                continue
-            ends = s + np.searchsorted(n[s:e], n[s:e] * ALIKE[1] // ALIKE[0], "right")
-            for i in range(s, e):
-                other = node[i + 1 : ends[i - s]][component[i + 1 : ends[i - s]] != component[i]]
-                if len(other):
-                    held.append((np.minimum(other, node[i]), np.maximum(other, node[i])))
-                if len(held) == 5000:
-                    yield dict(zip("ab", map(np.concatenate, zip(*held, strict=True)), strict=True))
-                    held = []
+        for key, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(row)
     if held:
-        yield dict(zip("ab", map(np.concatenate, zip(*held, strict=True)), strict=True))
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for b in batches:
-        a, c = ints(b, "a"), ints(b, "b")
-        alike = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            alike[i] = same * ALIKE[1] >= ALIKE[0] * (len(x) + len(y) - same)
-        yield {"a": a[alike], "b": c[alike]}
-
-
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = 1 << 15) -> DataFrame:
+        yield now, held
+
+
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """To each chunk: those of its shingles that others have, too, with the logarithm of how many."""
+    for _, rows in _by_key(batches):
+        chunk, own = [r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows]
+        token, at = np.concatenate(own), np.concatenate([np.frombuffer(r[2], "<u2") for r in rows])
+        message = np.repeat(np.arange(len(rows)), list(map(len, own)))
+        _, where, many = np.unique(token, return_inverse=True, return_counts=True)
+        keep = np.flatnonzero(many[where] > 1)
+        level = np.log2(many[where[keep]]).astype(np.uint8)
+        used, starts = np.unique(message[keep], return_index=True)
+        cuts = slices(starts, len(keep))
+        token, at = token[keep], at[keep]
+        yield {"base": [chunk[u] for u in used], "tokens": [token[s:e].tobytes() for s, e in cuts], "at": [at[s:e].tobytes() for s, e in cuts], "levels": [level[s:e].tobytes() for s, e in cuts], "nodes": [None] * len(used)}
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """(token, node, n): each set under its first shingles, but for those that no other has."""
+    for _, rows in _by_key(batches):
+        nodes, sizes, sent, more, more_at = next([np.frombuffer(x, kind) for x, kind in zip((r[3], r[0], r[2], r[4], r[1]), (np.int64, np.uint64, np.int64, np.uint64, "<u2"), strict=True)] for r in rows if r[3] is not None)
+        sizes = sizes.astype(np.int64)
+        told = [r for r in rows if r[3] is None]
+        token = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r[0], np.uint64) for r in told]])
+        at = np.concatenate([np.zeros(0, "<u2"), *[np.frombuffer(r[1], "<u2") for r in told]]).astype(np.int64)
+        level = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(r[2], np.uint8) for r in told]])
+        alone = sent - np.bincount(at, minlength=len(nodes))
+        order = np.lexsort((token, level, at))
+        token, at = token[order], at[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at, "left")
+        keep = place < (_first(sizes) - alone)[at]
+        token, at = np.concatenate([token[keep], more]), np.concatenate([at[keep], more_at.astype(np.int64)])
+        yield {"token": token.view(np.int64), "node": nodes[at], "n": sizes[at]}
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Of the sets under one key, links between different components that connect what all their links connect."""
+    for _, rows in _by_key(batches):
+        found = _forest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.frombuffer(r[2], "<u4") for r in rows])
+        yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
+
+
+def _forest(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.lexsort((nodes, n))
+    nodes, components, n, sets = nodes[order], components[order], n[order], [sets[i] for i in order]
+    ends = np.searchsorted(n, n * ALIKE[1] // ALIKE[0], "right")
+    bits = 1 << max(6, min(13, 2 * int(n.max())).bit_length())
+    marks = np.stack([np.packbits(np.bincount((s & np.uint32(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint64) for s in sets])
+    _, label = np.unique(components, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    for i in range(len(nodes) - 1):
+        others = np.arange(i + 1, ends[i])
+        others = others[label[others] != label[i]]
+        far = np.bitwise_count(marks[others] ^ marks[i]).sum(axis=1, dtype=np.int64)
+        others = others[far * (ALIKE[1] + ALIKE[0]) <= (n[others] + n[i]) * (ALIKE[1] - ALIKE[0])]
+        for j in others.tolist():
+            if label[j] != label[i]:
+                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if same * ALIKE[1] >= ALIKE[0] * (n[i] + n[j] - same):
+                    out.append((int(nodes[i]), int(nodes[j])))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = 1 << 15, threshold: int = 4, bucket_bytes: int = 16 << 20, crowd: int = 2048) -> DataFrame:
     """(doc_id, row, node, component): for each row its id, the hash of id and text, of its set, and the class of that set.
 
-    Classes connect what links of similarity 4/5 or more connect. Texts without a word are one set, which links to no other;
-    null texts are such. Repeated rows stay. An empty table gives an empty table.
+    Classes connect what SimHash links of up to ``threshold`` bits and links of similarity 4/5 or more connect. Texts without
+    a word are one set, which links to no other; null texts are such. Very long texts are read whole. Repeated rows stay, ids
+    keep their type and may be null or repeated. Other columns are not read. An empty table gives an empty table. Sets are
+    told apart by 64-bit hashes and compared by 32-bit hashes of their shingles. More than ``crowd`` sets under one shingle
+    are dealt to blocks, each two of which meet in a task of their own.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, sample))
+    common = spark.sparkContext.broadcast(_common(docs, sample))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, round(total * 0.55 / bucket_bytes))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """A row for each text; of the sets of a chunk, the shingles that go to each bucket and, under bucket -1, what the chunk knows."""
         hashes, (known, many) = _WordHashes(), common.value
+        seen: set[int] = set()
+        count = 0
         for b in batches:
-            node, size, first, marks = [], [], [], []
-            for t in texts(b):
-                tokens = shingles(t, hashes)
-                at = np.searchsorted(known, tokens)
-                at[at == len(known)] = 0
-                often = np.where(known[at] == tokens, many[at], 0) if len(known) else np.zeros(len(tokens), np.int64)
-                node.append(_identity(tokens))
-                size.append(len(tokens))
-                marks.append(parities(tokens))
-                most = len(tokens) * (ALIKE[1] - ALIKE[0]) // ALIKE[1] + 1
-                first.append(tokens[np.argsort(often, kind="stable")[:most]].tobytes())
-            yield {"doc_id": b.column(0), "row": b.column(2), "node": node, "n": size, "first": first, "marks": marks}
-
-    sketches = materialise(arrow_map(docs, sketch, f"doc_id {kind}, row long, node long, n long, first binary, marks binary"), "sketches")
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            node, n = ints(b, "node"), ints(b, "n")
-            first = b.column(2).to_pylist()
-            many = np.fromiter((len(x) // 8 for x in first), np.int64, len(first))
-            yield {"token": np.frombuffer(b"".join(first), np.int64), "node": np.repeat(node, many), "n": np.repeat(n, many)}
+            for i in range(0, b.num_rows, ROWS):
+                ids, own, rows, parts = (c.slice(i, ROWS).to_pylist() for c in b.columns)
+                done = 0
+                while done < len(own):
+                    node, fps, size, sets, chars, at = [], [], [], [], 0, done
+                    while at < len(own) and (at == done or chars + len(own[at]) <= CHARS):
+                        tokens = shingles(own[at], hashes)
+                        chars += len(own[at])
+                        at += 1
+                        node.append(_identity(tokens))
+                        fps.append(majority(tokens))
+                        size.append(len(tokens))
+                        if node[-1] not in seen and len(tokens):
+                            seen.add(node[-1])
+                            sets.append((node[-1], tokens))
+                    nothing = {c: [None] * len(node) for c in ("base", "bucket", "tokens", "at", "levels", "nodes", "more")}
+                    yield {"doc_id": ids[done:at], "row": rows[done:at], "node": node, "fp": np.array(fps, np.uint64).view(np.int64), "n": size} | nothing
+                    if sets:
+                        yield from messages(sets, parts[done] << 36 | count, known, many)
+                    count += at - done
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    done = at
+
+    def messages(sets: list[tuple[int, np.ndarray]], base: int, known: np.ndarray, many: np.ndarray) -> Iterator[dict]:
+        sizes = np.array([len(t) for _, t in sets])
+        token, at = np.concatenate([t for _, t in sets]), np.repeat(np.arange(len(sets)), sizes)
+        place = np.searchsorted(known, token)
+        place[place == len(known)] = 0
+        often = np.where(known[place] == token, many[place], 0) if len(known) else np.zeros(len(token), np.int64)
+        goes = _sent(token) & (often == 0)
+        sent = np.bincount(at[goes], minlength=len(sets))
+        lack = _first(sizes) - sent
+        rest = np.flatnonzero(~goes & (lack > 0)[at])
+        rest = rest[np.lexsort((token[rest], often[rest], at[rest]))]
+        rest = rest[np.arange(len(rest)) - np.searchsorted(at[rest], at[rest], "left") < lack[at[rest]]]
+        own = {"base": base, "bucket": -1, "tokens": sizes.astype(np.uint64).tobytes(), "at": at[rest].astype("<u2").tobytes(), "levels": sent.astype(np.int64).tobytes(), "nodes": np.array([x for x, _ in sets], np.int64).tobytes(), "more": token[rest].tobytes()}
+        nothing = {c: [None] for c in ("doc_id", "row", "node", "fp", "n")}
+        yield nothing | {c: [x] for c, x in own.items()}
+        token, at = token[goes], at[goes]
+        bucket = (token % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        used, starts = np.unique(bucket[order], return_index=True)
+        cuts, n = slices(starts, len(order)), len(used)
+        token, at = token[order], at[order].astype("<u2")
+        yield {c: [None] * n for c in ("doc_id", "row", "node", "fp", "n", "levels", "nodes", "more")} | {"base": [base] * n, "bucket": used, "tokens": [token[s:e].tobytes() for s, e in cuts], "at": [at[s:e].tobytes() for s, e in cuts]}
+
+    rows = docs.select("doc_id", "text", "row", F.spark_partition_id().alias("part"))
+    out = materialise(arrow_map(rows, sketch, f"doc_id {kind}, row long, node long, fp long, n long, base long, bucket long, tokens binary, at binary, levels binary, nodes binary, more binary"), "sketches")
+    sketches = out.filter("node is not null").select("doc_id", "row", "node", "fp", "n")
+
+    parts = max(2, min(buckets, 2000))
+    sent = out.filter("bucket >= 0").select("bucket", "base", "tokens", "at").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    told = arrow_map(sent, _tell, "base long, tokens binary, at binary, levels binary, nodes binary").withColumn("more", F.lit(None).cast("binary"))
+    chunks = out.filter("bucket = -1").select("base", "tokens", "at", "levels", "nodes", "more")
+    postings = arrow_map(told.union(chunks).repartition(parts, "base").sortWithinPartitions("base"), _post, "token long, node long, n long").distinct()
+    shared = materialise(postings.join(postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"), "token", "left_semi"), "postings")
+
+    first = sketches.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"))
+    by_print = first.groupBy("fp").agg(F.min("node").alias("node"))
+    pairs = links(by_print.select("fp"), threshold=threshold)
+    near = pairs.join(by_print.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(by_print.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = first.join(by_print.select("fp", F.col("node").alias("a")).hint("merge"), "fp").filter("node <> a").select("a", F.col("node").alias("b"))
+    near = materialise(near.union(same), "fingerprint-links")
+    joined = components(near)
+
+    known = shared.join(joined.hint("merge"), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+    known = materialise(known, "postings-by-component")
+    open_ = known.groupBy("token").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "many")
+    members = materialise(known.join(open_.hint("merge"), "token").select("token", "many", "node", "component"), "members")
+    drop(spark, [path_of(shared), path_of(known)])
+    wanted = members.select("node").distinct()
+    whole = _sets(docs, first.join(wanted.hint("merge"), "node", "left_semi"))
+    k = F.ceil(F.col("many") / crowd)
+    block = F.pmod(F.xxhash64("node"), k)
+    tasks = F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.xxhash64("token", F.least(x, block), F.greatest(x, block)))  # each two blocks
+    dealt = members.select(F.explode(tasks).alias("key"), "node", "component").join(whole.hint("merge"), "node").select("key", "node", "component", "tokens")
+    alike = materialise(arrow_map(dealt.repartition("key").sortWithinPartitions("key"), _meet, "a long, b long").distinct(), "links")
+    if not alike.isEmpty():
+        joined = components(near.union(alike))
+    return sketches.join(joined.hint("merge"), "node", "left").select("doc_id", "row", "node", F.coalesce("component", "node").alias("component"))
 
-    met = arrow_map(sketches.select("node", "n", "first"), postings, "token long, node long, n long").repartition("token").sortWithinPartitions("token")
-    groups = materialise(arrow_map(met, _groups, "nodes binary, sizes binary").distinct(), "groups")
-    stars = materialise(arrow_map(groups, _stars, "a long, b long").distinct(), "pairs")
 
-    def side(name: str, n: str, marks: str) -> DataFrame:
-        return sketches.groupBy("node").agg(F.min("row").alias("row")).join(sketches.select("row", "node", "n", "marks").dropDuplicates(["row"]).hint("merge"), ["row", "node"]).select(F.col("node").alias(name), F.col("n").alias(n), F.col("marks").alias(marks))
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, tokens): sets of the wanted rows (node, row), read again. A map of a bounded number of bits says which texts may be wanted."""
+    rows = wanted.select(F.shiftrightunsigned("row", 64 - ROW_BITS).alias("bit"))
+    held = np.zeros(1 << ROW_BITS - 3, np.uint8)
+    for r in rows.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits")).collect():  # at most 2 ** (ROW_BITS - 15) rows
+        held[r.part << 12 : r.part + 1 << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(held)
 
-    def sets(held: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes = _WordHashes()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        hashes, held, seen = _WordHashes(), sent.value, set()
         for b in batches:
             at = (ints(b, "row").view(np.uint64) >> np.uint64(64 - ROW_BITS)).astype(np.int64)
             chosen = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            row = ints(b, "row")
+            chosen = np.array([i for i in chosen.tolist() if not (row[i] in seen or seen.add(row[i]))], np.int64)
             for i in range(0, len(chosen), 500):
                 found = [shingles(t, hashes) for t in texts(b.take(pa.array(chosen[i : i + 500])))]
-                yield {"node": [_identity(t) for t in found], "tokens": [t.tobytes() for t in found]}
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike. Texts are read again for the sets, of rows on the bits of a bounded map only."""
-        both = pairs.join(side("a", "p", "x").hint("merge"), "a").join(side("b", "q", "y").hint("merge"), "b")
-        possible = materialise(arrow_map(both.select("a", "b", "x", "y", "p", "q"), _possible, "a long, b long"), "pairs")
-        wanted = possible.select(F.col("a").alias("node")).union(possible.select("b")).distinct()
-        rows = sketches.groupBy("node").agg(F.min("row").alias("row")).join(wanted.hint("merge"), "node", "left_semi").select(F.shiftrightunsigned("row", 64 - ROW_BITS).alias("bit"))
-        held = np.zeros(1 << ROW_BITS - 3, np.uint8)
-        for r in rows.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits")).collect():  # at most 2 ** (ROW_BITS - 15) rows
-            held[r.part << 12 : r.part + 1 << 12] = np.frombuffer(bytes(r.bits), np.uint8)
-        sent = docs.sparkSession.sparkContext.broadcast(held)
-        whole = arrow_map(docs.select("row", "text"), lambda batches: sets(sent.value, batches), "node long, tokens binary")
-        whole = materialise(whole.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-        both = possible.join(whole.select(F.col("node").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b").join(whole.select(F.col("node").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a")
-        return materialise(arrow_map(both.select("a", "b", "x", "y"), _compare, "a long, b long"), "links")
-
-    links = alike(stars)
-    joined = components(links)
-    larger = groups.filter("length(nodes) > 16").withColumn("key", F.xxhash64("nodes"))
-    members = arrow_map(larger, _members, "key long, node long, n long").join(joined.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    rest = arrow_map(members.repartition("key").sortWithinPartitions("key"), _across, "a long, b long").distinct().join(stars.hint("merge"), ["a", "b"], "left_anti")
-    more = alike(materialise(rest, "pairs"))
-    if not more.isEmpty():
-        joined = components(links.union(more))
-    return sketches.join(joined.hint("merge"), "node", "left").select("doc_id", "row", "node", F.coalesce("component", "node").alias("component"))
+                yield {"node": [_identity(t) for t in found], "tokens": [np.unique((t >> np.uint64(32)).astype("<u4")).tobytes() for t in found]}
+
+    whole = arrow_map(docs.select("row", "text"), read, "node long, tokens binary").join(wanted.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return materialise(whole, "sets")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,6 +98,14 @@ def crc_bucket(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
 
 
+def numbered(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """``rows`` with a number in the order of ``key``, by a distributed sort of its distinct values; null for null."""
+    kind = rows.schema[key].dataType
+    order = rows.select(F.col(key).alias("key")).filter("key is not null").distinct().orderBy("key").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    numbers = rows.sparkSession.createDataFrame(order, StructType([StructField("key", kind), StructField(number, LongType())]))
+    return rows.join(materialise(numbers, "numbers"), F.col(key) == F.col("key"), "left").select(*[rows[c] for c in rows.columns], number)
+
+
 def bounded_sample(df: DataFrame, most: int) -> DataFrame:
     """About ``most`` rows, each drawn by itself, whatever its values; every row if there are no more than that."""
     n = df.count()

@@ -36,10 +36,15 @@ def fingerprint(text: str, *, width: int = 4, seed: int = 42) -> int:
     starts = (ends - lengths)[:n].tolist()
     ends = ends[-n:].tolist()
     hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), dtype="<u8", count=n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the 64-bit hashes have; 0 for none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,7 +55,8 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             fps = np.fromiter(map(fingerprint, texts(batch)), dtype=np.uint64, count=batch.num_rows)
             yield {"doc_id": batch.column(0), "fp": fps.view(np.int64)}
 
-    return arrow_map(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), rows, "doc_id long, fp long")
+    kind = docs.schema[key].dataType.simpleString()
+    return arrow_map(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), rows, f"doc_id {kind}, fp long")
 
 
 class _Perfect:
@@ -204,7 +210,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """(doc_id, fp, component_id): one row for each row of ``docs``; the component is the smallest doc_id reachable by links.
 
     A null or empty text, or one of white space only, has fingerprint 0 and links like any other. Equal fingerprints link.
-    Repeated rows stay. A null doc_id gets its component from the others; alone, null. Empty tables give an empty table.
+    Texts are read whole, however long. Repeated rows stay, as do different texts of one id. Ids keep their type; the
+    smallest is that of their order. A null doc_id gets its component from the others; alone, null. Other columns are not
+    read. Empty tables give an empty table.
     """
     fps = materialise(fingerprints(docs, key=key, text=text), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))

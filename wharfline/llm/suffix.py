@@ -3,7 +3,8 @@
 A byte goes if a string of ``length`` bytes covers it that also starts in a document with a smaller id. Two equal strings
 of that length have the same minimiser (the smallest hash of their ``gram``-byte substrings), so:
 
-1. each text sends its distinct minimisers to hash buckets, which tell those that several texts share;
+1. each text sends its distinct minimisers to hash buckets, which tell those that several texts share; those that texts of
+   a sample share are known to be and aren't sent;
 2. each text is cut into the runs of string starts that have one shared minimiser;
 3. the snippets of a minimiser meet in one task, where equal ones count once, with their smallest document; it sorts their
    suffixes and finds, from the previous and the next smaller document in suffix order, each suffix's longest factor of an
@@ -22,8 +23,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .shared import arrow_map, csr_take, materialise, slices
+from .shared import arrow_map, bounded_sample, csr_take, materialise, numbered, slices
 
 _BASE = 0x100000001B3
 RUN = 4096  # string starts in a snippet at most
@@ -68,7 +70,7 @@ def _text_key(text: bytes) -> int:
 
 
 def previous_factors(suffixes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """Longest-previous-factor array, capped at ``length``: suffixes is a matrix of each suffix's first bytes, docs their documents.
+    """Longest-previous-factor array, capped at ``length``: suffixes is a matrix of each suffix's first ``length`` bytes, docs their documents.
 
     For each suffix, the longest prefix that it shares with a suffix of a smaller document. That is the better of the
     previous and the next suffix of a smaller document in suffix order, found by pointer jumping over the sorted suffixes.
@@ -82,13 +84,13 @@ def previous_factors(suffixes: np.ndarray, docs: np.ndarray, length: int) -> np.
         r, common = (rank[::-1], lcp[::-1]) if flip else (rank, lcp)
         at = np.arange(len(r)) - 1  # candidate for the previous smaller
         best = np.concatenate([[0], common])
-        open_ = np.flatnonzero((at >= 0) & (best >= length))
+        open_ = np.flatnonzero((at >= 0) & (best > 0))
         while len(open_):
             open_ = open_[r[at[open_]] >= r[open_]]
             to = at[open_]
             best[open_] = np.minimum(best[open_], best[to])  # both read before this round's writes count
             at[open_] = at[to]
-            open_ = open_[(at[open_] >= 0) & (best[open_] >= length)]
+            open_ = open_[(at[open_] >= 0) & (best[open_] > 0)]  # nothing in common stays nothing
         best[at < 0] = 0
         out = np.maximum(out, best[::-1] if flip else best)
     back = np.empty_like(out)
@@ -102,8 +104,31 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(edge == -1) - starts
 
 
-def shared_minimisers(docs: DataFrame, total_bytes: int, length: int, gram: int, bucket_bytes: int) -> tuple[DataFrame, int]:
-    """(tk, codes): for each text key, the codes (bucket, hash) of its minimisers that other texts have, too."""
+def common_minimisers(docs: DataFrame, length: int, gram: int, sample: int, most: int = 1 << 18) -> np.ndarray:
+    """Minimisers that several texts of a sample have, the most frequent ones, in order: these would crowd a bucket."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            low, tk = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for text in b.column(0).to_pylist():
+                low.append(np.unique(minimisers(text or b"", length, gram)))
+                tk.append(np.full(len(low[-1]), _text_key(text or b""), np.uint64))
+            yield {"low": np.concatenate(low).view(np.int64), "tk": np.concatenate(tk).view(np.int64)}
+
+    found = arrow_map(bounded_sample(docs.select("text"), sample), rows, "low long, tk long")
+    shared = found.groupBy("low").agg(F.min("tk").alias("a"), F.max("tk").alias("z"), F.count("*").alias("n")).filter("a <> z")
+    top = shared.orderBy(F.desc("n"), "low").limit(most).select("low").toArrow()
+    return np.sort(top.column("low").to_numpy().view(np.uint64))
+
+
+def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def shared_minimisers(docs: DataFrame, total_bytes: int, length: int, gram: int, bucket_bytes: int, common) -> tuple[DataFrame, int]:  # noqa: ANN001
+    """(tk, codes): for each text key, the codes (bucket, hash) of its minimisers that other texts have, too, but for the common ones."""
     buckets = max(1, -(-total_bytes // bucket_bytes))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -113,6 +138,7 @@ def shared_minimisers(docs: DataFrame, total_bytes: int, length: int, gram: int,
                 low = minimisers(text or b"", length, gram)
                 if len(low):
                     own = np.unique(low[np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))])
+                    own = own[~_is_in(own, common.value)]
                     hashes.append(own)
                     keys.append(np.full(len(own), _text_key(text), np.uint64))
             h, k = np.concatenate(hashes), np.concatenate(keys)
@@ -166,16 +192,25 @@ def shared_minimisers(docs: DataFrame, total_bytes: int, length: int, gram: int,
     return arrow_map(told, gather, "tk long, codes binary"), buckets
 
 
-def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, bucket_bytes: int = 8 << 20, crowd: int = 50_000, carry: Sequence[str] = ()) -> DataFrame:
+def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, bucket_bytes: int = 8 << 20, crowd: int = 50_000, carry: Sequence[str] = (), whole_characters: bool = False, sample: int = 1 << 13) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept[, carried]): one row for each row of ``docs``; kept: what remains, as bytes.
 
-    carry: columns of ``docs`` that come back as the struct ``carried``, without a join.
+    carry: columns of ``docs`` that come back as the struct ``carried``, without a join. whole_characters: a character of
+    which a byte goes is left out of ``kept`` as a whole; the other columns are not touched by this.
 
-    Null texts count as empty; texts under ``length`` bytes keep all. Rows of equal id and text get equal results and don't
-    remove each other, nor do rows of equal id. A row with a null id keeps all and removes nothing. Empty tables give an
-    empty table. A text that a smaller id has, too, goes whole without entering the search. Minimisers with more than
-    ``crowd`` snippets are searched string by string with grouped minima instead of in one task.
+    Null texts count as empty; texts under ``length`` bytes keep all; texts are read whole, however long. Rows of equal id
+    and text get equal results and don't remove each other, nor do rows of equal id. A row with a null id keeps all and
+    removes nothing. Ids may be of any type that has an order. Other columns than those carried are not read. Empty tables
+    give an empty table. A text that a smaller id has, too, goes whole without entering the search. Minimisers with more
+    than ``crowd`` snippets are searched string by string with grouped minima instead of in one task.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        number = "number"
+        while number in docs.columns:
+            number += "_"
+        found = find_repeats(numbered(docs, key, number), key=number, text=text, length=length, gram=gram, bucket_bytes=bucket_bytes, crowd=crowd, carry=[key, *(c for c in carry if c != key)], whole_characters=whole_characters, sample=sample)
+        found = found.select(F.col(f"carried.`{key}`").alias("doc_id"), *[c for c in found.columns if c not in ("doc_id", "carried")], *([F.struct(*[F.col(f"carried.`{c}`") for c in carry]).alias("carried")] if carry else []))
+        return found
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -185,7 +220,8 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
 
     keys = materialise(arrow_map(rows, describe, "doc_id long, tk long, digest binary, size long"), "text-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    found, buckets = shared_minimisers(rows, total, length, gram, bucket_bytes)
+    common = docs.sparkSession.sparkContext.broadcast(common_minimisers(rows, length, gram, sample))
+    found, buckets = shared_minimisers(rows, total, length, gram, bucket_bytes, common)
     found = materialise(found, "shared-minimisers")
     firsts = keys.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("tk").alias("tk"))
     firsts = firsts.join(found, "tk", "left").select("doc_id", F.col("tk").alias("first_tk"), F.coalesce("codes", F.lit(b"")).alias("codes"))
@@ -196,7 +232,7 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     paired = hashed.join(firsts, (hashed["doc_id"] == firsts["doc_id"]) & (hashed["tk"] == firsts["first_tk"]), "left").select(hashed["doc_id"], "tk", "n_bytes", "packed", "carried", "codes")
     copy = F.col("codes").isNull() & F.col("doc_id").isNotNull() & (F.col("n_bytes") >= length)
     nothing = F.lit(zstandard.ZstdCompressor(level=1).compress(b""))
-    useful = F.when((F.length("codes") > 0) & (F.col("n_bytes") >= length), F.col("codes"))
+    useful = F.when(F.col("n_bytes") >= length, F.col("codes"))
     sifted = materialise(paired.select("doc_id", "tk", "n_bytes", copy.alias("copy"), F.when(copy, nothing).otherwise(F.col("packed")).alias("packed"), "carried", useful.alias("codes")), "sifted-texts")
 
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -208,8 +244,7 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
                 code = (low % np.uint64(buckets)) << np.uint64(32) | low >> np.uint64(32)
                 starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
                 many = np.diff(np.append(starts, len(low)))
-                at = np.searchsorted(shared, code[starts])
-                hit = shared[np.minimum(at, len(shared) - 1)] == code[starts]
+                hit = _is_in(code[starts], shared) | _is_in(low[starts], common.value)
                 starts, many = starts[hit], many[hit]
                 pieces = -(-many // RUN)
                 offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN
@@ -248,8 +283,13 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
                     np.add.at(depth, np.array(starts) + np.array(counts) + length - 1, -1)
                     cover = np.cumsum(depth)[:size] > 0
                     gone, spans = int(cover.sum()), len(_runs(cover)[0])
-                    own = np.frombuffer(own, np.uint8)[~cover].tobytes()
-                yield {"doc_id": [doc], "n_bytes": [size], "n_removed": [gone], "n_spans": [spans], "kept_sha256": [hashlib.sha256(own).hexdigest()], "kept": [own], "carried": [other]}
+                    raw = np.frombuffer(own, np.uint8)
+                    own = raw[~cover].tobytes()
+                digest = hashlib.sha256(own).hexdigest()
+                if starts and whole_characters:
+                    character = np.cumsum(raw & 0xC0 != 0x80)
+                    own = raw[np.bincount(character, cover)[character] == 0].tobytes()
+                yield {"doc_id": [doc], "n_bytes": [size], "n_removed": [gone], "n_spans": [spans], "kept_sha256": [digest], "kept": [own], "carried": [other]}
 
     out = arrow_map(full, _batched(remove), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carried struct<{inner}>")
     return out if carry else out.drop("carried")
