@@ -16,13 +16,18 @@ MIN_SCORE = 0.5  # of the predicted language
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language is doubtful, go."""
-    known = langid.identify(docs, langid.train(docs), out=("_lang", "_score"))
+    """Documents without a letter, and those whose language is doubtful, go. Without any label to learn from, all stay."""
+    model = langid.train(docs)
+    if not model.langs:
+        return docs
+    known = langid.identify(docs, model, out=("_lang", "_score"))
     return known.filter((F.col("_lang") != "und") & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays; repeats of it count once.
+    """Of each group of near-duplicates the row with the smallest id stays; repeats of it count once.
+
+    Near-duplicates are texts linked by SimHash, or by a similarity of their five-word shingles of 0.8 or more.
 
     Of different texts under that id the one with the smallest hash stays. Rows without an id stay.
     """
@@ -37,17 +42,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that an earlier document has go, parts of characters with them; documents left empty by that go, too."""
+    """Bytes of passages that an earlier document has go, and the characters they are part of; documents left empty by that go, too.
+
+    Rows without an id stay as they are; so do texts in which nothing repeats, whatever their characters.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = suffix.find_repeats(docs.filter("doc_id is not null"), carry=others).filter("n_removed < n_bytes or n_bytes = 0")
-    whole = F.expr("make_valid_utf8(string(kept))")
-    kept = found.withColumn("text", F.when(F.col("n_removed") > 0, F.regexp_replace(whole, "\ufffd", "")).otherwise(whole))
+    found = suffix.find_repeats(docs.filter("doc_id is not null"), carry=others, whole_characters=True).filter("n_removed < n_bytes or n_bytes = 0")
+    kept = found.withColumn("text", F.col("kept").cast("string")).filter("text <> '' or n_removed = 0")
     kept = kept.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), *[F.col(f"carried.`{c}`") for c in others])
     return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a benchmark item go, whatever their id: they are found by a hash of their text."""
+    """Rows that hold a benchmark item go, whatever their id: they are found by a hash of their text. Null texts hold none."""
     marked = docs.withColumn("_row", F.xxhash64("text"))
     found = decontam.find(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row").select("doc_id").distinct()
     found = materialise(found.select(F.col("doc_id").alias("_row")), "leaks")
@@ -55,25 +62,35 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens, in the proportions of the sources."""
+    """Pieces of documents in sequences of at most 2048 tokens, in the proportions of the sources; see ``packing.pack`` for nulls and repeats."""
     return packing.pack(docs, tokenizer_path())
 
 
-_written: list[str] = []  # intermediate tables of the stage before
+_written: dict[tuple[str, str, str], list[str]] = {}  # intermediate tables by application, folder and stage
 
 
-def _clearing(stage, last: bool = False):  # noqa: ANN001, ANN202
-    """The stage, which first deletes the intermediate tables of the one before: its result has been written by then."""
+def _clearing(name: str, stage, before: str = ""):  # noqa: ANN001, ANN202
+    """The stage, which first deletes the intermediate tables that the stage before wrote for the same folder.
+
+    By then that stage's result has been written, as STAGES demand. Tables of other folders and stages are left alone.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, _written)
-        with collecting([] if last else _written):
+        run = spark.sparkContext.applicationId, sf_dir
+        drop(spark, _written.pop((*run, before), []))
+        with collecting(_written.setdefault((*run, name), [])):
             return stage(spark, docs, sf_dir)
 
     return run_stage
 
 
-STAGES = [("language", _clearing(language)), ("near duplicates", _clearing(near_duplicates)), ("repeats", _clearing(repeats)), ("leaks", _clearing(leaks)), ("packing", _clearing(pack, last=True))]
+STAGES = [
+    ("language", _clearing("language", language)),
+    ("near duplicates", _clearing("near duplicates", near_duplicates, "language")),
+    ("repeats", _clearing("repeats", repeats, "near duplicates")),
+    ("leaks", _clearing("leaks", leaks, "repeats")),
+    ("packing", _clearing("packing", pack, "leaks")),
+]
 
 #: SQL can't express the learned model, the tokenizer and the searches; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
