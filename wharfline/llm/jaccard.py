@@ -6,8 +6,8 @@ share one of their n // 5 + 1 first shingles in whatever common order; here rare
 
 1. each text sends a third of its shingles, chosen by hash, to buckets, which tell it those that others have, and how many;
 2. a text with enough shingles that no other has needs no candidates; others are posted under the first shared ones;
-3. of the sets under one shingle that are in different components, sets are compared in the task where they meet, which
-   returns a spanning forest of its links, never all pairs.
+3. where sets of different components are under one shingle (of shingles with the same sets, one), they are compared in
+   the task where they meet, which returns a spanning forest of its links, never all pairs.
 
 Shingles that are frequent in a sample aren't sent and come last; that and the choice by hash only decide the order.
 """
@@ -169,7 +169,7 @@ def _forest(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray]) -
     return out
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = 1 << 15, threshold: int = 4, bucket_bytes: int = 16 << 20, crowd: int = 2048) -> DataFrame:
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = 1 << 13, threshold: int = 4, bucket_bytes: int = 16 << 20, crowd: int = 2048) -> DataFrame:
     """(doc_id, row, node, component): for each row its id, the hash of id and text, of its set, and the class of that set.
 
     Classes connect what SimHash links of up to ``threshold`` bits and links of similarity 4/5 or more connect. Texts without
@@ -240,7 +240,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
 
     rows = docs.select("doc_id", "text", "row", F.spark_partition_id().alias("part"))
     out = materialise(arrow_map(rows, sketch, f"doc_id {kind}, row long, node long, fp long, n long, base long, bucket long, tokens binary, at binary, levels binary, nodes binary, more binary"), "sketches")
-    sketches = out.filter("node is not null").select("doc_id", "row", "node", "fp", "n")
+    sketches = materialise(out.filter("node is not null").select("doc_id", "row", "node", "fp", "n"), "texts")
 
     parts = max(2, min(buckets, 2000))
     sent = out.filter("bucket >= 0").select("bucket", "base", "tokens", "at").repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -248,6 +248,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
     chunks = out.filter("bucket = -1").select("base", "tokens", "at", "levels", "nodes", "more")
     postings = arrow_map(told.union(chunks).repartition(parts, "base").sortWithinPartitions("base"), _post, "token long, node long, n long").distinct()
     shared = materialise(postings.join(postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token"), "token", "left_semi"), "postings")
+    drop(spark, [path_of(out)])
 
     first = sketches.filter("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"))
     by_print = first.groupBy("fp").agg(F.min("node").alias("node"))
@@ -259,7 +260,9 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
 
     known = shared.join(joined.hint("merge"), "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
     known = materialise(known, "postings-by-component")
-    open_ = known.groupBy("token").agg(F.count("*").alias("many"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "many")
+    alike_sets = F.count("*").alias("many"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y")
+    open_ = known.groupBy("token").agg(*alike_sets, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    open_ = open_.groupBy("many", "x", "y").agg(F.min("token").alias("token")).select("token", "many")  # shingles with the same sets: one of them
     members = materialise(known.join(open_.hint("merge"), "token").select("token", "many", "node", "component"), "members")
     drop(spark, [path_of(shared), path_of(known)])
     wanted = members.select("node").distinct()
@@ -269,6 +272,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
     tasks = F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.xxhash64("token", F.least(x, block), F.greatest(x, block)))  # each two blocks
     dealt = members.select(F.explode(tasks).alias("key"), "node", "component").join(whole.hint("merge"), "node").select("key", "node", "component", "tokens")
     alike = materialise(arrow_map(dealt.repartition("key").sortWithinPartitions("key"), _meet, "a long, b long").distinct(), "links")
+    drop(spark, [path_of(members), path_of(whole)])
     if not alike.isEmpty():
         joined = components(near.union(alike))
     return sketches.join(joined.hint("merge"), "node", "left").select("doc_id", "row", "node", F.coalesce("component", "node").alias("component"))
