@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import arrow_map, bounded_sample, texts
@@ -117,18 +117,17 @@ def _count(batches: Iterator) -> Iterator[dict]:
         yield dict(zip(("kind", "gram", "label", "cnt"), map(list, zip(*out, strict=True)) if out else ([], [], [], []), strict=True))
 
 
-def train(docs: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", max_docs: int = 4000, max_entries: int = 30_000) -> Backoff:
-    """Fit on a bounded sample: about ``max_docs`` rows with a label, chosen by a hash of ``key``.
+def train(docs: DataFrame, *, text: str = "text", label: str = "lang", max_docs: int = 4000) -> Backoff:
+    """Fit on a bounded sample: about ``max_docs`` rows with a label, each drawn by itself.
 
-    The model keeps, for each language, the ``max_entries`` most frequent words and as many n-grams of each length,
-    so its size has a bound. Rows with a null label or text are left out; without any row the model knows no language.
+    The model keeps all words and n-grams of the sample. Rows with a null label or text are left out, repeated rows count
+    each; without any row the model knows no language.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).filter("label is not null and text is not null")
-    counted = arrow_map(bounded_sample(rows, max_docs).select("text", "label"), _count, "kind int, gram string, label string, cnt long")
-    kept = counted.groupBy("kind", "gram", "label").agg(F.sum("cnt").alias("cnt"))
-    top = Window.partitionBy("kind", "label").orderBy(F.desc("cnt"), "gram")
-    found = kept.withColumn("at", F.row_number().over(top)).filter(F.col("at") <= max_entries).drop("at").collect()
-    return Backoff(sorted({r.label for r in found}), [(r.kind, r.gram, r.label, r.cnt) for r in found])
+    rows = docs.select(F.col(text).alias("text"), F.col(label).alias("label")).filter("label is not null and text is not null")
+    counted = arrow_map(bounded_sample(rows, max_docs), _count, "kind int, gram string, label string, cnt long")
+    found = counted.groupBy("kind", "gram", "label").agg(F.sum("cnt").alias("cnt")).toArrow()  # what about max_docs texts hold
+    columns = [found.column(c).to_pylist() for c in ("kind", "gram", "label", "cnt")]
+    return Backoff(sorted(set(columns[2])), sorted(zip(*columns, strict=True)))
 
 
 def identify(docs: DataFrame, model: Backoff, *, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -1,13 +1,12 @@
 """Quality classifier: supervised subword embeddings.
 
-Each token adds the vector of its hashed form and those of its hashed character n-grams; a document is the average of
-its vectors; a softmax layer gives the class. Vectors and layer are trained by stochastic gradient descent in numpy.
+Each token adds the vector of its hashed form and those of its hashed character n-grams, and each two neighbouring tokens
+that of their hashed bigram; a document is the average of its vectors; a softmax layer gives the class. Vectors and layer
+are trained by stochastic gradient descent in numpy.
 """
 
 from __future__ import annotations
 
-import operator
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -17,41 +16,44 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map, bounded_sample, csr_take, texts
 
-BUCKETS = 1 << 15  # features_of's hash takes 15 bits
-GRAMS = (3, 4)
+BUCKET_BITS = 17
+REPEAT = 1 << BUCKET_BITS  # the bigram (w, w), whichever w: a bucket of its own
+BUCKETS = REPEAT + 1
+GRAMS = (3, 4)  # characters
 CACHE = 200_000  # tokens that a Python worker remembers
-REPEAT = "<repeat>"  # the word bigram (w, w), whichever w
 
 
-def tokens_of(text: str) -> Counter:
-    """White-space tokens with their counts, and how often a token follows itself."""
-    words = text.split()
-    counts = Counter(words)
-    if again := sum(map(operator.eq, words, words[1:])):
-        counts[REPEAT] = again
-    return counts
+def _spread(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BUCKET_BITS)
 
 
-def features_of(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(tokens: list[str]) -> np.ndarray:
+    return np.fromiter((crc32(t.encode("utf-8", "replace")) for t in tokens), dtype=np.uint32, count=len(tokens))
+
+
+def features_of(tokens: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of each token and of its character n-grams with its borders, token by token, and how many each has."""
-    raw = [b"<%b>" % t.encode("utf-8", "replace") for t in tokens]
-    lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 2
     starts = np.cumsum(lengths) - lengths
-    codes = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint32)
-    buckets = [np.fromiter(map(crc32, raw), dtype=np.uint32, count=len(raw)) % BUCKETS]
-    owners = [np.arange(len(raw))]
-    plain = lengths * (np.fromiter((t != REPEAT for t in tokens), dtype=bool, count=len(raw)))
+    codes = np.frombuffer("".join(f"<{t}>" for t in tokens).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    buckets = [_spread(hashes)]
+    owners = [np.arange(len(tokens))]
     for n in GRAMS:
-        many = np.maximum(plain - n + 1, 0)
+        many = np.maximum(lengths - n + 1, 0)
         at = csr_take(starts, many)
         h = np.full(len(at), n, dtype=np.uint32)
         for i in range(n):
             h = h * np.uint32(0x01000193) + codes[at + i]
-        buckets.append((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - 15))
-        owners.append(np.repeat(np.arange(len(raw)), many))
+        buckets.append(_spread(h))
+        owners.append(np.repeat(np.arange(len(tokens)), many))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(buckets)[order].astype(np.int32), np.bincount(owner, minlength=len(raw))
+    return np.concatenate(buckets)[order].astype(np.int32), np.bincount(owner, minlength=len(tokens))
+
+
+def bigrams_of(hashes: np.ndarray) -> np.ndarray:
+    """Hash buckets of neighbouring tokens, from the tokens' hashes in the order of the text; ``REPEAT`` where a token follows itself."""
+    return np.where(hashes[:-1] == hashes[1:], REPEAT, _spread(hashes[:-1] * np.uint32(0x9E3779B1) + hashes[1:])).astype(np.int32)
 
 
 class Embeddings:
@@ -66,6 +68,7 @@ class Embeddings:
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
+        self.hashes = np.zeros(1024, np.uint32)
         self.sums = np.zeros((1024, self.vectors.shape[1] + 1), np.float32)
 
     def fit(self, examples: list[tuple[int, np.ndarray, np.ndarray]], *, seen: int = 24_000, batch: int = 32, rate: float = 4.0, seed: int = 1) -> None:
@@ -95,24 +98,28 @@ class Embeddings:
                 np.add.at(self.vectors, at, -step * weight * np.repeat(back, [len(x[1]) for x in part], axis=0))
 
     def learn(self, tokens: list[str]) -> None:
-        found, many = features_of(tokens)
+        hashes = token_hashes(tokens)
+        found, many = features_of(tokens, hashes)
         first, end = len(self.seen), len(self.seen) + len(tokens)
         while end > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
         self.sums[first:end, :-1] = np.add.reduceat(self.vectors[found], np.cumsum(many) - many, axis=0)
         self.sums[first:end, -1] = many
+        self.hashes[first:end] = hashes
         self.seen.update(zip(tokens, range(first, end), strict=True))
 
     def score(self, text: str) -> float:
         """The probability of class 1; from the bias alone for a text without tokens."""
-        counts = tokens_of(text)
-        mean = np.zeros(self.vectors.shape[1], np.float32)
-        if counts:
-            if new := [t for t in counts if t not in self.seen]:
+        words = text.split()
+        mean = np.zeros(self.vectors.shape[1], np.float64)
+        if words:
+            if new := [t for t in dict.fromkeys(words) if t not in self.seen]:
                 self.learn(new)
-            at = np.fromiter(map(self.seen.__getitem__, counts), dtype=np.int64, count=len(counts))
-            total = np.fromiter(counts.values(), dtype=np.float32, count=len(counts)) @ self.sums[at]
-            mean = total[:-1] / total[-1]
+            at = np.fromiter(map(self.seen.__getitem__, words), dtype=np.int64, count=len(words))
+            total = self.sums[at].sum(axis=0, dtype=np.float64)
+            pairs = self.vectors[bigrams_of(self.hashes[at])].sum(axis=0, dtype=np.float64)
+            mean = (total[:-1] + pairs) / (total[-1] + len(words) - 1)
             if len(self.seen) > CACHE:
                 self.forget()
         return float(_softmax((mean @ self.layer + self.bias)[None])[0, 1])
@@ -127,9 +134,15 @@ def _examples(batches: Iterator) -> Iterator[dict]:
     for batch in batches:
         at, weights = [], []
         for text in texts(batch):
-            counts = tokens_of(text)
-            found, many = features_of(list(counts)) if counts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            w = np.bincount(found, np.repeat(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), many), BUCKETS)
+            words = text.split()
+            number = {t: i for i, t in enumerate(dict.fromkeys(words))}
+            w = np.zeros(BUCKETS)
+            if words:
+                order = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+                hashes = token_hashes(list(number))
+                found, many = features_of(list(number), hashes)
+                w += np.bincount(found, np.repeat(np.bincount(order, minlength=len(number)), many), BUCKETS)
+                w += np.bincount(bigrams_of(hashes[order]), minlength=BUCKETS)
             used = np.flatnonzero(w)
             at.append(used.astype("<i4").tobytes())
             weights.append((w[used] / max(1, w.sum())).astype("<f4").tobytes())
@@ -137,11 +150,15 @@ def _examples(batches: Iterator) -> Iterator[dict]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = 4000) -> Embeddings:
-    """Fit on a bounded sample: about ``max_docs`` labelled rows, chosen by a hash of ``key``. Null labels and keys are left out."""
+    """Fit on a bounded sample: about ``max_docs`` labelled texts.
+
+    Null and other labels than 0 and 1 and null keys are left out, as are keys with labels of both kinds; a key's repeated
+    labels count once, its repeated texts each. Without an example the model gives 0.5 to all.
+    """
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
-    chosen = F.broadcast(bounded_sample(rows, max_docs))  # at most about max_docs rows
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("text", "label")
-    got = arrow_map(found, _examples, "label int, at binary, weights binary").collect()
+    rows = rows.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(rows, "key").select("text", "label")
+    got = arrow_map(bounded_sample(found, max_docs), _examples, "label int, at binary, weights binary").collect()  # about max_docs rows
     got.sort(key=lambda r: (r.label, bytes(r["at"])))
     model = Embeddings()
     model.fit([(r.label, np.frombuffer(r["at"], "<i4"), np.frombuffer(r.weights, "<f4")) for r in got])
@@ -151,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 def score(docs: DataFrame, model: Embeddings, *, text: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` (one named ``out`` is replaced) and the probability of class 1, from the whole text.
 
-    A null or empty text gets the probability that the bias alone gives. Repeated rows get equal scores; an empty table gives an empty table.
+    A null or empty text gets the probability that the bias alone gives; texts are read whole, however long. Repeated rows
+    get equal scores; an empty table gives an empty table.
     """
     docs = docs.drop(out)
     known = docs.sparkSession.sparkContext.broadcast(model)
