@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -30,6 +31,77 @@ def components(nodes, linked):
     return {n: min(g) for g in groups.values() for n in g}
 
 
+def test_backoff_by_hand():
+    """Posteriors by plain dictionaries: words first, else the longest n-grams that are known."""
+    texts = {"en": ["the water was there", "and of this water"], "de": ["der apfel ist über das wasser", "wasser ist da"], "fr": ["la mer est là"]}
+    model_rows = []
+    for lang, own in texts.items():
+        words = collections.Counter(w for t in own for w in langid.words_of(t))
+        model_rows += [(0, w, lang, c) for w, c in words.items()]
+        for n in range(1, 6):
+            model_rows += [(n, g, lang, c) for g, c in collections.Counter(g for w, k in words.items() for g in [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)] * k).items()]
+    langs = sorted(texts)
+    model = langid.Backoff(langs, model_rows)
+
+    def evidence(n, gram):
+        table = {g for k, g, _, _ in model_rows if k == n}
+        if gram not in table:
+            return None
+        p = [(sum(c for k, g, lang, c in model_rows if (k, g, lang) == (n, gram, x)) + 0.5) / (sum(c for k, _, lang, c in model_rows if (k, lang) == (n, x)) + 1 + 0.5 * len(table)) for x in langs]
+        return [math.log(x / sum(p)) for x in p]
+
+    for text in ("the wasser was", "wässrig mere", "qq", "x y z", "Water, WASSER! la", "there " * 50 + "ist"):
+        total = [0.0] * len(langs)
+        for w in langid.words_of(text):
+            found = evidence(0, w)
+            for n in range(5, 0, -1):
+                if found is None and len(w) + 2 >= n:
+                    known = [e for i in range(len(w) + 3 - n) if (e := evidence(n, f"<{w}>"[i : i + n])) is not None]
+                    found = [sum(x) / len(known) for x in zip(*known, strict=True)] if known else None
+            total = [a + b for a, b in zip(total, found or [0.0] * len(langs), strict=True)]
+        top = max(total)
+        p = [math.exp(x - top) for x in total]
+        lang, score = model.predict(text)
+        assert lang == langs[p.index(max(p))] and abs(score - max(p) / sum(p)) < 1e-9, text
+
+
+def test_embeddings_by_hand():
+    """The score by plain loops over tokens, their character n-grams and bigrams."""
+    model = quality.Embeddings(dim=4, seed=3)
+    rng = np.random.default_rng(4)
+    model.layer, model.bias = rng.normal(size=(4, 2)).astype(np.float32) * 20, np.array([0.3, -0.2], np.float32)
+
+    def spread(h):
+        return ((h ^ (h >> 15)) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - quality.BUCKET_BITS)
+
+    for text in ("a bb a <repeat> ccc ccc", "x", "ünï ✓ token " * 30, "same same same", "<repeat> <repeat>"):
+        words, used = text.split(), []
+        for w in words:
+            used.append(spread(zlib.crc32(w.encode())))
+            for n in (3, 4):
+                for i in range(len(w) + 3 - n):
+                    h = n
+                    for c in f"<{w}>"[i : i + n]:
+                        h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+                    used.append(spread(h))
+        for a, b in zip(words, words[1:], strict=False):
+            used.append(quality.REPEAT if a == b else spread((zlib.crc32(a.encode()) * 0x9E3779B1 + zlib.crc32(b.encode())) & 0xFFFFFFFF))
+        mean = sum(model.vectors[u].astype(float) for u in used) / len(used)
+        z = mean @ model.layer + model.bias
+        assert abs(model.score(text) - 1 / (1 + math.exp(z[0] - z[1]))) < 1e-5, text
+        example = next(quality._examples(iter([pa.RecordBatch.from_pydict({"label": [1], "text": [text]})])))
+        want = collections.Counter(used)
+        assert np.frombuffer(example["at"][0], "<i4").tolist() == sorted(want)
+        assert np.allclose(np.frombuffer(example["weights"][0], "<f4"), [want[u] / len(used) for u in sorted(want)])
+
+
+def test_samples_are_drawn_by_row(spark):
+    from wharfline.llm.shared import bounded_sample
+
+    df = spark.createDataFrame([(None, "same")] * 10_000, "key long, text string")
+    assert 250 < bounded_sample(df, 400).count() < 600 and bounded_sample(df, 20_000).count() == 10_000
+
+
 def test_language_id(spark, documents):
     rows, df = documents
     known = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([("the water was there and of this", "en"), ("der apfel ist groß und über das wasser", "de")] * 5)], "doc_id long, text string, lang string")
@@ -117,7 +189,7 @@ def test_urls(spark):
         (1, "http://a.org/x/y?q=1#f", '<LINK REL="canonical" HREF="/canon">'), (2, "https://A.org/canon", None), (3, "http://a.org/x/z", '<meta http-equiv="refresh" content="0; URL=http://bad.example.com/en/1">'), (4, "http://a.org/x/w", "<link rel=canonical href=z>"),
         (5, None, "x"), (6, "nourl", ""), (7, "http://www.example.com/en/9", '<link rel="canonical" href="http://c.org">'), (8, "http://c.org", ""), (9, "http://bad.example.com/en/7", '<link href="//c.org" rel="canonical">'), (9, "http://bad.example.com/en/7", ""), (10, "http://notexample.com/en/1?x", "<link rel=canonical href='http://['>"),
     ]
-    pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("host", F.lit("clash"))
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "decision", "_node", "_spread", "node", "page", "component")})
     rules = spark.createDataFrame([("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), (None, "allow"), ("x/", None)], "rule string, decision string")
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, rules, urls.link_edges(pages)).collect())
     assert got == sorted(
@@ -126,6 +198,10 @@ def test_urls(spark):
             (7, "www.example.com", "/en/9", "www.example.com/en/", "allow"), (8, "c.org", "", None, "allow"), (9, "bad.example.com", "/en/7", "example.com/en/", "block"), (9, "bad.example.com", "/en/7", "example.com/en/", "block"), (10, "notexample.com", "/en/1", "com/", "allow"),
         ]
     )
+    places = [("1.b", "/xx"), ("1.b", "/xy/" + "z" * 6000), ("2.b", "/xy"), ("b", "/x")]
+    found = {(r.host, r.path): (r.rule, r.decision) for r in urls.match_rules(spark.createDataFrame(places * 2, "host string, path string"), spark.createDataFrame([("1.b/", "block"), ("b/xx", "block"), ("b/x", "allow"), ("b/y", "allow"), ("1.b/xy/" + "z" * 5000, "allow")], "rule string, decision string")).collect()}
+    assert found == {places[0]: ("1.b/", "block"), places[1]: ("1.b/xy/" + "z" * 5000, "allow"), places[2]: ("b/x", "allow"), places[3]: ("b/x", "allow")}
+    assert set(urls.judge(pages, rules, urls.link_edges(pages)).columns) == {*pages.columns, "path", "rule", "verdict"}
     assert urls.judge(pages.limit(0), rules.limit(0), urls.link_edges(pages.limit(0))).count() == 0
 
 
@@ -317,10 +393,14 @@ def test_tree_prunes():
     assert sum(seen) < 5000 * len(asked) * 0.8
 
 
+def first_like(records, block):
+    return records.filter("target_uri = 'http://a.org/' and record_type = 'response'").select(*warc.FIELDS, F.lit(block).alias("block"))
+
+
 def test_warc(spark, tmp_path):
     html = '<html><head><title>A &amp; B</title><style>x</style><script>var t="</p>";</script></head><body><p>One<br>two &lt;three&gt;</p><!-- no --><div>  four </div></body></html>'
     pages = spark.createDataFrame([(1, "http://a.org/", html), (2, None, None), (3, "http://b.org/", "plain\r\n\r\ntext"), (3, "http://b.org/", "plain\r\n\r\ntext")], "page_id int, url string, html string")
-    source = warc.responses(pages)
+    source = warc.responses(pages.withColumns({c: F.lit("clash") for c in ("_cut", "_head", "_body", "_text", "cut", "head", "other", "read")}))
     made = {(r.page_id, r.record_type): r for r in warc.derive(source).collect()}
     assert len(made) == 6 and warc.derive(source).count() == 8
     first = source.filter("page_id = 1").first()
@@ -332,6 +412,7 @@ def test_warc(spark, tmp_path):
     assert lines[0] == "http-status: 200" and "http-content-type: text/html; charset=utf-8" in lines and f"source-payload-digest: {first.payload_digest}" in lines and "title: A & B" in lines
     assert made[2, "conversion"].block == "" and made[3, "conversion"].block == "plain\ntext"
     every = source.select(*[c for c in source.columns if c != "page_id"]).unionByName(warc.derive(source).select(*[c for c in source.columns if c != "page_id"]))
+    every = every.select(*warc.FIELDS, "block").unionByName(first_like(every, "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb ü\r\n\r\n"))
     for compression in ("none", "gzip"):
         path = str(tmp_path / compression)
         warc.write(every, path, compression=compression)
@@ -342,6 +423,24 @@ def test_warc(spark, tmp_path):
     assert warc.derive(source.limit(0)).count() == 0
 
 
+def test_warc_files_of_others(spark, tmp_path):
+    """A member for each record, binary blocks, a record without a length, fields in any case."""
+    records = [b"WARC/1.0\r\nwarc-type: resource\r\nWARC-Record-ID: <urn:x:1>\r\nContent-Length: 4\r\n\r\n\xff\x00\r\n\r\n\r\n", b"WARC/1.1\r\nWARC-Type: warcinfo\r\n\r\n\r\n\r\n", b"WARC/1.1\nWARC-Type: metadata\nContent-Length: 3\n\nabc\r\n\r\n"]
+    import gzip
+
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = sorted((r.record_type, r.record_id or "", r.content_length, bytes(r.content)) for r in warc.read(spark, str(tmp_path)).collect())
+    assert got == sorted([("resource", "<urn:x:1>", 4, b"\xff\x00\r\n"), ("warcinfo", "", 0, b""), ("metadata", "", 3, b"abc")] * 2)
+
+
+def test_plain_text():
+    assert warc.plain_text("It&#8217;s caf&eacute; &#x27;x&#x27; &amp;lt; &euro;5&nbsp;&nbsp;a<b<br>c&hellip;</p> <!-- <p> -->d<SCRIPT>&amp;</SCRIPT >e &unknown;") == "It\u2019s café 'x' &lt; €5 ac\u2026\nd e &unknown;"
+    assert warc.plain_text("1 < 2 &#233;<td>x</td>" + "y" * 100_000 + "<i>z</i>") == "1 < 2 é\nx\n" + "y" * 100_000 + "z"
+    assert warc.title_of("<TITLE a=b> A\n&ldquo;B&rdquo; <b>c</b></title>") == "A \u201cB\u201d c" and warc.title_of("") == ""
+
+
 def brute_repeats(rows, length=50):
     first = {}
     for i, t in sorted(r for r in rows if r[0] is not None):

