@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import with_quantiles
+
 #: Weights of the six scores.
 WEIGHTS = {"duration": 0.15, "frequency": 0.20, "variability": 0.20, "tail_risk": 0.20, "contribution": 0.10, "breach": 0.15}
 
@@ -27,20 +29,19 @@ def candidates(lead_times: DataFrame, delays: DataFrame, timings: DataFrame, tar
     return stages.union(stated).union(late)
 
 
-def rank(values: DataFrame, *, total_hours: Column | float = 50.0, population: float = 72.0, weights: dict[str, float] | None = None) -> DataFrame:
+def rank(values: DataFrame, *, total_hours: DataFrame | float = 50.0, population: float = 72.0, weights: dict[str, float] | None = None) -> DataFrame:
     """BN-03 to BN-05: statistics, six scores from 0 to 100, their weighted mean and the rank.
 
-    The median is true, P90 by nearest rank, the deviation that of a sample (0 for one value). population: how many values
-    make a frequency of 100. Durations score against 48 hours for stages and 10 for resources.
+    The median is true, P90 by nearest rank, the deviation that of a sample (0 for one value). total_hours: what
+    contributions are shares of, a number or a table of one row (total). population: how many values make a frequency of
+    100. Durations score against 48 hours for stages and 10 for resources.
     """
     w = {**WEIGHTS, **(weights or {})}
-    by = Window.partitionBy("name", "kind")
-    ranked = values.filter("hours is not null").withColumns({"_r": F.row_number().over(by.orderBy("hours")), "_n": F.count("*").over(by)})
-    at90 = F.max(F.when(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * 0.9, 9))), F.col("hours")))
-    got = ranked.groupBy("name", "kind").agg(
-        F.count("*").alias("n"), F.avg("hours").alias("mean"), F.percentile("hours", F.lit(0.5)).alias("median"), at90.alias("p90"), F.coalesce(F.stddev_samp("hours"), F.lit(0.0)).alias("sd"), F.avg((F.col("hours") > F.col("target")).cast("double")).alias("breach_rate")
-    )
-    total = total_hours if isinstance(total_hours, Column) else F.lit(total_hours)
+    rows = values.filter("hours is not null")
+    aggs = [F.avg("hours").alias("mean"), F.coalesce(F.stddev_samp("hours"), F.lit(0.0)).alias("sd"), F.avg((F.col("hours") > F.col("target")).cast("double")).alias("breach_rate")]
+    got = with_quantiles(rows, ["name", "kind"], "hours", {"median": (0.5, "linear"), "p90": (0.9, "nearest")}, aggs)
+    got = got.crossJoin(F.broadcast(total_hours)) if isinstance(total_hours, DataFrame) else got.withColumn("total", F.lit(total_hours))  # one row
+    total = F.col("total")
     got = got.withColumns({"cv": F.when(F.col("mean") > 0.0001, F.col("sd") / F.col("mean")).otherwise(0.0), "tail_ratio": F.when(F.col("median") > 0.0001, F.col("p90") / F.col("median")).otherwise(F.greatest(F.lit(1.0), F.col("p90"))), "share": F.when(total > 0, F.col("mean") / total * 100).otherwise(0.0)})
     score = lambda c: F.least(F.lit(100.0), F.round(c, 2))
     got = got.withColumns(
@@ -62,21 +63,20 @@ def _level(value: Column, limits: tuple[float, float, float, float]) -> Column:
     return out.otherwise(1)
 
 
-def criticality(values: DataFrame, key: str = "metric", value: str = "hours") -> DataFrame:
-    """CR-01, CR-02: levels 1 to 5 for mean duration, CV and tail ratio, their mean and its name.
+def criticality(values: DataFrame, key: str = "metric", value: str = "hours", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """CR-01, CR-02: levels 1 to 5 for mean duration, CV and tail ratio, their weighted mean and its name.
 
-    The median is the upper one, P90 by nearest rank.
+    The median is the upper one, P90 by nearest rank. weights: of the three levels.
     """
-    by = Window.partitionBy(key)
-    ranked = values.filter(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(by.orderBy(value)), "_n": F.count("*").over(by)})
-    pick = lambda at: F.max(F.when(F.col("_r") == at, F.col(value)))
-    got = ranked.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), pick(F.floor(F.col("_n") / 2) + 1).alias("median"), pick(F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * 0.9, 9)))).alias("p90"))
-    return with_levels(got.withColumns({"cv": F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(0.0), "tail_ratio": F.when(F.col("median") > 0, F.col("p90") / F.col("median")).otherwise(1.0)}), key)
+    rows = values.filter(F.col(value).isNotNull())
+    got = with_quantiles(rows, [key], value, {"median": (0.5, "upper"), "p90": (0.9, "nearest")}, [F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")])
+    return with_levels(got.withColumns({"cv": F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(0.0), "tail_ratio": F.when(F.col("median") > 0, F.col("p90") / F.col("median")).otherwise(1.0)}), key, weights)
 
 
-def with_levels(stats: DataFrame, key: str) -> DataFrame:
+def with_levels(stats: DataFrame, key: str, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """CR-01: from mean, cv and tail_ratio."""
     levels = {"duration_level": _level(F.col("mean"), (2, 6, 18, 36)), "variability_level": _level(F.col("cv"), (0.2, 0.5, 0.8, 1.2)), "tail_level": _level(F.col("tail_ratio"), (1.3, 1.8, 2.5, 3.5))}
-    got = stats.withColumns(levels).withColumn("score", F.round((F.col("duration_level") + F.col("variability_level") + F.col("tail_level")) / 3, 2))
+    weighted = sum((F.col(c) * w for c, w in zip(levels, weights, strict=True)), F.lit(0.0))
+    got = stats.withColumns(levels).withColumn("score", F.round(weighted / sum(weights), 2))
     name = F.when(F.col("score") >= 4, "CRITICAL").when(F.col("score") >= 3, "HIGH").when(F.col("score") >= 2, "MODERATE").otherwise("LOW")
     return got.select(key, F.round("mean", 4).alias("mean"), F.round("cv", 4).alias("cv"), F.round("tail_ratio", 4).alias("tail_ratio"), *levels, "score", name.alias("criticality"))

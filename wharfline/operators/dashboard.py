@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .stats import with_quantiles
+
 UNITS = ("TEU", "MT", "Units")
 
 
@@ -37,11 +39,11 @@ def throughput(calls: DataFrame, cargo: DataFrame) -> DataFrame:
 def metric_cards(lead_times: DataFrame, metrics: list[str]) -> DataFrame:
     """DB-03: counts, mean, median, P90, range (2 decimals), early, late and on time of each metric."""
     rows = lead_times.filter(F.col("metric").isin(*metrics))
-    h = F.when(F.col("status") == "AVAILABLE", F.col("hours"))
-    p = F.percentile(h, F.array(F.lit(0.5), F.lit(0.9)))
-    got = rows.groupBy("metric").agg(F.count(h).alias("n"), (F.count("*") - F.count(h)).alias("n_missing"), F.avg(h).alias("mean"), p.alias("_p"), F.min(h).alias("min"), F.max(h).alias("max"), F.count_if(h < 0).alias("n_early"), F.count_if(h > 0).alias("n_late"), F.count_if(h == 0).alias("n_on_time"))
-    r = lambda c: F.round(c, 2)
-    return got.select("metric", "n", "n_missing", r("mean").alias("mean"), r(F.get("_p", F.lit(0))).alias("median"), r(F.get("_p", F.lit(1))).alias("p90"), r("min").alias("min"), r("max").alias("max"), "n_early", "n_late", "n_on_time")
+    rows = rows.withColumn("h", F.when(F.col("status") == "AVAILABLE", F.col("hours")))
+    h = F.col("h")
+    aggs = [(F.count("*") - F.count(h)).alias("n_missing"), F.avg(h).alias("mean"), F.min(h).alias("min"), F.max(h).alias("max"), F.count_if(h < 0).alias("n_early"), F.count_if(h > 0).alias("n_late"), F.count_if(h == 0).alias("n_on_time")]
+    got = with_quantiles(rows, ["metric"], "h", {"median": (0.5, "linear"), "p90": (0.9, "linear")}, aggs)
+    return got.select("metric", "n", "n_missing", *[F.round(c, 2).alias(c) for c in ("mean", "median", "p90", "min", "max")], "n_early", "n_late", "n_on_time")
 
 
 def delay_summary(delays: DataFrame, top: int = 6) -> DataFrame:

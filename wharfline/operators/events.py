@@ -69,6 +69,19 @@ def instants(events: DataFrame, canonical: DataFrame | None = None) -> DataFrame
     return joined.select("call_id", "event_name", F.coalesce("_utc", "utc").alias("utc"), F.coalesce("_id", "event_id").alias("event_id"), "last_utc", "last_id")
 
 
+def points(events: DataFrame, *, repeatable: Sequence[str] = (), sources: Sequence[str] = SOURCES) -> DataFrame:
+    """JR-04, TM-12: what ``instants`` gives with the governing events of ``canonical_observations``, in one grouping without a sort."""
+    rows = events.filter("utc is not null and event_name is not null")
+    is_live = ~F.col("is_superseded") & ~F.col("is_quarantined")
+    place = F.struct("occurrence_index", "utc", "event_id")
+    trust = F.struct(_rank("verification_status", VERIFICATION).alias("v"), (-F.coalesce("confidence", F.lit(0.0))).alias("c"), _rank("source_system", sources).alias("s"), "created_at", "event_id", "utc", is_live.alias("live"))
+    one = F.min(F.when(~F.col("event_name").isin(*repeatable), trust) if repeatable else trust)
+    got = rows.groupBy("call_id", "event_name").agg(F.min(F.when(is_live, place)).alias("a"), F.max(F.when(is_live, place)).alias("z"), one.alias("k")).filter("a is not null")
+    governs = F.coalesce(F.col("k.live"), F.lit(False))
+    pick = lambda c: F.when(governs, F.col(f"k.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+    return got.select("call_id", "event_name", pick("utc"), pick("event_id"), F.col("z.utc").alias("last_utc"), F.col("z.event_id").alias("last_id"))
+
+
 def event_map(points: DataFrame, names: Sequence[str]) -> DataFrame:
     """KF-03: one row for each call with the instant of each named event."""
     return points.groupBy("call_id").pivot("event_name", list(names)).agg(F.min("utc"))

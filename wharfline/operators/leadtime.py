@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import hours_between
+from .stats import with_quantiles
 
 
 def lead_times(calls: DataFrame, points: DataFrame, definitions: DataFrame, *, blocked: DataFrame | None = None) -> DataFrame:
@@ -71,7 +72,7 @@ def custom_lead_time(events: DataFrame, start: str, end: str, *, pick: str = "fi
 
 def builder_outliers(df: DataFrame, value: str = "hours") -> DataFrame:
     """TM-24: values above the linear P90, or negative."""
-    limit = df.agg(F.percentile(value, F.lit(0.9)).alias("p90"))
+    limit = with_quantiles(df, [], value, {"p90": (0.9, "linear")}).select("p90")
     return df.crossJoin(F.broadcast(limit)).filter((F.col(value) > F.col("p90")) | (F.col(value) < 0))  # one row
 
 

@@ -30,10 +30,11 @@ def replace_tenant(df: DataFrame, path: str) -> None:
 
 def activate_latest(batches: DataFrame) -> DataFrame:
     """LC-04: the newest committed batch of each tenant is active, older ones are SUPERSEDED."""
-    order = Window.partitionBy("tenant", "status").orderBy(F.desc("created_at"), F.desc("batch_id"))
-    ranked = batches.withColumn("_n", F.row_number().over(order))
-    committed = F.col("status") == "COMMITTED"
-    return ranked.withColumns({"is_active": committed & (F.col("_n") == 1), "status": F.when(committed & (F.col("_n") > 1), "SUPERSEDED").otherwise(F.col("status"))}).drop("_n")
+    newest = batches.filter("status = 'COMMITTED'").groupBy("tenant").agg(F.max(F.struct("created_at", "batch_id")).alias("_newest"))
+    joined = batches.join(newest, "tenant", "left")
+    active = (F.col("status") == "COMMITTED") & (F.col("created_at") == F.col("_newest.created_at")) & (F.col("batch_id") == F.col("_newest.batch_id"))
+    joined = joined.withColumn("is_active", F.coalesce(active, F.lit(False)))
+    return joined.withColumn("status", F.when((F.col("status") == "COMMITTED") & ~F.col("is_active"), "SUPERSEDED").otherwise(F.col("status"))).drop("_newest")
 
 
 def apply_exclusions(staging: DataFrame, decisions: DataFrame, key: str = "record_reference") -> DataFrame:

@@ -58,6 +58,25 @@ def sequence_violations(events: DataFrame, edges: Sequence[tuple[str, str, str]]
     return _issues(broken, F.col("rule"), F.concat(F.lit("event:"), "event_id"), "event_id")
 
 
+def event_issues(calls: DataFrame, events: DataFrame, edges: Sequence[tuple[str, str, str]], seconds: int = 300) -> DataFrame:
+    """DQ-003 to DQ-006 and DQ-SEQ: what ``missing_arrival``, ``eta_after_ata``, ``unscheduled_pilot`` and ``sequence_violations`` find, in one pass over the events."""
+    names = sorted({"ETA", "ATA", "PILOT_REQUEST_ARRIVAL", "PILOT_SCHEDULED_ARRIVAL", *(n for a, z, _ in edges for n in (a, z))})
+    is_live = ~F.col("is_superseded") & ~F.col("is_quarantined")
+    first = lambda n: F.min(F.when(is_live & (F.col("event_name") == n), F.struct("occurrence_index", "utc", "event_id"))).alias(n)
+    seen = events.filter(F.col("event_name").isin(*names) & F.col("utc").isNotNull()).groupBy("call_id").agg(F.max(F.col("event_name") == "ATA").alias("_arrived"), *[first(n) for n in names])
+    known = calls.select("call_id", F.lit(True).alias("_known")).join(seen, "call_id", "full_outer")
+    none = F.lit(None).cast("string")
+    found = lambda when, rule, reference, event: F.when(when, F.struct(F.lit(rule).alias("rule"), reference.alias("reference"), event.alias("event_id")))
+    rules = [
+        found(F.col("_known") & ~F.coalesce("_arrived", F.lit(False)), "DQ-003", _call_reference(), none),
+        found(F.col("ETA.utc") > F.col("ATA.utc"), "DQ-004", _call_reference(), F.col("ETA.event_id")),
+        found(F.col("PILOT_REQUEST_ARRIVAL").isNotNull() & F.col("PILOT_SCHEDULED_ARRIVAL").isNull(), "DQ-005", _call_reference(), none),
+        *[found(F.timestamp_diff("SECOND", F.col(a)["utc"], F.col(z)["utc"]) < -seconds, rule, F.concat(F.lit("event:"), F.col(z)["event_id"]), F.col(z)["event_id"]) for a, z, rule in edges],
+    ]
+    rows = known.select("call_id", F.inline(F.array_compact(F.array(*rules))))
+    return _issues(rows, F.col("rule"), F.col("reference"), "event_id")
+
+
 def unexplained_lateness(services: DataFrame, delays: DataFrame) -> DataFrame:
     """DQ-007: calls with a late service and no delay that has a reason."""
     late = services.filter("served > scheduled").select("call_id").distinct()

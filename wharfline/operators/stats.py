@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+ACCURACY = 10_000  # of the sketch that finds where a quantile lies
+
+
+def with_quantiles(df: DataFrame, keys: Sequence[str], value: str, picks: Mapping[str, tuple[float, str]], aggs: Sequence[Column] = ()) -> DataFrame:
+    """By key: ``aggs``, ``n`` (values that aren't null) and exact quantiles, however many values a key has.
+
+    picks: name to (q, rule): ``linear`` interpolates at q (n - 1), ``nearest`` is the value at rank ceil(q n), ``upper``
+    the one at floor(q n) + 1. A first pass bounds each quantile with a sketch, a second one counts what is below and
+    gathers only the values between the bounds, about 4 / ``ACCURACY`` of them. Keys without a value have null quantiles.
+    """
+    v, wide = F.col(value), 2.0 / ACCURACY
+    qs = sorted({q for q, _ in picks.values()})
+    edges = F.array(*[F.lit(x) for q in qs for x in (max(0.0, q - wide), min(1.0, q + wide))])
+    first = df.groupBy(*keys).agg(*aggs, F.count(v).alias("n"), F.percentile_approx(v, edges, F.lit(ACCURACY)).alias("_edges"))
+    known = first.select(*keys, "_edges")
+    rows = df.select(*keys, v.alias("_v")).filter("_v is not null")
+    rows = rows.join(known, list(keys)) if keys else rows.crossJoin(F.broadcast(known))  # one row
+    x = F.col("_v")
+    parts = []
+    for i in range(len(qs)):
+        low, high = F.get("_edges", F.lit(2 * i)), F.get("_edges", F.lit(2 * i + 1))
+        middle = F.sort_array(F.collect_list(F.when((x >= low) & (x <= high), x)))
+        parts += [F.count_if(x < low).alias(f"_below{i}"), F.concat(F.array(F.max(F.when(x < low, x))), middle, F.array(F.min(F.when(x > high, x)))).alias(f"_near{i}")]
+    second = rows.groupBy(*keys).agg(*parts)
+    both = first.join(second, list(keys), "left") if keys else first.crossJoin(F.broadcast(second))  # one row
+    out = {}
+    for name, (q, rule) in picks.items():
+        i = qs.index(q)
+        at = lambda k, i=i: F.get(f"_near{i}", (k - F.col(f"_below{i}") + 1).cast("int"))
+        if rule == "linear":
+            exact = F.lit(q) * (F.col("n") - 1)
+            k = F.floor(exact)
+            out[name] = F.when(exact > k, at(k) + (at(k + 1) - at(k)) * (exact - k)).otherwise(at(k))
+        elif rule == "nearest":
+            out[name] = at(F.greatest(F.lit(1), F.ceil(F.round(F.lit(q) * F.col("n"), 9))) - 1)
+        else:
+            out[name] = at(F.floor(F.round(F.lit(q) * F.col("n"), 9)))
+    return both.withColumns(out).select(*first.drop("_edges").columns, *picks)
+
+
 def duration_stats(df: DataFrame, keys: Sequence[str], value: str, entity: str | None = None) -> DataFrame:
     """TM-17 to TM-19: counts, mean, sample deviation (0 for one value), range, linear percentiles, ratios and extremes by key.
 
     Null values count as missing. CV is null for a mean within 0.001 of 0, the tail ratio for a median that isn't positive.
     """
-    p = F.percentile(value, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.9, 0.95)]))
     aggs = [
-        F.count(value).alias("n"),
         (F.count("*") - F.count(value)).alias("n_missing"),
         F.avg(value).alias("mean"),
         F.when(F.count(value) > 0, F.coalesce(F.stddev_samp(value), F.lit(0.0))).alias("sd"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-        p.alias("_p"),
     ]
     if entity:
         valued = F.when(F.col(value).isNotNull(), F.col(entity))
         aggs += [F.min_by(valued, F.struct(F.col(value).isNull(), value, entity)).alias("fastest"), F.max_by(valued, F.struct(F.col(value).isNotNull(), value, F.negative(F.col(entity)) if dict(df.dtypes)[entity] in ("int", "bigint") else F.col(entity))).alias("slowest")]
-    got = df.groupBy(*keys).agg(*aggs)
-    for i, name in enumerate(("p25", "median", "p75", "p90", "p95")):
-        got = got.withColumn(name, F.get("_p", F.lit(i)))
+    linear = {name: (q, "linear") for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95))}
+    got = with_quantiles(df, keys, value, linear, aggs)
     got = got.withColumns(
         {
             "cv": F.when(F.abs("mean") >= 0.001, F.col("sd") / F.col("mean")),
@@ -44,42 +80,39 @@ def duration_stats(df: DataFrame, keys: Sequence[str], value: str, entity: str |
 
 def tukey_outliers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """TM-20: rows beyond the fences P25 - 1.5 IQR and P75 + 1.5 IQR of their key, with the fences."""
-    p = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_p"))
-    low, high = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
+    p = with_quantiles(df, keys, value, {"_low": (0.25, "linear"), "_high": (0.75, "linear")})
+    low, high = F.col("_low"), F.col("_high")
     fences = p.select(*keys, (low - 1.5 * (high - low)).alias("lower_fence"), (high + 1.5 * (high - low)).alias("upper_fence"))
     return df.join(fences, list(keys)).filter((F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence")))
 
 
-def beyond(df: DataFrame, keys: Sequence[str], value: str, threshold: Column, *, below: bool = False) -> DataFrame:
-    """Rows beyond an aggregate of their key's values, with it as ``threshold``."""
-    limits = df.groupBy(*keys).agg(threshold.alias("threshold"), F.count(value).alias("_n"))
-    joined = df.join(limits, list(keys))
-    return joined.filter(F.col(value) < F.col("threshold") if below else F.col(value) > F.col("threshold")).drop("_n")
+def _severity() -> Column:
+    return F.when((F.col("threshold") > 0) & (F.col("value_") > 1.5 * F.col("threshold")), "CRITICAL").otherwise("HIGH")
 
 
 def above_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
     """OL-HI: non-negative values strictly above the linear percentile; CRITICAL above 1.5 times a positive threshold, else HIGH."""
     rows = df.filter(F.col(value) >= 0)
-    severity = F.when((F.col("threshold") > 0) & (F.col(value) > 1.5 * F.col("threshold")), "CRITICAL").otherwise("HIGH")
-    return beyond(rows, keys, value, F.percentile(value, F.lit(q))).withColumn("severity", severity)
+    limits = with_quantiles(rows, keys, value, {"threshold": (q, "linear")}).select(*keys, "threshold")
+    return rows.join(limits, list(keys)).filter(F.col(value) > F.col("threshold")).withColumn("value_", F.col(value)).withColumn("severity", _severity()).drop("value_")
 
 
 def below_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
     """OL-LO: values strictly below the linear percentile, MEDIUM."""
-    return beyond(df, keys, value, F.percentile(value, F.lit(q)), below=True).withColumn("severity", F.lit("MEDIUM"))
+    limits = with_quantiles(df, keys, value, {"threshold": (q, "linear")}).select(*keys, "threshold")
+    return df.join(limits, list(keys)).filter(F.col(value) < F.col("threshold")).withColumn("severity", F.lit("MEDIUM"))
 
 
 def above_deviations(df: DataFrame, keys: Sequence[str], value: str, k: float) -> DataFrame:
     """OL-SD: values above mean + k sample deviations, negative ones included, for keys of two values or more."""
-    severity = F.when((F.col("threshold") > 0) & (F.col(value) > 1.5 * F.col("threshold")), "CRITICAL").otherwise("HIGH")
-    return beyond(df.filter(F.col(value).isNotNull()), keys, value, F.avg(value) + k * F.stddev_samp(value)).withColumn("severity", severity)
+    rows = df.filter(F.col(value).isNotNull())
+    limits = rows.groupBy(*keys).agg((F.avg(value) + k * F.stddev_samp(value)).alias("threshold"))
+    return rows.join(limits, list(keys)).filter(F.col(value) > F.col("threshold")).withColumn("value_", F.col(value)).withColumn("severity", _severity()).drop("value_")
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
-    """BN-03: the value at rank ceil(q n) of each key."""
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return ranked.filter(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.round(F.lit(q) * F.col("_n"), 9)))).select(*keys, F.col(value).alias("rank_value"))
+    """BN-03: the value at rank ceil(q n) of each key that has values."""
+    return with_quantiles(df.filter(F.col(value).isNotNull()), keys, value, {"rank_value": (q, "nearest")}).select(*keys, "rank_value")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 5) -> DataFrame:

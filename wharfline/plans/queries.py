@@ -72,9 +72,13 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return events.occurrence_index(bound(spark, d, "events"), ["event_id"])
 
 
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """The events with their id in place of the occurrence number, which it orders alike: for what only compares places."""
+    return bound(spark, d, "events").withColumn("occurrence_index", F.col("event_id"))
+
+
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    ev = _events(spark, d)
-    return events.instants(ev, events.canonical_observations(ev, repeatable=registry.REPEATABLE))
+    return events.points(_ordered(spark, d), repeatable=registry.REPEATABLE)
 
 
 def _lead_times(spark: SparkSession, d: str) -> DataFrame:

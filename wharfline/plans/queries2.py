@@ -11,7 +11,7 @@ from ..operators import alerts, bottleneck, dashboard, delays, events, identity,
 from ..sources import landing
 from ..sources.tables import bound, oracle, table
 from . import registry
-from .queries import _CALLS, _CARGO, _EVENTS, _LEAD, _LIVE, _POINTS, _SERVICES, _STAGES, _TIMINGS, _events, _hours, _lead_times, _points, _stages, _timings, _values, query
+from .queries import _CALLS, _CARGO, _EVENTS, _LEAD, _LIVE, _POINTS, _SERVICES, _STAGES, _TIMINGS, _events, _hours, _lead_times, _ordered, _points, _stages, _timings, _values, query
 
 UNIT = "TEU"
 
@@ -214,7 +214,7 @@ _RANK = f"""tg as (select * from {_values(registry.BOTTLENECK_STAGES)} as t(metr
 
 def _bottlenecks(spark: SparkSession, d: str) -> DataFrame:
     found = _lead_times(spark, d)
-    total = found.filter("metric = 'Turnaround' and status = 'AVAILABLE'").agg(F.coalesce(F.avg("hours"), F.lit(50.0)).alias("total")).first().total
+    total = found.filter("metric = 'Turnaround' and status = 'AVAILABLE'").agg(F.coalesce(F.avg("hours"), F.lit(50.0)).alias("total"))
     targets = spark.createDataFrame(registry.BOTTLENECK_STAGES, "metric string, target double")
     return bottleneck.rank(bottleneck.candidates(found, _delays(spark, d), _timings(spark, d), targets), total_hours=total)
 
@@ -257,11 +257,8 @@ _ISSUES = f"""{_CALLS}, {_LIVE}, {_SERVICES}, {_DELAYS}, fl as (select call_id,
 
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
-    calls, ev, services = bound(spark, d, "calls"), _events(spark, d), bound(spark, d, "services")
-    found = [
-        quality.missing_arrival(calls, ev), quality.eta_after_ata(ev), quality.unscheduled_pilot(ev), quality.sequence_violations(ev, registry.SEQUENCE),
-        quality.unexplained_lateness(services, bound(spark, d, "delays")), quality.conflicting_arrivals(ev), quality.service_times(services),
-    ]
+    calls, ev, services = bound(spark, d, "calls"), _ordered(spark, d), bound(spark, d, "services")
+    found = [quality.event_issues(calls, ev, registry.SEQUENCE), quality.unexplained_lateness(services, bound(spark, d, "delays")), quality.conflicting_arrivals(ev), quality.service_times(services)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
