@@ -27,7 +27,7 @@ from .shared import arrow_map, bounded_sample, drop, materialise, path_of, slice
 BEGIN, END = 0, 1
 COMMON = 510  # words whose bigrams are counted beforehand
 LISTED = 1 << 18  # most frequent words whose counts are broadcast
-ROWS, CHARS = 2000, 4 << 20  # documents and characters of a chunk
+ROWS, CHARS = 2000, 2 << 20  # documents and characters of a chunk
 TARGET = 0xFFFF  # row number of all that comes from the target
 
 
@@ -255,9 +255,9 @@ def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text
             used, starts = np.unique(route[which], return_index=True)
             cuts = slices(starts, len(which))
             places = np.where(word == END, len(m.listed), words.at[word]).astype("<u4")
-            names = [(words.hashes[word[which[s:e]]] if u & 1 else places[which[s:e]]).tobytes() for u, (s, e) in zip(used.tolist(), cuts, strict=True)]
+            names = [_packed(words.hashes[word[which[s:e]]]) if u & 1 else places[which[s:e]].tobytes() for u, (s, e) in zip(used.tolist(), cuts, strict=True)]
             none = [None] * len(used)
-            yield {"bucket": used, "base": [base] * len(used), "pairs": [codes[which[s:e]].tobytes() for s, e in cuts], "words": names, "rows": [row[s:e].tobytes() for s, e in cuts], "many": [_short(many[s:e]) for s, e in cuts], "id": none, "n": none, "t": none, "b": none}
+            yield {"bucket": used, "base": [base] * len(used), "pairs": [_packed(codes[which[s:e]]) for s, e in cuts], "words": names, "rows": [row[s:e].tobytes() for s, e in cuts], "many": [_short(many[s:e]) for s, e in cuts], "id": none, "n": none, "t": none, "b": none}
             if len(scored):
                 yield {"bucket": [base % (2 * buckets)], "base": [base], "pairs": [None], "words": [None], "rows": [None], "many": [None], "id": [[keys[i] for i in scored]], "n": [sizes], "t": [sums[:, 0]], "b": [sums[:, 1]]}
 
@@ -275,7 +275,7 @@ def score(background: DataFrame, target: DataFrame, *, key: str = "doc_id", text
                     yield from sums(now & 1, held)
                     held = []
                 now = bucket
-                held.append((base, np.frombuffer(pairs, np.uint64), np.frombuffer(words, np.uint64 if bucket & 1 else "<u4"), np.frombuffer(rows, "<u2"), _long(many)))
+                held.append((base, _unpacked(pairs), _unpacked(words) if bucket & 1 else np.frombuffer(words, "<u4"), np.frombuffer(rows, "<u2"), _long(many)))
         if held:
             yield from sums(now & 1, held)
 
@@ -339,6 +339,17 @@ def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """48 bits of each hash: enough to tell the millions in a bucket apart."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _short(counts: np.ndarray) -> bytes:
     """Counts as bytes if they fit, else as 4 bytes each after an empty first byte."""
     return counts.astype(np.uint8).tobytes() if not len(counts) or counts.max() < 256 else b"\x00" + counts.astype("<u4").tobytes()
