@@ -522,7 +522,7 @@ def test_lm_scores(spark, documents):
     near, far = model(talk), model(texts)
     want = sorted((str(k), len(ids(t)) - 1, near(ids(t)), far(ids(t))) for k, t in [*((f"d{r[0]}", r[1]) for r in rows), *more])
     for listed, sample in ((20, 4000), (0, 2)):
-        got = sorted((str(r.doc_id), r.n_tokens, r.loss_target, r.loss_background, r.score) for r in lmscore.score(df, target, listed=listed, sample=sample, bucket_bytes=300).collect())
+        got = sorted((str(r.doc_id), r.n_tokens, r.loss_target, r.loss_background, r.score) for r in lmscore.score(df, target, listed=listed, sample=sample, bucket_bytes=80_000).collect())
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert all(abs(g[2] - w[2]) < 2e-6 and abs(g[3] - w[3]) < 2e-6 and abs(g[4] - g[2] + g[3]) < 1e-9 for g, w in zip(got, want, strict=True))
     assert lmscore.score(df.limit(0), target).count() == 0
