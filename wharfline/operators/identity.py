@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,28 +24,91 @@ def _pairs(rows: DataFrame, key: str) -> DataFrame:
     return keyed.alias("x").join(keyed.alias("y"), key).filter("x.call_id < y.call_id").select(F.col("x.call_id").alias("a"), F.col("y.call_id").alias("b"))
 
 
-def candidate_pairs(calls: DataFrame, *, least: float = CANDIDATE, exact_names: bool = False) -> DataFrame:
-    """ID-03: (a, b) of unmerged calls that share VCN or IMO, or whose names are alike.
+def _alike_keys(names: DataFrame, least: float) -> DataFrame:
+    """(key, norm, size): names under keys such that two names with a matching ratio of ``least`` or more share one.
 
-    Names are compared once for each pair of different normal forms that share a 4-letter start of a word (``exact_names``: all
-    pairs whose lengths allow the similarity), never for pairs of calls; then the calls of like names are joined.
+    A ratio of t needs t (m + n) / 2 common characters, so a name's partners have at least t / (2 - t) of its length. Of the
+    (character, occurrence) pairs of a name, rarest first, any partner has one of the first m less that many, plus one.
     """
+    parts = names.select("norm", F.length("norm").alias("size"), F.explode(F.split("norm", "")).alias("c")).filter("c <> ''")
+    nth = parts.groupBy("norm", "size", "c").agg(F.count("*").alias("n")).select("norm", "size", "c", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    many = nth.groupBy("c", "k").agg(F.count("*").alias("many"))  # characters times the longest name
+    ranked = nth.join(many, ["c", "k"]).groupBy("norm", "size").agg(F.sort_array(F.collect_list(F.struct("many", "c", "k"))).alias("rare"))
+    common = F.ceil(F.lit(least) * (F.col("size") + F.ceil(F.col("size") * (least / (2 - least)) - 1e-9)) / 2 - 1e-9)
+    return ranked.select(F.explode(F.slice("rare", F.lit(1), F.greatest(F.lit(1), (F.col("size") - common + 1).cast("int")))).alias("x"), "norm", "size").select(F.concat("x.c", F.lit(" "), F.col("x.k").cast("string")).alias("key"), "norm", "size")
+
+
+def _named(calls: DataFrame, default: str) -> DataFrame:
     rows = calls.filter("not coalesce(is_merged, false)").withColumn("norm", normalise_name("vessel_name"))
-    names = rows.filter("norm <> ''").select("norm").distinct().withColumn("size", F.length("norm"))
-    x, y = names.select(F.col("norm").alias("p"), F.col("size").alias("m")), names.select(F.col("norm").alias("q"), F.col("size").alias("n"))
-    fits = (F.col("p") < F.col("q")) & (2.0 * F.least("m", "n") >= least * (F.col("m") + F.col("n")))
-    if exact_names:
-        like = x.join(y, fits)
-    else:
-        block = F.explode(F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.substring(w, 1, 4))))
-        blocked = names.select("norm", "size", block.alias("block")).filter("block <> ''")
-        like = blocked.select("block", F.col("norm").alias("p"), F.col("size").alias("m")).join(blocked.select("block", F.col("norm").alias("q"), F.col("size").alias("n")), "block").filter(fits).select("p", "q").distinct()
-    like = like.select("p", "q").filter(matching_ratio("p", "q") >= least)
+    return rows.filter((F.col("norm") != "") & (F.col("norm") != default))
+
+
+def _fits(least: float) -> Column:
+    return 2.0 * F.least(F.length("p"), F.length("q")) >= least * (F.length("p") + F.length("q"))
+
+
+def candidate_pairs(calls: DataFrame, *, least: float = CANDIDATE, default: str = "UNKNOWN") -> DataFrame:
+    """ID-03: (a, b) of unmerged calls that share VCN or IMO, or whose names are alike; no pair is left out.
+
+    Blank names and the ``default`` name are like none. Names are compared once for each two normal forms that ``_alike_keys``
+    brings together; then the calls of like names are joined. All pairs can be many: ``name_classes`` gives their classes.
+    """
+    rows = calls.filter("not coalesce(is_merged, false)")
+    named = _named(calls, default)
+    keys = _alike_keys(named.select("norm").distinct(), least)
+    like = keys.select("key", F.col("norm").alias("p")).join(keys.select("key", F.col("norm").alias("q")), "key").filter((F.col("p") < F.col("q")) & _fits(least)).select("p", "q").distinct()
+    like = like.filter(matching_ratio("p", "q") >= least)
+    names = named.select("norm").distinct()
     alike = like.unionByName(like.select(F.col("q").alias("p"), F.col("p").alias("q"))).unionByName(names.select(F.col("norm").alias("p"), F.col("norm").alias("q")))
-    by_name = rows.select(F.col("call_id").alias("a"), F.col("norm").alias("p")).join(alike, "p").join(rows.select(F.col("call_id").alias("b"), F.col("norm").alias("q")), "q").filter("a < b").select("a", "b")
+    by_name = named.select(F.col("call_id").alias("a"), F.col("norm").alias("p")).join(alike, "p").join(named.select(F.col("call_id").alias("b"), F.col("norm").alias("q")), "q").filter("a < b").select("a", "b")
     return by_name.union(_pairs(rows, "vcn")).union(_pairs(rows, "imo")).distinct()
 
 
+def _forests(least: float):  # noqa: ANN202
+    def forest(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links of alike names under one key that connect what all its links connect."""
+        rows = rows.drop_duplicates("norm").sort_values("norm")
+        names, label = rows["norm"].tolist(), rows["leader"].tolist()
+        bags = [Counter(n) for n in names]
+        found: list[tuple[str, str]] = []
+        for i, p in enumerate(names):
+            for j in range(i + 1, len(names)):
+                if label[j] == label[i] or 2 * (bags[i] & bags[j]).total() < least * (len(p) + len(names[j])):
+                    continue
+                if round(SequenceMatcher(None, p, names[j]).ratio(), 4) >= least:
+                    found.append((p, names[j]))
+                    old, new = label[j], label[i]
+                    label = [new if x == old else x for x in label]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return forest
+
+
+def name_classes(calls: DataFrame, *, least: float = CANDIDATE, default: str = "UNKNOWN", crowd: int = 500) -> DataFrame:
+    """ID-03: (call_id, class_id): each unmerged call and the smallest call that names alike lead to; no link is lost, no pairs are listed.
+
+    First every name is compared with one of each of its keys; then, under keys whose names are in several classes, names of
+    different classes are, in blocks of about ``crowd``, each two of which meet in a task. Blank and default names are alone.
+    """
+    named = _named(calls, default)
+    keys = cut(_alike_keys(named.select("norm").distinct(), least))
+    centre = F.min("norm").over(Window.partitionBy("key"))
+    stars = keys.select(centre.alias("p"), F.col("norm").alias("q")).distinct().filter((F.col("p") < F.col("q")) & _fits(least)).filter(matching_ratio("p", "q") >= least)
+    links = cut(stars.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    labelled = keys.join(connected(links), F.col("norm") == F.col("node"), "left").select("key", "norm", F.coalesce("leader", "norm").alias("leader"))
+    open_ = labelled.groupBy("key").agg(F.count("*").alias("many"), F.min("leader").alias("lo"), F.max("leader").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("many") / crowd).alias("k"))
+    block = F.pmod(F.xxhash64("norm"), F.col("k"))
+    tasks = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: F.concat_ws(" ", "key", F.least(x, block).cast("string"), F.greatest(x, block).cast("string")))
+    dealt = labelled.join(open_, "key").select(F.explode(tasks).alias("task"), "norm", "leader")
+    more = cut(dealt.groupBy("task").applyInPandas(_forests(least), "a string, b string").distinct())
+    leaders = connected(links.union(more))
+    whole = calls.filter("not coalesce(is_merged, false)").select("call_id", normalise_name("vessel_name").alias("norm"))
+    groups = named.select("call_id", "norm").join(leaders.withColumnRenamed("node", "norm"), "norm", "left").select("call_id", F.coalesce("leader", "norm").alias("leader"))
+    smallest = groups.groupBy("leader").agg(F.min("call_id").alias("class_id"))
+    alone = whole.filter((F.col("norm") == "") | (F.col("norm") == default) | F.col("norm").isNull()).select("call_id", F.col("call_id").alias("class_id"))
+    return groups.join(smallest, "leader").select("call_id", "class_id").union(alone)
+
+
 def _agree(c: str) -> Column:
     return F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(False))
 
@@ -58,7 +124,10 @@ def score_pairs(pairs: DataFrame, calls: DataFrame) -> DataFrame:
     """
     rows = pairs.join(calls.alias("x"), F.col("a") == F.col("x.call_id")).join(calls.alias("y"), F.col("b") == F.col("y.call_id"))
     p, q = normalise_name("x.vessel_name"), normalise_name("y.vessel_name")
-    rows = rows.withColumn("similarity", F.when(is_blank("x.vessel_name") | is_blank("y.vessel_name"), 0.0).when(_agree("vessel_name"), 1.0).when(p == q, 0.99).otherwise(matching_ratio(p, q)))
+    known = F.when(is_blank("x.vessel_name") | is_blank("y.vessel_name"), 0.0).when(_agree("vessel_name"), 1.0).when(p == q, 0.99)
+    rows = rows.withColumn("similarity", known)
+    rest = rows.filter("similarity is null").drop("similarity").withColumn("similarity", matching_ratio(p, q))  # only these go through Python
+    rows = rows.filter("similarity is not null").union(rest)
     close = lambda c: (F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= 0.01)
     sizes = [(close("loa"), F.col("x.loa").isNotNull() & F.col("y.loa").isNotNull()), (close("grt"), F.col("x.grt").isNotNull() & F.col("y.grt").isNotNull()), (_agree("teu"), F.col("x.teu").isNotNull() & F.col("y.teu").isNotNull())]
     had = sum((h.cast("int") for _, h in sizes), F.lit(0))
@@ -80,23 +149,33 @@ def evidence_rows(scored: DataFrame) -> DataFrame:
     return scored.select("a", "b", F.inline("evidence"))
 
 
-def merge_groups(scored: DataFrame, rounds: int = 10) -> DataFrame:
-    """ID-12: (call_id, leader) of the groups that AUTO_MERGE pairs make: the smallest label spreads until nothing changes.
-
-    A group whose diameter is over 2^rounds keeps more than one leader; names and keys give groups of a few.
-    """
-    pairs = scored.filter("disposition = 'AUTO_MERGE'").select("a", "b")
-    both = pairs.union(pairs.select("b", "a"))
+def connected(pairs: DataFrame) -> DataFrame:
+    """(node, leader): the smallest node that the pairs (a, b) lead to, for each node of them. Labels spread and jump until nothing changes."""
+    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("leader"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("a").alias("b"), "leader"), "b").groupBy("a").agg(F.min("leader").alias("m"))
         next_ = labels.join(near, "a").select("a", F.least("leader", "m").alias("leader"))
         jumped = next_.alias("x").join(next_.alias("y"), F.col("x.leader") == F.col("y.a"), "left").select(F.col("x.a").alias("a"), F.least("x.leader", F.coalesce("y.leader", "x.leader")).alias("leader"))
         jumped = cut(jumped)
         if jumped.join(labels, ["a", "leader"], "left_anti").isEmpty():
-            break
+            return jumped.select(F.col("a").alias("node"), "leader")
         labels = jumped
-    return labels.select(F.col("a").alias("call_id"), "leader")
+
+
+def merge_groups(scored: DataFrame) -> DataFrame:
+    """ID-12: (call_id, leader) of the groups that AUTO_MERGE pairs make."""
+    return connected(scored.filter("disposition = 'AUTO_MERGE'").select("a", "b")).select(F.col("node").alias("call_id"), "leader")
+
+
+def unmerge(groups: DataFrame, taken_back: DataFrame) -> DataFrame:
+    """ID-11: the groups (call_id, survivor_id) without the merges that decisions took back (call_id): these calls stand alone again.
+
+    ``apply_merges``, ``consolidate`` and ``rekey_events`` over what remains give calls and events as they were.
+    """
+    back = taken_back.select("call_id", F.lit(True).alias("_back")).distinct()
+    alone = F.when(F.col("_back"), F.col("call_id")).otherwise(F.col("survivor_id"))
+    return groups.join(back, "call_id", "left").select("call_id", alone.alias("survivor_id"))
 
 
 def survivors(groups: DataFrame, calls: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -125,7 +204,7 @@ def rekey_events(events: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def apply_merges(calls: DataFrame, groups: DataFrame) -> DataFrame:
-    """ID-10: calls with ``is_merged`` and ``merged_into``. ID-11 is the same without the decisions taken back."""
+    """ID-10: calls with ``is_merged`` and ``merged_into``."""
     joined = calls.drop("is_merged", "merged_into").join(groups, "call_id", "left")
     merged = F.coalesce(F.col("survivor_id") != F.col("call_id"), F.lit(False))
     return joined.withColumns({"is_merged": merged, "merged_into": F.when(merged, F.col("survivor_id"))}).drop("survivor_id")
@@ -137,7 +216,15 @@ def population(calls: DataFrame) -> DataFrame:
 
 
 def queue(scored: DataFrame, calls: DataFrame) -> DataFrame:
-    """ID-14: pairs for a steward with their names, highest score first by rank."""
+    """ID-14: pairs for a steward with their names, highest score first."""
     rows = scored.filter("disposition = 'STEWARD_REVIEW'")
     named = rows.join(calls.select(F.col("call_id").alias("a"), F.col("vessel_name").alias("name_a")), "a").join(calls.select(F.col("call_id").alias("b"), F.col("vessel_name").alias("name_b")), "b")
     return named.select("a", "b", "name_a", "name_b", "score").orderBy(F.desc("score"), "a", "b")
+
+
+def decision_history(decisions: DataFrame, calls: DataFrame) -> DataFrame:
+    """ID-14: decisions (call_id, survivor_id, action, actor, decided_at) with both names and their place in the survivor's history, newest first."""
+    name = lambda c: calls.select(F.col("call_id").alias(c), F.col("vessel_name").alias(f"{c}_name"))
+    named = decisions.join(name("call_id"), "call_id", "left").join(name("survivor_id"), "survivor_id", "left")
+    order = Window.partitionBy("survivor_id").orderBy(F.desc("decided_at"), "call_id", "action")
+    return named.withColumn("position", F.row_number().over(order))

@@ -532,8 +532,8 @@ def identity_population(spark: SparkSession, d: str) -> DataFrame:
 
 @query("identity_name_candidates")
 def identity_name_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs by names alone cannot be said in SQL: the ratio of matching blocks."""
-    return identity.candidate_pairs(_party(spark, d), least=0.98)
+    """Classes by names alone cannot be said in SQL: the ratio of matching blocks. Tests hold them against all pairs."""
+    return identity.name_classes(_party(spark, d))
 
 
 @query("journey_counters", f"with {_ISSUES}, e as (select call_id, movement, {_hours('scheduled', 'served')} as hours from services where service_type = 'Pilotage'), sh as (select call_id, event_name, utc, row_number() over (partition by call_id, event_name order by utc, event_id) as n from live where event_name in ('SHIFT_PILOT_ON_BOARD', 'SHIFT_ALL_FAST')), sp as (select distinct a.call_id from sh a join sh z on a.call_id = z.call_id and a.n = z.n and a.event_name = 'SHIFT_PILOT_ON_BOARD' and z.event_name = 'SHIFT_ALL_FAST' and z.utc >= a.utc) select count(*) as n_calls, count(*) filter (quality_status = 'QUARANTINED') as n_quarantined, count(*) filter (call_id in (select call_id from sp)) as n_shifted, count(*) filter (call_id in (select call_id from e where hours < 0 and movement = 'Arrival')) as n_early_arrival, count(*) filter (call_id in (select call_id from e where hours < 0 and movement = 'Sailing')) as n_early_sailing from parts")
