@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import arrow_map, bounded_sample, texts
 
 MAX_GRAM = 5
-CACHE = 300_000  # words that a Python worker remembers
+CACHE = 150_000  # words that a Python worker remembers
 
 _runs = re.compile(r"[^\W\d_]+").findall
 
@@ -117,7 +117,7 @@ def _count(batches: Iterator) -> Iterator[dict]:
         yield dict(zip(("kind", "gram", "label", "cnt"), map(list, zip(*out, strict=True)) if out else ([], [], [], []), strict=True))
 
 
-def train(docs: DataFrame, *, text: str = "text", label: str = "lang", max_docs: int = 4000) -> Backoff:
+def train(docs: DataFrame, *, text: str = "text", label: str = "lang", max_docs: int = 2000) -> Backoff:
     """Fit on a bounded sample: about ``max_docs`` rows with a label, each drawn by itself.
 
     The model keeps all words and n-grams of the sample. Rows with a null label or text are left out, repeated rows count
@@ -141,9 +141,11 @@ def identify(docs: DataFrame, model: Backoff, *, text: str = "text", out: tuple[
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            found = [known.value.predict(t) for t in texts(batch, text)]
-            batch = batch.append_column(out[0], _array([f[0] for f in found], "string"))
-            yield batch.append_column(out[1], _array([f[1] for f in found], "float64"))
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                found = [known.value.predict(t) for t in texts(part, text)]
+                part = part.append_column(out[0], _array([f[0] for f in found], "string"))
+                yield part.append_column(out[1], _array([f[1] for f in found], "float64"))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, `{out[0]}` string, `{out[1]}` double")
