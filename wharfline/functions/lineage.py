@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -13,3 +14,19 @@ def cut(df: DataFrame) -> DataFrame:
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint()
+
+
+def shared_dir(spark) -> str:  # noqa: ANN001
+    """The folder that spark.checkpoint.dir names; a new temporary one where it is unset (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read back: for what several parts of a plan read."""
+    schema, path = df.schema, f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

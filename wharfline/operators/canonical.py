@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import parse_local
+from .events import movement_scope, residual_attributes
+
+
+EVENT_COLUMNS = ("VCN", "Event_ID", "Event_Name", "Event_Timestamp", "Timezone", "Source_System", "Verification_Status", "Confidence_Score", "Movement_Type")
 
 
 def reference() -> Column:
@@ -44,10 +48,11 @@ def unseen_names(events: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def events(staging: DataFrame, calls: DataFrame, zone: str = "Africa/Johannesburg", target: str = "Events") -> DataFrame:
-    """CAN-02, CAN-04, CAN-06: events of all valid rows; those of no call are quarantined with a null call."""
+    """CAN-02, CAN-04 to CAN-06: events of all valid rows with scope and residual attributes; those of no call are quarantined with a null call."""
     rows = usable(staging, target).select(
         text("VCN").alias("vcn"), F.coalesce(text("Event_ID"), reference()).alias("event_id"), text("Event_Name").alias("event_name"), parse_local(text("Event_Timestamp"), F.coalesce(text("Timezone"), F.lit(zone))).alias("utc"),
         text("Source_System").alias("source_system"), text("Verification_Status").alias("verification_status"), number("Confidence_Score").alias("confidence"), reference().alias("record_reference"), "file", "sheet", "row_number",
+        movement_scope(text("Movement_Type"), F.coalesce(text("Event_Name"), F.lit(""))).alias("scope"), residual_attributes(F.col("values"), EVENT_COLUMNS, F.coalesce(text("Event_Name"), F.lit(""))).alias("attributes"),
     )
     joined = rows.filter("utc is not null and event_name is not null").join(calls.select("vcn", "call_id"), "vcn", "left")
     slot = Window.partitionBy("call_id", "vcn", "event_name").orderBy("file", "sheet", "row_number")

@@ -56,6 +56,16 @@ def delay_overview(timings: DataFrame) -> DataFrame:
     return got.select("kind", "mean_delay_hours", "n_late", "n_on_time", "n_early", F.when(F.col("kind") == "TUG", F.col("_w")).alias("mean_wait_hours"))
 
 
+def anchorage_wait(lead_times: DataFrame, metric: str = "Anchorage Wait") -> DataFrame:
+    """DL-06: the mean anchorage wait and its number for all legs and for Arrival; other legs have none, with the reason."""
+    got = lead_times.filter((F.col("metric") == metric) & (F.col("status") == "AVAILABLE") & F.col("hours").isNotNull()).agg(F.round(F.avg("hours"), 6).alias("m"), F.count("*").alias("c"))
+    legs = lead_times.sparkSession.createDataFrame([("All", True), *((x, x == "Arrival") for x in LEGS)], "leg string, applies boolean")
+    rows = legs.crossJoin(F.broadcast(got))  # one row
+    has = F.col("applies") & (F.col("c") > 0)
+    reason = F.when(~F.col("applies"), "OTHER_LEG").when(F.col("c") == 0, "NO_OBSERVATIONS")
+    return rows.select("leg", F.when(has, "AVAILABLE").otherwise("UNAVAILABLE").alias("status"), F.when(has, F.col("m")).alias("average_hours"), F.when(F.col("applies"), F.col("c")).otherwise(0).alias("n"), reason.alias("reason"))
+
+
 def late_vessels(timings: DataFrame) -> DataFrame:
     """DB-11: calls with a late service, by kind."""
     return timings.filter("status = 'LATE'").groupBy("kind").agg(F.countDistinct("call_id").alias("n_calls"))
@@ -125,15 +135,22 @@ def pareto(delays: DataFrame, key: str = "category", value: str = "hours") -> Da
     return got.withColumns({"rank": F.row_number().over(order), "_r": running, "_t": F.sum("_h").over(Window.partitionBy())}).select("rank", key, "n", F.round("_h", 2).alias(value), F.round(F.col("_r") / F.col("_t") * 100, 1).alias("cumulative_pct"))
 
 
-def stage_breakdown(delays: DataFrame) -> DataFrame:
-    """DL-12: by leg, counts and hours, confirmed and inferred, mismatches, reviews."""
+def stage_breakdown(delays: DataFrame, allocations: DataFrame | None = None) -> DataFrame:
+    """DL-12: by leg, counts and hours, confirmed and inferred, mismatches, reviews; with ``allocations`` (delay_id, hours) also the hours that are and aren't allocated."""
+    if allocations is not None:
+        given = allocations.groupBy("delay_id").agg(F.sum("hours").alias("_given"))
+        shared = delays.join(given, "delay_id", "left").groupBy("leg").agg(F.round(F.coalesce(F.sum("_given"), F.lit(0.0)), 2).alias("allocated_hours"), F.round(F.sum(F.greatest(F.col("hours") - F.coalesce("_given", F.lit(0.0)), F.lit(0.0))), 2).alias("unallocated_hours"))
+        return stage_breakdown(delays).join(shared, "leg")
     h = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("hours"))), F.lit(0.0)), 2)
     confirmed = F.col("allocation") == "CONFIRMED"
     return delays.groupBy("leg").agg(F.count("*").alias("n"), F.round(F.sum("hours"), 2).alias("hours"), h(confirmed).alias("confirmed_hours"), h(~confirmed).alias("inferred_hours"), F.count_if("is_mismatch").alias("n_mismatch"), F.count_if("needs_review").alias("n_review"))
 
 
-def delay_list(delays: DataFrame, allocations: DataFrame | None = None, *, legs: Sequence[str] = (), categories: Sequence[str] = (), search: str = "", mismatch: bool | None = None, review: bool | None = None) -> DataFrame:
-    """DL-09, DL-10: filtered delays with their allocations in order, and the hours that are and aren't allocated."""
+def delay_list(
+    delays: DataFrame, allocations: DataFrame | None = None, *, legs: Sequence[str] = (), categories: Sequence[str] = (), search: str = "", mismatch: bool | None = None, review: bool | None = None,
+    sort: str | None = None, descending: bool = False, skip: int = 0, limit: int | None = None,
+) -> DataFrame:
+    """DL-09, DL-10: filtered delays, a page of them if ``sort`` is given, with their allocations in order (category and hours), and the hours that are and aren't allocated."""
     rows = delays
     if legs:
         rows = rows.filter(F.col("leg").isin(*legs))
@@ -148,11 +165,15 @@ def delay_list(delays: DataFrame, allocations: DataFrame | None = None, *, legs:
         for c in ("delay_id", "leg", "reason", "source_category", "category", "cause_status"):
             fits |= F.coalesce(F.col(c).ilike(f"%{search}%"), F.lit(False))
         rows = rows.filter(fits)
+    if sort is not None:
+        rows = rows.orderBy(F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last(), "delay_id").offset(skip)
+        rows = rows if limit is None else rows.limit(limit)
+    none = F.array().cast("array<struct<category:string,hours:double>>")
     if allocations is None:
-        return rows.withColumns({"allocations": F.array().cast("array<string>"), "allocated_hours": F.lit(0.0), "unallocated_hours": F.col("hours")})
+        return rows.withColumns({"allocations": none, "allocated_hours": F.lit(0.0), "unallocated_hours": F.col("hours")})
     sums = allocations.groupBy("delay_id").agg(F.round(F.sum("hours"), 4).alias("_h"), F.sort_array(F.collect_list(F.struct((~F.col("is_primary")).alias("second"), "category", "hours"))).alias("_a"))
     joined = rows.join(sums, "delay_id", "left")
-    return joined.withColumns({"allocations": F.coalesce(F.transform("_a", lambda x: x.category), F.array().cast("array<string>")), "allocated_hours": F.coalesce("_h", F.lit(0.0)), "unallocated_hours": F.round(F.col("hours") - F.coalesce("_h", F.lit(0.0)), 4)}).drop("_h", "_a")
+    return joined.withColumns({"allocations": F.coalesce(F.transform("_a", lambda x: F.struct(x.category.alias("category"), x.hours.alias("hours"))), none), "allocated_hours": F.coalesce("_h", F.lit(0.0)), "unallocated_hours": F.round(F.col("hours") - F.coalesce("_h", F.lit(0.0)), 4)}).drop("_h", "_a")
 
 
 def apply_allocations(delays: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,6 +194,15 @@ def apply_reviews(delays: DataFrame, reviews: DataFrame) -> DataFrame:
     return got.withColumns({"category": F.coalesce("_c", "category"), "reason": F.coalesce("_r", "reason"), "needs_review": F.col("needs_review") & F.col("_c").isNull()}).drop("_c", "_r")
 
 
+def review_allocations(delays: DataFrame, allocations: DataFrame, reviews: DataFrame) -> DataFrame:
+    """DL-14: allocations after reviews (delay_id, category): the primary one takes the reviewed category, confirmed; a delay without any gets one of all its hours."""
+    known = reviews.select("delay_id", F.col("category").alias("_c"))
+    changed = allocations.join(known, "delay_id", "left").withColumn("category", F.when(F.col("is_primary") & F.col("_c").isNotNull(), F.col("_c")).otherwise(F.col("category")))
+    changed = changed.withColumn("allocation", F.when(F.col("is_primary") & F.col("_c").isNotNull(), "CONFIRMED").otherwise("INFERRED")).select("delay_id", "category", "hours", "is_primary", "allocation")
+    fresh = delays.select("delay_id", "hours").join(known, "delay_id").join(allocations.filter("is_primary").select("delay_id"), "delay_id", "left_anti")
+    return changed.unionByName(fresh.select("delay_id", F.col("_c").alias("category"), "hours", F.lit(True).alias("is_primary"), F.lit("CONFIRMED").alias("allocation")))
+
+
 def infer_causes(delays: DataFrame, services: DataFrame) -> DataFrame:
     """DL-15: a likely cause of each delay that isn't confirmed, from the call's late services of its movement.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ def band(value: Column, target: Column, direction: Column, green: Column, amber:
 
 
 def population(calls: DataFrame, points: DataFrame, *, vessel_type: str | None = None, terminal: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """KF-02: calls that pass the filters; those without an ATA pass the period."""
-    rows = calls
+    """KF-02: calls that aren't merged into others and pass the filters; those without an ATA pass the period."""
+    rows = calls.filter("not coalesce(is_merged, false)") if "is_merged" in calls.columns else calls
     if vessel_type:
         rows = rows.filter(F.col("vessel_type") == vessel_type)
     if terminal:
@@ -153,8 +155,12 @@ def results(measured: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.select("kpi", "name", "category", "unit", value.alias("value"), keep("numerator"), keep("denominator"), "target", band(value, F.col("target"), F.col("direction"), F.col("green"), F.col("amber")).alias("band"), status.alias("status"), reason.alias("reason"), F.lit(FORMULA_VERSION).alias("formula_version"))
 
 
-def status_counts(found: DataFrame) -> DataFrame:
-    """KF-10, KF-21."""
+def status_counts(found: DataFrame, *, categories: Sequence[str] = (), bands: Sequence[str] = ()) -> DataFrame:
+    """KF-10, KF-21: results by category and status, of some categories and bands only if they are given."""
+    if categories:
+        found = found.filter(F.col("category").isin(*categories))
+    if bands:
+        found = found.filter(F.col("band").isin(*bands))
     return found.groupBy("category", "status").agg(F.count("*").alias("n"))
 
 
@@ -173,8 +179,24 @@ def trend(history: DataFrame, n: int = 6) -> DataFrame:
 
 
 def latest(history: DataFrame, n: int = 1) -> DataFrame:
-    """KF-15, KF-20: the newest n results of each KPI."""
-    return history.withColumn("position", F.row_number().over(Window.partitionBy("kpi").orderBy(F.desc("calculated_at")))).filter(F.col("position") <= n)
+    """KF-15, KF-20: the newest n results of each KPI; aliases, which repeat their primary, are left out."""
+    rows = history.filter("alias_of is null") if "alias_of" in history.columns else history
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("kpi").orderBy(F.desc("calculated_at")))).filter(F.col("position") <= n)
+
+
+def scorecard(newest: DataFrame, registry: DataFrame) -> DataFrame:
+    """KF-15: the newest results by category: how many KPIs have one, and how many there are, aliases left out."""
+    named = registry.filter("alias_of is null").select("kpi", "category").join(newest.filter("position = 1").select("kpi", "value"), "kpi", "left")
+    return named.groupBy("category").agg(F.count("value").alias("n_with_result"), F.count("*").alias("n_kpis"))
+
+
+def statistics_listing(stored: DataFrame, *, metric: str | None = None, cohort: str = "all") -> DataFrame:
+    """KF-18: of stored statistics (metric, cohort, calculated_at, ...) the newest of each metric and cohort."""
+    rows = stored.filter(F.col("cohort") == cohort)
+    if metric is not None:
+        rows = rows.filter(F.col("metric") == metric)
+    newest = rows.groupBy("metric", "cohort").agg(F.max("calculated_at").alias("calculated_at"))
+    return rows.join(newest, ["metric", "cohort", "calculated_at"])
 
 
 def trailing_windows(points: DataFrame, names: tuple[str, str], days: int = 30, n: int = 6) -> DataFrame:
@@ -186,8 +208,16 @@ def trailing_windows(points: DataFrame, names: tuple[str, str], days: int = 30,
 
 
 def service_performance(timings: DataFrame) -> DataFrame:
-    """KF-16: by service type and leg, the mean delay, how many have none, records and calls."""
-    return timings.groupBy("service_type", "leg").agg(F.round(F.avg("delay_hours"), 4).alias("mean_delay_hours"), F.count_if(F.col("delay_hours").isNull()).alias("n_missing"), F.count("*").alias("n_records"), F.countDistinct("call_id").alias("n_calls"))
+    """KF-16: by service type and leg, the mean delay, how many have none, records, calls, and the first and last record."""
+    return timings.groupBy("service_type", "leg").agg(
+        F.round(F.avg("delay_hours"), 4).alias("mean_delay_hours"), F.count_if(F.col("delay_hours").isNull()).alias("n_missing"), F.count("*").alias("n_records"), F.countDistinct("call_id").alias("n_calls"), F.min("service_id").alias("first_record"), F.max("service_id").alias("last_record")
+    )
+
+
+def service_drill(timings: DataFrame, service_type: str, leg: str, status: str | None = None) -> DataFrame:
+    """KF-16, KF-17: the records behind a figure of ``service_performance``."""
+    rows = timings.filter((F.col("service_type") == service_type) & (F.col("leg") == leg))
+    return rows if status is None else rows.filter(F.col("status") == status)
 
 
 def with_benchmarks(found: DataFrame, benchmarks: DataFrame) -> DataFrame:

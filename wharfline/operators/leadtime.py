@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +52,32 @@ def execution_delays(services: DataFrame, movement: str) -> DataFrame:
     return got.select("call_id", pick.alias("p")).filter("p is not null").select("call_id", "p.service_id", hours_between("p.scheduled", "p.served").alias("hours"))
 
 
-def custom_lead_time(events: DataFrame, start: str, end: str, *, pick: str = "first", n: int = 1, calls: DataFrame | None = None, include_quarantined: bool = False) -> DataFrame:
+def all_metrics(calls: DataFrame, points: DataFrame, definitions: DataFrame, services: DataFrame, delays: Sequence[tuple[str, str]], *, blocked: DataFrame | None = None) -> DataFrame:
+    """TM-10: the lead times and, as metrics of their own, the execution delays (name, movement): a row for each call and metric."""
+    found = lead_times(calls, points, definitions, blocked=blocked)
+    every = calls.select("call_id").distinct()
+    for name, movement in delays:
+        rows = every.join(execution_delays(services, movement), "call_id", "left")
+        missing = F.col("hours").isNull()
+        found = found.unionByName(rows.select("call_id", F.lit(name).alias("metric"), "hours", F.when(missing, "UNAVAILABLE").otherwise("AVAILABLE").alias("status"), F.when(F.col("service_id").isNull(), "MISSING_BOTH").when(missing, "MISSING_TIME").alias("reason"), F.array_compact(F.array("service_id")).alias("source_ids")))
+    return found
+
+
+def blocked_turnarounds(calls: DataFrame, column: str = "ata", metric: str = "Turnaround") -> DataFrame:
+    """TM-14: (call_id, metric) of calls whose source row has a blank ATA: their turnaround stays unavailable whatever the events say."""
+    return calls.filter(F.col(column).isNull()).select("call_id", F.lit(metric).alias("metric"))
+
+
+def custom_lead_time(events: DataFrame, start: str, end: str, *, pick: str = "first", n: int = 1, calls: DataFrame | None = None, include_quarantined: bool = False, scope: str | None = None) -> DataFrame:
     """TM-21: (call_id, occurrence, hours) between two events: their first, last or nth occurrences, or all, paired by position.
 
-    calls: only these (the cohort). Occurrences count over live events in order of (occurrence_index, utc, event_id).
+    calls: only these (the cohort). scope: only events of this movement (ARRIVAL, SAILING, SHIFTING). Occurrences count over live events in order of (occurrence_index, utc, event_id).
     """
     rows = events.filter(F.col("event_name").isin(start, end) & ~F.col("is_superseded") & F.col("utc").isNotNull())
     if not include_quarantined:
         rows = rows.filter("not is_quarantined")
+    if scope is not None:
+        rows = rows.filter(F.col("scope") == scope)
     if calls is not None:
         rows = rows.join(calls.select("call_id").distinct(), "call_id", "left_semi")
     order = Window.partitionBy("call_id", "event_name")

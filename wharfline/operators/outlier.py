@@ -38,17 +38,20 @@ def _record(rows: DataFrame, category: str) -> DataFrame:
 
 
 def pilot_outliers(timings: DataFrame) -> DataFrame:
-    """OUT-V2-002 and 007: pilot services late by over 3 deviations, or earlier than the linear P30."""
+    """OUT-V2-002 and 007: pilot services late by over 3 deviations, or earlier than the linear P30; with the service's id."""
     rows = timings.filter("kind = 'PILOT' and delay_hours is not null")
-    late = stats.above_deviations(rows.select(F.lit("OUT-V2-002").alias("rule"), "call_id", F.col("delay_hours").alias("value")), ["rule"], "value", 3.0)
-    early = stats.below_percentile(rows.filter("delay_hours < 0").select(F.lit("OUT-V2-007").alias("rule"), "call_id", F.col("delay_hours").alias("value")), ["rule"], "value", 0.3)
-    return _record(late.unionByName(early), "Time-based Outlier")
-
-
-def tug_before_pilot(points: DataFrame, tug: str = "TUG_SERVICE_START_ARRIVAL", pilot: str = "PILOT_ON_BOARD_ARRIVAL") -> DataFrame:
-    """OUT-V2-004."""
-    wide = event_map(points.filter(F.col("event_name").isin(tug, pilot)), [tug, pilot]).filter(F.col(tug) < F.col(pilot))
-    rows = wide.select(F.lit("OUT-V2-004").alias("rule"), "call_id", hours_between(tug, pilot).alias("value"), F.lit(0.0).alias("threshold"), F.lit("HIGH").alias("severity"))
+    values = lambda r, rule: r.select(F.lit(rule).alias("rule"), "call_id", "service_id", F.col("delay_hours").alias("value"))
+    late = stats.above_deviations(values(rows, "OUT-V2-002"), ["rule"], "value", 3.0)
+    early = stats.below_percentile(values(rows.filter("delay_hours < 0"), "OUT-V2-007"), ["rule"], "value", 0.3)
+    both = late.unionByName(early)
+    return both.select("rule", "call_id", "service_id", F.round("value", 4).alias("value"), F.round("threshold", 4).alias("threshold"), "severity", F.lit("Time-based Outlier").alias("category"))
+
+
+def tug_before_pilot(points: DataFrame, tugs: Sequence[str] = ("TUG_1_SERVICE_START_ARRIVAL", "TUG_2_SERVICE_START_ARRIVAL"), pilot: str = "PILOT_ON_BOARD_ARRIVAL") -> DataFrame:
+    """OUT-V2-004: a tug starts before the pilot is on board; of several such tugs the last one's hours."""
+    wide = event_map(points.filter(F.col("event_name").isin(*tugs, pilot)), [*tugs, pilot])
+    early = F.coalesce(*[F.when(F.col(t) < F.col(pilot), F.col(t)) for t in reversed(tugs)])
+    rows = wide.withColumn("tug", early).filter("tug is not null").select(F.lit("OUT-V2-004").alias("rule"), "call_id", hours_between("tug", pilot).alias("value"), F.lit(0.0).alias("threshold"), F.lit("HIGH").alias("severity"))
     return _record(rows, "Sequence Outlier")
 
 
@@ -72,10 +75,14 @@ def from_issues(issues: DataFrame) -> DataFrame:
     return rows.select("rule", "call_id", "value", F.lit(0.0).alias("threshold"), F.when(F.col("c") == 1, "CRITICAL").otherwise("HIGH").alias("severity"), category.alias("category"))
 
 
-def deduplicate(found: DataFrame) -> DataFrame:
-    """OL-DED: one record for each rule and call, the one with the largest divergence, then the largest value."""
-    order = Window.partitionBy("rule", "call_id").orderBy(F.desc(F.abs(F.col("value") - F.col("threshold"))), F.desc("value"), "severity")
-    return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+#: The categories that an outlier may have.
+CATEGORIES = ("Time-based Outlier", "Sequence Outlier", "Operational Performance Outlier", "Data Quality Outlier")
+
+
+def deduplicate(found: DataFrame, ordinal: Sequence[str] = ("value",)) -> DataFrame:
+    """OL-DED: of the records of a rule and call the last one in order of ``ordinal``; records of unknown categories go."""
+    order = Window.partitionBy("rule", "call_id").orderBy(*[F.desc(c) for c in ordinal], F.desc("value"), F.desc("severity"))
+    return found.filter(F.col("category").isin(*CATEGORIES)).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def keep_exclusions(found: DataFrame, previous: DataFrame) -> DataFrame:
@@ -90,7 +97,16 @@ def with_aliases(found: DataFrame, aliases: DataFrame) -> DataFrame:
     return found.unionByName(again)
 
 
+def listing(found: DataFrame, calls: DataFrame, *, category: str | None = None, severity: str | None = None, is_excluded: bool | None = None, vcn: str = "") -> DataFrame:
+    """OL-LIST: outliers with their call's VCN and vessel, by category, severity, exclusion and part of the VCN."""
+    rows = found.join(calls.select("call_id", "vcn", "vessel_name"), "call_id", "left")
+    for column, value in (("category", category), ("severity", severity), ("is_excluded", is_excluded)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows.filter(F.col("vcn").ilike(f"%{vcn}%")) if vcn else rows
+
+
 def digest(found: DataFrame) -> DataFrame:
-    """DB-10, OL-LIST: by category and severity, records and calls, worst first."""
+    """DB-10: by category and severity, records and calls, worst first."""
     rank = F.when(F.col("severity") == "CRITICAL", 1).when(F.col("severity") == "HIGH", 2).when(F.col("severity") == "MEDIUM", 3).otherwise(4)
     return found.groupBy("category", "severity").agg(F.count("*").alias("n"), F.countDistinct("call_id").alias("n_calls")).withColumn("severity_rank", rank).orderBy("severity_rank", F.desc("n"))

@@ -161,8 +161,24 @@ def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count("*").alias("n"), F.count_if(F.col("status") != "RESOLVED").alias("n_open"), F.count_if(F.col("status") == "RESOLVED").alias("n_resolved"), F.countDistinct("call_id").alias("n_calls"))
 
 
-def listing(issues: DataFrame, *, severities: Sequence[str] = (), status: str | None = None, rules: Sequence[str] = (), search: str = "") -> DataFrame:
-    """DQ-LIST: filtered issues."""
+def overall(issues: DataFrame, parts: DataFrame, staging: DataFrame) -> DataFrame:
+    """DQ-SUM in one row: issues, open and resolved, quarantined calls, staged rows by status, sequence errors."""
+    sequence = F.col("rule_id").contains("SEQUENCE") | (F.col("rule_id") == "DQ-006")
+    one = issues.agg(F.count("*").alias("n_issues"), F.count_if(F.col("status") != "RESOLVED").alias("n_open"), F.count_if(F.col("status") == "RESOLVED").alias("n_resolved"), F.count_if(sequence).alias("n_sequence"))
+    two = parts.agg(F.count_if(F.col("quality_status") == "QUARANTINED").alias("n_quarantined"))
+    three = staging.agg(*[F.count_if(F.col("validation_status") == s).alias(f"n_{s.lower()}") for s in ("VALID", "INVALID", "DUPLICATE")])
+    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three))  # a row each
+
+
+def listing(
+    issues: DataFrame, *, severities: Sequence[str] = (), status: str | None = None, rules: Sequence[str] = (), search: str = "", file: str | None = None, services: DataFrame | None = None, service_type: str | None = None,
+    movement: str | None = None, incomplete: bool = False, chronology: bool = False,
+) -> DataFrame:
+    """DQ-LIST: filtered issues.
+
+    file: of records of that file. service_type and movement: issues of services (service_id, service_type, movement) that
+    have it. incomplete: only missing values; chronology: only times out of order.
+    """
     rows = issues
     if severities:
         rows = rows.filter(F.col("severity").isin(*severities))
@@ -172,6 +188,18 @@ def listing(issues: DataFrame, *, severities: Sequence[str] = (), status: str |
         rows = rows.filter(F.col("rule_id").isin(*rules))
     if search:
         rows = rows.filter(F.col("record_reference").ilike(f"%{search}%") | F.col("rule_id").ilike(f"%{search}%"))
+    if file is not None:
+        rows = rows.filter(F.startswith("record_reference", F.lit(f"{file}:")))
+    if services is not None:
+        if service_type is not None:
+            services = services.filter(F.col("service_type") == service_type)
+        if movement is not None:
+            services = services.filter(F.col("movement") == movement)
+        rows = rows.join(services.select(F.concat(F.lit("service:"), "service_id").alias("record_reference")).distinct(), "record_reference", "left_semi")
+    if incomplete:
+        rows = rows.filter(F.col("rule_id").endswith("-MISSING") | F.col("rule_id").isin("DQ-003", "DQ-MANDATORY"))
+    if chronology:
+        rows = rows.filter(F.col("rule_id").isin("DQ-004", "DQ-006", "DQ-SEQUENCE-VIOLATION", "DQ-SCHEDULE-ORDER"))
     return rows
 
 

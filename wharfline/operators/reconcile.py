@@ -41,6 +41,15 @@ def compare_totals(frames: Mapping[str, DataFrame], key: str = "call_id") -> Dat
     return out.crossJoin(F.broadcast(ends))  # one row
 
 
-def disposition_counts(staging: DataFrame, by: Sequence[str] = ("canonical_table", "validation_status")) -> DataFrame:
+def compare_filtered(sets: Mapping[str, Mapping[str, DataFrame]], key: str = "call_id") -> DataFrame:
+    """RC-02 for several filter sets: name of the set, source, distinct keys, and whether the sources of the set agree."""
+    out: DataFrame | None = None
+    for name, frames in sets.items():
+        one = compare_totals(frames, key).select(F.lit(name).alias("filter_set"), "source", "n", "is_equal")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def disposition_counts(staging: DataFrame, by: Sequence[str] = ("target", "validation_status")) -> DataFrame:
     """RC-03: staged rows by table and status."""
     return staging.groupBy(*by).agg(F.count("*").alias("n"))

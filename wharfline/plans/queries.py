@@ -203,7 +203,17 @@ def shift_pairs(spark: SparkSession, d: str) -> DataFrame:
     return got.select("call_id", F.col("occurrence").cast("long").alias("occurrence"), "start_utc", "end_utc", "hours", "status")
 
 
-@query("journey_decomposition")
+_BUCKETS = ", ".join(f"coalesce(sum(hours) filter (category = '{c}'), 0) as {c}" for c in journey.CATEGORIES)
+_DECOMPOSED = f"""main as (select call_id, sequence, category, start_utc, end_utc, hours from stage_rows where status = 'AVAILABLE' and sequence < 100), sums as (select call_id, {_BUCKETS} from main group by call_id),
+    ok_shifts as (select call_id, n, start_utc as s, end_utc as e, {_hours('start_utc', 'end_utc')} as h from shifts where end_utc >= start_utc),
+    homes as (select f.call_id, n, h, arg_min(category, sequence) filter (s >= start_utc and e <= end_utc) as home from ok_shifts f left join main m on m.call_id = f.call_id group by all),
+    moved as (select call_id, home, sum(h) as h from homes group by all),
+    left_over as (select coalesce(s.call_id, k.call_id) as call_id, {', '.join(f"greatest(coalesce({c}, 0) - coalesce((select sum(h) from moved v where v.call_id = coalesce(s.call_id, k.call_id) and v.home = '{c}'), 0), 0) as {c}" for c in journey.CATEGORIES if c != 'DELAY')}, coalesce(DELAY, 0) as d0,
+        {' + '.join(f'coalesce({c}, 0)' for c in journey.CATEGORIES if c != 'DELAY')} as t0, coalesce((select sum(h) from moved v where v.call_id = coalesce(s.call_id, k.call_id) and v.home is null), 0) as outside from sums s full outer join (select distinct call_id from homes) k on k.call_id = s.call_id),
+    decomposed as (select call_id, {', '.join(f'round({c}, 6) as {c}' for c in journey.CATEGORIES if c != 'DELAY')}, round(d0 + outside + t0 - ({' + '.join(c for c in journey.CATEGORIES if c != 'DELAY')}), 6) as DELAY from left_over)"""
+
+
+@query("journey_decomposition", f"with {_CALLS}, {_POINTS}, {_STAGES}, {_SHIFTS}, {_DECOMPOSED} select *, round({' + '.join(journey.CATEGORIES)}, 6) as total from decomposed")
 def journey_decomposition(spark: SparkSession, d: str) -> DataFrame:
     return journey.decompose(_stages(spark, d), journey.shift_occurrences(events.live(_events(spark, d)), *registry.REPEATABLE))
 
@@ -231,7 +241,10 @@ def journey_coverage(spark: SparkSession, d: str) -> DataFrame:
     return journey.coverage(bound(spark, d, "calls"), journey.journeys(_stages(spark, d)))
 
 
-@query("journey_narrative")
+_LINES = """lines as (select call_id, sequence, stage, case status when 'AVAILABLE' then printf('%s took %.2f hours.', stage, hours) when 'DEVIATED' then printf('%s is out of sequence by %.2f hours.', stage, abs(hours)) end as line from stage_rows where status <> 'MISSING')"""
+
+
+@query("journey_narrative", f"with {_CALLS}, {_POINTS}, {_STAGES}, {_LINES} select call_id, string_agg(line, ' ' order by sequence) as summary, string_agg(stage, '|' order by sequence) as grounding from lines group by call_id")
 def journey_narrative(spark: SparkSession, d: str) -> DataFrame:
     return journey.narrative(_stages(spark, d)).withColumn("grounding", _joined("grounding"))
 
@@ -274,7 +287,7 @@ def late_vessels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "service_performance",
-    f"with {_TIMINGS} select service_type, leg, round(avg(delay_hours), 4) as mean_delay_hours, count(*) - count(delay_hours) as n_missing, count(*) as n_records, count(distinct call_id) as n_calls from timings group by service_type, leg",
+    f"with {_TIMINGS} select service_type, leg, round(avg(delay_hours), 4) as mean_delay_hours, count(*) - count(delay_hours) as n_missing, count(*) as n_records, count(distinct call_id) as n_calls, min(service_id) as first_record, max(service_id) as last_record from timings group by service_type, leg",
 )
 def service_performance(spark: SparkSession, d: str) -> DataFrame:
     return kpi.service_performance(_timings(spark, d))

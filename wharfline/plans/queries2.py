@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import saved
 from ..functions.names import normalise_name
 from ..functions.time import signed_hours_text
-from ..operators import alerts, bottleneck, dashboard, delays, events, identity, journey, kpi, lifecycle, outlier, quality, reconcile, stats
+from ..operators import alerts, bottleneck, dashboard, delays, events, identity, journey, kpi, leadtime, lifecycle, outlier, quality, reconcile, stats
 from ..sources import landing
 from ..sources.tables import bound, oracle, table
 from . import registry
@@ -15,6 +16,17 @@ from .queries import _CALLS, _CARGO, _EVENTS, _LEAD, _LIVE, _POINTS, _SERVICES,
 
 UNIT = "TEU"
 
+_METRICS = f"""{_LEAD}, pil as (select * from services where service_type = 'Pilotage'), pm as (select movement, call_id, arg_min(service_id, struct_pack(n := scheduled is null, s := scheduled, i := service_id)) as service_id from pil where movement in ('Arrival', 'Sailing') group by all),
+    pe as (select call_id, arg_min(service_id, struct_pack(n := scheduled is null, s := scheduled, i := service_id)) as first_id, arg_max(service_id, struct_pack(n := scheduled is null, s := scheduled, i := service_id)) as last_id, count(*) as n from pil group by call_id),
+    pk as (select 'Arrival' as movement union all select 'Sailing'), pr as (select k.movement, c.call_id, coalesce(m.service_id, case when e.n > 1 then case k.movement when 'Arrival' then e.first_id else e.last_id end end) as service_id from calls c cross join pk k left join pe e on e.call_id = c.call_id left join pm m on m.call_id = c.call_id and m.movement = k.movement),
+    px as (select r.call_id, r.movement || ' Execution Delay' as metric, r.service_id, (select max({_hours('scheduled', 'served')}) from pil p where p.service_id = r.service_id and p.call_id = r.call_id) as hours from pr r),
+    metric_rows as (select * from lead_rows union all select call_id, metric, hours, case when hours is null then 'UNAVAILABLE' else 'AVAILABLE' end, case when service_id is null then 'MISSING_BOTH' when hours is null then 'MISSING_TIME' end, coalesce(service_id, '') from px)"""
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    return leadtime.all_metrics(bound(spark, d, "calls"), _points(spark, d), registry.lead_times(spark), bound(spark, d, "services"), registry.EXECUTION_DELAYS)
+
+
 # ---------------------------------------------------------------- delays
 
 _CATEGORY = """case when lower(coalesce(source_category, '')) like '%weather%' or lower(reason) like '%wind%' then 'Weather' when lower(reason) like '%tug%' then 'Tug' when lower(reason) like '%pilot%' then 'Pilot' when lower(reason) like '%berth%' then 'Berth Non-Availability'
@@ -180,17 +192,17 @@ def outlier_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PILOT = f"""p as (select call_id, service_id, delay_hours as value from timings where kind = 'PILOT' and delay_hours is not null), t1 as (select avg(value) + 3 * stddev_samp(value) as t from p), t2 as (select quantile_cont(value, 0.3) as t from p where value < 0),
-    pilot_out as (select 'OUT-V2-002' as rule, call_id, round(value, 4) as value, round(t, 4) as threshold, case when t > 0 and value > 1.5 * t then 'CRITICAL' else 'HIGH' end as severity from p, t1 where value > t union all select 'OUT-V2-007', call_id, round(value, 4), round(t, 4), 'MEDIUM' from p, t2 where value < t)"""
+    pilot_out as (select 'OUT-V2-002' as rule, call_id, service_id, round(value, 4) as value, round(t, 4) as threshold, case when t > 0 and value > 1.5 * t then 'CRITICAL' else 'HIGH' end as severity from p, t1 where value > t union all select 'OUT-V2-007', call_id, service_id, round(value, 4), round(t, 4), 'MEDIUM' from p, t2 where value < t)"""
 
 
-@query("pilot_outliers", f"with {_TIMINGS}, {_PILOT}, d as (select *, row_number() over (partition by rule, call_id order by abs(value - threshold) desc, value desc) as n from pilot_out) select rule, call_id, value, threshold, severity from d where n = 1")
+@query("pilot_outliers", f"with {_TIMINGS}, {_PILOT}, d as (select *, row_number() over (partition by rule, call_id order by service_id desc) as n from pilot_out) select rule, call_id, service_id, value, threshold, severity from d where n = 1")
 def pilot_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return outlier.deduplicate(outlier.pilot_outliers(_timings(spark, d))).drop("category")
+    return outlier.deduplicate(outlier.pilot_outliers(_timings(spark, d)), ["service_id"]).drop("category")
 
 
 @query("tug_before_pilot", f"with {_POINTS} select 'OUT-V2-004' as rule, a.call_id, round({_hours('a.utc', 'z.utc')}, 4) as value from points a join points z using (call_id) where a.event_name = 'TUG_SERVICE_START_ARRIVAL' and z.event_name = 'PILOT_ON_BOARD_ARRIVAL' and a.utc < z.utc")
 def tug_before_pilot(spark: SparkSession, d: str) -> DataFrame:
-    return outlier.tug_before_pilot(_points(spark, d)).select("rule", "call_id", "value")
+    return outlier.tug_before_pilot(_points(spark, d), ["TUG_SERVICE_START_ARRIVAL", "TUG_2_SERVICE_START_ARRIVAL"]).select("rule", "call_id", "value")
 
 
 @query("repeated_shifts", f"with {_LIVE} select call_id, cast(count(*) as double) as value from live where event_name = 'SHIFT_PILOT_ON_BOARD' group by call_id having count(*) > 1")
@@ -213,10 +225,13 @@ _RANK = f"""tg as (select * from {_values(registry.BOTTLENECK_STAGES)} as t(metr
 
 
 def _bottlenecks(spark: SparkSession, d: str) -> DataFrame:
-    found = _lead_times(spark, d)
+    return _ranked(spark, d, saved(_lead_times(spark, d)), _delays(spark, d))
+
+
+def _ranked(spark: SparkSession, d: str, found: DataFrame, delay_rows: DataFrame) -> DataFrame:
     total = found.filter("metric = 'Turnaround' and status = 'AVAILABLE'").agg(F.coalesce(F.avg("hours"), F.lit(50.0)).alias("total"))
     targets = spark.createDataFrame(registry.BOTTLENECK_STAGES, "metric string, target double")
-    return bottleneck.rank(bottleneck.candidates(found, _delays(spark, d), _timings(spark, d), targets), total_hours=total)
+    return bottleneck.rank(bottleneck.candidates(found, delay_rows, _timings(spark, d), targets), total_hours=total)
 
 
 @query("bottlenecks", f"with {_CALLS}, {_POINTS}, {_LEAD}, {_DELAYS}, {_RANK} select cast(row_number() over (order by score desc, name) as int) as rank, * from ranked_b")
@@ -324,7 +339,9 @@ def issue_outliers(spark: SparkSession, d: str) -> DataFrame:
     one as (select rule, t, e, min(severity) as severity from al group by all), g as (select rule, severity, count(*) as n, count(distinct e) as n_entities from one group by rule, severity) select rule, severity, n, n_entities, round(n / sum(n) over () * 100, 2) as share_pct from g""",
 )
 def alert_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = alerts.evaluate(_delays(spark, d), _issues(spark, d), _bottlenecks(spark, d), outlier.pair_outliers(_points(spark, d), registry.OUTLIER_PAIRS))
+    points, delay_rows = saved(_points(spark, d)), saved(_delays(spark, d))
+    lead = saved(leadtime.lead_times(bound(spark, d, "calls"), points, registry.lead_times(spark)))
+    found = alerts.evaluate(delay_rows, _issues(spark, d), _ranked(spark, d, lead, delay_rows), outlier.pair_outliers(points, registry.OUTLIER_PAIRS))
     return alerts.counts(found)
 
 
@@ -333,16 +350,16 @@ def throughput(spark: SparkSession, d: str) -> DataFrame:
     return dashboard.throughput(bound(spark, d, "calls"), bound(spark, d, "cargo"))
 
 
-_CARDS = ["Turnaround", "Anchorage Wait", "Inward Movement", "Berth Stay", "Cargo Working", "Outward Movement"]
+_CARDS = ["Turnaround", "Anchorage Wait", "Inward Movement", "Berth Stay", "Cargo Working", "Outward Movement", "Arrival Execution Delay", "Sailing Execution Delay"]
 
 
 @query(
     "metric_cards",
-    f"""with {_CALLS}, {_POINTS}, {_LEAD} select metric, count(hours) as n, count(*) - count(hours) as n_missing, round(avg(hours), 2) as mean, round(quantile_cont(hours, 0.5), 2) as median, round(quantile_cont(hours, 0.9), 2) as p90, round(min(hours), 2) as "min", round(max(hours), 2) as "max",
-    count(*) filter (hours < 0) as n_early, count(*) filter (hours > 0) as n_late, count(*) filter (hours = 0) as n_on_time from lead_rows where metric in ({', '.join(repr(c) for c in _CARDS)}) group by metric""",
+    f"""with {_CALLS}, {_POINTS}, {_SERVICES}, {_METRICS} select metric, count(hours) as n, count(*) - count(hours) as n_missing, round(avg(hours), 2) as mean, round(quantile_cont(hours, 0.5), 2) as median, round(quantile_cont(hours, 0.9), 2) as p90, round(min(hours), 2) as "min", round(max(hours), 2) as "max",
+    count(*) filter (hours < 0) as n_early, count(*) filter (hours > 0) as n_late, count(*) filter (hours = 0) as n_on_time from metric_rows where metric in ({', '.join(repr(c) for c in _CARDS)}) group by metric""",
 )
 def metric_cards(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.metric_cards(_lead_times(spark, d), _CARDS)
+    return dashboard.metric_cards(_metrics(spark, d), _CARDS)
 
 
 @query("delay_summary", f"with {_DELAYS}, g as (select category, count(*) as n, sum(hours) as h, sum(case when allocation = 'CONFIRMED' then hours else 0 end) as c from delays where hours > 0 group by category), r as (select *, row_number() over (order by h desc, category) as k, sum(h) over () as t from g) select cast(k as int) as rank, category, n, round(h, 2) as hours, round(c, 2) as confirmed_hours, round(h / t * 100, 1) as share_pct from r where k <= 6")
@@ -352,13 +369,16 @@ def delay_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "call_listing",
-    f"""with {_ISSUES}, {_POINTS.replace(_LIVE + ', ', '')}, {_LEAD}, {_STAGES}, lt as (select call_id, max(hours) filter (metric = 'Turnaround') as turnaround_hours, max(hours) filter (metric = 'Berth Stay') as berth_stay_hours from lead_rows where status = 'AVAILABLE' group by call_id),
-    cp as (select call_id, round(avg(case when status = 'AVAILABLE' then 1.0 else 0.0 end) * 100, 1) as completeness_pct from stage_rows where sequence < 100 group by call_id), dh as (select call_id, round(sum(hours), 2) as delay_hours from delays where hours > 0 group by call_id)
-    select c.call_id, vcn, vessel_name, vessel_type, turnaround_hours, berth_stay_hours, completeness_pct, quality_status, quality_score, coalesce(delay_hours, 0) as delay_hours from calls c left join lt using (call_id) left join cp using (call_id) left join parts using (call_id) left join dh using (call_id)""",
+    f"""with {_ISSUES}, {_POINTS.replace(_LIVE + ', ', '')}, {_METRICS}, {_STAGES}, lt as (select call_id, {', '.join(f"max(hours) filter (metric = '{m}') as {m.lower().replace(' ', '_')}_hours" for m in _CARDS)} from metric_rows where status = 'AVAILABLE' group by call_id),
+    cp as (select call_id, round(avg(case when status = 'AVAILABLE' then 1.0 else 0.0 end) * 100, 1) as completeness_pct from stage_rows where sequence < 100 group by call_id), dh as (select call_id, round(sum(hours), 2) as delay_hours from delays where hours > 0 group by call_id),
+    seen_at as (select call_id, max(utc) filter (event_name = 'ATA') as ata, max(utc) filter (event_name = 'ATD') as atd, max(utc) filter (event_name = 'ETA') as eta from points group by call_id)
+    select c.call_id, vcn, vessel_name, vessel_type, lt.* exclude (call_id), completeness_pct, quality_status, quality_score, coalesce(delay_hours, 0) as delay_hours, ata, atd, eta from calls c left join lt using (call_id) left join cp using (call_id) left join parts using (call_id) left join dh using (call_id) left join seen_at using (call_id)""",
 )
 def call_listing(spark: SparkSession, d: str) -> DataFrame:
-    calls = bound(spark, d, "calls")
-    return dashboard.call_listing(calls, _lead_times(spark, d), _stages(spark, d), quality.partition(calls, _issues(spark, d)), _delays(spark, d), ["Turnaround", "Berth Stay"])
+    calls, points, delay_rows = bound(spark, d, "calls"), saved(_points(spark, d)), _delays(spark, d)
+    stages = journey.stage_occurrences(calls, points, registry.stages(spark))
+    metrics = leadtime.all_metrics(calls, points, registry.lead_times(spark), bound(spark, d, "services"), registry.EXECUTION_DELAYS)
+    return dashboard.call_listing(calls, metrics, stages, quality.partition(calls, _issues(spark, d)), delay_rows, _CARDS, points)
 
 
 @query("scoped_calls", f"with {_CALLS} select call_id, tenant, port, terminal from calls where tenant = 'BUILDING' and (terminal = 'T1' or terminal is null)")
