@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
     rows = rows.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(rows, "key").select("text", "label")
+    chosen = F.broadcast(bounded_sample(rows, max_docs))  # about max_docs rows
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("text", "label")
     got = arrow_map(bounded_sample(found, max_docs), _examples, "label int, at binary, weights binary").collect()  # about max_docs rows
     got.sort(key=lambda r: (r.label, bytes(r["at"])))
     model = Embeddings()
