@@ -103,3 +103,12 @@ def next_version(current: DataFrame, history: DataFrame) -> DataFrame:
     last = history.groupBy("call_id").agg(F.max("version").alias("v"))
     columns = [c for c in current.columns if c != "call_id"]
     return current.join(last, "call_id", "left").select("call_id", (F.coalesce("v", F.lit(0)) + 1).alias("version"), F.to_json(F.struct(*columns)).alias("snapshot"))
+
+
+def visits(events: DataFrame, entity: str, at: str, order: str, *, minutes: int) -> DataFrame:
+    """(entity, session, n_events, start_utc, end_utc, hours): runs of an entity's events with no gap over ``minutes``."""
+    line = Window.partitionBy(entity).orderBy(at, order)
+    gap = F.timestamp_diff("MICROSECOND", F.lag(at).over(line), F.col(at)) > minutes * 60_000_000
+    marked = events.filter(F.col(at).isNotNull()).withColumn("_new", F.coalesce(gap, F.lit(True)).cast("long")).withColumn("session", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    got = marked.groupBy(entity, "session").agg(F.count("*").alias("n_events"), F.min(at).alias("start_utc"), F.max(at).alias("end_utc"))
+    return got.withColumn("hours", hours_between("start_utc", "end_utc"))

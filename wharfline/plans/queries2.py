@@ -97,7 +97,7 @@ def _fw(a: str, z: str) -> str:
     return f"case when {z} >= {a} then {_hours(a, z)} end"
 
 
-_KPI = f"""{_CALLS}, {_POINTS}, {_CARGO}, {_TIMINGS}, wide_events as (select call_id, {_WIDE} from points group by call_id),
+_FW_KPI = f"""{_POINTS}, {_CARGO}, {_TIMINGS}, wide_events as (select call_id, {_WIDE} from points group by call_id),
     per_call as (select call_id, sum(quantity) filter (unit = 'TEU') as teu, avg(resources) as res from cargo group by call_id),
     w as (select c.call_id, vessel_type ilike '%container%' as is_container, teu, res, ATA, ATD, {_fw('ANCHORAGE_ARRIVAL', 'PILOT_ON_BOARD_ARRIVAL')} as boarding, {_fw('ANCHORAGE_ARRIVAL', 'FIRST_LINE_TIED_ARRIVAL')} as berthing, {_fw('PILOT_ON_BOARD_ARRIVAL', 'ALL_FAST_ARRIVAL')} as inward,
         {_fw('PILOT_SCHEDULED_ARRIVAL', 'PILOT_ON_BOARD_ARRIVAL')} as pilot, {_fw('ALL_FAST_ARRIVAL', 'LAST_LINE_UNTIED_SAILING')} as berth, {_fw('CARGO_START', 'CARGO_END')} as work, {_fw('ANCHORAGE_ARRIVAL', 'coalesce(BREAKWATER_OUT, ATD)')} as turn, {_fw('LAST_LINE_UNTIED_SAILING', 'coalesce(BREAKWATER_OUT, PORT_LIMIT_OUT)')} as outward, {_fw('PILOT_REQUEST_ARRIVAL', 'PILOT_ON_BOARD_ARRIVAL')} as response
@@ -118,6 +118,9 @@ _KPI = f"""{_CALLS}, {_POINTS}, {_CARGO}, {_TIMINGS}, wide_events as (select cal
         case when not computed then 'NO_SOURCE_DATA' when v is null then 'UNAVAILABLE' when alias_of is not null then 'ALIAS' else 'COMPUTED' end as status from res)"""
 
 
+_KPI = f"{_CALLS}, {_FW_KPI}"
+
+
 def _kpis(spark: SparkSession, d: str) -> DataFrame:
     calls, points = bound(spark, d, "calls"), _points(spark, d)
     shifts = kpi.pair_shifts(events.live(_events(spark, d)), *registry.REPEATABLE)

@@ -56,6 +56,13 @@ def missing_columns(cells: DataFrame, aliases: DataFrame, required: Mapping[str,
     return sheets.join(have, ["file", "sheet", "column"], "left_anti").groupBy("file", "sheet").agg(F.array_sort(F.collect_set("column")).alias("missing"))
 
 
+def group_state(headers: DataFrame, rows: DataFrame, calls: str) -> DataFrame:
+    """ING-13 in one row: files with a governed sheet, rows of the ``calls`` target, and whether the group has both and is accepted."""
+    governed = headers.agg(F.countDistinct("file").alias("n_governed"))
+    known = rows.agg(F.count_if(F.col("target") == calls).alias("n_call_rows"))
+    return governed.crossJoin(F.broadcast(known)).withColumn("is_accepted", (F.col("n_governed") > 0) & (F.col("n_call_rows") > 0))  # a row each
+
+
 def name_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """ING-04: (file, sheet, target, column_number, header, unique_header): repeated headers get ``__duplicate_n`` from the second on."""
     row = cells.join(headers.select("file", "sheet", F.col("header_row").alias("row_number"), "target"), ["file", "sheet", "row_number"]).filter(~is_blank("value"))
