@@ -18,9 +18,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary folder where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a new temporary one in local mode (tests), an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path
