@@ -1,30 +1,32 @@
-"""Cutting the lineage of iterations."""
+"""Cutting the lineage of iterations, and tables that several parts of a plan read."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; in a new temporary one where it is unset (tests)."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
-
-
-def shared_dir(spark) -> str:  # noqa: ANN001
-    """The folder that spark.checkpoint.dir names; a new temporary one where it is unset (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Unset, a new temporary one in local mode (tests), an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoints-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    context, path = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
+    return df.checkpoint()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: for what several parts of a plan read."""
     schema, path = df.schema, f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"

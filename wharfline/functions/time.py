@@ -31,12 +31,6 @@ def missing_inputs(**inputs: Col) -> Column:
     return F.array_compact(F.array(*[F.when(_c(c).isNull(), F.lit(name)) for name, c in inputs.items()]))
 
 
-def execution_delay(scheduled: Col, served: Col) -> tuple[Column, Column]:
-    """TM-04: signed delay, and whether the service was early. Negative stays negative."""
-    hours = hours_between(scheduled, served)
-    return hours, hours < 0
-
-
 def target_variance(actual: Col, target: Col) -> Column:
     """TM-05."""
     return F.round(_c(actual) - _c(target), 6)
