@@ -61,10 +61,12 @@ def events(staging: DataFrame, calls: DataFrame, zone: str = "Africa/Johannesbur
 
 def services(staging: DataFrame, calls: DataFrame, zone: str = "Africa/Johannesburg", target: str = "Services") -> tuple[DataFrame, DataFrame, DataFrame]:
     """CAN-07: requests, assignments and executions of each service row of a known call."""
-    at = lambda c: parse_local(text(c), F.lit(zone))
-    rows = usable(staging, target).select(text("VCN").alias("vcn"), F.coalesce(text("Service_ID"), reference()).alias("service_id"), F.coalesce(text("Service_Type"), F.lit("Unknown")).alias("service_type"), text("Movement_Type").alias("movement"), at("Submission_Time").alias("submission"), at("Requested_Time").alias("requested"), at("Scheduled_Time").alias("scheduled"), at("Served_Time").alias("served"), text("Assigned_Resource").alias("resource"))
+    times = {"submission": "Submission_Time", "requested": "Requested_Time", "scheduled": "Scheduled_Time", "served": "Served_Time"}
+    at = F.transform(F.array(*[text(c) for c in times.values()]), lambda x: parse_local(x, F.lit(zone)))  # one parser for all four
+    rows = usable(staging, target).select(text("VCN").alias("vcn"), F.coalesce(text("Service_ID"), reference()).alias("service_id"), F.coalesce(text("Service_Type"), F.lit("Unknown")).alias("service_type"), text("Movement_Type").alias("movement"), text("Assigned_Resource").alias("resource"), at.alias("at"))
     known, _ = resolve(rows, calls)
-    return known.select("call_id", "service_id", "service_type", "movement", "submission", "requested"), known.select("service_id", "scheduled", "resource"), known.select("service_id", "served")
+    time = lambda c: F.get("at", F.lit(list(times).index(c))).alias(c)
+    return known.select("call_id", "service_id", "service_type", "movement", time("submission"), time("requested")), known.select("service_id", time("scheduled"), "resource"), known.select("service_id", time("served"))
 
 
 def berth_events(cargo: DataFrame, explicit: DataFrame, columns: Mapping[str, str]) -> DataFrame:

@@ -32,7 +32,7 @@ def activate_latest(batches: DataFrame) -> DataFrame:
     """LC-04: the newest committed batch of each tenant is active, older ones are SUPERSEDED."""
     newest = batches.filter("status = 'COMMITTED'").groupBy("tenant").agg(F.max(F.struct("created_at", "batch_id")).alias("_newest"))
     joined = batches.join(newest, "tenant", "left")
-    active = (F.col("status") == "COMMITTED") & (F.col("created_at") == F.col("_newest.created_at")) & (F.col("batch_id") == F.col("_newest.batch_id"))
+    active = (F.col("status") == "COMMITTED") & F.col("created_at").eqNullSafe(F.col("_newest.created_at")) & F.col("batch_id").eqNullSafe(F.col("_newest.batch_id"))
     joined = joined.withColumn("is_active", F.coalesce(active, F.lit(False)))
     return joined.withColumn("status", F.when((F.col("status") == "COMMITTED") & ~F.col("is_active"), "SUPERSEDED").otherwise(F.col("status"))).drop("_newest")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_dir
+from ..functions.lineage import saved, shared_dir
 from ..functions.time import delay_share, excel_serial
 from ..operators import alerts, canonical, dashboard, delays, events, identity, journey, kpi, leadtime, lifecycle, outlier, quality, reconcile, stats
 from ..sources import landing
@@ -95,6 +95,22 @@ def event_names(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("event_name").agg(F.count("*").alias("n"))
 
 
+def _staged_services(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return _stage(bound(spark, d, "staged_services"), "Services", {"VCN": "vcn", "Service_Type": "service_type", "Submission_Time": at("submission"), "Requested_Time": at("submission"), "Scheduled_Time": F.lit("12:30"), "Served_Time": at("served"), "Assigned_Resource": "resource"})
+
+
+@query("split_services", f"with {_KNOWN_CALLS}, s as (select *, coalesce(nullif(service_type, ''), 'Unknown') as kind, submission - interval 2 hour as asked, served - interval 2 hour as done from ({oracle('staged_services')}) join known_calls using (vcn)) select 'request' as part, kind as key, count(*) as n, min(asked) as first_utc, max(asked) as last_utc from s group by kind union all select 'assignment', resource, count(*), cast(null as timestamp), cast(null as timestamp) from s group by resource union all select 'execution', 'all', count(*), min(done), max(done) from s")
+def split_services(spark: SparkSession, d: str) -> DataFrame:
+    """CAN-07: a bare time of day is no schedule."""
+    parts = zip(("request", "assignment", "execution"), canonical.services(saved(_staged_services(spark, d)), _known_calls(spark, d)), ("service_type", "resource", None), ("requested", "scheduled", "served"), strict=True)
+    out = None
+    for name, rows, key, at in parts:
+        one = rows.groupBy((F.col(key) if key else F.lit("all")).alias("key")).agg(F.count("*").alias("n"), F.min(at).cast("timestamp_ntz").alias("first_utc"), F.max(at).cast("timestamp_ntz").alias("last_utc")).select(F.lit(name).alias("part"), "key", "n", "first_utc", "last_utc")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("canonical_cargo", f"with {_KNOWN_CALLS}, s as ({oracle('staged_services')}) select concat(file, ':CargoOps:', row_number) as cargo_id, call_id, resource as unit, case when broken = 0 then null else cast(quantity as double) end as quantity, cast(crew as double) as resources, cast(null as double) as planned from s join known_calls using (vcn)")
 def canonical_cargo(spark: SparkSession, d: str) -> DataFrame:
     staged = _stage(bound(spark, d, "staged_services"), "CargoOps", {"VCN": "vcn", "Unit": "resource", "Actual_Quantity": F.when(F.col("broken") == 0, "broken").otherwise(F.col("quantity").cast("string")), "Resources_Deployed": "crew", "Planned_Quantity": F.lit(" ")})
