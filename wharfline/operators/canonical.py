@@ -50,7 +50,7 @@ def unseen_names(events: DataFrame, known: DataFrame) -> DataFrame:
 def events(staging: DataFrame, calls: DataFrame, zone: str = "Africa/Johannesburg", target: str = "Events") -> DataFrame:
     """CAN-02, CAN-04 to CAN-06: events of all valid rows with scope and residual attributes; those of no call are quarantined with a null call."""
     rows = usable(staging, target).select(
-        text("VCN").alias("vcn"), F.coalesce(text("Event_ID"), reference()).alias("event_id"), text("Event_Name").alias("event_name"), parse_local(text("Event_Timestamp"), F.coalesce(text("Timezone"), F.lit(zone))).alias("utc"),
+        text("VCN").alias("vcn"), F.coalesce(text("Event_ID"), reference()).alias("event_id"), text("Event_Name").alias("event_name"), _parsed(text("Event_Timestamp"), F.coalesce(text("Timezone"), F.lit(zone))).alias("utc"),
         text("Source_System").alias("source_system"), text("Verification_Status").alias("verification_status"), number("Confidence_Score").alias("confidence"), reference().alias("record_reference"), "file", "sheet", "row_number",
         movement_scope(text("Movement_Type"), F.coalesce(text("Event_Name"), F.lit(""))).alias("scope"), residual_attributes(F.col("values"), EVENT_COLUMNS, F.coalesce(text("Event_Name"), F.lit(""))).alias("attributes"),
     )
@@ -59,6 +59,11 @@ def events(staging: DataFrame, calls: DataFrame, zone: str = "Africa/Johannesbur
     return joined.withColumns({"occurrence_index": F.row_number().over(slot), "is_quarantined": F.col("call_id").isNull(), "is_superseded": F.lit(False)}).drop("file", "sheet", "row_number")
 
 
+def _parsed(value: Column, zone: Column) -> Column:
+    """``parse_local`` as a function of an array's element: its many formats would make a projection too large to compile."""
+    return F.get(F.transform(F.array(F.struct(value.alias("v"), zone.alias("z"))), lambda x: parse_local(x.v, x.z)), F.lit(0))
+
+
 def services(staging: DataFrame, calls: DataFrame, zone: str = "Africa/Johannesburg", target: str = "Services") -> tuple[DataFrame, DataFrame, DataFrame]:
     """CAN-07: requests, assignments and executions of each service row of a known call."""
     times = {"submission": "Submission_Time", "requested": "Requested_Time", "scheduled": "Scheduled_Time", "served": "Served_Time"}
