@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, mtree, packing, quality, simhash, suffix, urls, warc
+from . import decontam, langid, lmscore, mtree, packing, phrases, pii, quality, runs, simhash, suffix, urls, warc
 from .shared import crc_bucket
 
 
@@ -79,6 +79,33 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", pii.spans("text").alias("spans"))
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = found.select("doc_id", "spans", F.filter("spans", lambda s: s["base"]).alias("base"))
+    n = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    joined = [F.array_join(F.transform(c, name), ",") for c in ("base", "spans")]
+    return base.select("doc_id", *n, F.sha2(joined[0].cast("binary"), 256).alias("base_sha256"), joined[1].alias("spans"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = "filter(split(text, '[ \\t-\\r]+'), w -> w <> '')"
+    planted = "array_join(transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)])), ' ')"
+    docs = docs.withColumn("words", F.expr(f"case when h % 10 = 0 then {words} end")).withColumns({"n": F.size("words").cast("long"), "g": F.expr("h div 10")})
+    docs = docs.withColumn("a", F.expr("case when n > 0 then g % n end")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    docs = docs.select("doc_id", F.expr(f"case when n > 0 then {planted} else text end").alias("text"))
+    found = docs.select("doc_id", runs.analyse("text").alias("found")).select("doc_id", "found.runs", "found.collapsed")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), runs.longest(F.col("runs")).alias("top"), lines.alias("lines"), "collapsed")
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{'runs' if c == 'lines' else c}_sha256")
+    return found.select("doc_id", "n_runs", "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"), sha("lines"), sha("collapsed"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -90,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_pii": op11_pii,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrases": op13_phrases,
 }
 
 
