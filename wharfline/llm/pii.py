@@ -217,7 +217,7 @@ def _proposed(text: str, left: list[tuple[int, int]]) -> Iterator[Span]:
 def _weighed(text: str, span: Span) -> Span:
     """The span with its score by the words around it; the nearest side's words count once."""
     around = (text[max(0, span.start - BEFORE) : span.start] + " \n " + text[span.end : span.end + AFTER]).lower()
-    score = span.score + 0.3 * bool(_for[span.kind](around)) - 0.2 * bool(_against(around))
+    score = span.score + 0.3 * bool(_for[span.kind](around)) - 0.3 * bool(_against(around))
     return span._replace(score=round(min(1.0, max(0.0, score)), 3))
 
 

@@ -83,7 +83,7 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _table(spark, sf_dir, "documents").select("doc_id", pii.spans("text").alias("spans"))
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = found.select("doc_id", "spans", F.filter("spans", lambda s: s["base"]).alias("base"))
-    n = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    n = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as long) as n_{kind}") for kind in pii.KINDS[:4]]
     joined = [F.array_join(F.transform(c, name), ",") for c in ("base", "spans")]
     return base.select("doc_id", *n, F.sha2(joined[0].cast("binary"), 256).alias("base_sha256"), joined[1].alias("spans"))
 
