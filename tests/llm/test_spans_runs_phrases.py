@@ -212,9 +212,11 @@ def brute_phrases(rows, most, least, top, contained):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("most", "least", "top", "contained"), [(3, 2, 2000, 50), (3, 3, 7, 100), (2, 1, 50, 50), (4, 2, 2000, 50)])
-def test_phrases_against_brute_force(spark, documents, monkeypatch, most, least, top, contained):
+@pytest.mark.parametrize("block", [4 << 20, 300])
+@pytest.mark.parametrize(("most", "least", "top", "contained"), [(3, 2, 2000, 50), (2, 1, 7, 100), (4, 2, 2000, 50)])
+def test_phrases_against_brute_force(spark, documents, monkeypatch, most, least, top, contained, block):
     monkeypatch.setattr(phrases, "BUCKET", 500)  # several buckets
+    monkeypatch.setattr(phrases, "BLOCK", block)
     rows, df = documents
     rng = random.Random(2)
     more = [("en", "To be, or not\tto  be! To be\rthat\x0bis . the;Question "), ("en", "ÄB äb c\x1cd " * 20), (None, "to be or not to be " * 30), ("x", "a " * 2000), ("x", ", ,,"), ("en", " ".join(rng.choice("abcdefgh") for _ in range(3000)))] * 2
@@ -230,6 +232,8 @@ def test_parsing_is_free_of_prefixes_and_covers_once():
     words = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 9)) for _ in range(400)]
     text = " ".join(words)
     parsed = phrases.Parsed((text + "\n\n  one \n" + text).encode())
+    some = phrases.Parsed(b" a \r\r  b c\rd\n\re ")
+    assert some.text == b" a \rb c\rd\n\re " and some.piece.tolist() == [0, 1, 1, 2, 4] and some.line.tolist() == [0, 0, 0, 0, 1]
     first, end, last = phrases.cuts(parsed, 2, 8)
     seen = np.zeros(len(parsed.starts), int)
     for s, e, is_last in zip(first, end, last, strict=True):

@@ -1,7 +1,7 @@
 """Collocations by prefix-free parsing: exact counts of all phrases of 1 to ``most`` words, and the phrases whose parts meet more than by chance.
 
-A piece of text (split at ``. , ; : ! ?`` and line ends) is cut into chunks wherever the hash of ``most - 1`` words has a
-given remainder, so equal content is cut alike everywhere. The words that trigger a cut end one chunk and begin the next;
+Texts are split into pieces at ``. , ; : ! ?`` and line ends, over which no phrase goes. A text is cut into chunks wherever
+the hash of ``most - 1`` words of a piece has a given remainder, so equal content is cut alike everywhere. The words that trigger a cut end one chunk and begin the next;
 a phrase belongs to the chunk that holds its first word before the closing overlap, so each is counted once and lies whole
 in one chunk. Distinct chunks with their frequencies are the dictionary; phrases are counted inside distinct chunks,
 weighted by the frequency.
@@ -20,6 +20,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -36,8 +37,8 @@ BUCKET = 2 << 20  # hashes that a bucket holds, about
 BITS = 48  # of a hash that travel
 DRAWN = 16  # parts in which a language's first phrases are looked for
 
-SPACE, LINE = 32, 10
-_lines = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
+SPACE, PIECE, LINE = 32, 13, 10
+_pieces = bytes.maketrans(b".,;:!?\n\x0b\x0c\t", b"\r\r\r\r\r\r\r\r\r ")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -48,43 +49,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Parsed:
-    """Words of lines of text: where each starts and ends, its line and its hash."""
+    """Words of lines of text, which CR parts into pieces: where each starts and ends, its line and piece and its hash."""
 
     def __init__(self, text: bytes) -> None:
         raw = np.frombuffer(text, np.uint8)
-        gap = (raw == SPACE) | (raw == LINE)
+        gap = (raw == SPACE) | (raw == PIECE) | (raw == LINE)
         kept = np.ones(len(raw), bool)
-        kept[1:] = ~((raw[1:] == SPACE) & gap[:-1])  # one space between words
-        if len(raw) and raw[0] == SPACE:
-            kept[0] = False
-        raw = raw[kept]
+        kept[1:] = ~((raw[1:] == SPACE) & gap[:-1] | (raw[1:] == PIECE) & (raw[:-1] == PIECE))  # one space between words
+        raw, gap = raw[kept], gap[kept]
         self.text = raw.tobytes()
-        gap = gap[kept]
         edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         line_ends = np.flatnonzero(raw == LINE)
         self.line = np.searchsorted(line_ends, self.starts)
         self.lines = len(line_ends) + 1
+        self.piece = np.searchsorted(np.flatnonzero((raw == PIECE) | (raw == LINE)), self.starts)
         self.hashes = np.zeros(len(self.starts), np.uint64)
         if len(self.starts):
-            at = np.flatnonzero(~gap)
+            letters = raw[~gap].astype(np.uint64) + np.uint64(1)
             sizes = self.ends - self.starts
             heads = np.cumsum(sizes) - sizes
-            place = np.arange(len(at)) - np.repeat(heads, sizes)
             power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), _A)]))
-            self.hashes = _mixed(np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * power[place], heads))
+            letters *= power[np.arange(len(letters)) - np.repeat(heads, sizes)]
+            self.hashes = _mixed(np.add.reduceat(letters, heads))
 
 
 def cuts(parsed: Parsed, overlap: int, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, last word + 1, whether its line ends with it) of each chunk."""
-    n, line = len(parsed.starts), parsed.line
-    head = np.diff(line, prepend=-1) != 0  # a line's first word
+    """(first word, last word + 1, whether its line ends with it) of each chunk; words that trigger a cut stand in one piece."""
+    n = len(parsed.starts)
+    head = np.diff(parsed.line, prepend=-1) != 0  # a line's first word
     trigger = np.zeros(n, bool)
     if n >= overlap:
         window = np.zeros(n - overlap + 1, np.uint64)
         for i in range(overlap):
             window = _mixed(window * _A + parsed.hashes[i : n - overlap + 1 + i])
-        trigger[: len(window)] = (window % np.uint64(every) == 0) & (line[: len(window)] == line[overlap - 1 :])
+        trigger[: len(window)] = (window % np.uint64(every) == 0) & (parsed.piece[: len(window)] == parsed.piece[overlap - 1 :])
     first = np.flatnonzero(head | trigger)
     after = np.append(first[1:], n)
     last = np.append(head[first[1:]], True) if len(first) else np.zeros(0, bool)
@@ -98,7 +97,7 @@ def _chunks(docs: DataFrame, most: int, every: int) -> DataFrame:
         for batch in batches:
             held, langs, size = [], [], 0
             for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                raw = (text or "").encode().lower().translate(_lines)  # lowers A to Z only
+                raw = (text or "").encode().lower().translate(_pieces)  # lowers A to Z only
                 if held and size + len(raw) > GROUP:
                     yield chunked(held, langs)
                     held, langs, size = [], [], 0
@@ -112,9 +111,7 @@ def _chunks(docs: DataFrame, most: int, every: int) -> DataFrame:
         parsed = Parsed(b"\n".join(held))
         first, end, last = cuts(parsed, most - 1, every)
         begin, stop = parsed.starts[first].tolist(), parsed.ends[end - 1].tolist()
-        lines = np.cumsum([1 + raw.count(b"\n") for raw in held])
-        owner = np.searchsorted(lines, parsed.line[first], side="right")
-        lang = pa.array(langs, pa.string()).take(pa.array(owner))
+        lang = pa.array(langs, pa.string()).take(pa.array(parsed.line[first]))
         return {"lang": lang, "chunk": [parsed.text[s:e].decode() for s, e in zip(begin, stop, strict=True)], "last": last, "words": np.where(last, end - first, end - first - (most - 1))}
 
     return arrow_map(docs.select("lang", "text"), parse, "lang string, chunk string, last boolean, words long")
@@ -129,19 +126,26 @@ def _blocks(chunks: DataFrame) -> DataFrame:
         held, size, number = [], 0, 0
 
         def out() -> dict:
-            lang, chunk, last, words, n = zip(*held, strict=True)
-            total: defaultdict[str, int] = defaultdict(int)
-            for name, w, k in zip(lang, words, n, strict=True):
-                total[name] += w * k
-            return {"block": [part << 32 | number], "chunks": ["\n".join(chunk)], "langs": [lang], "lasts": [last], "counts": [n], "size": [sum(words)], "totals": [[{"lang": k, "n": v} for k, v in total.items()]]}
+            lang, chunk, last, words, n = (pa.concat_arrays([b.column(i) for b in held]) for i in range(5))
+            totals = pa.table({"lang": lang, "n": pc.multiply(words, n)}).group_by("lang").aggregate([("n", "sum")])
+            of = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return {"block": [part << 32 | number], "chunks": ["\n".join(chunk.to_pylist())], "langs": of(lang), "lasts": of(last), "counts": of(n), "size": [pc.sum(words).as_py()], "totals": [[{"lang": k, "n": v} for k, v in zip(totals["lang"].to_pylist(), totals["n_sum"].to_pylist(), strict=True)]]}
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and size + len(row[1]) > BLOCK:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy() + 1)
+            at = 0
+            while at < batch.num_rows:  # as many rows as fit, one at least
+                before = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, before + BLOCK - size, side="right"))
+                if to <= at and not held:
+                    to = at + 1
+                if to > at:
+                    held.append(batch.slice(at, to - at))
+                    size += int(ends[to - 1]) - before
+                if to < batch.num_rows:
                     yield out()
                     held, size, number = [], 0, number + 1
-                held.append(row)
-                size += len(row[1]) + 1
+                at = max(at, to)
         if held:
             yield out()
 
@@ -155,9 +159,9 @@ class Counted:
         self.parsed = parsed = Parsed(chunks.encode())
         self.langs = langs
         n = len(parsed.starts)
-        ends = np.searchsorted(parsed.line, np.arange(parsed.lines), side="right")  # of the chunks, in words
-        limit = ends[parsed.line]  # behind the chunk of each word
-        own = np.where(np.array(lasts)[parsed.line], limit, limit - (most - 1))
+        behind = lambda of: np.searchsorted(of, of, side="right")  # noqa: E731 - of each word, where its chunk or piece ends
+        limit, own = behind(parsed.piece), behind(parsed.line)
+        own = np.where(np.array(lasts)[parsed.line], own, own - (most - 1))
         weight = np.array(counts, np.int64)[parsed.line]
         names: dict[str, int] = {}
         lang = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)[parsed.line]
@@ -173,9 +177,10 @@ class Counted:
                 key = key[at] * (int(ids.max(initial=0)) + 1) + ids[at + size - 1]
                 hashes = hashes.copy()
                 hashes[at] = _mixed(hashes[at] * _A + parsed.hashes[at + size - 1])
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             inside = key[order]
-            new = np.flatnonzero(np.append(True, inside[1:] != inside[:-1])) if len(inside) else np.zeros(0, np.int64)
+            differs = np.append(True, inside[1:] != inside[:-1]) if len(inside) else np.zeros(0, bool)
+            new = np.flatnonzero(differs)
             mine = at < own[at]
             first = at[order[new]]
             total = np.add.reduceat((weight[at] * mine)[order], new) if len(new) else np.zeros(0, np.int64)
@@ -183,12 +188,12 @@ class Counted:
             found.append(np.stack([first[used], np.full(int(used.sum()), size), total[used], hashes[first[used]].view(np.int64)]))
             if size < most:
                 rank = np.empty(len(at), np.int64)
-                rank[order] = np.cumsum(np.append(True, inside[1:] != inside[:-1])) - 1 if len(inside) else 0
+                rank[order] = np.cumsum(differs) - 1
                 key = np.zeros(n, np.int64)
                 key[at] = rank
         self.first, self.size, self.total, hashes = np.concatenate(found, axis=1)
         self.hashes = hashes.view(np.uint64) >> np.uint64(64 - BITS)
-        order = np.lexsort((self.first, self.size, self.hashes))
+        order = np.argsort(self.hashes)  # phrases of one hash get the same answer, whatever their order
         self.first, self.size, self.total, self.hashes = (x[order] for x in (self.first, self.size, self.total, self.hashes))
 
     def buckets(self, many: int) -> list[tuple[int, int, int]]:
