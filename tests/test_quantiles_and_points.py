@@ -29,6 +29,23 @@ def test_quantiles_are_exact(spark):
     assert stats.with_quantiles(df, [], "v", {"m": (0.5, "linear")}).first().m == np.median([v for values in groups.values() for v in values])
 
 
+def test_equal_values_are_counted_not_gathered(spark):
+    """Ten million equal values of one key, null keys, and the plan: no pass deals rows by key, no list of values."""
+    many = spark.range(10_000_000).select(F.lit("a").alias("k"), F.when(F.col("id") % 10 < 8, 0.0).otherwise(F.col("id") % 1000).cast("double").alias("v"))
+    df = many.union(spark.createDataFrame([(None, 1.0), (None, 3.0)], "k string, v double"))
+    got = stats.with_quantiles(df, ["k"], "v", {"m": (0.5, "linear"), "p90": (0.9, "nearest"), "p81": (0.81, "upper")})
+    ids = np.arange(10_000_000)
+    x = np.sort(np.where(ids % 10 < 8, 0, ids % 1000))
+    assert {tuple(r) for r in got.collect()} == {("a", 10_000_000, 0.0, float(x[9_000_000 - 1]), float(x[8_100_000])), (None, 2, 2.0, 3.0, 3.0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_pages_know_their_total(spark):
+    got = stats.page(spark.range(25), ["id"], 10, 5, total=True).collect()
+    assert [tuple(r) for r in got] == [(i, 25) for i in range(10, 15)]
+
+
 def test_points_and_issues_in_one_pass(spark):
     """Instants and issues by the single pass equal those of the operators one by one."""
     rng = np.random.default_rng(9)

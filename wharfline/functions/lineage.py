@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
+from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +32,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_written: weakref.WeakSet[DataFrame] = weakref.WeakSet()  # what saved() gave and is still held
+FEW = 10_000  # rows of aggregates that may be broadcast
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's folder for saved tables; deleted when Python ends, as plans may read it until then."""
+    path = f"{shared_dir(spark)}/saved-{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        atexit.register(_delete, folder, conf)
+    return path
+
+
+_folders: set[str] = set()
+
+
+def _delete(folder: Any, conf: Any) -> None:
+    try:
+        folder.getFileSystem(conf).delete(folder, True)
+    except (Py4JError, OSError):  # the JVM has gone before
+        pass
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder and read back: for what several parts of a plan read."""
-    schema, path = df.schema, f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    """The same rows, written to the shared folder and read back: for what several parts of a plan read. A table that is saved already stays as it is."""
+    if df in _written:
+        return df
+    schema, path = df.schema, f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    table = df.sparkSession.read.schema(schema).parquet(path)
+    _written.add(table)
+    return table
+
+
+def small(df: DataFrame, few: int = FEW) -> DataFrame:
+    """An aggregate, written and counted: to be broadcast in joins if it has no more than ``few`` rows, else left to Spark."""
+    table = saved(df)
+    return F.broadcast(table) if table.limit(few + 1).count() <= few else table

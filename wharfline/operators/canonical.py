@@ -36,6 +36,26 @@ def vessel_calls(staging: DataFrame, numeric: Sequence[str], strings: Sequence[s
     return rows.select(F.sha2(text("VCN").cast("binary"), 256).alias("call_id"), text("VCN").alias("vcn"), F.coalesce(text("Vessel_Name"), F.lit("UNKNOWN")).alias("vessel_name"), reference().alias("record_reference"), *[number(c).alias(c.lower()) for c in numeric], *[text(c).alias(c.lower()) for c in strings])
 
 
+def newest_rows(staging: DataFrame, batches: DataFrame, target: str = "VesselCalls", key: str = "VCN") -> DataFrame:
+    """TM-14, DQ-003, DQ-004: of each key the row (vcn, values, record_reference, batch_id) of its newest batch, and in that the last row.
+
+    staging has a ``batch_id``; batches: (batch_id, created_at, status), of which only PROCESSING and COMMITTED ones count.
+    Invalid and duplicate rows count too: it is what the source says last.
+    """
+    rows = staging.filter(F.col("target") == target).withColumn("vcn", text(key)).filter("vcn is not null")
+    dated = rows.join(batches.filter("status in ('PROCESSING', 'COMMITTED')").select("batch_id", "created_at"), "batch_id")
+    order = F.struct("created_at", "batch_id", "row_number", "file", "sheet")
+    newest = dated.groupBy("vcn").agg(F.max_by(F.struct("values", "file", "sheet", "row_number", "batch_id"), order).alias("_r")).select("vcn", "_r.*")
+    return newest.select("vcn", "values", reference().alias("record_reference"), "batch_id")
+
+
+def source_times(newest: DataFrame, calls: DataFrame, columns: Sequence[str] = ("ETA", "ATA"), zone: str = "Africa/Johannesburg") -> DataFrame:
+    """(call_id, record_reference, and for each column its text and, as ``<name>_utc``, its instant) of known calls' newest rows."""
+    at = F.transform(F.array(*[text(c) for c in columns]), lambda x: parse_local(x, F.lit(zone)))
+    rows = newest.join(calls.select("vcn", "call_id"), "vcn").select("call_id", "record_reference", *[text(c).alias(c.lower()) for c in columns], at.alias("_at"))
+    return rows.select("call_id", "record_reference", *[c.lower() for c in columns], *[F.get("_at", F.lit(i)).alias(f"{c.lower()}_utc") for i, c in enumerate(columns)])
+
+
 def resolve(children: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CAN-02: children (vcn, ...) with their call's id, and the orphans."""
     keys = calls.select("vcn", "call_id")
@@ -89,9 +109,30 @@ def with_last_quantity(calls: DataFrame, cargo: DataFrame, order: str = "cargo_i
     return joined.withColumns({"quantity": F.coalesce("q.quantity", "quantity"), "quantity_unit": F.coalesce("q.unit", "quantity_unit")}).drop("q")
 
 
+CARGO_COLUMNS = ("VCN", "Cargo_Operation_ID", "Operation_Type", "Cargo_Type", "Unit", "Planned_Quantity", "Actual_Quantity", "Working_Hours", "Resources_Deployed", "Downtime_Hours")
+DELAY_COLUMNS = ("VCN", "Delay_ID", "Movement_Type", "Scheduled_Time", "Served_Time", "Delay_Hours", "Delay_Reason", "Delay_Category", "Cause_Status", "Confidence")
+
+
+def envelope(values: Column, known: Sequence[str]) -> Column:
+    """CAN-06: what a row says beyond the known columns, blanks left out."""
+    return F.map_filter(values, lambda k, v: ~k.isin(*known) & v.isNotNull() & (F.trim(v) != ""))
+
+
+def delays(staging: DataFrame, calls: DataFrame, zone: str = "Africa/Johannesburg", target: str = "Delays") -> DataFrame:
+    """CAN-08: the delay rows of known calls as ``operators.delays.reconcile_delays`` takes them, with their residual attributes and source."""
+    times = ("Scheduled_Time", "Served_Time")
+    at = F.transform(F.array(*[text(c) for c in times]), lambda x: parse_local(x, F.lit(zone)))
+    rows = usable(staging, target).select(
+        text("VCN").alias("vcn"), F.coalesce(text("Delay_ID"), reference()).alias("delay_id"), text("Movement_Type").alias("movement"), at.alias("_at"), number("Delay_Hours").alias("stated_hours"), text("Delay_Reason").alias("reason"),
+        text("Delay_Category").alias("source_category"), text("Cause_Status").alias("cause_status"), text("Confidence").alias("confidence_text"), envelope(F.col("values"), DELAY_COLUMNS).alias("attributes"), reference().alias("record_reference"),
+    )
+    rows = rows.withColumns({"scheduled": F.get("_at", F.lit(0)), "served": F.get("_at", F.lit(1))}).drop("_at")
+    return resolve(rows, calls)[0]
+
+
 def cargo_operations(staging: DataFrame, calls: DataFrame, target: str = "CargoOps") -> DataFrame:
-    """CAN-10: cargo rows of known calls, numbers cast where they can be."""
-    rows = usable(staging, target).select(text("VCN").alias("vcn"), F.coalesce(text("Cargo_Operation_ID"), reference()).alias("cargo_id"), text("Operation_Type").alias("operation"), text("Unit").alias("unit"), number("Planned_Quantity").alias("planned"), number("Actual_Quantity").alias("quantity"), number("Working_Hours").alias("working_hours"), number("Resources_Deployed").alias("resources"), number("Downtime_Hours").alias("downtime_hours"))
+    """CAN-06, CAN-10: cargo rows of known calls, numbers cast where they can be, with their residual attributes and source."""
+    rows = usable(staging, target).select(text("Cargo_Type").alias("cargo_type"), envelope(F.col("values"), CARGO_COLUMNS).alias("attributes"), reference().alias("record_reference"), text("VCN").alias("vcn"), F.coalesce(text("Cargo_Operation_ID"), reference()).alias("cargo_id"), text("Operation_Type").alias("operation"), text("Unit").alias("unit"), number("Planned_Quantity").alias("planned"), number("Actual_Quantity").alias("quantity"), number("Working_Hours").alias("working_hours"), number("Resources_Deployed").alias("resources"), number("Downtime_Hours").alias("downtime_hours"))
     return resolve(rows, calls)[0]
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import store
 from .lifecycle import apply_scope
 from .stats import with_quantiles
 
+UNFILTERED = "unfiltered"
 UNITS = ("TEU", "MT", "Units")
 
 
@@ -137,6 +141,41 @@ def read_snapshot(spark: SparkSession, path: str, *, tenant: str, filters: str,
     return {name: spark.read.parquet(f"{base}/{name}") if name in active.sections else "UNAVAILABLE: not in the snapshot" for name in sections}
 
 
+def read_through(
+    spark: SparkSession, path: str, compute: Callable[[], Mapping[str, DataFrame]], *, tenant: str, filters: str = UNFILTERED, lineage: Mapping[str, str] | None = None, recompute: bool = False, worth: Callable[[Mapping[str, DataFrame]], bool] | None = None,
+) -> tuple[dict[str, DataFrame], str, dict[str, str]]:
+    """DB-06: a tenant's sections, how they were come by, and their lineage (batch and checksum by which they were computed).
+
+    HIT: the active version, read. MISS: there was none (or ``recompute``), so they were computed and published as the next
+    version, the active one from then on. SHARED: computed, but another reader published first, so its sections count. Only
+    unfiltered sections are stored, and only if ``worth`` (default: always) says so; others are COMPUTED. A version counts
+    when all its sections are written.
+    """
+    stamp = dict(lineage or {})
+    place = f"{path}/tenant={tenant}"
+    if filters != UNFILTERED:
+        return dict(compute()), "COMPUTED", stamp
+    base = store.current(spark, place)
+    if base is not None and not recompute:
+        return _sections(spark, base), "HIT", base.facts["lineage"]
+    frames = dict(compute())
+    if worth is not None and not worth(frames):
+        return frames, "COMPUTED", stamp
+    folder = store.new_folder(place)
+    for name, frame in frames.items():
+        frame.write.parquet(f"{folder}/{name}")
+    schemas = {name: frame.schema.json() for name, frame in frames.items()}
+    try:
+        made, state = store.publish(spark, place, base, {name: f"{folder}/{name}" for name in frames}, facts={"lineage": stamp, "schemas": schemas}), "MISS"
+    except store.Conflict:
+        made, state = store.current(spark, place), "SHARED"
+    return _sections(spark, made), state, made.facts["lineage"]
+
+
+def _sections(spark: SparkSession, version: store.Version) -> dict[str, DataFrame]:
+    return {name: spark.read.schema(StructType.fromJson(json.loads(version.facts["schemas"][name]))).parquet(folder) for name, folder in version.parts.items()}
+
+
 def section_states(spark: SparkSession, found: Mapping[str, DataFrame | str]) -> DataFrame:
     """DB-09: (section, status, reason)."""
     rows = [(name, "UNAVAILABLE" if isinstance(x, str) else "AVAILABLE", x if isinstance(x, str) else None) for name, x in found.items()]

@@ -27,15 +27,39 @@ def _pairs(rows: DataFrame, key: str) -> DataFrame:
 def _alike_keys(names: DataFrame, least: float) -> DataFrame:
     """(key, norm, size): names under keys such that two names with a matching ratio of ``least`` or more share one.
 
-    A ratio of t needs t (m + n) / 2 common characters, so a name's partners have at least t / (2 - t) of its length. Of the
-    (character, occurrence) pairs of a name, rarest first, any partner has one of the first m less that many, plus one.
+    A ratio of t needs M >= t (m + n) / 2 common characters in order, so a name's partners have at least t / (2 - t) of its
+    length. Two matching blocks have a character between them that isn't matched, so there are at most m + n - 2 M + 1
+    blocks, and 3 M - m - n - 1 pairs of neighbouring characters that both names have. Where that is 1 or more, they meet
+    under a pair (of its pairs, rarest first, a name needs all but as many as the least number of common ones, less one).
+    For the few sums m + n where it isn't, they meet under that sum and one of the rarest (character, occurrence) pairs, of
+    which a name needs all but M - 1.
     """
-    parts = names.select("norm", F.length("norm").alias("size"), F.explode(F.split("norm", "")).alias("c")).filter("c <> ''")
-    nth = parts.groupBy("norm", "size", "c").agg(F.count("*").alias("n")).select("norm", "size", "c", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
-    many = nth.groupBy("c", "k").agg(F.count("*").alias("many"))  # characters times the longest name
-    ranked = nth.join(many, ["c", "k"]).groupBy("norm", "size").agg(F.sort_array(F.collect_list(F.struct("many", "c", "k"))).alias("rare"))
-    common = F.ceil(F.lit(least) * (F.col("size") + F.ceil(F.col("size") * (least / (2 - least)) - 1e-9)) / 2 - 1e-9)
-    return ranked.select(F.explode(F.slice("rare", F.lit(1), F.greatest(F.lit(1), (F.col("size") - common + 1).cast("int")))).alias("x"), "norm", "size").select(F.concat("x.c", F.lit(" "), F.col("x.k").cast("string")).alias("key"), "norm", "size")
+    t = least - 5e-5  # ratios are rounded to 4 digits
+    common, both = f"cast(ceil({t} * s / 2 - 1e-9) as int)", "transform(sequence(cast(ceil(size * {0} - 1e-9) as int), cast(floor(size / {0} + 1e-9) as int)), n -> size + n)".format(t / (2 - t))
+    sizes = names.select("norm", F.length("norm").alias("size")).filter("size > 0").withColumn("sums", F.expr(both))
+    sizes = sizes.withColumn("least_pairs", F.expr(f"array_min(filter(transform(sums, s -> 3 * {common} - s - 1), x -> x > 0))"))
+    sizes = sizes.withColumn("loose", F.expr(f"filter(sums, s -> 3 * {common} - s - 1 <= 0)"))
+    parts = F.expr("""array(struct('c' as kind, split(norm, '') as own), struct('p' as kind, transform(sequence(1, greatest(size - 1, 1)), i -> substring(norm, i, 2)) as own))""")
+    each = sizes.select("norm", "size", F.inline(parts)).filter((F.col("kind") == "c") | (F.col("size") > 1)).select("norm", "kind", F.explode("own").alias("c")).filter("c <> ''")
+    nth = each.groupBy("norm", "kind", "c").agg(F.count("*").cast("int").alias("n")).select("norm", "kind", "c", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    many = nth.groupBy("kind", "c", "k").agg(F.count("*").alias("many"))  # parts of the alphabet, times the longest name
+    ranked = nth.join(many, ["kind", "c", "k"]).groupBy("norm", "kind").agg(F.sort_array(F.collect_list(F.struct("many", "c", "k"))).alias("rare")).join(sizes, "norm")
+    pairs = ranked.filter("kind = 'p' and least_pairs is not null").select("norm", "size", F.explode(F.expr("slice(rare, 1, greatest(1, size(rare) - least_pairs + 1))")).alias("x")).select(F.concat(F.lit("p"), "x.c").alias("key"), "norm", "size").distinct()
+    loose = ranked.filter("kind = 'c'").select("norm", "size", "rare", F.explode("loose").alias("s")).select("norm", "size", "s", F.explode(F.expr(f"slice(rare, 1, greatest(1, size(rare) - {common} + 1))")).alias("x"))
+    return pairs.union(loose.select(F.concat_ws(" ", F.lit("c"), "x.c", F.col("x.k").cast("string"), F.col("s").cast("string")).alias("key"), "norm", "size"))
+
+
+def _bag(name: str) -> Column:
+    """Each character of a name with its occurrence: the overlap of two bags is that of the arrays."""
+    return F.expr(f"transform(split({name}, ''), (c, i) -> concat(c, cast(length(replace(left({name}, i + 1), c, concat(c, c))) - i - 1 as string)))")
+
+
+def _could_be_alike(least: float) -> Column:
+    """What two names p < q that could have a matching ratio of ``least`` pass, by built-ins: enough common characters, few enough edits."""
+    t, total = least - 5e-5, F.length("p") + F.length("q")
+    need = F.ceil(t * total / 2 - 1e-9)
+    few = F.levenshtein("p", "q") <= total - 2 * need
+    return few & (F.size(F.array_intersect(_bag("p"), _bag("q"))) >= need)
 
 
 def _named(calls: DataFrame, default: str) -> DataFrame:
@@ -47,6 +71,22 @@ def _fits(least: float) -> Column:
     return 2.0 * F.least(F.length("p"), F.length("q")) >= least * (F.length("p") + F.length("q"))
 
 
+def name_pairs(keys: DataFrame, least: float) -> DataFrame:
+    """(p, q): names p < q that share a key and could be alike; the ratio itself remains to be taken."""
+    met = keys.select("key", F.col("norm").alias("p")).join(keys.select("key", F.col("norm").alias("q")), "key").filter((F.col("p") < F.col("q")) & _fits(least))
+    return met.select("p", "q").distinct().filter(_could_be_alike(least))
+
+
+def representatives(calls: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(call_id, representative): of the calls that agree in all ``fields``, null with null, the smallest id stands for all.
+
+    Pairs between representatives and this table say what all pairs would: copies are not expanded into pairs.
+    """
+    keyed = calls.select("call_id", F.xxhash64(*[F.col(c) for c in fields]).alias("_h"), *fields)
+    least = keyed.groupBy("_h", *fields).agg(F.min("call_id").alias("representative")).withColumnsRenamed({c: f"_{c}" for c in fields})
+    return keyed.join(least, [keyed["_h"] == least["_h"], *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in fields]]).select("call_id", "representative")
+
+
 def candidate_pairs(calls: DataFrame, *, least: float = CANDIDATE, default: str = "UNKNOWN") -> DataFrame:
     """ID-03: (a, b) of unmerged calls that share VCN or IMO, or whose names are alike; no pair is left out.
 
@@ -56,8 +96,7 @@ def candidate_pairs(calls: DataFrame, *, least: float = CANDIDATE, default: str
     rows = calls.filter("not coalesce(is_merged, false)")
     named = _named(calls, default)
     keys = _alike_keys(named.select("norm").distinct(), least)
-    like = keys.select("key", F.col("norm").alias("p")).join(keys.select("key", F.col("norm").alias("q")), "key").filter((F.col("p") < F.col("q")) & _fits(least)).select("p", "q").distinct()
-    like = like.filter(matching_ratio("p", "q") >= least)
+    like = name_pairs(keys, least).filter(matching_ratio("p", "q") >= least)
     names = named.select("norm").distinct()
     alike = like.unionByName(like.select(F.col("q").alias("p"), F.col("p").alias("q"))).unionByName(names.select(F.col("norm").alias("p"), F.col("norm").alias("q")))
     by_name = named.select(F.col("call_id").alias("a"), F.col("norm").alias("p")).join(alike, "p").join(named.select(F.col("call_id").alias("b"), F.col("norm").alias("q")), "q").filter("a < b").select("a", "b")
@@ -93,7 +132,7 @@ def name_classes(calls: DataFrame, *, least: float = CANDIDATE, default: str = "
     named = _named(calls, default)
     keys = cut(_alike_keys(named.select("norm").distinct(), least))
     centre = F.min("norm").over(Window.partitionBy("key"))
-    stars = keys.select(centre.alias("p"), F.col("norm").alias("q")).distinct().filter((F.col("p") < F.col("q")) & _fits(least)).filter(matching_ratio("p", "q") >= least)
+    stars = keys.select(centre.alias("p"), F.col("norm").alias("q")).distinct().filter((F.col("p") < F.col("q")) & _fits(least) & _could_be_alike(least)).filter(matching_ratio("p", "q") >= least)
     links = cut(stars.select(F.col("p").alias("a"), F.col("q").alias("b")))
     labelled = keys.join(connected(links), F.col("norm") == F.col("node"), "left").select("key", "norm", F.coalesce("leader", "norm").alias("leader"))
     open_ = labelled.groupBy("key").agg(F.count("*").alias("many"), F.min("leader").alias("lo"), F.max("leader").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("many") / crowd).alias("k"))
@@ -178,6 +217,57 @@ def unmerge(groups: DataFrame, taken_back: DataFrame) -> DataFrame:
     return groups.join(back, "call_id", "left").select("call_id", alone.alias("survivor_id"))
 
 
+def replay(decisions: DataFrame) -> DataFrame:
+    """ID-10, ID-11: (call_id, survivor_id, path) of the calls that are merged once all decisions are done, those that were undone left out.
+
+    decisions: (seq, decision_id, action, call_id, survivor_id, undoes): MERGE puts ``call_id`` into ``survivor_id``, UNMERGE
+    takes back the merge whose decision_id is in ``undoes``, if it came before. Everything is as if the merges that were taken back had
+    never been, also for what they moved and a later merge moved on. Of several standing merges of one call the first
+    counts. What a call holds moves with each later merge of its survivor; a survivor that was merged before stays where it is.
+    ``path``: the numbers of the merges from the last survivor to the call, the order in which its rows came in.
+    """
+    undone = decisions.filter("action = 'UNMERGE'").groupBy(F.col("undoes").alias("decision_id")).agg(F.max("seq").alias("_undone"))
+    merges = decisions.filter("action = 'MERGE' and call_id <> survivor_id").join(undone, "decision_id", "left").filter("_undone is null or _undone < seq")
+    standing = merges.groupBy("call_id").agg(F.min(F.struct("seq", "survivor_id")).alias("m")).select("call_id", "m.survivor_id", "m.seq")
+    steps = cut(standing.select("call_id", "survivor_id", F.col("seq").alias("last"), F.array("seq").alias("path")))
+    while True:  # each round doubles how far a call has followed its survivors
+        next_ = steps.select(F.col("call_id").alias("survivor_id"), F.col("survivor_id").alias("_on"), F.col("last").alias("_last"), F.col("path").alias("_path"))
+        goes = F.coalesce(F.element_at("_path", -1) > F.col("last"), F.lit(False))  # that merge came after
+        further = cut(
+            steps.join(next_, "survivor_id", "left").select(
+                "call_id",
+                F.when(goes, F.col("_on")).otherwise(F.col("survivor_id")).alias("survivor_id"),
+                F.when(goes, F.col("_last")).otherwise(F.col("last")).alias("last"),
+                F.when(goes, F.concat("_path", "path")).otherwise(F.col("path")).alias("path"),
+                goes.alias("went"),
+            )
+        )
+        steps = further.drop("went")
+        if further.filter("went").isEmpty():
+            return steps.select("call_id", "survivor_id", "path")
+
+
+def with_owner(children: DataFrame, merged: DataFrame) -> DataFrame:
+    """ID-10, ID-11: rows of calls (events, services, cargo, delays) under the call that ``replay`` leaves them with; ``own_id`` is the call they came with."""
+    owners = merged.select("call_id", F.col("survivor_id").alias("_owner"))
+    return children.join(owners, "call_id", "left").withColumns({"own_id": F.col("call_id"), "call_id": F.coalesce("_owner", "call_id")}).drop("_owner")
+
+
+def replayed_calls(calls: DataFrame, merged: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
+    """ID-09 to ID-11: calls after ``replay``: what survivors have taken over, merged ones as they were and marked.
+
+    A survivor's numbers are the largest of its members', its texts its own, else the first that came in; calls that no
+    standing merge touches, and those it was taken back from, are as they were before.
+    """
+    every = calls.select("call_id", *numeric, *text).join(merged, "call_id", "left")
+    order = F.coalesce("path", F.array().cast("array<long>"))
+    held = every.groupBy(F.coalesce("survivor_id", "call_id").alias("call_id")).agg(
+        F.count("*").alias("n_members"), *[F.max(c).alias(c) for c in numeric], *[F.min_by(c, F.when(~is_blank(c), order)).alias(c) for c in text]
+    )
+    kept = every.filter("survivor_id is not null").select("call_id", F.lit(1).cast("long").alias("n_members"), *numeric, *text, F.col("survivor_id").alias("merged_into"))
+    return held.withColumn("merged_into", F.lit(None).cast(calls.schema["call_id"].dataType)).unionByName(kept)
+
+
 def survivors(groups: DataFrame, calls: DataFrame, fields: Sequence[str]) -> DataFrame:
     """ID-08: of each group the most complete call, two fields less for a name with ``-`` or ``.``; ties to the smallest id. (call_id, survivor_id)"""
     filled = sum((F.col(c).isNotNull().cast("int") for c in fields), F.lit(0)) - F.when(F.col("vessel_name").rlike("[-.]"), 2).otherwise(0)

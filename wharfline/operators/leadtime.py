@@ -68,6 +68,14 @@ def blocked_turnarounds(calls: DataFrame, column: str = "ata", metric: str = "Tu
     return calls.filter(F.col(column).isNull()).select("call_id", F.lit(metric).alias("metric"))
 
 
+def gate_turnaround(results: DataFrame, source: DataFrame, metric: str = "Turnaround") -> DataFrame:
+    """TM-14: lead times, in which a turnaround whose call's newest source row (``canonical.source_times``) has a blank ATA is UNAVAILABLE, whatever the events say."""
+    blank = source.filter("ata is null").select("call_id", F.lit(metric).alias("metric"), F.lit(True).alias("_blank"))
+    rows = results.join(blank, ["call_id", "metric"], "left")
+    gated = F.coalesce("_blank", F.lit(False))
+    return rows.withColumns({"hours": F.when(~gated, F.col("hours")), "status": F.when(gated, "UNAVAILABLE").otherwise(F.col("status")), "reason": F.when(gated, "SOURCE_ATA_BLANK").otherwise(F.col("reason"))}).drop("_blank")
+
+
 def custom_lead_time(events: DataFrame, start: str, end: str, *, pick: str = "first", n: int = 1, calls: DataFrame | None = None, include_quarantined: bool = False, scope: str | None = None) -> DataFrame:
     """TM-21: (call_id, occurrence, hours) between two events: their first, last or nth occurrences, or all, paired by position.
 

@@ -32,6 +32,12 @@ def missing_arrival(calls: DataFrame, events: DataFrame) -> DataFrame:
     return _issues(calls.join(events.filter("event_name = 'ATA' and utc is not null").select("call_id"), "call_id", "left_anti"), "DQ-003", _call_reference())
 
 
+def source_row_issues(source: DataFrame) -> DataFrame:
+    """DQ-003, DQ-004: calls whose newest source row (``canonical.source_times``) has a blank ATA, or an ETA after its ATA."""
+    found = F.array_compact(F.array(F.when(F.col("ata").isNull(), F.lit("DQ-003")), F.when(F.col("eta_utc") > F.col("ata_utc"), F.lit("DQ-004"))))
+    return _issues(source.select("call_id", F.explode(found).alias("rule")), F.col("rule"), _call_reference())
+
+
 def _first(events: DataFrame, names: Sequence[str]) -> DataFrame:
     """The first live event of each name and call, side by side as structs (utc, event_id)."""
     first = F.min(F.struct("occurrence_index", "utc", "event_id"))
@@ -112,11 +118,13 @@ def staging_issues(staging: DataFrame, mandatory: Sequence[str]) -> DataFrame:
 
 
 def duplicate_calls(scored: DataFrame) -> DataFrame:
-    """DQ-001, DQ-002: from scored pairs (a, b, same_name, same_vcn, similarity, score): exact copies, and near ones."""
+    """DQ-001, DQ-002: from scored pairs (a, b, same_name, same_vcn, similarity, score): exact copies, and near ones.
+
+    The issue is the second call's, and of each kind it has one, however many calls it repeats.
+    """
     rule = F.when(F.col("same_name") & F.col("same_vcn"), "DQ-001").when(F.col("same_vcn") & (F.col("similarity") >= 0.98), "DQ-002")
-    rows = scored.filter("score >= 0.98").withColumns({"rule": rule, "call_id": F.col("a")}).filter("rule is not null")
-    got = _issues(rows, F.col("rule"), F.concat_ws(":", F.lit("pair"), F.col("a").cast("string"), F.col("b").cast("string")))
-    return got.withColumn("status", F.when(F.col("rule_id") == "DQ-001", "RESOLVED").otherwise("OPEN"))
+    rows = scored.filter("score >= 0.98").select(rule.alias("rule"), F.col("b").alias("call_id")).filter("rule is not null").distinct()
+    return _issues(rows, F.col("rule"), _call_reference()).withColumn("status", F.when(F.col("rule_id") == "DQ-001", "RESOLVED").otherwise("OPEN"))
 
 
 def merge_issues(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,29 @@ def compare_filtered(sets: Mapping[str, Mapping[str, DataFrame]], key: str = "ca
     return out
 
 
+def compare_masked(calls: DataFrame, filters: Mapping[str, Column], sources: Mapping[str, DataFrame], key: str = "call_id") -> DataFrame:
+    """RC-02 for several filter sets in one pass: what ``compare_filtered`` gives for sources that are filtered by call.
+
+    A call has a bit for each filter it passes and one for each source that has it; one grouping by call brings them
+    together, one aggregate counts all combinations. Up to 62 filters and 62 sources.
+    """
+    if max(len(filters), len(sources)) > 62:
+        raise ValueError("at most 62 filters and sources")
+    mask = sum((F.when(c, F.lit(1 << i)).otherwise(0) for i, c in enumerate(filters.values())), F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    rows = calls.select(F.col(key), mask.alias("_fits"), none.alias("_has"))
+    for i, frame in enumerate(sources.values()):
+        rows = rows.unionByName(frame.select(F.col(key), none.alias("_fits"), F.lit(1 << i).cast("long").alias("_has")))
+    known = rows.groupBy(key).agg(F.bit_or("_fits").alias("_fits"), F.bit_or("_has").alias("_has"))
+    bit = lambda c, i: F.col(c).bitwiseAND(F.lit(1 << i)) != 0
+    pairs = [(f, s) for f in range(len(filters)) for s in range(len(sources))]
+    counts = known.agg(*[F.count_if(bit("_fits", f) & bit("_has", s)).alias(f"n_{f}_{s}") for f, s in pairs])
+    sets = [F.struct(F.lit(name).alias("filter_set"), F.array(*[F.struct(F.lit(source).alias("source"), F.col(f"n_{f}_{s}").alias("n")) for s, source in enumerate(sources)]).alias("of")) for f, name in enumerate(filters)]
+    each = counts.select(F.inline(F.array(*sets)))
+    equal = F.array_min("of.n") == F.array_max("of.n")
+    return each.select("filter_set", equal.alias("is_equal"), F.inline("of")).select("filter_set", "source", "n", "is_equal")
+
+
 def disposition_counts(staging: DataFrame, by: Sequence[str] = ("target", "validation_status")) -> DataFrame:
     """RC-03: staged rows by table and status."""
     return staging.groupBy(*by).agg(F.count("*").alias("n"))

@@ -201,7 +201,7 @@ def active_datasets(spark: SparkSession, d: str) -> DataFrame:
 _PAIR_SQL = f"{_SQL_PARTY}, pr as (select distinct x.call_id as a, y.call_id as b from party x join party y on x.call_id < y.call_id and (x.vcn = y.vcn or x.imo = y.imo)), ps as (select a, b, x.vessel_name = y.vessel_name as sn, x.vcn as xv, y.vcn as yv, x.imo as xi, y.imo as yi, x.grt = y.grt as sg from pr join party x on x.call_id = a join party y on y.call_id = b)"
 
 
-@query("duplicate_calls", f"with {_PAIR_SQL} select case when sn then 'DQ-001' else 'DQ-002' end as rule_id, a as call_id, concat('pair:', a, ':', b) as record_reference, case when sn then 'RESOLVED' else 'OPEN' end as status from ps where xv = yv and not coalesce(xi <> yi, false)")
+@query("duplicate_calls", f"with {_PAIR_SQL} select distinct case when sn then 'DQ-001' else 'DQ-002' end as rule_id, b as call_id, concat('call:', b) as record_reference, case when sn then 'RESOLVED' else 'OPEN' end as status from ps where xv = yv and not coalesce(xi <> yi, false)")
 def duplicate_calls(spark: SparkSession, d: str) -> DataFrame:
     return quality.duplicate_calls(_scored_keys(spark, d)).select("rule_id", "call_id", "record_reference", "status")
 
@@ -455,12 +455,9 @@ _SETS = [("all", "true"), ("containers", "vessel_type = 'Container'"), ("bulk",
 @query("filtered_totals", f"with {_CALLS}, s as (" + " union all ".join(f"select '{n}' as filter_set, count(*) as n from calls where {w}" for n, w in _SETS) + "), f as (select unnest(['dashboard', 'listing', 'lead_times']) as source) select filter_set, source, n, true as is_equal from s, f")
 def filtered_totals(spark: SparkSession, d: str) -> DataFrame:
     """RC-02: under seven filter sets, calls by the dashboard, by the listing and by lead times."""
-    calls, lead = bound(spark, d, "calls"), _lead_times(spark, d).select("call_id").distinct()
-    sets = {}
-    for name, where in _SETS:
-        chosen = calls.filter(where)
-        sets[name] = {"dashboard": dashboard.population(chosen, _points(spark, d)), "listing": lifecycle.search_calls(chosen), "lead_times": lead.join(chosen.select("call_id"), "call_id", "left_semi")}
-    return reconcile.compare_filtered(sets)
+    calls = bound(spark, d, "calls")
+    sources = {"dashboard": dashboard.population(calls, _points(spark, d)), "listing": lifecycle.search_calls(calls), "lead_times": _lead_times(spark, d)}
+    return reconcile.compare_masked(calls, {name: F.expr(where) for name, where in _SETS}, sources)
 
 
 # ---------------------------------------------------------------- the stream of events, as a table
