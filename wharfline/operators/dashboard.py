@@ -45,6 +45,20 @@ def throughput(calls: DataFrame, cargo: DataFrame) -> DataFrame:
     return joined.groupBy("cargo_type", "unit").agg(F.round(F.sum("quantity"), 2).alias("quantity"), F.countDistinct("call_id").alias("n_calls"))
 
 
+def cargo_breakdown(cargo: DataFrame) -> DataFrame:
+    """DB-02: quantity and operations by the operations' own cargo type (General for none) and unit (Units for none)."""
+    rows = cargo.groupBy(F.coalesce("cargo_type", F.lit("General")).alias("cargo_type"), F.coalesce("unit", F.lit("Units")).alias("unit"))
+    return rows.agg(F.round(F.coalesce(F.sum("quantity"), F.lit(0.0)), 1).alias("quantity"), F.count("*").alias("n_operations"))
+
+
+def breakdown_totals(breakdown: DataFrame) -> DataFrame:
+    """DB-02: the total of each of ``UNITS`` from ``cargo_breakdown``; other units count by the operation's cargo type. 0 for none; never added up."""
+    other = F.when(F.col("cargo_type") == "Container", "TEU").when(F.col("cargo_type").isin("Bulk", "Liquid Bulk", "Break Bulk"), "MT").otherwise("Units")
+    got = breakdown.groupBy(F.when(F.col("unit").isin(*UNITS), F.col("unit")).otherwise(other).alias("unit")).agg(F.sum("quantity").alias("quantity"), F.sum("n_operations").alias("n_operations"))
+    every = breakdown.sparkSession.createDataFrame([(u,) for u in UNITS], "unit string").join(got, "unit", "left")
+    return every.select("unit", F.round(F.coalesce("quantity", F.lit(0.0)), 1).alias("quantity"), F.coalesce("n_operations", F.lit(0)).alias("n_operations"))
+
+
 def unit_totals(calls: DataFrame, cargo: DataFrame) -> DataFrame:
     """DB-02: the total of each of ``UNITS``, each by itself; what has another unit counts by its cargo: containers as TEU, bulk kinds as MT, else Units."""
     joined = cargo.join(calls.select("call_id", "cargo_type"), "call_id")
@@ -105,6 +119,13 @@ def call_listing(calls: DataFrame, lead_times: DataFrame, stages: DataFrame, par
     return joined.withColumn("delay_hours", F.coalesce("delay_hours", F.lit(0.0)))
 
 
+def duration_traces(lead_times: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """DB-07: for each call the trace of its durations: metric, hours, status, reason and source records of each of ``metrics``, in their order."""
+    place = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric"))
+    rows = lead_times.filter(F.col("metric").isin(*metrics)).select("call_id", F.struct(place.alias("n"), "metric", "hours", "status", "reason", "source_ids").alias("_t"))
+    return rows.groupBy("call_id").agg(F.transform(F.sort_array(F.collect_list("_t")), lambda t: t.dropFields("n")).alias("trace"))  # as many as metrics
+
+
 def counters(listing: DataFrame, shifts: DataFrame, delays_by_movement: DataFrame) -> DataFrame:
     """DB-13: calls, quarantined ones, ones with a shift, and ones with an early arrival or sailing."""
     moved = shifts.filter("status = 'AVAILABLE'").select("call_id", F.lit(True).alias("_s")).distinct()

@@ -164,6 +164,34 @@ def status_counts(found: DataFrame, *, categories: Sequence[str] = (), bands: Se
     return found.groupBy("category", "status").agg(F.count("*").alias("n"))
 
 
+def with_required_systems(found: DataFrame, systems: DataFrame) -> DataFrame:
+    """KF-07: results, those without source data with the systems (kpi, required_systems) that would have it; empty for the others."""
+    joined = found.join(F.broadcast(systems), "kpi", "left")  # the registry
+    none = F.array().cast("array<string>")
+    return joined.withColumn("required_systems", F.when(F.col("status") == "NO_SOURCE_DATA", F.coalesce("required_systems", none)).otherwise(none))
+
+
+def catalogue(registry: DataFrame, found: DataFrame, *, category: str | None = None, availability: str | None = None, is_primary: bool | None = None) -> DataFrame:
+    """KF-21: the registered KPIs by number, each with its availability (COMPUTED or NO_SOURCE_DATA), whether it is primary, and the status of its result; filtered by any of these."""
+    rows = registry.select("kpi", "name", "category", "unit", "target", "direction", F.when(F.col("computed"), "COMPUTED").otherwise("NO_SOURCE_DATA").alias("availability"), F.col("alias_of").isNull().alias("is_primary"), "alias_of")
+    for column, value in (("category", category), ("availability", availability), ("is_primary", is_primary)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows.join(found.select("kpi", F.col("status").alias("result_status")), "kpi", "left").orderBy("kpi")
+
+
+def availability_counts(listed: DataFrame) -> DataFrame:
+    """KF-21: how many of the listed KPIs there are of each availability and result status."""
+    return listed.groupBy("availability", "result_status").agg(F.count("*").alias("n"))
+
+
+def scorecard_results(newest: DataFrame, registry: DataFrame, *, aliases: bool = False) -> DataFrame:
+    """KF-15: the newest result of each KPI, by category and number, also where there is none; aliases only if wanted."""
+    named = registry if aliases else registry.filter("alias_of is null")
+    results_ = newest.filter("position = 1").select("kpi", "calculated_at", "value", "band", "status")
+    return named.select("category", "kpi", "name", "unit", "target").join(results_, "kpi", "left").orderBy("category", "kpi")
+
+
 def trend(history: DataFrame, n: int = 6) -> DataFrame:
     """KF-11, KF-12: the last n values of each KPI, oldest first, with delta, change, 3-point mean and direction at 0.01.
 
@@ -214,6 +242,11 @@ def service_performance(timings: DataFrame) -> DataFrame:
     )
 
 
+def service_records(timings: DataFrame) -> DataFrame:
+    """KF-16: the records of each figure of ``service_performance``, a row each: a figure can have any number of them."""
+    return timings.select("service_type", "leg", F.col("service_id").alias("record_id"), "call_id", F.col("delay_hours").isNull().alias("is_missing"))
+
+
 def service_drill(timings: DataFrame, service_type: str, leg: str, status: str | None = None) -> DataFrame:
     """KF-16, KF-17: the records behind a figure of ``service_performance``."""
     rows = timings.filter((F.col("service_type") == service_type) & (F.col("leg") == leg))

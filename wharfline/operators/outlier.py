@@ -106,6 +106,37 @@ def listing(found: DataFrame, calls: DataFrame, *, category: str | None = None,
     return rows.filter(F.col("vcn").ilike(f"%{vcn}%")) if vcn else rows
 
 
+LEGACY, LEGACY_METRIC = "OPERATIONAL_OUTLIER", "Turnaround"
+
+
+def presented(found: DataFrame, calls: DataFrame, lead_times: DataFrame, *, category: str | None = None, severity: str | None = None, is_excluded: bool | None = None, vcn: str | None = None) -> DataFrame:
+    """OL-LIST: outliers of known calls with VCN and vessel, severity by its text from Z to A, then the greatest divergence first.
+
+    found: (rule, call_id, metric, value, threshold, severity, category, is_excluded, source_ids). Old records of turnarounds
+    are presented as time-based ones (and found under that category); those without a rule are marked, have stated texts where
+    theirs are missing, and without sources those of the call's turnarounds, newest first, each once.
+    lead_times: (call_id, metric, calculated_at, source_ids). ``vcn`` is compared whole.
+    """
+    old = (F.col("category") == LEGACY) & (F.col("metric") == LEGACY_METRIC)
+    rows = found.withColumns({"is_legacy": F.coalesce(old & F.col("rule").isNull(), F.lit(False)), "category": F.when(old, "Time-based Outlier").otherwise(F.col("category")), "divergence": F.round(F.col("value") - F.col("threshold"), 4)})
+    for column, value in (("category", category), ("severity", severity), ("is_excluded", is_excluded)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    rows = rows.join(calls.select("call_id", "vcn", "vessel_name"), "call_id")
+    if vcn is not None:
+        rows = rows.filter(F.col("vcn") == vcn)
+    own = lead_times.filter(F.col("metric") == LEGACY_METRIC).groupBy("call_id").agg(F.sort_array(F.collect_list(F.struct("calculated_at", "source_ids")), asc=False).alias("_l"))  # a call's stored turnarounds
+    rows = rows.join(own.select("call_id", F.array_distinct(F.flatten(F.transform("_l", lambda x: x["source_ids"]))).alias("_sources")), "call_id", "left")
+    none = F.array().cast("array<string>")
+    sources = F.when(F.size(F.coalesce("source_ids", none)) > 0, F.col("source_ids")).when(F.col("is_legacy"), F.coalesce("_sources", none)).otherwise(none)
+    said = lambda text: F.when(F.col("is_legacy"), text)
+    out = rows.select(
+        "rule", "call_id", "vcn", "vessel_name", "category", "metric", "value", "threshold", "divergence", "severity", "is_excluded", sources.alias("source_ids"), "is_legacy",
+        said("Vessel turnaround time exceeded the historical outlier threshold.").alias("issue"), said("Historical threshold").alias("threshold_label"), said("Unavailable / Legacy record").alias("leg"),
+    )
+    return out.orderBy(F.desc("severity"), F.desc("divergence"), "rule", "call_id")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """DB-10: by category and severity, records and calls, worst first."""
     rank = F.when(F.col("severity") == "CRITICAL", 1).when(F.col("severity") == "HIGH", 2).when(F.col("severity") == "MEDIUM", 3).otherwise(4)

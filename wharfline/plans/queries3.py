@@ -79,7 +79,7 @@ def kpi_benchmarks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("service_drill", f"with {_TIMINGS} select call_id, service_id, service_type, leg, delay_hours from timings where service_type = 'Pilotage' and leg = 'Arrival' and status = 'LATE'")
 def service_drill(spark: SparkSession, d: str) -> DataFrame:
-    return _timings(spark, d).filter("service_type = 'Pilotage' and leg = 'Arrival' and status = 'LATE'").select("call_id", "service_id", "service_type", "leg", "delay_hours")
+    return kpi.service_drill(_timings(spark, d), "Pilotage", "Arrival", "LATE").select("call_id", "service_id", "service_type", "leg", "delay_hours")
 
 
 @query("dashboard_population", f"with {_ISSUES} select call_id, vessel_type from calls join parts using (call_id) where vessel_type = 'Bulk' and quality_status = 'FLAGGED'")

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import store
-from ..functions.lineage import shared_dir
-from ..operators import canonical, dashboard, delays, events, identity, kpi, leadtime, quality, stats
+from ..functions.lineage import saved, shared_dir
+from ..operators import canonical, dashboard, delays, events, identity, kpi, leadtime, outlier, quality, stats
 from ..sources import landing
 from ..sources.tables import BINDINGS, bound, oracle, table
 from . import registry
-from .queries import _CALLS, _CARGO, _LEAD, _POINTS, _events, _hours, _lead_times, _points, _values, query
-from .queries2 import _FW_KPI, _ISSUES, _SQL_PARTY, UNIT, _issues, _party
+from .queries import _CALLS, _CARGO, _LEAD, _POINTS, _TIMINGS, _events, _hours, _joined, _lead_times, _points, _timings, _values, query
+from .queries2 import _FW_KPI, _ISSUES, _SQL_PARTY, UNIT, _issues, _kpis, _party
 from .queries4 import _KNOWN_CALLS, _known_calls, _stage
 
 
@@ -267,3 +267,86 @@ def cargo_attributes(spark: SparkSession, d: str) -> DataFrame:
     staged = _stage(bound(spark, d, "staged_services"), "CargoOps", {"VCN": "vcn", "Cargo_Type": "resource", "Shift": "service_type", "Actual_Quantity": "quantity"})
     rows = canonical.cargo_operations(staged, _known_calls(spark, d))
     return rows.select("cargo_id", "cargo_type", "record_reference", F.try_element_at("attributes", F.lit("Shift")).alias("shift"))
+
+
+# ---------------------------------------------------------------- listings and figures in full
+
+_SYSTEMS = _values([(k, ",".join(v)) for k, v in registry.REQUIRED_SYSTEMS.items()])
+_REG = f"reg as (select * from {_values(registry.KPIS)} as t(kpi, name, category, unit, target, direction, green, amber, computed, alias_of))"
+
+
+@query("kpi_required_systems", f"with {_CALLS}, {_FW_KPI}, sys as (select * from {_SYSTEMS} as t(kpi, systems)) select kpi, status, case when status = 'NO_SOURCE_DATA' then coalesce(systems, '') else '' end as required_systems from kpis left join sys using (kpi)")
+def kpi_required_systems(spark: SparkSession, d: str) -> DataFrame:
+    found = kpi.with_required_systems(_kpis(spark, d), registry.required_systems(spark))
+    return found.select("kpi", "status", F.array_join("required_systems", ",").alias("required_systems"))
+
+
+@query("kpi_catalogue", f"with {_CALLS}, {_FW_KPI}, c as (select r.kpi, r.category, case when computed then 'COMPUTED' else 'NO_SOURCE_DATA' end as availability, alias_of is null as is_primary, k.status as result_status from reg r left join kpis k using (kpi)) select * from c where availability = 'COMPUTED' and is_primary")
+def kpi_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """KF-21: primary KPIs that have source data, with the status of their results."""
+    return kpi.catalogue(registry.kpis(spark), _kpis(spark, d), availability="COMPUTED", is_primary=True).select("kpi", "category", "availability", "is_primary", "result_status")
+
+
+@query("kpi_availability", f"with {_CALLS}, {_FW_KPI} select case when computed then 'COMPUTED' else 'NO_SOURCE_DATA' end as availability, k.status as result_status, count(*) as n from reg r left join kpis k using (kpi) group by all")
+def kpi_availability(spark: SparkSession, d: str) -> DataFrame:
+    return kpi.availability_counts(kpi.catalogue(registry.kpis(spark), _kpis(spark, d)))
+
+
+@query("scorecard_results", f"with {_CALLS}, {_FW_KPI} select r.category, r.kpi, r.name, k.value, k.band, k.status, timestamp '2026-03-01' as calculated_at from reg r left join kpis k using (kpi) where alias_of is null")
+def scorecard_results(spark: SparkSession, d: str) -> DataFrame:
+    """KF-15: the newest of stored results by category; an older run is stored after the newer one."""
+    path, found = _place(spark, "scorecard"), saved(_kpis(spark, d))
+    for run, at, value in (("new", "2026-03-01", F.col("value")), ("old", "2026-02-01", F.lit(-1.0))):
+        store.append_run(spark, path, found.withColumns({"value": value, "calculated_at": F.lit(at).cast("timestamp_ntz")}), run)
+    return kpi.scorecard_results(kpi.latest(store.history(spark, path)), registry.kpis(spark)).select("category", "kpi", "name", "value", "band", "status", "calculated_at")
+
+
+@query("service_records", f"with {_TIMINGS} select service_type, leg, service_id as record_id, call_id, delay_hours is null as is_missing from timings")
+def service_records(spark: SparkSession, d: str) -> DataFrame:
+    return kpi.service_records(_timings(spark, d))
+
+
+_OPERATIONS = f"{_KNOWN_CALLS}, ops as (select case when broken = 1 then null when resource = 'F' then 'Container' else 'Bulk' end as cargo_type, case broken when 2 then null when 3 then 'Pallets' when 4 then 'TEU' else 'MT' end as unit, cast(quantity as double) as quantity from ({oracle('staged_services')}) join known_calls using (vcn))"
+_BREAKDOWN = f"{_OPERATIONS}, br as (select coalesce(cargo_type, 'General') as cargo_type, coalesce(unit, 'Units') as unit, round(coalesce(sum(quantity), 0), 1) as quantity, count(*) as n_operations from ops group by 1, 2)"
+
+
+def _operations(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("broken") == 1, None).when(F.col("resource") == "F", "Container").otherwise("Bulk")
+    unit = F.when(F.col("broken") == 2, " ").when(F.col("broken") == 3, "Pallets").when(F.col("broken") == 4, "TEU").otherwise("MT")
+    staged = _stage(bound(spark, d, "staged_services"), "CargoOps", {"VCN": "vcn", "Cargo_Type": kind, "Unit": unit, "Actual_Quantity": "quantity"})
+    return canonical.cargo_operations(staged, _known_calls(spark, d))
+
+
+@query("cargo_breakdown", f"with {_BREAKDOWN} select * from br")
+def cargo_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.cargo_breakdown(_operations(spark, d))
+
+
+@query("breakdown_totals", f"with {_BREAKDOWN} select unit, round(sum(quantity), 1) as quantity, sum(n_operations) as n_operations from (select case when unit in ('TEU', 'MT', 'Units') then unit when cargo_type = 'Container' then 'TEU' when cargo_type = 'Bulk' then 'MT' else 'Units' end as unit, quantity, n_operations from br) group by unit")
+def breakdown_totals(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.breakdown_totals(dashboard.cargo_breakdown(_operations(spark, d)))
+
+
+@query("duration_traces", f"with {_CALLS}, {_POINTS}, {_LEAD} select call_id, metric, hours, status, reason, source_ids from lead_rows where metric in ('Turnaround', 'Anchorage Wait', 'Berth Stay')")
+def duration_traces(spark: SparkSession, d: str) -> DataFrame:
+    rows = dashboard.duration_traces(_lead_times(spark, d), ["Turnaround", "Anchorage Wait", "Berth Stay"])
+    return rows.select("call_id", F.inline("trace")).withColumn("source_ids", _joined("source_ids"))
+
+
+_OLD = f"""{_CALLS}, {_POINTS}, {_LEAD}, f as (select case when call_id % 3 = 0 then null else 'R' end as rule, call_id, 'Turnaround' as metric, hours as value, 100.0 as threshold, case when hours > 300 then 'CRITICAL' when hours > 150 then 'HIGH' else 'MEDIUM' end as severity, case when call_id % 2 = 0 then 'OPERATIONAL_OUTLIER' else 'Sequence Outlier' end as category, source_ids from lead_rows where metric = 'Turnaround' and status = 'AVAILABLE' and hours > 100)"""
+
+
+@query("outliers_presented", f"with {_OLD} select coalesce(rule, '') as rule, call_id, vcn, category, round(value - threshold, 4) as divergence, severity, is_legacy, case when is_legacy then source_ids else '' end as source_ids, case when is_legacy then 'Historical threshold' end as threshold_label, row_number() over (order by severity desc, round(value - threshold, 4) desc, rule nulls first, call_id) as position from (select *, category = 'OPERATIONAL_OUTLIER' and rule is null as is_legacy from f where category = 'OPERATIONAL_OUTLIER') join calls using (call_id)".replace("call_id, vcn, category,", "call_id, vcn, 'Time-based Outlier' as category,"))
+def outliers_presented(spark: SparkSession, d: str) -> DataFrame:
+    """OL-LIST: old turnaround outliers, some without a rule, in the order of the listing, with the sources of the call's turnaround."""
+    lead = saved(_lead_times(spark, d).filter("metric = 'Turnaround' and status = 'AVAILABLE'").withColumn("calculated_at", F.lit(1)))
+    old = lead.filter("hours > 100").select(F.when(F.col("call_id") % 3 != 0, "R").alias("rule"), "call_id", "metric", F.col("hours").alias("value"), F.lit(100.0).alias("threshold"), F.when(F.col("hours") > 300, "CRITICAL").when(F.col("hours") > 150, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(F.col("call_id") % 2 == 0, outlier.LEGACY).otherwise("Sequence Outlier").alias("category"), F.lit(False).alias("is_excluded"), F.array().cast("array<string>").alias("source_ids"))
+    rows = outlier.presented(old, bound(spark, d, "calls"), lead, category="Time-based Outlier")
+    number = F.row_number().over(Window.orderBy(F.desc("severity"), F.desc("divergence"), F.col("rule").asc_nulls_first(), "call_id"))  # a listing is one ordered list
+    return rows.select(F.coalesce("rule", F.lit("")).alias("rule"), "call_id", "vcn", "category", "divergence", "severity", "is_legacy", _joined("source_ids").alias("source_ids"), "threshold_label", number.cast("long").alias("position"))
+
+
+@query("file_manifest")
+def file_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """ING-01: checksums of the files of the star schema. SQL has no view of the files; a test holds it against hashlib."""
+    return landing.file_manifest(spark, [f"{d}/{t}.parquet" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")])

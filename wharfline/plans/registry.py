@@ -132,6 +132,37 @@ KPIS = [
     ("KPI-54", "Average Pilot Response", "Resource utilisation", "hours", 1.5, "LOWER", 1.5, 2.5, True, None),
     ("KPI-55", "Average Crane Downtime", "Resource utilisation", "hours/incident", 1.0, "LOWER", 1.0, 2.0, False, None),
 ]
+# The systems whose data a KPI without source data would need.
+REQUIRED_SYSTEMS = {
+    "KPI-06": ["VTS_RADAR_LOG"],
+    "KPI-08": ["TUG_SERVICE_RELEASE_LOG"],
+    "KPI-09": ["TUG_FLEET_AVAILABILITY"],
+    "KPI-10": ["PILOT_ROSTER_OR_AVAILABILITY"],
+    "KPI-11": ["TUG_POSITION_OR_ARRIVAL_LOG"],
+    "KPI-14": ["BERTH_INVENTORY_AND_AVAILABILITY"],
+    "KPI-22": ["BERTH_INVENTORY_AND_AVAILABILITY"],
+    "KPI-26": ["TOS_CRANE_LOG"],
+    "KPI-31": ["YARD_TOS", "GATE_OCR"],
+    "KPI-32": ["YARD_TOS", "GATE_OCR"],
+    "KPI-33": ["YARD_TOS"],
+    "KPI-34": ["YARD_TOS_EQUIPMENT"],
+    "KPI-35": ["YARD_TOS_EQUIPMENT"],
+    "KPI-36": ["GATE_OCR", "APPOINTMENT_SYSTEM"],
+    "KPI-37": ["GATE_OCR"],
+    "KPI-38": ["GATE_OCR", "ROAD_QUEUE_SENSORS"],
+    "KPI-39": ["RAIL_OPERATOR_TOS"],
+    "KPI-40": ["RAIL_OPERATOR_TOS"],
+    "KPI-44": ["TUG_SERVICE_START_AND_RELEASE_LOG"],
+    "KPI-46": ["TOS_ENGINEERING_SCADA"],
+    "KPI-47": ["LABOUR_MANAGEMENT_SYSTEM"],
+    "KPI-48": ["TOS_CRANE_LOG"],
+    "KPI-49": ["PILOT_ROSTER_OR_AVAILABILITY"],
+    "KPI-50": ["TUG_FLEET_AVAILABILITY"],
+    "KPI-51": ["BERTH_INVENTORY_AND_AVAILABILITY"],
+    "KPI-52": ["TOS_CRANE_LOG"],
+    "KPI-53": ["TUG_POSITION_OR_ARRIVAL_LOG"],
+    "KPI-55": ["CMMS_MAINTENANCE_LOG"],
+}
 KPI_SCHEMA = "kpi string, name string, category string, unit string, target double, direction string, green double, amber double, computed boolean, alias_of string"
 
 
@@ -145,3 +176,7 @@ def lead_times(spark: SparkSession) -> DataFrame:
 
 def kpis(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KPIS, KPI_SCHEMA)
+
+
+def required_systems(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(REQUIRED_SYSTEMS.items()), "kpi string, required_systems array<string>")
