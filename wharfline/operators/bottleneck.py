@@ -37,7 +37,7 @@ def rank(values: DataFrame, *, total_hours: DataFrame | float = 50.0, population
     100. Durations score against 48 hours for stages and 10 for resources.
     """
     w = {**WEIGHTS, **(weights or {})}
-    rows = values.filter("hours is not null")
+    rows = values.filter("hours is not null").select("name", "kind", "hours", "target")
     aggs = [F.avg("hours").alias("mean"), F.coalesce(F.stddev_samp("hours"), F.lit(0.0)).alias("sd"), F.avg((F.col("hours") > F.col("target")).cast("double")).alias("breach_rate")]
     got = with_quantiles(rows, ["name", "kind"], "hours", {"median": (0.5, "linear"), "p90": (0.9, "nearest")}, aggs)
     got = got.crossJoin(F.broadcast(total_hours)) if isinstance(total_hours, DataFrame) else got.withColumn("total", F.lit(total_hours))  # one row
@@ -68,7 +68,7 @@ def criticality(values: DataFrame, key: str = "metric", value: str = "hours", we
 
     The median is the upper one, P90 by nearest rank. weights: of the three levels.
     """
-    rows = values.filter(F.col(value).isNotNull())
+    rows = values.filter(F.col(value).isNotNull()).select(key, value)
     got = with_quantiles(rows, [key], value, {"median": (0.5, "upper"), "p90": (0.9, "nearest")}, [F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")])
     return with_levels(got.withColumns({"cv": F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(0.0), "tail_ratio": F.when(F.col("median") > 0, F.col("p90") / F.col("median")).otherwise(1.0)}), key, weights)
 

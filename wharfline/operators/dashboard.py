@@ -71,7 +71,7 @@ def unit_totals(calls: DataFrame, cargo: DataFrame) -> DataFrame:
 def metric_cards(lead_times: DataFrame, metrics: list[str]) -> DataFrame:
     """DB-03: counts, mean, median, P90, range (2 decimals), early, late and on time of each metric."""
     rows = lead_times.filter(F.col("metric").isin(*metrics))
-    rows = rows.withColumn("h", F.when(F.col("status") == "AVAILABLE", F.col("hours")))
+    rows = rows.select("metric", F.when(F.col("status") == "AVAILABLE", F.col("hours")).alias("h"))
     h = F.col("h")
     aggs = [(F.count("*") - F.count(h)).alias("n_missing"), F.avg(h).alias("mean"), F.min(h).alias("min"), F.max(h).alias("max"), F.count_if(h < 0).alias("n_early"), F.count_if(h > 0).alias("n_late"), F.count_if(h == 0).alias("n_on_time")]
     got = with_quantiles(rows, ["metric"], "h", {"median": (0.5, "linear"), "p90": (0.9, "linear")}, aggs)

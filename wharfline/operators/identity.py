@@ -74,7 +74,7 @@ def _fits(least: float) -> Column:
 def name_pairs(keys: DataFrame, least: float) -> DataFrame:
     """(p, q): names p < q that share a key and could be alike; the ratio itself remains to be taken."""
     met = keys.select("key", F.col("norm").alias("p")).join(keys.select("key", F.col("norm").alias("q")), "key").filter((F.col("p") < F.col("q")) & _fits(least))
-    return met.select("p", "q").distinct().filter(_could_be_alike(least))
+    return met.select("p", "q").filter(_could_be_alike(least)).distinct()
 
 
 def representatives(calls: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import saved
 from ..functions.time import hours_between
 from .stats import with_quantiles
 
@@ -100,7 +101,8 @@ def custom_lead_time(events: DataFrame, start: str, end: str, *, pick: str = "fi
 
 def builder_outliers(df: DataFrame, value: str = "hours") -> DataFrame:
     """TM-24: values above the linear P90, or negative."""
-    limit = with_quantiles(df, [], value, {"p90": (0.9, "linear")}).select("p90")
+    df = saved(df)
+    limit = with_quantiles(df.select(value), [], value, {"p90": (0.9, "linear")}).select("p90")
     return df.crossJoin(F.broadcast(limit)).filter((F.col(value) > F.col("p90")) | (F.col(value) < 0))  # one row
 
 

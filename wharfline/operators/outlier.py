@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import saved
 from ..functions.time import hours_between
 from . import stats
 from .events import event_map
@@ -21,7 +22,7 @@ def pair_values(points: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
 
 def pair_outliers(points: DataFrame, pairs: Sequence[tuple]) -> DataFrame:
     """The HIGH and SD rules of the pair table (rule, start, end, kind, parameter), each parameter in one pass."""
-    values = pair_values(points, pairs)
+    values = saved(pair_values(points, pairs))
     found = []
     for kind, parameter in sorted({(p[3], p[4]) for p in pairs}):
         rules = [p[0] for p in pairs if (p[3], p[4]) == (kind, parameter)]

@@ -30,7 +30,7 @@ def with_quantiles(df: DataFrame, keys: Sequence[str], value: str, picks: Mappin
     """
     if not keys:
         return with_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, picks, aggs).drop("_all")
-    v, wide = F.col(value), 2.0 / ACCURACY
+    df, v, wide = saved(df), F.col(value), 2.0 / ACCURACY  # read twice
     qs = sorted({q for q, _ in picks.values()})
     low, high = (F.percentile_approx(v, F.array(*[F.lit(min(1.0, max(0.0, q + side * wide))) for q in qs]), F.lit(ACCURACY)) for side in (-1, 1))
     first = saved(df.groupBy(*keys).agg(*aggs, F.count(v).alias("n"), low.alias("_low"), high.alias("_high")))
