@@ -182,7 +182,7 @@ def links(fps: DataFrame, *, threshold: int = 4, batch: int = 8192, bucket_rows:
             j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + pairs_at_once, "right")))
             theirs = home_values[csr_take(low[i:j], many[i:j])]
             mine = np.repeat(values[i:j], many[i:j])
-            linked = (np.bitwise_count(theirs ^ mine) <= threshold) & (theirs != mine)
+            linked = (np.bitwise_count((theirs ^ mine).view(np.uint64)) <= threshold) & (theirs != mine)  # of signed numbers, bits of the absolute value would count
             if linked.any():
                 a, b = local_components(theirs[linked], mine[linked])
                 yield {"a": a, "b": b}
