@@ -6,8 +6,10 @@ share one of their n // 5 + 1 first shingles in whatever common order; here rare
 
 1. each text sends a third of its shingles, chosen by hash, to buckets, which tell it those that others have, and how many;
 2. a text with enough shingles that no other has needs no candidates; others are posted under the first shared ones;
-3. where sets of different components are under one shingle (of shingles with the same sets, one), they are compared in
-   the task where they meet, which returns a spanning forest of its links, never all pairs.
+3. where sets of different components are under one shingle (of shingles with the same sets, one), their parity maps meet
+   in a task: a map says of each place in it whether an odd number of shingles has it, so that two maps differ in no more
+   places than the sets do in shingles. The task returns a spanning forest of the links that the maps allow, never all pairs;
+4. these links are checked by the whole sets. Only where one fails, all sets under its shingle meet and are compared.
 
 Shingles that are frequent in a sample aren't sent and come last; that and the choice by hash only decide the order.
 """
@@ -30,6 +32,7 @@ WIDTH = 5
 ALIKE = 4, 5  # similarity: at least this fraction
 ROW_BITS = 25  # of the map of rows whose sets are compared
 SENT = 3  # one shingle in so many is sent
+MAP_BITS = 6, 16  # a parity map has at least 2 ** 6 and at most 2 ** 16 places, else twice its set's size
 ROWS, CHARS = 2000, 4 << 20  # texts and characters of a chunk
 COMMON = 1 << 19  # shingles that are known to be common; others count as rare
 
@@ -139,10 +142,64 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {"token": token.view(np.int64), "node": nodes[at], "n": sizes[at]}
 
 
+def _parity(tokens: np.ndarray) -> bytes:
+    """The parity map of a set: of twice as many places as it has shingles, or up to four times."""
+    bits = 1 << max(MAP_BITS[0], min(MAP_BITS[1], (2 * len(tokens)).bit_length()))
+    return np.packbits(np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _allowed(nodes: np.ndarray, components: np.ndarray, n: np.ndarray, maps: list[bytes]) -> list[tuple[int, int]]:
+    """A spanning forest, over components, of the pairs that are alike as far as their maps tell."""
+    order = np.lexsort((nodes, n))
+    nodes, components, n, maps = nodes[order], components[order], n[order], [np.frombuffer(maps[i], np.uint64) for i in order]
+    ends = np.searchsorted(n, n * ALIKE[1] // ALIKE[0], "right")
+    width = np.fromiter(map(len, maps), np.int64, len(maps))  # ascends with n
+    edges = np.flatnonzero(np.diff(width, prepend=0))
+    own = {int(width[s]): (s, np.stack(maps[s:e])) for s, e in slices(edges, len(maps))}
+    half = {w // 2: (s, m[:, : w // 2] ^ m[:, w // 2 :]) for w, (s, m) in own.items() if w > 1}
+    _, label = np.unique(components, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    for i in range(len(nodes) - 1):
+        w = int(width[i])
+        found = []
+        for table in (own, half):  # alike sets have maps of one width, or of this and the next
+            if w in table:
+                start, rows = table[w]
+                low, high = max(i + 1, start), min(int(ends[i]), start + len(rows))
+                others = np.arange(low, high)
+                others = others[label[low:high] != label[i]]
+                far = np.bitwise_count(rows[others - start] ^ maps[i]).sum(axis=1, dtype=np.int64)
+                found += others[far * (ALIKE[1] + ALIKE[0]) <= (n[others] + n[i]) * (ALIKE[1] - ALIKE[0])].tolist()
+        for j in found:
+            if label[j] != label[i]:
+                out.append((int(nodes[i]), int(nodes[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Of the maps under one key, links between different components, with the key's shingle."""
+    for _, rows in _by_key(batches):
+        token, node, component, n, maps = zip(*rows, strict=True)
+        found = _allowed(np.array(node), np.array(component), np.array(n), list(maps))
+        yield {"token": [token[0]] * len(found), "a": [x for x, _ in found], "b": [x for _, x in found]}
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same * ALIKE[1] >= ALIKE[0] * (len(x) + len(y) - same)
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        sets = zip(*[b.column(i).to_pylist() for i in (2, 3)], strict=True)
+        yield {"a": b.column(0), "b": b.column(1), "holds": [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets]}
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Of the sets under one key, links between different components that connect what all their links connect."""
     for _, rows in _by_key(batches):
-        found = _forest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.frombuffer(r[2], "<u4") for r in rows])
+        found = _forest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows])
         yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
 
 
@@ -152,7 +209,7 @@ def _forest(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray]) -
     nodes, components, n, sets = nodes[order], components[order], n[order], [sets[i] for i in order]
     ends = np.searchsorted(n, n * ALIKE[1] // ALIKE[0], "right")
     bits = 1 << max(6, min(13, 2 * int(n.max())).bit_length())
-    marks = np.stack([np.packbits(np.bincount((s & np.uint32(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint64) for s in sets])
+    marks = np.stack([np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint64) for s in sets])
     _, label = np.unique(components, return_inverse=True)
     out: list[tuple[int, int]] = []
     for i in range(len(nodes) - 1):
@@ -162,8 +219,7 @@ def _forest(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray]) -
         others = others[far * (ALIKE[1] + ALIKE[0]) <= (n[others] + n[i]) * (ALIKE[1] - ALIKE[0])]
         for j in others.tolist():
             if label[j] != label[i]:
-                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if same * ALIKE[1] >= ALIKE[0] * (n[i] + n[j] - same):
+                if _alike(sets[i], sets[j]):
                     out.append((int(nodes[i]), int(nodes[j])))
                     label[label == label[j]] = label[i]
     return out
@@ -175,8 +231,8 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
     Classes connect what SimHash links of up to ``threshold`` bits and links of similarity 4/5 or more connect. Texts without
     a word are one set, which links to no other; null texts are such. Very long texts are read whole. Repeated rows stay, ids
     keep their type and may be null or repeated. Other columns are not read. An empty table gives an empty table. Sets are
-    told apart by 64-bit hashes and compared by 32-bit hashes of their shingles. More than ``crowd`` sets under one shingle
-    are dealt to blocks, each two of which meet in a task of their own.
+    told apart, and compared, by 64-bit hashes. More than ``crowd`` sets under one shingle are dealt to blocks, each two of
+    which meet in a task of their own.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
@@ -206,9 +262,11 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
                         if node[-1] not in seen and len(tokens):
                             seen.add(node[-1])
                             sets.append((node[-1], tokens))
-                    nothing = {c: [None] * len(node) for c in ("base", "bucket", "tokens", "at", "levels", "nodes", "more")}
+                    nothing = {c: [None] * len(node) for c in ("base", "bucket", "tokens", "at", "levels", "nodes", "more", "map")}
                     yield {"doc_id": ids[done:at], "row": rows[done:at], "node": node, "fp": np.array(fps, np.uint64).view(np.int64), "n": size} | nothing
                     if sets:
+                        maps = {c: [None] * len(sets) for c in ("doc_id", "row", "node", "fp", "tokens", "at", "levels", "nodes", "more")}
+                        yield maps | {"n": [len(t) for _, t in sets], "base": [x for x, _ in sets], "bucket": [-2] * len(sets), "map": [_parity(t) for _, t in sets]}
                         yield from messages(sets, parts[done] << 36 | count, known, many)
                     count += at - done
                     if len(seen) > 500_000:
@@ -228,7 +286,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
         rest = rest[np.lexsort((token[rest], often[rest], at[rest]))]
         rest = rest[np.arange(len(rest)) - np.searchsorted(at[rest], at[rest], "left") < lack[at[rest]]]
         own = {"base": base, "bucket": -1, "tokens": sizes.astype(np.uint64).tobytes(), "at": at[rest].astype("<u2").tobytes(), "levels": sent.astype(np.int64).tobytes(), "nodes": np.array([x for x, _ in sets], np.int64).tobytes(), "more": token[rest].tobytes()}
-        nothing = {c: [None] for c in ("doc_id", "row", "node", "fp", "n")}
+        nothing = {c: [None] for c in ("doc_id", "row", "node", "fp", "n", "map")}
         yield nothing | {c: [x] for c, x in own.items()}
         token, at = token[goes], at[goes]
         bucket = (token % np.uint64(buckets)).astype(np.int64)
@@ -236,13 +294,15 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
         used, starts = np.unique(bucket[order], return_index=True)
         cuts, n = slices(starts, len(order)), len(used)
         token, at = token[order], at[order].astype("<u2")
-        yield {c: [None] * n for c in ("doc_id", "row", "node", "fp", "n", "levels", "nodes", "more")} | {"base": [base] * n, "bucket": used, "tokens": [token[s:e].tobytes() for s, e in cuts], "at": [at[s:e].tobytes() for s, e in cuts]}
+        yield {c: [None] * n for c in ("doc_id", "row", "node", "fp", "n", "levels", "nodes", "more", "map")} | {"base": [base] * n, "bucket": used, "tokens": [token[s:e].tobytes() for s, e in cuts], "at": [at[s:e].tobytes() for s, e in cuts]}
 
     rows = docs.select("doc_id", "text", "row", F.spark_partition_id().alias("part"))
-    out = materialise(arrow_map(rows, sketch, f"doc_id {kind}, row long, node long, fp long, n long, base long, bucket long, tokens binary, at binary, levels binary, nodes binary, more binary"), "sketches")
+    out = materialise(arrow_map(rows, sketch, f"doc_id {kind}, row long, node long, fp long, n long, base long, bucket long, tokens binary, at binary, levels binary, nodes binary, more binary, map binary"), "sketches")
     sketches = materialise(out.filter("node is not null").select("doc_id", "row", "node", "fp", "n"), "texts")
 
-    parts = max(2, min(buckets, 2000))
+    maps = materialise(out.filter("bucket = -2").select(F.col("base").alias("node"), "n", "map").dropDuplicates(["node"]), "maps")
+
+    parts = max(2, buckets)
     sent = out.filter("bucket >= 0").select("bucket", "base", "tokens", "at").repartition(parts, "bucket").sortWithinPartitions("bucket")
     told = arrow_map(sent, _tell, "base long, tokens binary, at binary, levels binary, nodes binary").withColumn("more", F.lit(None).cast("binary"))
     chunks = out.filter("bucket = -1").select("base", "tokens", "at", "levels", "nodes", "more")
@@ -264,20 +324,47 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
     open_ = known.groupBy("token").agg(*alike_sets, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     open_ = open_.groupBy("many", "x", "y").agg(F.min("token").alias("token")).select("token", "many")  # shingles with the same sets: one of them
     members = materialise(known.join(open_.hint("merge"), "token").select("token", "many", "node", "component"), "members")
-    drop(spark, [path_of(shared), path_of(known)])
-    wanted = members.select("node").distinct()
-    whole = _sets(docs, first.join(wanted.hint("merge"), "node", "left_semi"))
-    k = F.ceil(F.col("many") / crowd)
-    block = F.pmod(F.xxhash64("node"), k)
-    tasks = F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.xxhash64("token", F.least(x, block), F.greatest(x, block)))  # each two blocks
-    dealt = members.select(F.explode(tasks).alias("key"), "node", "component").join(whole.hint("merge"), "node").select("key", "node", "component", "tokens")
-    alike = materialise(arrow_map(dealt.repartition("key").sortWithinPartitions("key"), _meet, "a long, b long").distinct(), "links")
-    drop(spark, [path_of(members), path_of(whole)])
-    if not alike.isEmpty():
-        joined = components(near.union(alike))
+
+    def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows under keys for tasks: one for each shingle, or for each two of its blocks."""
+        k = F.ceil(F.col("many") / crowd)
+        block = F.pmod(F.xxhash64("node"), k)
+        tasks = F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.xxhash64("token", F.least(x, block), F.greatest(x, block)))
+        return rows.select(F.explode(tasks).alias("key"), *columns).repartition("key").sortWithinPartitions("key")
+
+    with_maps = members.join(maps.hint("merge"), "node")
+    proposed = materialise(arrow_map(dealt(with_maps, "token", "node", "component", "n", "map"), _propose, "token long, a long, b long"), "proposed-links")
+    checked = _checked(docs, first, proposed.select("a", "b").distinct())
+    drop(spark, [path_of(shared), path_of(known), path_of(maps)])
+    good = checked.filter("holds").select("a", "b")
+    failed = proposed.join(checked.filter("not holds").hint("merge"), ["a", "b"], "left_semi").select("token").distinct()
+    if not good.isEmpty():
+        near = materialise(near.union(good), "all-links")
+        joined = components(near)
+    if not failed.isEmpty():  # under these shingles, what the failed links stood for is still to be found
+        left = members.select("token", "many", "node").join(failed.hint("merge"), "token", "left_semi").join(joined.hint("merge"), "node", "left").select("token", "many", "node", F.coalesce("component", "node").alias("component"))
+        open_ = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+        left = materialise(left.join(open_.hint("merge"), "token", "left_semi"), "members-left")
+        whole = _sets(docs, first.join(left.select("node").distinct().hint("merge"), "node", "left_semi"))
+        alike = materialise(arrow_map(dealt(left.join(whole.hint("merge"), "node"), "node", "component", "tokens"), _meet, "a long, b long").distinct(), "links")
+        drop(spark, [path_of(left), path_of(whole)])
+        if not alike.isEmpty():
+            joined = components(near.union(alike))
+    drop(spark, [path_of(members), path_of(proposed), path_of(checked)])
     return sketches.join(joined.hint("merge"), "node", "left").select("doc_id", "row", "node", F.coalesce("component", "node").alias("component"))
 
 
+def _checked(docs: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with whether their whole sets are alike."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    whole = _sets(docs, first.join(nodes.hint("merge"), "node", "left_semi"))
+    side = lambda c: whole.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "a_tokens", "b_tokens")
+    checked = materialise(arrow_map(both, _check, "a long, b long, holds boolean"), "checked-links")
+    drop(docs.sparkSession, [path_of(whole)])
+    return checked
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, tokens): sets of the wanted rows (node, row), read again. A map of a bounded number of bits says which texts may be wanted."""
     rows = wanted.select(F.shiftrightunsigned("row", 64 - ROW_BITS).alias("bit"))
@@ -295,7 +382,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             chosen = np.array([i for i in chosen.tolist() if not (row[i] in seen or seen.add(row[i]))], np.int64)
             for i in range(0, len(chosen), 500):
                 found = [shingles(t, hashes) for t in texts(b.take(pa.array(chosen[i : i + 500])))]
-                yield {"node": [_identity(t) for t in found], "tokens": [np.unique((t >> np.uint64(32)).astype("<u4")).tobytes() for t in found]}
+                yield {"node": [_identity(t) for t in found], "tokens": [t.tobytes() for t in found]}
 
     whole = arrow_map(docs.select("row", "text"), read, "node long, tokens binary").join(wanted.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
     return materialise(whole, "sets")
