@@ -159,3 +159,13 @@ def test_stages_clear_only_what_the_one_before_wrote(spark, folder, tmp_path):
         results = {p: stage(spark, d, p) for p, d in docs.items()}
         docs = {p: corpus_pipeline.materialise(r, "t") for p, r in results.items()}
     assert all(d.count() for d in docs.values())
+
+
+def test_columns_of_any_name_come_back(spark, folder):
+    """Columns with the names that stages use for themselves keep their values."""
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({"_lang": F.lit("mine"), "_SCORE": F.lit("own"), "_row": F.lit(7), "__row": F.col("doc_id")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, path), "t")
+        got = docs.collect()
+        assert got and all((r._lang, r._SCORE, r._row, r["__row"]) == ("mine", "own", 7, r.doc_id) for r in got)
