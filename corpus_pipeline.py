@@ -15,13 +15,24 @@ from wharfline.llm.shared import collecting, drop, materialise
 MIN_SCORE = 0.5  # of the predicted language
 
 
+def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as keep it apart from the columns of ``docs``, whatever their case."""
+    taken = {c.lower() for c in docs.columns}
+    return tuple(next(n for i in range(len(taken) + 1) if (n := "_" * (i + 1) + name) not in taken) for name in names)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language is doubtful, go. Without any label to learn from, all stay."""
+    """Documents without a letter, null and empty texts among them, and those whose language is doubtful, go; texts are read whole.
+
+    Without any label to learn from, all stay. Repeated rows are judged each by itself. Other columns stay, whatever their
+    names; an empty table gives an empty one.
+    """
     model = langid.train(docs)
     if not model.langs:
         return docs
-    known = langid.identify(docs, model, out=("_lang", "_score"))
-    return known.filter((F.col("_lang") != "und") & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = _free(docs, "lang", "score")
+    known = langid.identify(docs, model, out=(lang, score))
+    return known.filter((F.col(lang) != "und") & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +40,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near-duplicates are texts linked by SimHash, or by a similarity of their five-word shingles of 0.8 or more.
 
-    Of different texts under that id the one with the smallest hash stays. Rows without an id stay.
+    Of different texts under that id the one with the smallest hash stays. Rows without an id stay. Texts without a word are
+    alike; texts are read whole. Other columns stay, whatever their names; an empty table gives an empty one.
     """
     found = jaccard.classes(docs).filter("doc_id is not null").groupBy("component", "doc_id", "row").count()
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row", "count")).alias("first"))
-    first = materialise(first.select(F.col("first.row").alias("_row"), "first.count"), "first-documents")
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    kept = marked.join(first.select("_row").hint("merge"), "_row", "left_semi")  # rows grow with the corpus: never broadcast
+    (row,) = _free(docs, "row")
+    first = materialise(first.select(F.col("first.row").alias(row), "first.count"), "first-documents")
+    marked = docs.withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    kept = marked.join(first.select(row).hint("merge"), row, "left_semi")  # rows grow with the corpus: never broadcast
     if not first.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])
+        kept = kept.dropDuplicates([row])
     return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages that an earlier document has go, and the characters they are part of; documents left empty by that go, too.
 
-    Rows without an id stay as they are; so do texts in which nothing repeats, whatever their characters.
+    Rows without an id stay as they are; so do texts in which nothing repeats, empty ones among them, whatever their
+    characters. Texts are read whole. Other columns stay, whatever their names; an empty table gives an empty one.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     found = suffix.find_repeats(docs.filter("doc_id is not null"), carry=others, whole_characters=True).filter("n_removed < n_bytes or n_bytes = 0")
@@ -54,11 +68,16 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a benchmark item go, whatever their id: they are found by a hash of their text. Null texts hold none."""
-    marked = docs.withColumn("_row", F.xxhash64("text"))
-    found = decontam.find(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row").select("doc_id").distinct()
-    found = materialise(found.select(F.col("doc_id").alias("_row")), "leaks")
-    return marked.join(found, "_row", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go, whatever their id: they are found by a hash of their text. Null and empty texts hold none.
+
+    Texts are read whole. Repeated rows go or stay together. Other columns stay, whatever their names; an empty table gives
+    an empty one.
+    """
+    (row,) = _free(docs, "row")
+    marked = docs.withColumn(row, F.xxhash64("text"))
+    found = decontam.find(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=row).select("doc_id").distinct()
+    found = materialise(found.select(F.col("doc_id").alias(row)), "leaks")
+    return marked.join(found, row, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
