@@ -206,3 +206,17 @@ def test_duplicate_issues_are_the_second_calls(spark):
     got = {(r.rule_id, r.call_id, r.record_reference, r.status) for r in quality.duplicate_calls(scored).collect()}
     assert got == {("DQ-001", 2, "call:2", "RESOLVED"), ("DQ-001", 3, "call:3", "RESOLVED"), ("DQ-002", 4, "call:4", "OPEN")}
     assert quality.duplicate_calls(scored).count() == 3
+
+
+def test_merges_by_keys_need_no_pairs(spark):
+    """Groups by links equal those of all scored pairs; a hot key gives links in proportion."""
+    rng = random.Random(5)
+    for _ in range(5):
+        rows = [(i, f"NAME {i % 3}", rng.choice([None, " ", "V1", "V2", "V3", f"V{i}"]), rng.choice([None, "", "I1", "I2", "I3"]), "t", "f", None, 1.0, None, rng.random() < 0.1) for i in range(30)]
+        calls = spark.createDataFrame(rows, "call_id long, vessel_name string, vcn string, imo string, vessel_type string, flag string, loa double, grt double, teu int, is_merged boolean")
+        live = calls.filter("not is_merged")
+        pairs = identity._pairs(live, "vcn").union(identity._pairs(live, "imo")).distinct()
+        want = {tuple(r) for r in identity.merge_groups(identity.score_pairs(pairs, live)).collect()}
+        assert {tuple(r) for r in identity.merge_groups_by_key(calls).collect()} == want
+    hot = spark.range(2000).select(F.col("id").alias("call_id"), F.lit("V").alias("vcn"), F.lit(None).cast("string").alias("imo"), F.lit(False).alias("is_merged"))
+    assert identity.key_links(hot).count() == 1999

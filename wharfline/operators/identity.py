@@ -207,6 +207,30 @@ def merge_groups(scored: DataFrame) -> DataFrame:
     return connected(scored.filter("disposition = 'AUTO_MERGE'").select("a", "b")).select(F.col("node").alias("call_id"), "leader")
 
 
+def key_links(calls: DataFrame) -> DataFrame:
+    """ID-12 without pairs: (a, b) links of unmerged calls that connect what all AUTO_MERGE pairs of calls with a common VCN or IMO connect.
+
+    Such a pair merges unless both have the other key and differ in it. So under a VCN all calls of one IMO merge, and if a
+    call without IMO is there, all of them through it; and the other way round. Each call has at most four links, however
+    many calls share its keys.
+    """
+    rows = calls.filter("not coalesce(is_merged, false)").select("call_id", *[F.when(~is_blank(k), F.col(k)).alias(k) for k in ("vcn", "imo")])
+    out = None
+    for key, other in (("vcn", "imo"), ("imo", "vcn")):
+        held = rows.filter(F.col(key).isNotNull())
+        centres = held.groupBy(key, other).agg(F.min("call_id").alias("b"))
+        stars = held.withColumnsRenamed({"call_id": "a", other: "_o"}).join(centres, (F.col("_o").eqNullSafe(F.col(other))) & (held[key] == centres[key])).select("a", "b")
+        open_ = centres.filter(F.col(other).isNull()).select(key, F.col("b").alias("a"))
+        for one in (stars, open_.join(centres.select(key, "b"), key).select("a", "b")):
+            out = one if out is None else out.union(one)
+    return out.filter("a <> b")
+
+
+def merge_groups_by_key(calls: DataFrame) -> DataFrame:
+    """ID-12: (call_id, leader) as ``merge_groups`` gives for the scored pairs of all calls with a common VCN or IMO; no pair is made."""
+    return connected(key_links(calls)).select(F.col("node").alias("call_id"), "leader")
+
+
 def unmerge(groups: DataFrame, taken_back: DataFrame) -> DataFrame:
     """ID-11: the groups (call_id, survivor_id) without the merges that decisions took back (call_id): these calls stand alone again.
 

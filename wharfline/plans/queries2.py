@@ -548,7 +548,7 @@ def identity_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("identity_population", f"with {_SQL_PARTY}, pr as (select distinct y.call_id as b from party x join party y on x.call_id < y.call_id and (x.vcn = y.vcn or x.imo = y.imo) and not coalesce(x.vcn <> y.vcn, false) and not coalesce(x.imo <> y.imo, false)) select count(*) as n_total, (select count(*) from pr) as n_merged, count(*) - (select count(*) from pr) as n_consolidated from party")
 def identity_population(spark: SparkSession, d: str) -> DataFrame:
     rows = _party(spark, d)
-    groups = identity.merge_groups(_scored_keys(spark, d))
+    groups = identity.merge_groups_by_key(rows)
     chosen = identity.survivors(groups, rows, ["vcn", "imo", "vessel_type", "flag", "grt"])
     return identity.population(identity.apply_merges(rows, chosen))
 

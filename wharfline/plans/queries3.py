@@ -126,5 +126,5 @@ def journey_versions(spark: SparkSession, d: str) -> DataFrame:
 @query("consolidated_calls", f"with {_SQL_PARTY}, pr as (select x.call_id as a, y.call_id as b from party x join party y on x.call_id < y.call_id and (x.vcn = y.vcn or x.imo = y.imo) and not coalesce(x.vcn <> y.vcn, false) and not coalesce(x.imo <> y.imo, false)), m as (select distinct a, b from pr) select a as survivor_id, cast(2 as bigint) as n_members, greatest(x.grt, y.grt) as grt, x.vessel_type from m join party x on x.call_id = a join party y on y.call_id = b")
 def consolidated_calls(spark: SparkSession, d: str) -> DataFrame:
     rows = _party(spark, d)
-    groups = identity.survivors(identity.merge_groups(_scored_keys(spark, d)), rows, ["vcn", "imo", "vessel_type", "flag", "grt"])
+    groups = identity.survivors(identity.merge_groups_by_key(_party(spark, d)), rows, ["vcn", "imo", "vessel_type", "flag", "grt"])
     return identity.consolidate(groups, rows, ["grt"], ["vessel_type"]).select("survivor_id", "n_members", "grt", "vessel_type")

@@ -215,7 +215,7 @@ _MERGED = f"{_SQL_PARTY}, pr as (select x.call_id as a, y.call_id as b from part
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    return identity.survivors(identity.merge_groups(_scored_keys(spark, d)), _party(spark, d), ["vcn", "imo", "vessel_type", "flag", "grt"])
+    return identity.survivors(identity.merge_groups_by_key(_party(spark, d)), _party(spark, d), ["vcn", "imo", "vessel_type", "flag", "grt"])
 
 
 @query("unmerged_population", f"with {_MERGED} select count(*) as n_total, (select count(*) from mg where b % 4 <> 3) as n_merged, count(*) - (select count(*) from mg where b % 4 <> 3) as n_consolidated from party")

@@ -125,9 +125,10 @@ def validate_staging(staging: DataFrame, datetimes: Sequence[str], zone: str = "
     errors = F.array_compact(F.array(*[F.when(bad(c), F.lit(c)) for c in datetimes])) if datetimes else F.array().cast("array<string>")
     print_ = F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("values")))).cast("binary"), 256)
     rows = staging.withColumns({"errors": errors, "fingerprint": print_}).withColumn("_bad", F.size("errors") > 0)
-    seen = F.row_number().over(Window.partitionBy("target", "fingerprint", "_bad").orderBy("file", "sheet", "row_number"))
-    status = F.when(F.col("_bad"), "INVALID").when(F.col("_seen") > 1, "DUPLICATE").otherwise("VALID")
-    return rows.withColumn("_seen", seen).withColumn("validation_status", status).drop("_bad", "_seen")
+    place = F.struct("file", "sheet", "row_number")
+    again = rows.filter("not _bad").groupBy("target", "fingerprint").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")  # of rows that occur once, nothing is joined
+    status = F.when(F.col("_bad"), "INVALID").when(F.col("_first") < place, "DUPLICATE").otherwise("VALID")
+    return rows.join(again, ["target", "fingerprint"], "left").withColumn("validation_status", status).select(*staging.columns, "errors", "fingerprint", "validation_status")
 
 
 def file_status(files: DataFrame, validated: DataFrame) -> DataFrame:
