@@ -9,7 +9,7 @@ from ..operators import alerts, canonical, dashboard, delays, events, identity,
 from ..sources.tables import bound
 from . import registry
 from .queries import _CALLS, _CARGO, _EVENTS, _POINTS, _STAGES, _TIMINGS, _events, _points, _stages, _timings, _values, query
-from .queries2 import _DB, _DELAYS, _ISSUES, _KPI, _PAIRS, _SQL_PARTY, _batches, _delays, _issues, _kpis, _party, _scored_keys
+from .queries2 import _DB, _DELAYS, _ISSUES, _KPI, _PAIRS, _SQL_PARTY, _batches, _delays, _issues, _kpis, _party
 
 
 @query("corrected_events", f"with {_EVENTS}, c as (select * from events where event_name = 'ATA' and verification_status = 'Conflicting') select event_name, count(*) as n, count(*) filter (s) as n_superseded, max(i) as max_index from (select event_name, is_superseded or event_id in (select event_id from c) as s, occurrence_index as i from events union all select event_name, false, occurrence_index + 1000 from c) group by event_name")
