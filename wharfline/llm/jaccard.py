@@ -33,7 +33,7 @@ ALIKE = 4, 5  # similarity: at least this fraction
 ROW_BITS = 25  # of the map of rows whose sets are compared
 SENT = 3  # one shingle in so many is sent
 MAP_BITS = 6, 16  # a parity map has at least 2 ** 6 and at most 2 ** 16 places, else twice its set's size
-ROWS, CHARS = 2000, 4 << 20  # texts and characters of a chunk
+ROWS, CHARS = 2000, 2 << 20  # texts and characters of a chunk
 COMMON = 1 << 19  # shingles that are known to be common; others count as rare
 
 
@@ -41,7 +41,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word, 42)
         return out

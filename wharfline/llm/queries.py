@@ -167,4 +167,16 @@ ORACLE: dict[str, str] = {
         m as (select *, 'http-status: 200' || {_CRLF} || 'http-content-type: text/html; charset=utf-8' || {_CRLF} || 'http-content-length: ' || strlen(body) || {_CRLF} || 'source-payload-digest: ' || pd || {_CRLF} || 'source-block-digest: sha256:' || sha256(block) || {_CRLF} || 'title: ' || title || {_CRLF} || 'payload-length: ' || strlen(body) || {_CRLF} || 'text-length: ' || strlen(txt) || {_CRLF} as meta from r),
         d as (select page_id, 'metadata' as record_type, rid, uri, 'application/warc-fields' as content_type, meta as block from m union all select page_id, 'conversion', rid, uri, 'text/plain', txt from m)
         select page_id, record_type, {_uuid_sql(f"record_type || {_LF} || rid")} as record_id, rid as refers_to, uri as target_uri, '1970-01-01T00:00:00Z' as date, content_type, 'sha256:' || sha256(block) as block_digest, cast(strlen(block) as bigint) as content_length from d""",
+    "op13_phrases": r"""
+        with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+        p as (select lang, unnest(string_split_regex(t, '[.,;:!?\n\x0b\x0c\r]')) as piece from t), w as (select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as w from p),
+        words as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang), g as (select lang, size, w, unnest(range(1, len(w) - size + 2)) as i from w, (values (1), (2), (3)) as sizes(size) where len(w) >= size),
+        f as (select lang, size, array_to_string(w[i : i + size - 1], ' ') as phrase, count(*) as f from g group by all having count(*) >= 10),
+        c as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from f where size > 1), cuts as (select *, array_to_string(w[1 : k], ' ') as lp, array_to_string(w[k + 1 :], ' ') as rp from c, (values (1), (2)) as ks(k) where k < size),
+        s as (select x.lang, x.phrase, x.a, k, l.f as l, r.f as r, cast(1000000 as hugeint) * x.a * x.a // (cast(l.f as hugeint) * r.f) as score from cuts x join f l on l.lang = x.lang and l.phrase = x.lp join f r on r.lang = x.lang and r.phrase = x.rp),
+        least as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+        longer as (select lang, phrase, max(a) as a from (select lang, array_to_string(w[1 : 2], ' ') as phrase, a from c where size = 3 union all select lang, array_to_string(w[2 : 3], ' '), a from c where size = 3) group by lang, phrase),
+        kept as (select x.* from least x left join longer y using (lang, phrase) where y.a is null or 100 * y.a < 50 * x.a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from ranked join words using (lang) where rank <= 2000""",
 }
