@@ -80,6 +80,21 @@ def test_one_change_rewrites_one_bucket(spark, tmp_path):
         store.rebuild(spark, path, derive, changed, changed=changed, buckets=8)
 
 
+def test_vacuum_keeps_what_newer_versions_share(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    source = spark.range(50).select(F.col("id").alias("call_id"))
+    derive = lambda rows: rows.withColumn("x", F.lit(1))
+    store.rebuild(spark, path, derive, source, buckets=4)
+    for i in range(3):
+        last, touched = store.rebuild(spark, path, derive, source, changed=source.filter(f"call_id = {i}"), buckets=4)
+    before = store.versions(spark, path)
+    gone = store.vacuum(spark, path, keep=2)
+    assert [v.number for v in store.versions(spark, path)] == [3, 4] and len(gone) >= 1
+    assert not set(gone) & {f for v in before[2:] for f in v.parts.values()}
+    assert store.read(spark, store.current(spark, path)).count() == 50 and store.read(spark, before[2]).count() == 50
+    assert store.vacuum(spark, path, keep=2) == [] and store.rebuild(spark, path, derive, source, changed=source.limit(1), buckets=4)[0].number == 5
+
+
 def test_upserts_repeat_without_effect(spark, tmp_path):
     path, keys = f"{tmp_path}/issues", ["rule_id", "record_reference"]
     rows = spark.createDataFrame([("A", f"r{i}", "OPEN") for i in range(9)] + [("B", None, "OPEN")] * 2, "rule_id string, record_reference string, status string")

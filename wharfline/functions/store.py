@@ -215,3 +215,22 @@ def history(spark: SparkSession, path: str) -> DataFrame | None:
     """All runs of a history, or none if nothing was stored."""
     base = current(spark, path)
     return None if base is None else read(spark, base)
+
+
+def vacuum(spark: SparkSession, path: str, *, keep: int = 2) -> list[str]:
+    """Forget all but the newest ``keep`` versions and delete the folders that only they had; the folders deleted.
+
+    Folders of writers that haven't published yet stay. A reader of a forgotten version may fail: keep as many as readers last.
+    """
+    if keep < 1:
+        raise ValueError("the newest version is always kept")
+    every = versions(spark, path)
+    old, kept = every[:-keep], {folder for v in every[-keep:] for folder in v.parts.values()}
+    gone = sorted({folder for v in old for folder in v.parts.values()} - kept)
+    for v in old:
+        fs, file = _fs(spark, f"{path}/versions/{v.number:012}.json")
+        fs.delete(file, False)
+    for folder in gone:
+        fs, place = _fs(spark, folder)
+        fs.delete(place, True)
+    return gone
