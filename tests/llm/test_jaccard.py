@@ -43,8 +43,7 @@ def texts_of(rng):
     return [" ".join(t) for t in out] + [" ".join(say(3000)), None, "", "one", "one", "One  two", " \t"]
 
 
-@pytest.mark.parametrize("crowd", [2048, 7])
-@pytest.mark.parametrize("threshold", [4, 0])
+@pytest.mark.parametrize(("crowd", "threshold"), [(2048, 4), (7, 0)])
 def test_classes_equal_all_pairs(spark, crowd, threshold, monkeypatch):
     rng = random.Random(crowd + threshold)
     texts = texts_of(rng)
