@@ -13,6 +13,7 @@ from wharfline.llm.queries import tokenizer_path
 from wharfline.llm.shared import collecting, drop, materialise
 
 MIN_SCORE = 0.5  # of the predicted language
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)  # a task holds its batch several times, in the JVM and in Python
 
 
 def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
@@ -92,9 +93,12 @@ def _clearing(name: str, stage, before: str = ""):  # noqa: ANN001, ANN202
     """The stage, which first deletes the intermediate tables that the stage before wrote for the same folder.
 
     By then that stage's result has been written, as STAGES demand. Tables of other folders and stages are left alone.
+    Arrow batches are bounded by BATCH from then on, for the whole session, unless it has a bound of its own: results are lazy.
     """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if BATCH[0] not in spark.conf.getAll:
+            spark.conf.set(*BATCH)
         run = spark.sparkContext.applicationId, sf_dir
         drop(spark, _written.pop((*run, before), []))
         with collecting(_written.setdefault((*run, name), [])):

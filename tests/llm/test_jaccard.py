@@ -101,3 +101,29 @@ def test_links_whatever_bits_differ(spark):
     assert got == {frozenset(p) for p in near}
     opposite = [(0,), (-1,), (0x00000000FFFFFFFF,), (-0x100000000,)]
     assert simhash.links(spark.createDataFrame(opposite, "fp long"), threshold=4).count() == 0
+
+
+def test_counting_a_bucket_takes_a_few_times_its_size():
+    """Which shingles of a bucket others have, and how many, in little more memory than the bucket's own."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    own = [np.unique(rng.integers(0, 1 << 62, 4000, dtype=np.uint64)) for _ in range(200)]
+    own[7][:3000] = own[5][:3000]
+    own[9] = own[9][:0]
+    own[11][:100] = own[5][:100]
+    places = [np.arange(len(t)).astype("<u2") for t in own]
+    batch = pa.RecordBatch.from_pydict({"bucket": [0] * 200, "base": list(range(200)), "tokens": [t.tobytes() for t in own], "at": [p.tobytes() for p in places]})
+    tracemalloc.start()
+    (found,) = list(jaccard._tell(iter([batch])))
+    size = sum(10 * len(t) for t in own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {5: [1] * 3000, 7: [1] * 3000, 11: [1] * 100}  # logarithms of two and of three
+    assert found["base"] == sorted(want)
+    for base, tokens, at, levels in zip(found["base"], found["tokens"], found["at"], found["levels"], strict=True):
+        assert np.array_equal(np.frombuffer(tokens, np.uint64), own[base][: len(want[base])])
+        assert np.frombuffer(at, "<u2").tolist() == list(range(len(want[base]))) and np.frombuffer(levels, np.uint8).tolist() == want[base]
+    assert peak < 5 * size, peak / size

@@ -537,3 +537,17 @@ def test_lm_counts_see_every_word(spark):
     df = spark.createDataFrame([*enumerate(texts), (5000, texts[0])], "doc_id long, text string")
     got = {r.doc_id: r.loss_background for r in lmscore.score(df, df.limit(0), listed=100).collect()}
     assert got[0] == got[5000] < min(v for i, v in got.items() if i not in (0, 5000))
+
+
+def test_packing_keeps_no_words_after_a_task(spark, documents):
+    """A Python worker goes on to other stages; the words that a task has met don't stay in it."""
+    from wharfline.llm.queries import tokenizer_path
+
+    packing.pack(documents[1], tokenizer_path()).count()
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(e.words) for e in packing._encoders.values()], pa.int64())})
+
+    found = [r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()]
+    assert found and not any(found)

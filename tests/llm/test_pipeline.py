@@ -169,3 +169,25 @@ def test_columns_of_any_name_come_back(spark, folder):
         docs = corpus_pipeline.materialise(stage(spark, docs, path), "t")
         got = docs.collect()
         assert got and all((r._lang, r._SCORE, r._row, r["__row"]) == ("mine", "own", 7, r.doc_id) for r in got)
+
+
+def test_batches_of_python_workers_are_bounded(spark, folder):
+    """Whatever the length of the texts; a bound that the session has of its own stays."""
+    path, *_ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    key = corpus_pipeline.BATCH[0]
+    spark.conf.unset(key)
+    corpus_pipeline.STAGES[0][1](spark, docs, path)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"n": [b.nbytes for b in batches]})
+
+    long = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    found = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 30_000_000 and max(found) < 9_000_000
+    spark.conf.set(key, "1m")
+    corpus_pipeline.STAGES[0][1](spark, docs, path)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)

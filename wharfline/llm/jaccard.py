@@ -34,6 +34,7 @@ ROW_BITS = 25  # of the map of rows whose sets are compared
 SENT = 3  # one shingle in so many is sent
 MAP_BITS = 6, 16  # a parity map has at least 2 ** 6 and at most 2 ** 16 places, else twice its set's size
 ROWS, CHARS = 2000, 2 << 20  # texts and characters of a chunk
+TOLD = 16  # parts of a bucket, by hash, that are counted one after the other
 COMMON = 1 << 19  # shingles that are known to be common; others count as rare
 
 
@@ -112,13 +113,17 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """To each chunk: those of its shingles that others have, too, with the logarithm of how many."""
     for _, rows in _by_key(batches):
-        chunk, own = [r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows]
-        token, at = np.concatenate(own), np.concatenate([np.frombuffer(r[2], "<u2") for r in rows])
-        message = np.repeat(np.arange(len(rows)), list(map(len, own)))
-        _, where, many = np.unique(token, return_inverse=True, return_counts=True)
-        keep = np.flatnonzero(many[where] > 1)
-        level = np.log2(many[where[keep]]).astype(np.uint8)
-        used, starts = np.unique(message[keep], return_index=True)
+        chunk, ends = [r[0] for r in rows], np.cumsum([len(r[1]) // 8 for r in rows])
+        token, at = np.frombuffer(b"".join([r[1] for r in rows]), np.uint64), np.frombuffer(b"".join([r[2] for r in rows]), "<u2")
+        rows.clear()
+        many = np.zeros(len(token), np.int32)
+        for part in range(TOLD):
+            own = np.flatnonzero((token >> np.uint64(32)) % np.uint64(TOLD) == part)
+            _, where, often = np.unique(token[own], return_inverse=True, return_counts=True)
+            many[own] = often[where]
+        keep = np.flatnonzero(many > 1)
+        level = np.log2(many[keep]).astype(np.uint8)
+        used, starts = np.unique(np.searchsorted(ends, keep, "right"), return_index=True)
         cuts = slices(starts, len(keep))
         token, at = token[keep], at[keep]
         yield {"base": [chunk[u] for u in used], "tokens": [token[s:e].tobytes() for s, e in cuts], "at": [at[s:e].tobytes() for s, e in cuts], "levels": [level[s:e].tobytes() for s, e in cuts], "nodes": [None] * len(used)}

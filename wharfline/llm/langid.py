@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, bounded_sample, texts
+from .shared import arrow_map, bounded_sample, release, texts
 
 MAX_GRAM = 5
 CACHE = 150_000  # words that a Python worker remembers
@@ -146,6 +146,7 @@ def identify(docs: DataFrame, model: Backoff, *, text: str = "text", out: tuple[
                 found = [known.value.predict(t) for t in texts(part, text)]
                 part = part.append_column(out[0], _array([f[0] for f in found], "string"))
                 yield part.append_column(out[1], _array([f[1] for f in found], "float64"))
+        release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, `{out[0]}` string, `{out[1]}` double")

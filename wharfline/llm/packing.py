@@ -13,6 +13,7 @@ queues, however many sources there are, and every source keeps its share, a smal
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from .shared import arrow_map, csr_take, ints, materialise
 
 SMALL = 256  # a source due less than this fraction of a window is served by whole documents
 CYCLE = 1024  # windows in a cycle at most
-WORDS = 1_000_000  # words that a Python worker remembers
+WORDS = 200_000  # words that a task remembers
 
 _odd_space = re.compile("[\x1c-\x1f]").search
 _beyond_latin = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
@@ -56,6 +57,9 @@ class WholeEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
 
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -149,11 +153,12 @@ def _apart(mark: re.Match) -> str:
     return " " + mark[0]
 
 
-_encoders: dict[str, WordEncoder | WholeEncoder] = {}  # one for each Python worker
+_encoders: dict[str, WordEncoder | WholeEncoder] = {}  # one for each Python worker; its words go with the task
 
 
 def _encoder(path: str) -> WordEncoder | WholeEncoder:
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread; others would keep memory of their own
         _encoders[path] = (WordEncoder if goes_by_words(path) else WholeEncoder)(path)
     return _encoders[path]
 
@@ -338,6 +343,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
                 part = columns[3][i]
                 yield {"part": [part] * len(n), "row": (part << 36) + np.arange(at, at + len(n)), "doc_id": columns[0][i : i + 200], "source": columns[2][i : i + 200], "before": so_far, "n": n, "ids": ids}
                 at += len(n)
+        encoder.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     tokens = materialise(arrow_map(rows.withColumn("part", F.spark_partition_id()), tokenise, f"part int, row long, doc_id {kind}, source string, before long, n long, ids binary"), "tokens")

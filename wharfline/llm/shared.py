@@ -79,12 +79,21 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = None
         for columns in rows(batches):
             yield pa.RecordBatch.from_pydict(columns, schema=arrow)
+        del columns
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """At the end of a task: gives what it has freed back to the system, as the Python worker may go on with another stage's tasks."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
