@@ -127,3 +127,18 @@ def test_counting_a_bucket_takes_a_few_times_its_size():
         assert np.array_equal(np.frombuffer(tokens, np.uint64), own[base][: len(want[base])])
         assert np.frombuffer(at, "<u2").tolist() == list(range(len(want[base]))) and np.frombuffer(levels, np.uint8).tolist() == want[base]
     assert peak < 5 * size, peak / size
+
+
+def test_whole_sets_meet_in_passes(spark, monkeypatch):
+    """However few whole sets may meet at once, the classes are the same."""
+    texts = texts_of(random.Random(7))[-77:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, write = [], jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda table, name: written.append(name) or write(table, name))
+    found = []
+    for most in (1 << 30, 40_000):
+        written.clear()
+        rows = jaccard.classes(df, threshold=0, pass_bytes=most).collect()
+        found.append((written.count("links"), {r.doc_id: r.component for r in rows}))
+    (one, whole), (several, parts) = found
+    assert one == 1 and several > 1 and whole == parts and len(whole) == len(texts)

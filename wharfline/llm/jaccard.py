@@ -16,6 +16,7 @@ Shingles that are frequent in a sample aren't sent and come last; that and the c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,14 +231,15 @@ def _forest(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray]) -
     return out
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = 1 << 13, threshold: int = 4, bucket_bytes: int = 16 << 20, crowd: int = 2048) -> DataFrame:
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = 1 << 13, threshold: int = 4, bucket_bytes: int = 16 << 20, crowd: int = 2048, pass_bytes: int | None = None) -> DataFrame:
     """(doc_id, row, node, component): for each row its id, the hash of id and text, of its set, and the class of that set.
 
     Classes connect what SimHash links of up to ``threshold`` bits and links of similarity 4/5 or more connect. Texts without
     a word are one set, which links to no other; null texts are such. Very long texts are read whole. Repeated rows stay, ids
     keep their type and may be null or repeated. Other columns are not read. An empty table gives an empty table. Sets are
     told apart, and compared, by 64-bit hashes. More than ``crowd`` sets under one shingle are dealt to blocks, each two of
-    which meet in a task of their own.
+    which meet in a task of their own. Whole sets meet in passes of about ``pass_bytes`` (None: half the bytes of all texts),
+    by shingle, so that no more of them are on disk at once.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
@@ -351,7 +353,13 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample:
         open_ = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
         left = materialise(left.join(open_.hint("merge"), "token", "left_semi"), "members-left")
         whole = _sets(docs, first.join(left.select("node").distinct().hint("merge"), "node", "left_semi"))
-        alike = materialise(arrow_map(dealt(left.join(whole.hint("merge"), "node"), "node", "component", "tokens"), _meet, "a long, b long").distinct(), "links")
+        sizes = whole.select("node", F.octet_length("tokens").alias("bytes"))
+        sent = left.join(sizes.hint("merge"), "node").agg(F.sum(F.col("bytes") * F.ceil(F.col("many") / crowd))).first()[0] or 0
+        passes = max(1, math.ceil(sent / (pass_bytes or max(bucket_bytes, total // 2))))
+        alike = near.limit(0)
+        for i in range(passes):
+            some = left.filter(F.pmod(F.xxhash64("token"), F.lit(passes)) == i).join(whole.hint("merge"), "node")
+            alike = alike.union(materialise(arrow_map(dealt(some, "node", "component", "tokens"), _meet, "a long, b long").distinct(), "links"))
         drop(spark, [path_of(left), path_of(whole)])
         if not alike.isEmpty():
             joined = components(near.union(alike))
