@@ -362,6 +362,51 @@ def test_words_encode_like_whole_texts():
     assert packing.goes_by_words(public_tokenizers.path("word_bpe_49k.json")) and not packing.goes_by_words(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_added_tokens_count_in_their_own_case_only():
+    """Texts are put in lower case; that must not make an added token of what is none."""
+    from wharfline.llm.queries import tokenizer_path
+
+    encoder = packing.WordEncoder(tokenizer_path())
+    for x in ["<|ENDOFTEXT|> A", "Hi<|StartOfText|>x", "b <|endoftext|>, C", "Straße!! ÉTÉ's a*b 5'S A1b2c."]:
+        assert encoder.encode([x])[0].tolist() == encoder.tokenizer.encode(x, add_special_tokens=False).ids, x
+
+
+def test_words_of_small_letters_need_no_normalizer():
+    """They go to the model alone, each once; the whole tokenizer costs twice as much a word."""
+    from wharfline.llm.queries import tokenizer_path
+
+    encoder = packing.WordEncoder(tokenizer_path())
+    text, whole, seen = "Gruß an été, naïve words; a b.", encoder.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **options):
+            seen.extend(text.split())
+            return whole.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    for _ in range(2):
+        assert encoder.encode([text, ""])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert seen and len(seen) == len(set(seen)) and not any(map(str.isalpha, seen))
+
+
+def test_packing_of_long_texts(spark):
+    """Texts that end one chunk and begin another, nulls between them: each once, whole."""
+    from wharfline.llm.queries import tokenizer_path
+
+    tokenizer = packing.WordEncoder(tokenizer_path()).tokenizer
+    texts = ["Some words of it. " * (packing.CHUNK // 30), None, "und noch eins, " * (packing.CHUNK // 12), "", "x", "the\x1cend " * 1000, "last one " * (packing.CHUNK // 20)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
+    got = collections.defaultdict(list)
+    for r in packing.pack(df, tokenizer_path(), keep_ids=True).collect():
+        got[r.doc_id].append((r.start, r.ids))
+    for i, t in enumerate(texts):
+        assert b"".join(x for _, x in sorted(got[i])) == np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes(), i
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), v) for i, v in enumerate(rng.integers(-60, 60, (400, 8)).tolist())]

@@ -12,6 +12,7 @@ queues, however many sources there are, and every source keeps its share, a smal
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -21,32 +22,44 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, csr_take, ints, materialise
+from .shared import arrow_map, csr_take, ints, materialise, slices
 
 SMALL = 256  # a source due less than this fraction of a window is served by whole documents
 CYCLE = 1024  # windows in a cycle at most
-WORDS = 200_000  # words that a task remembers
+WORDS = 400_000  # words that a task remembers
+LEARN = 1 << 16  # words encoded at once
+CHUNK = 2 << 20  # bytes of text encoded at once, and what the last text has beyond that
 
-_odd_space = re.compile("[\x1c-\x1f]").search
-_beyond_latin = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
-_mark_after_letter = re.compile(r"[.,;:](?<=[a-zà-öø-ÿ].)(?=[ \n])").sub
-
-
-# The normalizer and the split of the tokenizers that WordEncoder takes word by word.
+# The normalizer, the split and the spelling of bytes of the tokenizers that WordEncoder takes word by word.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+LETTERS = "a-zß-öø-ÿ"  # small Latin letters, each a single character in every normal form C
+ODD_SPACE = "[\x1c-\x1f]"  # white space for Python and Arrow only
+BEYOND_LATIN = "[^\x00-\x7fÀ-ÖØ-öø-ÿ]"
+AFTER_LETTER = f"([{LETTERS}])([!-&(-@\\[-`{{-~])"  # what always begins a new part; an apostrophe may go on with letters
 
 
 def goes_by_words(path: str) -> bool:
     """Whether the tokenizer drops white space, knows no case and marks word ends, so that words can be encoded by themselves."""
     with open(path, encoding="utf-8") as f:
         stated = json.load(f)
-    first = ((stated.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    first, *more = (stated.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     split = (first.get("pattern") or {}).get("Regex") == SPLIT and first.get("behavior") == "Removed" and first.get("invert") is True
-    return split and (stated.get("normalizer") or {}).get("normalizers") == NORMALIZERS and stated["model"].get("end_of_word_suffix") == "</w>"
+    split = split and [{k: m.get(k) for k in BYTES} for m in more] == [BYTES]
+    added = all(re.fullmatch(r"<\S+>", t["content"]) for t in stated.get("added_tokens") or [])  # never part of a run of letters
+    return split and added and (stated.get("normalizer") or {}).get("normalizers") == NORMALIZERS and stated["model"].get("end_of_word_suffix") == "</w>"
+
+
+def _column(texts: pa.Array | list[str]) -> pa.Array:
+    """The texts with wide offsets; null counts as empty."""
+    column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    return column.fill_null("")
 
 
 class WholeEncoder:
@@ -60,8 +73,8 @@ class WholeEncoder:
     def forget(self) -> None:
         """Nothing is remembered."""
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(_column(texts).to_pylist(), add_special_tokens=False)]
 
 
 class WordEncoder:
@@ -71,86 +84,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = str.maketrans({c: spell(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()})
+        added = [f"(?i:{re.escape(t.content)})" for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.as_it_is = "|".join([BEYOND_LATIN, *added])
         self.forget()
 
     def forget(self) -> None:
-        self.words = _Numbers()
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _store(self, at: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
-        end = self.used + len(ids)
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[self.used : end] = ids
-        self.lengths[at] = lengths
-        self.starts[at] = self.used + np.cumsum(lengths) - lengths
-        self.used = end
-
-    def _learn(self) -> None:
-        """Encode the words that got numbers since the last time: runs of letters together, told apart by their word ends, others one by one."""
-        words, self.words.new = self.words.new, []
-        first = len(self.words) - len(words)
-        while len(self.words) > len(self.lengths):
-            self.lengths, self.starts = np.concatenate([self.lengths, self.lengths]), np.concatenate([self.starts, self.starts])
-        plain = [(first + i, w) for i, w in enumerate(words) if w.isalpha()]
-        other = [(first + i, w) for i, w in enumerate(words) if not w.isalpha()]
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join([w for _, w in some]), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                self._store([n for n, _ in some], ids, np.diff(cuts, prepend=0))
-            else:
-                other += some
-        if other:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False)]
-            self._store([n for n, _ in other], np.array([i for f in found for i in f], np.uint32), np.array(list(map(len, found)), np.int64))
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """Words at white space. Plain Latin text is put in lower case, as the tokenizer would, and a mark after a letter stands alone, as it would be split there."""
-        if not _beyond_latin(text):
-            text = _mark_after_letter(_apart, text.lower())
-        return text.split()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.words = pa.array([], pa.large_string())
+        self.lengths = self.starts = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, words: pa.Array) -> None:
+        """Encode new words: those of small Latin letters by the model alone, as nothing else changes them, others by the whole tokenizer."""
+        plain = pc.match_substring_regex(words, f"^[{LETTERS}]+$")
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(w if w.isascii() else w.translate(self.spelling))] for w in words.filter(plain).to_pylist()]
+        found += [e.ids for e in self.tokenizer.encode_batch_fast(words.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
+        order = np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable")
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        lengths, starts = np.empty_like(n), np.empty_like(n)
+        lengths[order], starts[order] = n, len(self.ids) + np.cumsum(n) - n
+        self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum()))])
+
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """Words at white space. Plain Latin text is put in lower case, as the tokenizer would, and split where letters end; text that an added token may be in is not."""
+        lower = pc.replace_substring_regex(pc.utf8_lower(texts), AFTER_LETTER, r"\1 \2")
+        return pc.utf8_split_whitespace(pc.if_else(pc.match_substring_regex(texts, self.as_it_is), texts, lower))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        if not len(texts):
+            return []
         if len(self.words) > WORDS:
             self.forget()
-        number = self.words.__getitem__
-        found: list[np.ndarray | None] = []
-        for text in texts:
-            if _odd_space(text):  # white space for Python only
-                found.append(None)
-                continue
-            words = self._split(text)
-            found.append(np.fromiter(map(number, words), dtype=np.int64, count=len(words)))
-        if self.words.new:
-            self._learn()
-        whole = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return [whole(text) if at is None else self.ids[csr_take(self.starts[at], self.lengths[at])] for text, at in zip(texts, found, strict=True)]
-
-
-class _Numbers(dict):
-    """Numbers words as they are looked up; ``new``: those not yet encoded."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        n = self[word] = len(self)
-        return n
-
-
-def _apart(mark: re.Match) -> str:
-    return " " + mark[0]
+        column = _column(texts)
+        odd = pc.match_substring_regex(column, ODD_SPACE)
+        split = self._split(pc.if_else(odd, "", column))
+        found = pa.chunked_array([self.words, split.values]).dictionary_encode()  # words known are numbered first, as before
+        found = found.chunk(found.num_chunks - 1)
+        known, self.words = len(self.words), found.dictionary
+        for i in range(known, len(self.words), LEARN):
+            self._learn(self.words.slice(i, LEARN))
+        numbers = found.indices.to_numpy()
+        lengths = self.lengths[numbers]
+        ids = self.ids[csr_take(self.starts[numbers], lengths)]
+        cuts = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy()]
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 _encoders: dict[str, WordEncoder | WholeEncoder] = {}  # one for each Python worker; its words go with the task
@@ -331,17 +315,18 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         encoder, before, part, at = _encoder(tokenizer), {}, 0, 0
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            for i in range(0, b.num_rows, 200):
+            text, sources, parts = b.column(1), b.column(2).to_pylist(), ints(b, "part")
+            size = np.asarray(pc.binary_length(text).fill_null(0), dtype=np.int64)
+            for i, j in slices(np.flatnonzero(np.diff((np.cumsum(size) - size) // CHUNK, prepend=-1)), b.num_rows):
                 so_far, n, ids = [], [], []
-                for found, s in zip(encoder.encode([own or "" for own in columns[1][i : i + 200]]), columns[2][i : i + 200], strict=True):
+                for found, s in zip(encoder.encode(text.slice(i, j - i)), sources[i:j], strict=True):
                     found = np.append(found, np.uint32(end))
                     so_far.append(before.get(s, 0))
                     before[s] = so_far[-1] + len(found)
                     n.append(len(found))
                     ids.append(found.astype("<u2" if found.max() < 1 << 16 else "<u4").tobytes())
-                part = columns[3][i]
-                yield {"part": [part] * len(n), "row": (part << 36) + np.arange(at, at + len(n)), "doc_id": columns[0][i : i + 200], "source": columns[2][i : i + 200], "before": so_far, "n": n, "ids": ids}
+                part = int(parts[i])
+                yield {"part": [part] * len(n), "row": (part << 36) + np.arange(at, at + len(n)), "doc_id": b.column(0).slice(i, j - i), "source": sources[i:j], "before": so_far, "n": n, "ids": ids}
                 at += len(n)
         encoder.forget()
 
