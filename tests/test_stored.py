@@ -2,11 +2,13 @@
 
 import random
 import threading
+import time
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from wharfline.functions import names as name_functions
 from wharfline.functions import store
 from wharfline.operators import canonical, dashboard, identity, leadtime, quality, reconcile
 
@@ -185,6 +187,42 @@ def test_few_names_reach_the_ratio(spark):
         assert alike and alike <= met and len(met) < most * len(own) * (len(own) - 1) / 2
 
 
+@pytest.mark.parametrize("letters, longest, tile", [("AB", 6, 7), ("ABCDEFGHIJ 0123456789", 20, 1024), ("AEIORSTL", 64, 50), ("ABC", 90, 16), ("ÄÖ漢字AB", 12, 5)])
+def test_names_compared_in_tiles_equal_every_pair(monkeypatch, letters, longest, tile):
+    """Lengths up to a word of the machine and beyond it, repeated characters, one side and two, tiles of a few names."""
+    monkeypatch.setattr(name_functions, "TILE", tile)
+    rng = random.Random(longest)
+    names = {"".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(60)}
+    for n in sorted(names)[:40]:
+        at = rng.randrange(len(n))
+        names.add(n[:at] + rng.choice(letters) + n[at + rng.randint(0, 2) :])
+    own = sorted(names)
+    rng.shuffle(own)
+    for least in (0.7, 0.9):
+        alike = lambda xs, ys: {(p, q) for x in xs for y in ys for p, q in [sorted((x, y))] if p < q and round(SequenceMatcher(None, p, q).ratio(), 4) >= least}  # noqa: E731, B023
+        for got, want in ((name_functions.alike_names(own, None, least), alike(own, own)), (name_functions.alike_names(own[:30], own[30:], least), alike(own[:30], own[30:]))):
+            got = list(got)
+            assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_blocks_of_names_meet_once(spark):
+    names = [f"{a}{b}" for a in ("AURORA", "BOREAS", "CASTOR") for b in range(30)]
+    want = {(p, q) for p in names for q in names if p < q and round(SequenceMatcher(None, p, q).ratio(), 4) >= 0.8}
+    got = identity.alike_pairs(spark.createDataFrame([(n,) for n in names], "norm string"), 0.8, block=20).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_many_names_of_one_length(spark):
+    """20,000 names of 18 random characters, of which 5,000 are another one's with one replaced: nearly all share parts with nearly all."""
+    name = F.upper(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 18))
+    rows = spark.range(15_000).select((F.col("id") * 2).alias("call_id"), name.alias("vessel_name"))
+    again = spark.range(0, 15_000, 3).select(F.col("id") * 2 + 1, F.concat(F.substring(name, 1, 7), F.lit("-"), F.substring(name, 9, 10)))
+    calls = rows.union(again).withColumns({"vcn": F.lit(None).cast("string"), "imo": F.lit(None).cast("string"), "is_merged": F.lit(False)})
+    start = time.monotonic()
+    assert {tuple(r) for r in identity.candidate_pairs(calls).collect()} == {(2 * i, 2 * i + 1) for i in range(0, 15_000, 3)}
+    assert time.monotonic() - start < 120  # seconds; over 200 by meeting under shared parts
+
+
 def test_copies_have_one_representative(spark):
     rows = [(3, "a", None), (1, "a", None), (2, "a", 5), (4, None, None), (9, None, None)]
     df = spark.createDataFrame(rows, "call_id long, name string, n int")

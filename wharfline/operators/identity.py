@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
-from ..functions.names import is_blank, matching_ratio, normalise_name
+from ..functions.lineage import cut, saved
+from ..functions.names import alike_names, is_blank, matching_ratio, normalise_name
 
 #: Weights of the attributes and limits of the score.
 WEIGHTS = {"name": 0.40, "vcn": 0.25, "imo": 0.20, "type": 0.05, "flag": 0.05, "dimensions": 0.05}
@@ -87,17 +88,37 @@ def representatives(calls: DataFrame, fields: Sequence[str]) -> DataFrame:
     return keyed.join(least, [keyed["_h"] == least["_h"], *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in fields]]).select("call_id", "representative")
 
 
+def alike_pairs(names: DataFrame, least: float, *, block: int = 32_768, side: int = 24) -> DataFrame:
+    """(p, q): of distinct names ``norm`` those p < q with a matching ratio of ``least`` or more.
+
+    Every name is compared with every other: at a ratio of 0.7 nearly all names of a common length share the parts that alike ones
+    must share, so meeting under such parts makes more pairs, not fewer. Names are dealt to blocks of at most about ``block``, each
+    two of which meet in a task, read from where they were written; no pair is shuffled and a task holds two blocks.
+    """
+    many = names.count()
+    blocks = max(1, -(-many // block), min(side, many // 4096))
+    dealt = saved(names.groupBy(F.pmod(F.xxhash64("norm"), F.lit(blocks)).alias("i")).agg(F.collect_list("norm").alias("x"))).repartitionByRange(blocks, "i")
+    met = dealt.join(dealt.select(F.col("i").alias("j"), F.col("x").alias("y")).hint("shuffle_replicate_nl"), F.col("i") <= F.col("j"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, x, y in zip(*(batch.column(c) for c in ("i", "j", "x", "y")), strict=True):
+                found = list(alike_names(x.as_py(), None if i == j else y.as_py(), least))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["p", "q"])
+
+    return met.mapInArrow(compare, "p string, q string")
+
+
 def candidate_pairs(calls: DataFrame, *, least: float = CANDIDATE, default: str = "UNKNOWN") -> DataFrame:
     """ID-03: (a, b) of unmerged calls that share VCN or IMO, or whose names are alike; no pair is left out.
 
-    Blank names and the ``default`` name are like none. Names are compared once for each two normal forms that ``_alike_keys``
-    brings together; then the calls of like names are joined. All pairs can be many: ``name_classes`` gives their classes.
+    Blank names and the ``default`` name are like none. Normal forms are compared once for each two (``alike_pairs``); then
+    the calls of like names are joined. All pairs can be many: ``name_classes`` gives their classes.
     """
     rows = calls.filter("not coalesce(is_merged, false)")
     named = _named(calls, default)
-    keys = _alike_keys(named.select("norm").distinct(), least)
-    like = name_pairs(keys, least).filter(matching_ratio("p", "q") >= least)
-    names = named.select("norm").distinct()
+    names = saved(named.select("norm").distinct())
+    like = saved(alike_pairs(names, least))
     alike = like.unionByName(like.select(F.col("q").alias("p"), F.col("p").alias("q"))).unionByName(names.select(F.col("norm").alias("p"), F.col("norm").alias("q")))
     by_name = named.select(F.col("call_id").alias("a"), F.col("norm").alias("p")).join(alike, "p").join(named.select(F.col("call_id").alias("b"), F.col("norm").alias("q")), "q").filter("a < b").select("a", "b")
     return by_name.union(_pairs(rows, "vcn")).union(_pairs(rows, "imo")).distinct()
