@@ -82,3 +82,17 @@ def test_file_manifests(spark, tmp_path):
     sums = {n: hashlib.sha256(c).hexdigest() for n, c in texts.items()}
     assert {(r.file.rsplit("/", 1)[1], r.checksum, r.n_bytes) for r in rows} == {(n, sums[n], 3) for n in texts}
     assert {r.group_checksum for r in rows} == {hashlib.sha256("".join(sorted(sums.values())).encode()).hexdigest()}
+
+
+def test_manifest_of_a_file_over_two_gigabytes(spark, tmp_path):
+    """No array holds such a file; one of holes takes no disk. A folder stands for its files, but for hidden ones."""
+    (tmp_path / "parts").mkdir()
+    for name in ("one", "two", "_SUCCESS"):
+        (tmp_path / "parts" / name).write_text(name)
+    with open(tmp_path / "large file", "wb") as f:
+        f.truncate(2**31 + 5)
+    rows = landing.file_manifest(spark, [str(tmp_path / "large file"), str(tmp_path / "parts")])
+    with open(tmp_path / "large file", "rb") as f:
+        sums = {"large file": hashlib.file_digest(f, "sha256").hexdigest(), **{n: hashlib.sha256(n.encode()).hexdigest() for n in ("one", "two")}}
+    assert {(r.file.rsplit("/", 1)[1], r.checksum, r.n_bytes) for r in rows.collect()} == {(n, s, 2**31 + 5 if " " in n else 3) for n, s in sums.items()}
+    assert {r.group_checksum for r in rows.collect()} == {hashlib.sha256("".join(sorted(sums.values())).encode()).hexdigest()}
