@@ -37,6 +37,55 @@ def test_messy_sheet(spark):
     assert landing.missing_columns(cells(spark, GRID, "Calls"), aliases, {"Calls": ["VCN", "ATA"]}).first().missing == ["ATA"]
 
 
+def test_cells_of_random_sheets(spark):
+    """Against one row after the other: rows without known columns go, so do single values below a gap; equal values of a column once, others numbered."""
+    rng = random.Random(8)
+    head = ["VCN", "Name", "Vessel name", "Note", "note", "ETA"]
+    column = {0: "VCN", 1: "Vessel_Name", 2: "Vessel_Name", 3: "Note", 4: "note__duplicate_2", 5: "ETA"}
+    rows, want = [], {}
+    for f in range(12):
+        rows += [(f"{f}.xlsx", "Sheet1", 1, c, v) for c, v in enumerate(head)]
+        last = None
+        for r in range(2 + f % 2, 40):
+            width = rng.choice([0, 0, 1, 1, 2, 4, 7])
+            own = {c: rng.choice(["a", "b", "c", " "]) for c in sorted(rng.sample(range(7), width))}
+            rows += [(f"{f}.xlsx", "Sheet1", r, c, v) for c, v in own.items()]
+            own = {c: v for c, v in own.items() if v != " " and c in column}
+            if not own:
+                continue
+            gap, last = last is not None and r - last > 1, r
+            if set(own) <= {3, 4} or (len(own) == 1 and gap):
+                continue
+            values = {}
+            for c, v in own.items():
+                values.setdefault(column[c], [])
+                if v not in values[column[c]]:
+                    values[column[c]].append(v)
+            want[f"{f}.xlsx", r] = {k if i == 1 else f"{k}__source_{i}": v for k, vs in values.items() for i, v in enumerate(vs, 1)}
+    c = spark.createDataFrame(rows, "file string, sheet string, row_number int, column_number int, value string")
+    aliases = spark.createDataFrame(ALIASES, "target string, token string, column string")
+    headers = landing.detect_headers(c, aliases, {"Calls": ["VCN", "Vessel_Name"]})
+    raw = landing.raw_cells(c, headers, landing.name_columns(c, headers), aliases)
+    staged = landing.normalise_rows(raw)
+    assert {(r.file, r.row_number): r["values"] for r in staged.collect()} == want and len(want) < 12 * 38
+    first, status = {}, {}
+    for (file, r), values in sorted(want.items()):
+        status[file, r] = "DUPLICATE" if first.setdefault(tuple(sorted(values.items())), (file, r)) != (file, r) else "VALID"
+    assert {(r.file, r.row_number): r.validation_status for r in landing.validate_staging(staged, []).collect()} == status and "DUPLICATE" in status.values()
+
+
+def test_cells_are_dealt_to_their_rows_once(spark):
+    """Headers, names of columns and rows that go are few and broadcast; of rows that occur once only hashes are dealt again."""
+    rows = spark.range(2, 2000).select(F.lit("f.xlsx").alias("file"), F.lit("Sheet1").alias("sheet"), F.col("id").cast("int").alias("row_number"), F.posexplode(F.array(F.concat(F.lit("V"), "id"), F.concat(F.lit("Ship "), "id"))).alias("column_number", "value"))
+    c = cells(spark, [["VCN", "Vessel name"]]).unionByName(rows)
+    aliases = spark.createDataFrame(ALIASES, "target string, token string, column string")
+    headers = landing.detect_headers(c, aliases, {"Calls": ["VCN", "Vessel_Name"]})
+    raw = landing.raw_cells(c, headers, landing.name_columns(c, headers), aliases)
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    staged = landing.normalise_rows(raw)
+    assert (dealt(raw), dealt(staged), dealt(landing.validate_staging(staged, ["ETA"]))) == (0, 1, 0) and staged.count() == 1998
+
+
 def test_repeated_headers(spark):
     c = cells(spark, [["VCN", "Name", "name", "ETA"]])
     headers = spark.createDataFrame([("f.xlsx", "Sheet1", 1, "Calls")], "file string, sheet string, header_row int, target string")

@@ -114,7 +114,7 @@ def delay_category(source: Column, reason: Column) -> Column:
 
 
 def reconcile_delays(delays: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """CAN-08, CAN-09: recalculated hours, mismatch with the stated ones, the duration taken, flags, category, default allocation."""
+    """CAN-08, CAN-09: recalculated hours, mismatch with the stated ones, the duration taken, flags, category, default allocation; ``attributes`` as they came, if there are any."""
     again = hours_between("scheduled", "served", 4)
     hours = F.coalesce("stated_hours", again, F.lit(0.0))
     mismatch = F.coalesce(F.round(F.abs(again - F.col("stated_hours")), 6) > tolerance, F.lit(False))
@@ -124,6 +124,7 @@ def reconcile_delays(delays: DataFrame, tolerance: float = 0.02) -> DataFrame:
         "call_id", "delay_id", leg(F.col("movement")).alias("leg"), "reason", "source_category", "cause_status", "stated_hours", again.alias("recalculated_hours"), hours.alias("hours"), mismatch.alias("is_mismatch"),
         (hours < 0).alias("is_early"), ((hours > 0) & (is_blank("reason") | is_blank("source_category"))).alias("needs_review"), delay_category(F.col("source_category"), F.col("reason")).alias("category"),
         F.when(confirmed, "CONFIRMED").otherwise("INFERRED").alias("allocation"), F.when(level == "high", 1.0).when(level == "medium", 0.7).otherwise(0.5).alias("allocation_confidence"),
+        *[c for c in ("attributes",) if c in delays.columns],
     )
 
 

@@ -256,8 +256,7 @@ _KEYWORDS = "case when lower(coalesce(why, '')) like '%wind%' then 'Weather' whe
 @query("delays_from_cells", f"with {_DELAY_ROWS} select delay_id, call_id, movement as leg, again as recalculated_hours, hours, coalesce(round(abs(again - stated), 6) > 0.02, false) as is_mismatch, hours < 0 as is_early, hours > 0 and (why is null or cat is null) as needs_review, {_KEYWORDS} as category, case when cause = 'Confirmed' then 'CONFIRMED' else 'INFERRED' end as allocation, case confidence when 'High' then 1.0 when 'Medium' then 0.7 else 0.5 end as allocation_confidence, remark from dh")
 def delays_from_cells(spark: SparkSession, d: str) -> DataFrame:
     """CAN-06, CAN-08, CAN-09: from the cells of workbooks to reconciled delays, with what the sheet says besides."""
-    rows = canonical.delays(_staged_delays(spark, d), _known_calls(spark, d))
-    found = delays.reconcile_delays(rows).join(rows.select("delay_id", F.try_element_at("attributes", F.lit("Remark")).alias("remark")), "delay_id")
+    found = delays.reconcile_delays(canonical.delays(_staged_delays(spark, d), _known_calls(spark, d))).withColumn("remark", F.try_element_at("attributes", F.lit("Remark")))
     return found.select("delay_id", "call_id", "leg", "recalculated_hours", "hours", "is_mismatch", "is_early", "needs_review", "category", "allocation", "allocation_confidence", "remark")
 
 

@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import saved, small
 from ..functions.names import header_token, is_blank
 from ..functions.time import parse_local
 
@@ -58,7 +59,7 @@ def detect_headers(cells: DataFrame, aliases: DataFrame, required: Mapping[str,
     own_name = bound.join(counts.select(F.col("target").alias("sheet"), F.lit(True).alias("_reserved")), "sheet", "left").filter("_reserved is null or _named")
     best = own_name.withColumn("_max", F.max("score").over(sheet)).filter("score = _max")
     tied = best.withColumns({"_n": F.row_number().over(sheet.orderBy("row_number")), "_targets": F.size(F.collect_set("target").over(sheet))})
-    return tied.filter("_n = 1 and _targets = 1").select("file", "sheet", F.col("row_number").alias("header_row"), "target", "score")
+    return small(tied.filter("_n = 1 and _targets = 1").select("file", "sheet", F.col("row_number").alias("header_row"), "target", "score"))  # joined with all cells
 
 
 def missing_columns(cells: DataFrame, aliases: DataFrame, required: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -91,14 +92,16 @@ def raw_cells(cells: DataFrame, headers: DataFrame, columns: DataFrame, aliases:
     Rows go that are blank, that have no value in a known column, and footnotes: single values below a blank row.
     """
     below = cells.join(headers.select("file", "sheet", "header_row"), ["file", "sheet"]).filter("row_number > header_row").drop("header_row")
-    tokens = columns.withColumn("token", header_token("unique_header")).join(aliases, ["target", "token"], "left").select("file", "sheet", "target", "column_number", F.col("unique_header").alias("header"), "column")
-    placed = below.join(tokens, ["file", "sheet", "column_number"])
-    filled = placed.filter(~is_blank("value"))
-    rows = filled.groupBy("file", "sheet", "row_number").agg(F.count("*").alias("n"), F.count("column").alias("n_known"))
-    before = F.lag("row_number").over(Window.partitionBy("file", "sheet").orderBy("row_number"))
-    first = F.min("row_number").over(Window.partitionBy("file", "sheet"))
-    kept = rows.withColumns({"_gap": F.col("row_number") - F.coalesce(before, first - 1) > 1}).filter("n_known > 0 and not (n = 1 and _gap)")
-    return filled.join(kept.select("file", "sheet", "row_number"), ["file", "sheet", "row_number"]).select("file", "sheet", "target", "row_number", "column_number", "header", "column", "value")
+    tokens = small(columns.withColumn("token", header_token("unique_header")).join(aliases, ["target", "token"], "left").select("file", "sheet", "target", "column_number", F.col("unique_header").alias("header"), "column"))
+    filled = below.filter(~is_blank("value")).join(tokens, ["file", "sheet", "column_number"])
+    found, place = filled.select("file", "sheet", "target", "row_number", "column_number", "header", "column", "value"), ["file", "sheet", "row_number"]
+    odd = small(filled.groupBy(*place).agg(F.count("*").alias("n"), F.count("column").alias("n_known")).filter("n = 1 or n_known = 0"))  # cells aren't dealt to rows for the few that go
+    if odd.isEmpty():
+        return found
+    after = filled.select("file", "sheet", (F.col("row_number") + 1).alias("row_number")).join(odd, place, "left_semi").distinct()
+    first = filled.groupBy("file", "sheet").agg(F.min("row_number").alias("row_number"))
+    notes = odd.filter("n_known > 0").select(*place).join(after.unionByName(first), place, "left_anti")
+    return found.join(small(odd.filter("n_known = 0").select(*place).unionByName(notes)), place, "left_anti")
 
 
 def source_value(value: Column, is_datetime: Column) -> Column:
@@ -110,12 +113,15 @@ def source_value(value: Column, is_datetime: Column) -> Column:
 
 def normalise_rows(raw: DataFrame) -> DataFrame:
     """ING-07: (file, sheet, target, row_number, values): the first value of each column; others that differ as ``column__source_n``, from 2."""
-    named = raw.withColumn("name", F.coalesce("column", "header"))
-    cell = Window.partitionBy("file", "sheet", "row_number", "name")
-    one = named.withColumn("_n", F.row_number().over(Window.partitionBy("file", "sheet", "row_number", "name", "value").orderBy("column_number"))).filter("_n = 1")
-    placed = one.withColumn("_at", F.row_number().over(cell.orderBy("column_number")))
-    key = F.when(F.col("_at") == 1, F.col("name")).otherwise(F.concat("name", F.lit("__source_"), F.col("_at").cast("string")))
-    return placed.groupBy("file", "sheet", "target", "row_number").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "value")))).alias("values"))
+    cell = F.struct(F.coalesce("column", "header").alias("name"), "value", "column_number")
+    rows = raw.groupBy("file", "sheet", "target", "row_number").agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+    before = lambda c, i: F.get(F.col(c), i - 1)
+    one = F.filter("_c", lambda x, i: (i == 0) | ~(x["name"].eqNullSafe(before("_c", i)["name"]) & x["value"].eqNullSafe(before("_c", i)["value"])))
+    placed = rows.withColumn("_c", F.sort_array(F.transform(one, lambda x: F.struct(x["name"].alias("name"), x["column_number"].alias("column_number"), x["value"].alias("value")))))
+    nth = lambda x, i: i + 2 - F.array_position(F.transform("_c", lambda y: y["name"]), x["name"])
+    key = lambda x, i: F.when((i == 0) | ~x["name"].eqNullSafe(before("_c", i)["name"]), x["name"]).otherwise(F.concat(x["name"], F.lit("__source_"), nth(x, i).cast("string")))
+    entries = F.transform("_c", lambda x, i: F.struct(key(x, i).alias("key"), x["value"].alias("value")))
+    return placed.select("file", "sheet", "target", "row_number", F.map_from_entries(F.sort_array(entries)).alias("values"))
 
 
 def canonical_event_name(rows: DataFrame, dictionary: DataFrame, aliases: DataFrame, *, name: str = "name", movement: str = "movement") -> DataFrame:
@@ -139,9 +145,11 @@ def validate_staging(staging: DataFrame, datetimes: Sequence[str], zone: str = "
     bad = lambda c: ~is_blank(F.try_element_at("values", F.lit(c))) & parse_local(F.try_element_at("values", F.lit(c)), F.lit(zone)).isNull()
     errors = F.array_compact(F.array(*[F.when(bad(c), F.lit(c)) for c in datetimes])) if datetimes else F.array().cast("array<string>")
     print_ = F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("values")))).cast("binary"), 256)
-    rows = staging.withColumns({"errors": errors, "fingerprint": print_}).withColumn("_bad", F.size("errors") > 0)
+    rows = saved(staging).withColumns({"errors": errors, "fingerprint": print_}).withColumn("_bad", F.size("errors") > 0)
     place = F.struct("file", "sheet", "row_number")
-    again = rows.filter("not _bad").groupBy("target", "fingerprint").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")  # of rows that occur once, nothing is joined
+    good = rows.filter("not _bad").withColumn("_h", F.xxhash64("target", "fingerprint"))
+    maybe = small(good.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h"))  # of rows that occur once, only hashes are dealt
+    again = small(good.join(maybe, "_h", "left_semi").groupBy("target", "fingerprint").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
     status = F.when(F.col("_bad"), "INVALID").when(F.col("_first") < place, "DUPLICATE").otherwise("VALID")
     return rows.join(again, ["target", "fingerprint"], "left").withColumn("validation_status", status).select(*staging.columns, "errors", "fingerprint", "validation_status")
 
