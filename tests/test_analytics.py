@@ -159,3 +159,14 @@ def test_quality_rules(spark):
     assert parts == {1: ("FLAGGED", 85), 2: ("CLEAN", 100), 3: ("QUARANTINED", 40)}
     once = quality.merge_issues(broken, broken.limit(0))
     assert quality.merge_issues(broken, once).count() == once.count() == 1
+
+
+def test_service_issues_in_one_pass(spark):
+    """What two rules find apart: services without times, out of order, late with and without a reason, late twice in a call."""
+    at = lambda h: None if h is None else datetime(2026, 1, 1, h)
+    rows = [(1, "a", 1, 2, 3), (1, "b", 1, 2, 4), (2, "c", 1, 2, 3), (3, "d", None, 2, 2), (3, "e", 3, 2, None), (4, "f", 1, None, 5), (5, "g", None, None, None), (6, "h", 5, 2, 9), (None, "i", 1, 2, 3)]
+    services = spark.createDataFrame([(c, s, *map(at, hours)) for c, s, *hours in rows], "call_id long, service_id string, requested timestamp_ntz, scheduled timestamp_ntz, served timestamp_ntz")
+    reasons = spark.createDataFrame([(2, "fog"), (2, "wind"), (1, " "), (6, None)], "call_id long, reason string")
+    got = [tuple(r) for r in quality.service_issues(services, reasons).collect()]
+    want = [tuple(r) for r in quality.unexplained_lateness(services, reasons).unionByName(quality.service_times(services)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 10

@@ -115,6 +115,21 @@ def test_upserts_repeat_without_effect(spark, tmp_path):
     assert [r.status for r in store.read(spark, six).collect()] == ["NEW"]
 
 
+def test_upserts_deal_new_rows_by_their_keys_once(spark, tmp_path, monkeypatch):
+    """What meets stored rows is dealt by the keys once and for its bucket once more; a row's columns go along once, not as its order too."""
+    plans = []
+    write = store.write_buckets
+    monkeypatch.setattr(store, "write_buckets", lambda rows, *more: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(rows, *more))
+    rows = spark.range(500).select(F.concat(F.lit("A"), F.col("id") % 3).alias("rule_id"), F.concat(F.lit("r"), "id").alias("record_reference"), F.lit("OPEN").alias("status"))
+    store.upsert(spark, f"{tmp_path}/t", rows, ["rule_id", "record_reference"], merge=lambda stored, new: quality.merge_issues(new, stored))
+    assert plans[0].split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2 and "max_by" not in plans[0]
+    twice = spark.createDataFrame([(None, 1, "b", None), (None, 1, "a", 5), ("k", 2, None, 1), ("k", 1, "z", 9)], "k string, at int, x string, y int")
+    version, _ = store.upsert(spark, f"{tmp_path}/u", twice, ["k"], newest=[F.col("at")])
+    assert {tuple(r) for r in store.read(spark, version).select("k", "at", "x", "y").collect()} == {(None, 1, "b", None), ("k", 2, None, 1)}
+    version, _ = store.upsert(spark, f"{tmp_path}/v", twice.select("k"), ["k"])
+    assert sorted(store.read(spark, version).toPandas()["k"].tolist(), key=str) == [None, "k"]
+
+
 def test_runs_are_appended_once(spark, tmp_path):
     path = f"{tmp_path}/runs"
     assert store.history(spark, path) is None

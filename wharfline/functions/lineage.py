@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -68,6 +69,12 @@ def saved(df: DataFrame) -> DataFrame:
     return table
 
 
+def free(spark: SparkSession) -> None:
+    """What only plans that were written needed is garbage; collecting it lets Spark delete their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, few: int = FEW) -> DataFrame:
     """An aggregate, written and counted: to be broadcast in joins if it has no more than ``few`` rows, else left to Spark."""
     table = saved(df)

@@ -17,6 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import free
 
 PART = "_stored_bucket"
 
@@ -117,6 +118,7 @@ def write_buckets(rows: DataFrame, path: str, keys: Sequence[str], buckets: int)
     """Write rows dealt by their keys; (bucket, folder) of the buckets that have rows."""
     folder = new_folder(path)
     rows.withColumn(PART, bucket_of(keys, buckets)).repartition(F.col(PART)).write.partitionBy(PART).parquet(folder)
+    free(rows.sparkSession)
     fs, place = _fs(rows.sparkSession, folder)
     names = [s.getPath().getName() for s in fs.listStatus(place)]
     return {n.removeprefix(f"{PART}="): f"{folder}/{n}" for n in names if n.startswith(f"{PART}=")}
@@ -173,14 +175,15 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str],
     fall in, whole. Of new rows with equal keys the greatest by ``newest``, then by all columns, counts. The same rows once
     more change nothing.
     """
-    order = F.struct(*newest, *[F.col(c) for c in new.columns])
-    one = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), order).alias("_row")).select("_row.*")
+    first = [c.alias(f"_newest_{i}") for i, c in enumerate(newest)]
+    greatest = F.max(F.struct(*first, *[c for c in new.columns if c not in keys], F.lit(0).alias("_row")))
+    one = new.groupBy(*keys).agg(greatest.alias("_row")).select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in new.columns])  # dealt by its keys, as what it meets
     merge = merge or replacing(keys)
     for _ in range(tries):
         base = current(spark, path)
         if base is not None and (base.facts["buckets"], base.facts["keys"]) != (buckets, list(keys)):
             raise ValueError("the stored table has other keys or buckets")
-        touched = sorted(str(r.bucket) for r in one.select(bucket_of(keys, buckets).alias("bucket")).distinct().collect())  # numbers up to ``buckets``
+        touched = sorted(str(r.bucket) for r in new.select(bucket_of(keys, buckets).alias("bucket")).distinct().collect())  # numbers up to ``buckets``; equal keys share one
         if base is not None and not touched:
             return base, []
         stored = read(spark, base, touched) if base is not None else spark.createDataFrame([], one.schema)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import saved
 from ..functions.names import is_blank
 from .events import live
 
@@ -85,8 +86,11 @@ def event_issues(calls: DataFrame, events: DataFrame, edges: Sequence[tuple[str,
 
 def unexplained_lateness(services: DataFrame, delays: DataFrame) -> DataFrame:
     """DQ-007: calls with a late service and no delay that has a reason."""
-    late = services.filter("served > scheduled").select("call_id").distinct()
-    return _issues(late.join(delays.filter(~is_blank("reason")).select("call_id"), "call_id", "left_anti"), "DQ-007", _call_reference())
+    return _unexplained(services.filter("served > scheduled").select("call_id"), delays)
+
+
+def _unexplained(late: DataFrame, delays: DataFrame) -> DataFrame:
+    return _issues(late.distinct().join(delays.filter(~is_blank("reason")).select("call_id").distinct(), "call_id", "left_anti"), "DQ-007", _call_reference())
 
 
 def conflicting_arrivals(events: DataFrame, hours: float = 5.0) -> DataFrame:
@@ -99,15 +103,24 @@ def conflicting_arrivals(events: DataFrame, hours: float = 5.0) -> DataFrame:
 
 def service_times(services: DataFrame) -> DataFrame:
     """DQ-REQ, DQ-SCH, DQ-SRV, DQ-ORD: one missing or misordered time of each service; a missing schedule hides what follows it."""
-    found = F.array_compact(
-        F.array(
-            F.when(F.col("requested").isNull(), F.lit("DQ-REQUESTED-MISSING")),
-            F.when(F.col("scheduled").isNull(), F.lit("DQ-SCHEDULED-MISSING")),
-            F.when(F.col("scheduled").isNotNull() & F.col("served").isNull(), F.lit("DQ-SERVED-MISSING")),
-            F.when(F.col("scheduled") < F.col("requested"), F.lit("DQ-SCHEDULE-ORDER")),
-        )
-    )
-    return _issues(services.select("call_id", "service_id", F.explode(found).alias("rule")), F.col("rule"), F.concat(F.lit("service:"), "service_id"))
+    return _issues(services.select("call_id", "service_id", F.explode(F.array_compact(F.array(*_time_rules()))).alias("rule")), F.col("rule"), F.concat(F.lit("service:"), "service_id"))
+
+
+def _time_rules() -> list[Column]:
+    return [
+        F.when(F.col("requested").isNull(), F.lit("DQ-REQUESTED-MISSING")),
+        F.when(F.col("scheduled").isNull(), F.lit("DQ-SCHEDULED-MISSING")),
+        F.when(F.col("scheduled").isNotNull() & F.col("served").isNull(), F.lit("DQ-SERVED-MISSING")),
+        F.when(F.col("scheduled") < F.col("requested"), F.lit("DQ-SCHEDULE-ORDER")),
+    ]
+
+
+def service_issues(services: DataFrame, delays: DataFrame) -> DataFrame:
+    """DQ-007, DQ-REQ, DQ-SCH, DQ-SRV, DQ-ORD: what ``unexplained_lateness`` and ``service_times`` find, in one pass over the services."""
+    late = F.when(F.col("served") > F.col("scheduled"), F.lit("DQ-007"))
+    marks = services.select("call_id", "service_id", F.explode(F.array_compact(F.array(*_time_rules(), late))).alias("rule"))
+    marks = saved(marks.withColumn("service_id", F.when(F.col("rule") != "DQ-007", F.col("service_id"))))
+    return _unexplained(marks.filter("rule = 'DQ-007'").select("call_id"), delays).unionByName(_issues(marks.filter("rule <> 'DQ-007'"), F.col("rule"), F.concat(F.lit("service:"), "service_id")))
 
 
 def staging_issues(staging: DataFrame, mandatory: Sequence[str]) -> DataFrame:

@@ -276,7 +276,7 @@ _ISSUES = f"""{_CALLS}, {_LIVE}, {_SERVICES}, {_DELAYS}, fl as (select call_id,
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
     calls, ev, services = bound(spark, d, "calls"), _ordered(spark, d), bound(spark, d, "services")
-    found = [quality.event_issues(calls, ev, registry.SEQUENCE), quality.unexplained_lateness(services, bound(spark, d, "delays")), quality.conflicting_arrivals(ev), quality.service_times(services)]
+    found = [quality.event_issues(calls, ev, registry.SEQUENCE), quality.service_issues(services, bound(spark, d, "delays")), quality.conflicting_arrivals(ev)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import store
-from ..functions.lineage import saved, shared_dir
+from ..functions.lineage import free, saved, shared_dir
 from ..operators import canonical, dashboard, delays, events, identity, kpi, leadtime, outlier, quality, stats
 from ..sources import landing
 from ..sources.tables import BINDINGS, bound, oracle, table
@@ -101,7 +101,8 @@ def rebuilt_after_exclusions(spark: SparkSession, d: str) -> DataFrame:
 def stored_issues(spark: SparkSession, d: str) -> DataFrame:
     """DQ-UPS: issues are stored twice, the second time to no effect; then some are resolved, and a third run opens those anew."""
     path, keys = _place(spark, "issues"), ["rule_id", "record_reference"]
-    found, merge = _issues(spark, d), lambda stored, new: quality.merge_issues(new, stored)
+    found, merge = saved(_issues(spark, d)), lambda stored, new: quality.merge_issues(new, stored)
+    free(spark)
     for _ in range(2):
         version, _ = store.upsert(spark, path, found, keys, merge=merge)
     resolved = store.read(spark, version).filter("rule_id = 'DQ-004'").withColumn("status", F.lit("RESOLVED"))
